@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from voxloom.llm import fold, looks, overlap, splits
+from voxloom.llm import fold, looks, mixture, overlap, packing, splits, stuffing, voices
 from voxloom.sources.tables import table
 
 
@@ -14,10 +14,24 @@ def _metadata(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "metadata_eval")
 
 
+def _documents(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents")
+
+
+def _voices(spark: SparkSession, d: str) -> voices.Voices:
+    return voices.Voices(table(spark, d, "prepare_dataset"))
+
+
+def _mixture(spark: SparkSession, d: str) -> mixture.Mixture:
+    return mixture.Mixture(spark, _documents(spark, d), table(spark, d, "source_weight"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "p1_found": lambda s, d: fold.copies_found(_metadata(s, d)),
         "p1_collapsed": lambda s, d: fold.collapsed(_metadata(s, d)),
+        "p2_found": lambda s, d: _voices(s, d).found(),
+        "p2_described": lambda s, d: _voices(s, d).described(),
         "p3_found": lambda s, d: splits.group_firsts(splits.related_groups(_metadata(s, d))),
         "p3_split": lambda s, d: splits.split_records(s, _metadata(s, d), table(s, d, "split_target")),
         "p3_shares": lambda s, d: splits.split_shares(s, _metadata(s, d), table(s, d, "split_target")),
@@ -25,6 +39,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p4_normalized": lambda s, d: looks.normalized(_metadata(s, d)).select("row_id", "norm"),
         "p5_found": lambda s, d: overlap.Overlaps(_metadata(s, d)).found(),
         "p5_report": lambda s, d: overlap.Overlaps(_metadata(s, d)).report(),
+        "p6_packed": lambda s, d: packing.packed(s, _documents(s, d), table(s, d, "container_size")),
+        "p6_fill": lambda s, d: packing.fill_report(s, _documents(s, d), table(s, d, "container_size")),
+        "p7_mixture": lambda s, d: _mixture(s, d).rows(),
+        "p7_shares": lambda s, d: _mixture(s, d).report(),
+        "p8_found": lambda s, d: stuffing.flagged(_documents(s, d)),
+        "p8_shapes": lambda s, d: stuffing.shape_report(_documents(s, d)),
     }
 
 
