@@ -25,3 +25,25 @@ def local_session(cpus: int | None = None, memory: str = "12g") -> SparkSession:
     )
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> SparkSession:
+    """Hands this package to the executors' Python workers, once per application."""
+    import tempfile
+    import zipfile
+    from pathlib import Path
+
+    sc = spark.sparkContext
+    if sc.applicationId not in _SHIPPED:
+        root = Path(__file__).resolve().parent
+        # the driver's own copy; Spark sends it on to every executor
+        path = Path(tempfile.mkdtemp(prefix="voxloom-ship-")) / "voxloom.zip"
+        with zipfile.ZipFile(path, "w") as z:
+            for f in sorted(root.rglob("*.py")):
+                z.write(f, f.relative_to(root.parent).as_posix())
+        sc.addPyFile(str(path))
+        _SHIPPED.add(sc.applicationId)
+    return spark
