@@ -96,9 +96,9 @@ def compress_pauses(x: np.ndarray, rate: int, most_ms: int = PAUSE_MS, threshold
 
 
 def trim_tail(x: np.ndarray, rate: int, keep_ms: int = TAIL_MS, threshold: float = SILENCE) -> np.ndarray:
-    """Cuts ``keep_ms`` after the last sample that isn't silent; an all-silent wave is kept."""
+    """Cuts ``keep_ms`` after the last sample that isn't silent; of an all-silent wave only that much is left."""
     loud = np.flatnonzero(np.abs(x) >= threshold)
-    return x[: min(len(x), loud[-1] + int(rate * keep_ms / 1000))] if len(loud) else x
+    return x[: (loud[-1] + 1 if len(loud) else 0) + int(rate * keep_ms / 1000)]
 
 
 def trim_overrun(x: np.ndarray, rate: int, expected_s: float | None) -> np.ndarray:
@@ -108,11 +108,11 @@ def trim_overrun(x: np.ndarray, rate: int, expected_s: float | None) -> np.ndarr
     goal, frame = int(expected_s * 1.2 * rate), int(rate * 0.025)
     lo, hi = max(0, goal - rate // 2), min(len(x), goal + rate // 2)
     starts = np.arange(lo, hi - frame, max(1, frame // 2))
-    if not len(starts):
-        return x[:goal]
     level = [np.abs(x[s : s + frame]).mean() for s in starts]
-    out = x[: starts[int(np.argmin(level))]].copy()
-    fade = min(int(rate * 0.05), len(out))
+    cut = starts[int(np.argmin(level))] if len(starts) else goal
+    fade = int(rate * 0.05)
+    out = x[: cut + fade].copy()
+    fade = min(fade, len(out))
     if fade:
         out[-fade:] *= np.linspace(1, 0, fade)
     return out
