@@ -12,6 +12,7 @@ import math
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField, StructType
 
 SILENCE, CLIP, SPEECH = 0.01, 0.99, 0.01
 PAUSE_MS, TAIL_MS = 350, 150
@@ -66,25 +67,26 @@ def snr_baseline(x: np.ndarray, rate: int) -> float | None:
     return 20 * math.log10(whole / max(noise, 1e-10)) if whole > 0 else None
 
 
-METRICS = "struct<samples:int,duration_s:double,rms:double,peak:double,snr_gate:double,snr_eval:double,snr_base:double,silence_ratio:double,clipping_ratio:double,speaking_s:double,frames:int>"
+METRIC_NAMES = ("samples", "duration_s", "rms", "peak", "snr_gate", "snr_eval", "snr_base", "silence_ratio", "clipping_ratio", "speaking_s", "frames")
+_COUNTS = ("samples", "frames")
+METRICS = StructType([StructField(n, IntegerType() if n in _COUNTS else DoubleType()) for n in METRIC_NAMES])
 
 
 @F.pandas_udf(METRICS)
 def wave_metrics(arrays: pd.Series, rates: pd.Series) -> pd.DataFrame:
     """All metrics of a waveform in one pass; all null for a null array or rate, or an empty array."""
-    names = [p.split(":")[0] for p in METRICS[7:-1].split(",")]
     rows = []
     for a, r in zip(arrays, rates):
         if a is None or pd.isna(r) or r <= 0 or len(a) == 0:
-            rows.append((None,) * len(names))
+            rows.append((None,) * len(METRIC_NAMES))
             continue
         x, r = samples(a), int(r)
         level = np.abs(x)
         frame = int(r * 0.025)
         rms = frame_rms(x, frame, frame // 2)
         rows.append((len(x), len(x) / r, math.sqrt((x * x).mean()), level.max(), snr_gate(x, r), snr_evaluation(x, r), snr_baseline(x, r), (level < SILENCE).mean(), (level >= CLIP).mean(), (rms > SPEECH).sum() * (frame // 2) / r, len(rms)))
-    out = pd.DataFrame(rows, columns=names)
-    return out.astype({n: "Int32" if n in ("samples", "frames") else "float64" for n in names})
+    out = pd.DataFrame(rows, columns=list(METRIC_NAMES))
+    return out.astype({n: "Int32" if n in _COUNTS else "float64" for n in METRIC_NAMES})
 
 
 def compress_pauses(x: np.ndarray, rate: int, most_ms: int = PAUSE_MS, threshold: float = SILENCE) -> np.ndarray:
@@ -152,7 +154,7 @@ def spectrogram(x: np.ndarray, size: int = 1024, overlap: int = 512) -> np.ndarr
 def edit(fn, **kw):
     """An Arrow UDF (samples, rate) -> samples of a wave edit."""
 
-    @F.pandas_udf("array<double>")
+    @F.pandas_udf(ArrayType(DoubleType()))
     def run(arrays: pd.Series, rates: pd.Series) -> pd.Series:
         return pd.Series([None if a is None or pd.isna(r) or r <= 0 else fn(samples(a), int(r), **kw) for a, r in zip(arrays, rates)])
 

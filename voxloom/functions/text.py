@@ -10,6 +10,7 @@ from itertools import chain
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StringType
 
 # Python's white space: Java's Unicode \s lacks the four information separators.
 SPACE = r"(?U)[\s\x{1c}-\x{1f}]"
@@ -92,7 +93,7 @@ def words(c: Column) -> Column:
     return F.filter(F.split(c, f"{SPACE}+"), lambda w: w != "")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfc(texts: pd.Series) -> pd.Series:
     """Canonical composition (null stays null)."""
     return texts.map(lambda t: None if t is None else unicodedata.normalize("NFC", t))
@@ -177,7 +178,7 @@ def expand_numbers_py(text: str) -> str:
     return _NUMBER.sub(lambda m: number_words(m[0]), text)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def expand_numbers(texts: pd.Series) -> pd.Series:
     """Percentages, then all other numbers, in words."""
     return texts.map(lambda t: None if t is None else expand_numbers_py(t))
@@ -191,12 +192,12 @@ def normalize(c: Column, lite: bool = False, vocalize=None) -> Column:
 
 def comparable(c: Column) -> Column:
     """Text for alignment: no vowel marks, folded alef and taa, no punctuation, single spaces."""
-    c = F.regexp_replace(c, "[ً-ٰٟ]", "")
+    c = F.regexp_replace(c, "[\u064b-\u065f\u0670]", "")
     c = F.translate(c, "إأآة", "ااا" + "ه")
     return collapse(F.regexp_replace(c, rf"(?U)[^\p{{L}}\p{{N}}_\s\x{{1c}}-\x{{1f}}]", ""))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Ratcliff/Obershelp ratio of two prepared texts; 1 for two empty ones, null if either is null."""
 
@@ -267,13 +268,13 @@ def _pack(items: list[str], limit: int, joint: str, edge: str) -> list[str]:
     return [x.strip() for x in out if x.strip()]
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(ArrayType(StringType()))
 def bounded(lists: pd.Series) -> pd.Series:
     """Every sentence of a list in pieces of at most ``MAX_CHUNK`` characters."""
     return lists.map(lambda xs: None if xs is None else [y for x in xs for y in split_long(x)])
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(ArrayType(StringType()))
 def bounded_once(lists: pd.Series) -> pd.Series:
     """The lite variant: one level of clauses, no cutting of words."""
     return lists.map(lambda xs: None if xs is None else [y for x in xs for y in split_long(x, recursive=False)])
