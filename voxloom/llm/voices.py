@@ -11,10 +11,10 @@ All neighbour joins are blocked, and none makes a row per pair of clips:
 
 * equal vectors are one weighted vector;
 * vectors are laid out by their strongest frequencies into blocks of bounded size;
-  in each block a greedy pass gathers vectors around leaders, with the true
-  radius of every leader's cell;
-* leaders meet leaders block by block in matrix products, and only cells whose
-  leaders are no farther apart than threshold angle plus both radii go on - by the
+  in each block a greedy pass gathers vectors around leaders into cells, each with
+  its mean direction and true radius;
+* cell centres meet block by block in matrix products, and only cells whose
+  centres are no farther apart than threshold angle plus both radii go on - by the
   triangle inequality no other pair of cells can hold two alike vectors;
 * the members of such cells meet in matrix products, which return one row per
   member (its count, or its nearest denser neighbour), or distinct label pairs.
@@ -40,7 +40,7 @@ FREQUENCIES = np.arange(62.5, 3875 + 1, 31.25)
 THRESHOLD = 0.8
 #: Least cosine of a vector and the leader whose cell it joins.
 LEAD = 0.93
-#: Vectors per block, leaders per block.
+#: Vectors per block, cell centres per block.
 BLOCK = 4096
 LEADER_BLOCK = 8192
 #: Margin for rounding in the angle bound.
@@ -118,8 +118,10 @@ def _cells(pdf: pd.DataFrame) -> pd.DataFrame:
     rows = []
     for k, part in pd.Series(range(len(m))).groupby(lead):
         at = part.to_numpy()
-        angle = np.arccos(np.clip(m[at] @ m[k], -1, 1)).max()
-        rows.append((int(pdf["id"][k]), pdf["vec"][k], float(angle) if len(at) > 1 else 0.0, pdf["id"].to_numpy()[at].tobytes(), pdf["w"].to_numpy()[at].tobytes(), m[at].tobytes()))
+        center = m[at].mean(axis=0)
+        center = (center / np.linalg.norm(center)).astype(np.float32)
+        angle = np.arccos(np.clip(m[at] @ center, -1, 1)).max()
+        rows.append((int(pdf["id"][k]), center.tobytes(), float(angle) if len(at) > 1 else 0.0, pdf["id"].to_numpy()[at].tobytes(), pdf["w"].to_numpy()[at].tobytes(), m[at].tobytes()))
     return pd.DataFrame(rows, columns=["leader", "vec", "radius", "ids", "ws", "mat"])
 
 
@@ -160,30 +162,42 @@ def _alike(ma: np.ndarray, mb: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
         yield s, ma[s : s + 1024] @ mb.T
 
 
+def _merged(parts: list[tuple[np.ndarray, ...]], names: list[str]) -> pd.DataFrame:
+    return pd.DataFrame({n: np.concatenate([p[k] for p in parts]) for k, n in enumerate(names)}) if parts else pd.DataFrame({n: np.zeros(0, np.int64) for n in names})
+
+
 def _density(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
+        parts = []
         for r in pdf.itertuples():
             for ia, _, ma, _, wb, mb in _sides(r):
                 n = np.concatenate([(d >= THRESHOLD) @ wb.astype(np.float64) for _, d in _alike(ma, mb)]).astype(np.int64)
-                yield pd.DataFrame({"id": ia[n > 0], "n": n[n > 0]})
+                if n.any():
+                    parts.append((ia[n > 0], n[n > 0]))
+        yield _merged(parts, ["id", "n"]).groupby("id", as_index=False).sum()
 
 
 def _nearest_denser(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
+        parts = []
         for r in pdf.itertuples():
             for ia, da, ma, ib, db, mb in _sides(r):
                 for s, d in _alike(ma, mb):
+                    if d.max() < THRESHOLD:
+                        continue
                     da_, ia_ = da[s : s + len(d), None], ia[s : s + len(d), None]
                     denser = (db > da_) | ((db == da_) & (ib < ia_))
                     d = np.where(denser & (d >= THRESHOLD), d, -1)
                     best = d.argmax(axis=1)
                     top = d[np.arange(len(d)), best]
                     ok = top > 0
-                    yield pd.DataFrame({"id": ia[s : s + len(d)][ok], "cos": top[ok].astype(np.float64), "to": ib[best[ok]]})
+                    parts.append((ia[s : s + len(d)][ok], top[ok].astype(np.float64), ib[best[ok]]))
+        yield _merged(parts, ["id", "cos", "to"])
 
 
 def _touching(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
+        parts = []
         for r in pdf.itertuples():
             ia, la, ma, ib, lb, mb = next(_sides(r))
             if la.min() == la.max() == lb.min() == lb.max():
@@ -191,7 +205,9 @@ def _touching(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for s, d in _alike(ma, mb):
                 x, y = np.nonzero((d >= THRESHOLD) & (la[s : s + len(d), None] != lb))
                 if len(x):
-                    yield pd.DataFrame({"a": la[s + x], "b": lb[y]}).drop_duplicates()
+                    both = np.unique(np.column_stack([la[s + x], lb[y]]), axis=0)
+                    parts.append((both[:, 0], both[:, 1]))
+        yield _merged(parts, ["a", "b"]).drop_duplicates()
 
 
 class Voices:
