@@ -26,5 +26,7 @@ def text_gated(clips: DataFrame) -> DataFrame:
 
 def counts(clips: DataFrame, time: str, every: str = "1 day", late: str = "2 days") -> DataFrame:
     """Clips per source and event-time window; rows later than the watermark are dropped by the stream."""
-    w = clips.withWatermark(time, late).groupBy(F.window(time, every), "dataset_source")
-    return w.agg(F.count(F.lit(1)).alias("n")).select(F.col("window.start").alias("start"), "dataset_source", "n")
+    # event time is an instant for the stream; the window start goes back to what the table has
+    kind = dict(clips.dtypes)[time]
+    w = clips.withColumn(time, F.col(time).cast("timestamp")).filter(F.col(time).isNotNull()).withWatermark(time, late).groupBy(F.window(time, every), "dataset_source")
+    return w.agg(F.count(F.lit(1)).alias("n")).select(F.col("window.start").cast(kind).alias("start"), "dataset_source", "n")
