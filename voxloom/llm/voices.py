@@ -140,8 +140,8 @@ def _near_leaders(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 ok = np.arccos(np.clip(dots[x, y], -1, 1)) <= reach + ra[s + x] + rb[y]
                 x, y = x[ok] + s, y[ok]
                 if r.a == r.b:
-                    x, y = x[a[x] <= b[y]], y[a[x] <= b[y]]
-                yield pd.DataFrame({"la": a[x], "lb": b[y]})
+                    x, y = x[a[x] < b[y]], y[a[x] < b[y]]
+                yield pd.DataFrame({"la": np.minimum(a[x], b[y]), "lb": np.maximum(a[x], b[y])})
 
 
 def _pack_leaders(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -150,10 +150,17 @@ def _pack_leaders(pdf: pd.DataFrame) -> pd.DataFrame:
 
 def _sides(r) -> Iterator[tuple[np.ndarray, ...]]:
     """Both directions of a pair of cells (one, for a cell with itself), as (ids, extra, matrix) of each side."""
-    a, b = ((np.frombuffer(i, np.int64), np.frombuffer(x, np.int64), np.frombuffer(m, np.float32)) for i, x, m in ((r.ids_a, r.extra_a, r.mat_a), (r.ids_b, r.extra_b, r.mat_b)))
-    a, b = (a[0], a[1], a[2].reshape(len(a[0]), -1)), (b[0], b[1], b[2].reshape(len(b[0]), -1))
-    yield (*a, *b)
-    if r.la != r.lb:
+
+    def side(ids: bytes, extra: bytes, mat: bytes) -> tuple[np.ndarray, ...]:
+        at = np.frombuffer(ids, np.int64)
+        return at, np.frombuffer(extra, np.int64), np.frombuffer(mat, np.float32).reshape(len(at), -1)
+
+    a = side(r.ids_a, r.extra_a, r.mat_a)
+    if r.ids_b is None:
+        yield (*a, *a)
+    else:
+        b = side(r.ids_b, r.extra_b, r.mat_b)
+        yield (*a, *b)
         yield (*b, *a)
 
 
@@ -250,10 +257,12 @@ class Voices:
     def _join(self, extra: DataFrame, fn: Callable, schema: str) -> DataFrame:
         """Runs ``fn`` on every pair of cells that may hold alike members; ``extra`` has the packed ``extra`` of a leader."""
         full = self.cells.select("leader", "ids", "mat").join(extra, "leader")
-        out = self.pairs
+        names = ("ids", "mat", "extra")
+        alone = full.select(*[F.col(c).alias(f"{c}_a") for c in names], *[F.lit(None).cast("binary").alias(f"{c}_b") for c in names])
+        pairs = self.pairs
         for s in "ab":
-            out = out.join(full.select(F.col("leader").alias(f"l{s}"), *[F.col(c).alias(f"{c}_{s}") for c in ("ids", "mat", "extra")]), f"l{s}")
-        return out.mapInPandas(fn, schema)
+            pairs = pairs.join(full.select(F.col("leader").alias(f"l{s}"), *[F.col(c).alias(f"{c}_{s}") for c in names]), f"l{s}")
+        return alone.unionByName(pairs.drop("la", "lb")).mapInPandas(fn, schema)
 
     def _packed(self, values: DataFrame) -> DataFrame:
         """Per cell, the ``value`` of each member ``id`` in the order of ``ids``."""
