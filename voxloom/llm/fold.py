@@ -36,6 +36,12 @@ _BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)  # odd multipliers
 MISMATCH_ROUNDS = 64
 
 
+@lru_cache(maxsize=1)
+def categories() -> np.ndarray:
+    """The Unicode category of every code point; one pass that all tables share."""
+    return np.array([unicodedata.category(chr(c)) for c in range(0x110000)])
+
+
 @lru_cache(maxsize=1)
 def fold_table() -> np.ndarray:
     """For each code point: 0 to skip it (and end a word), else the folded code point.
@@ -45,20 +51,20 @@ def fold_table() -> np.ndarray:
     skipped. Folding is one code point to one, so that no look-alike ligature is
     resolved by it.
     """
-    out = np.zeros(0x110000, np.uint32)
-    for c in range(0x110000):
-        if not 0xD800 <= c < 0xE000:
-            ch = chr(c)
-            cat = unicodedata.category(ch)
-            if cat[0] in "LNM" or cat in ("Cf", "Co"):
-                low = ch.lower()
-                out[c] = ord(low) if len(low) == 1 else c
+    cat = categories()
+    first = cat.astype("U1")
+    out = np.where((first == "L") | (first == "N") | (first == "M") | (cat == "Cf") | (cat == "Co"), np.arange(0x110000), 0).astype(np.uint32)
+    for c in np.flatnonzero((cat == "Lu") | (cat == "Lt") | (cat == "Nl") | (cat == "So")):
+        low = chr(c).lower()
+        if out[c] and len(low) == 1:
+            out[c] = ord(low)
     return out
 
 
 @lru_cache(maxsize=1)
 def _alnum_table() -> np.ndarray:
-    return np.array([not 0xD800 <= c < 0xE000 and unicodedata.category(chr(c))[0] in "LN" for c in range(0x110000)])
+    first = categories().astype("U1")
+    return (first == "L") | (first == "N")
 
 
 def _mix(x: np.ndarray, salt: int) -> np.ndarray:

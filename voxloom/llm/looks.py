@@ -23,6 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from voxloom.llm.fold import categories
 from voxloom.plans.stash import stash
 
 # Letters that are drawn alike, one group per line of the string.
@@ -84,7 +85,7 @@ def alike_pairs() -> list[tuple[str, str]]:
     for line in ALIKE.split("\n"):
         first, *rest = line.split() or [""]
         pairs += [(first, x) for x in rest]
-    for c in range(0x80, 0x110000):
+    for c in range(0x80, 0x10000):  # no drawing form has its code point beyond
         ch = chr(c)
         kind, _, points = unicodedata.decomposition(ch).partition(" ")
         latin_ligature = kind == "<compat>" and 0xFB00 <= c <= 0xFB06
@@ -115,23 +116,29 @@ def alike_classes() -> list[list[str]]:
     return sorted(classes.values())
 
 
-@lru_cache(maxsize=1)
-def _invisible() -> re.Pattern:
-    """Format characters and variation selectors, which draw nothing."""
-    marks = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000 and unicodedata.category(chr(c)) == "Cf"]
-    marks = [c for c in marks if not 0x600 <= c <= 0x605 and c not in (0x6DD, 0x70F, 0x890, 0x891, 0x8E2, 0x110BD, 0x110CD)]  # these are drawn
-    marks += [0x34F, 0x115F, 0x1160, 0x3164, 0xFFA0, *range(0x180B, 0x1810), *range(0xFE00, 0xFE10), *range(0xE0100, 0xE01F0)]
-    return re.compile("[" + "".join(re.escape(chr(c)) for c in sorted(set(marks))) + "]+")
+_SKIP = 0xFFFFFFFF
 
 
 @lru_cache(maxsize=1)
-def _blanks() -> re.Pattern:
-    """Every single blank but the plain space, tab and line breaks."""
-    return re.compile("[" + "".join(chr(c) for c in range(0x80, 0x110000) if unicodedata.category(chr(c)) == "Zs") + "]")
+def _base_table() -> np.ndarray:
+    """For each code point: itself, the plain space for any other single blank, or ``_SKIP`` for what draws nothing.
+
+    Format characters and variation selectors draw nothing, a few format characters excepted.
+    """
+    cat = categories()
+    out = np.arange(0x110000, dtype=np.uint32)
+    out[cat == "Zs"] = 32
+    out[cat == "Cf"] = _SKIP
+    drawn = [*range(0x600, 0x606), 0x6DD, 0x70F, 0x890, 0x891, 0x8E2, 0x110BD, 0x110CD]
+    out[drawn] = drawn
+    for lo, hi in ((0x34F, 0x350), (0x115F, 0x1161), (0x3164, 0x3165), (0xFFA0, 0xFFA1), (0x180B, 0x1810), (0xFE00, 0xFE10), (0xE0100, 0xE01F0)):
+        out[lo:hi] = _SKIP
+    return out
 
 
-def _prepared(text: str) -> str:
-    return _blanks().sub(" ", _invisible().sub("", _nfd(text)))
+def _mapped(joined: str, table: np.ndarray) -> np.ndarray:
+    raw = table[np.frombuffer(_nfd(joined).encode("utf-32-le", "surrogatepass"), np.uint32)]
+    return raw[raw != _SKIP]
 
 
 class Rewriter:
@@ -139,7 +146,8 @@ class Rewriter:
 
     Classes of single code points are rewritten first, so that the longer
     members, spelled in representatives themselves, match whatever their letters
-    were stored as; the automaton then takes the longest member at each place.
+    were stored as; the automaton then takes the longest member at each place. A
+    batch of texts is one string, cut again at its null characters.
     """
 
     def __init__(self, representatives: dict[str, str]):
@@ -153,44 +161,52 @@ class Rewriter:
                 single |= {ord(m): rep for m in members if m != rep}
             else:
                 several.append((rep, members))
-        self._single = single
+        self._table = _base_table().copy()
+        for c, rep in single.items():
+            self._table[c] = ord(rep)
         self._automaton = ahocorasick.Automaton()
-        starts = set()
         for rep, members in several:
             target = rep.translate(single)
             for m in {m.translate(single) for m in members} - {target}:
                 self._automaton.add_word(m, (len(m), target))
-                starts.add(m[0])
         self._automaton.make_automaton()
-        self._any_single = re.compile("[" + "".join(re.escape(chr(c)) for c in single) + "]")
-        self._any_start = re.compile("[" + "".join(map(re.escape, starts)) + "]")
+        self._starts = re.compile("[" + "".join(re.escape(x) for x in sorted({k[0] for k in self._automaton.keys()})) + "]")
 
     def __call__(self, text: str) -> str:
-        out = _prepared(text)
-        if self._any_single.search(out):
-            out = out.translate(self._single)
-        if self._any_start.search(out):
-            parts, at = [], 0
-            for end, (size, rep) in self._automaton.iter_long(out):
-                parts += (out[at : end - size + 1], rep)
-                at = end + 1
-            parts.append(out[at:])
-            out = "".join(parts)
+        return self._forms(text)
+
+    def many(self, texts: list[str]) -> list[str]:
+        """The forms of a batch of texts."""
+        if any("\0" in t for t in texts):
+            return [self._forms(t) for t in texts]
+        return self._forms("\0".join(texts)).split("\0") if texts else []
+
+    def _forms(self, joined: str) -> str:
+        out = _mapped(joined, self._table).tobytes().decode("utf-32-le", "surrogatepass")
+        if self._starts.search(out):
+            out = "\0".join(self._rewrite(x) if self._starts.search(x) else x for x in out.split("\0"))
         return unicodedata.normalize("NFC", out)
 
+    def _rewrite(self, text: str) -> str:
+        parts, at = [], 0
+        for end, (size, rep) in self._automaton.iter_long(text):
+            parts += (text[at : end - size + 1], rep)
+            at = end + 1
+        return "".join([*parts, text[at:]])
+
 
 def _count_points(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
-        joined = "".join(_prepared(t) for t in pdf["text"])
-        raw = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
-        points, counts = np.unique(raw, return_counts=True)
-        yield pd.DataFrame({"member": [chr(p) for p in points], "n": counts})
+        counts = np.bincount(_mapped("\0".join(pdf["text"]), _base_table()), minlength=1)
+        points = np.flatnonzero(counts)
+        points = points[points > 0]
+        yield pd.DataFrame({"member": [chr(p) for p in points], "n": counts[points]})
 
 
 def _count_strings(members: list[str]):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            joined = "\0".join(_prepared(t) for t in pdf["text"])
+            joined = _mapped("\0".join(pdf["text"]), _base_table()).tobytes().decode("utf-32-le", "surrogatepass")
             yield pd.DataFrame({"member": members, "n": [joined.count(m) for m in members]})
 
     return run
@@ -233,7 +249,7 @@ def _normalizer(reps: dict[str, str]):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         one = rewriter(reps)
         for pdf in batches:
-            yield pdf.assign(norm=[one(t) for t in pdf["text"]])
+            yield pdf.assign(norm=one.many(pdf["text"].tolist()))
 
     return run
 
@@ -251,17 +267,17 @@ def normalized(records: DataFrame, reps: dict[str, str] | None = None) -> DataFr
     return full.unionByName(rows.filter(F.col("text").isNull()).withColumn("norm", F.lit(None).cast("string")))
 
 
+def _digest(text: str) -> bytes:
+    return hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=16).digest()
+
+
 def _keys(reps: dict[str, str]):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         one = rewriter(reps)
         for pdf in batches:
-            ids, form, stored = [], [], []
-            for i, t in zip(pdf["row_id"], pdf["text"]):
-                if any(map(str.isalnum, t)):
-                    ids.append(i)
-                    form.append(hashlib.blake2b(one(t).encode("utf-8", "surrogatepass"), digest_size=16).digest())
-                    stored.append(hashlib.blake2b(t.encode("utf-8", "surrogatepass"), digest_size=16).digest())
-            yield pd.DataFrame({"row_id": ids, "form": form, "stored": stored})
+            pdf = pdf[[any(map(str.isalnum, t)) for t in pdf["text"]]]
+            texts = pdf["text"].tolist()
+            yield pd.DataFrame({"row_id": pdf["row_id"].to_numpy(), "form": [_digest(t) for t in one.many(texts)], "stored": [_digest(t) for t in texts]})
 
     return run
 

@@ -56,24 +56,34 @@ def _word_hash(word: str) -> int:
     return int.from_bytes(hashlib.blake2b(word.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
 
 
-def distinct_words(text: str) -> list[int]:
-    """Hashes of the distinct words of a normalized text, without its field block (with it, if it is all there is)."""
-    table = fold.fold_table()
-    start, end, _ = fold.field_block(text)
-    for part in (text[start:end], text):
-        codes = table[np.frombuffer(part.encode("utf-32-le", "surrogatepass"), np.uint32)]
-        codes[codes == 0] = 32
-        words = set(codes.tobytes().decode("utf-32-le", "surrogatepass").split())
-        if words:
-            return sorted(map(_word_hash, words))
-    return []
+def _word_lists(parts: list[str]) -> list[list[str]]:
+    """Folded words of every part; the batch is one array, cut again at its null characters."""
+    joined = "\0".join(parts)
+    raw = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
+    codes = fold.fold_table()[raw]
+    codes[(codes == 0) & (raw != 0)] = 32
+    return [x.split() for x in codes.tobytes().decode("utf-32-le", "surrogatepass").split("\0")]
+
+
+def distinct_words(texts: list[str]) -> list[list[int]]:
+    """Hashes of the distinct words of normalized texts, without their field blocks (with it, if it is all there is)."""
+    if not texts:
+        return []
+    texts = [t.replace("\0", " ") for t in texts]
+    spans = [fold.field_block(t) for t in texts]
+    found = _word_lists([t[a:b] for t, (a, b, _) in zip(texts, spans)])
+    for k, w in enumerate(found):
+        if not w and texts[k]:
+            found[k] = _word_lists([texts[k]])[0]
+    return [sorted({_word_hash(x) for x in w}) for w in found]
 
 
 def _sets(reps: dict[str, str]):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         one = looks.rewriter(reps)
         for pdf in batches:
-            words = [distinct_words(one(t)) if t is not None and any(map(str.isalnum, t)) else [] for t in pdf["text"]]
+            full = [t if t is not None and any(map(str.isalnum, t)) else "" for t in pdf["text"]]
+            words = distinct_words(one.many(full))
             key = [hashlib.blake2b(np.array(w, np.int64).tobytes(), digest_size=16).digest() if w else None for w in words]
             yield pdf.drop(columns="text").assign(words=words, key=key)
 

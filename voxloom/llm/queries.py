@@ -49,6 +49,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    from voxloom.llm.sql import SQL
+    from voxloom.llm.sql import statements
 
-    return dict(SQL)
+    return statements()

@@ -1,3 +1,75 @@
 """DuckDB statements that compute the same results on whole tables, where SQL can."""
 
-SQL: dict[str, str] = {}
+from __future__ import annotations
+
+from voxloom.llm import looks
+from voxloom.llm.fold import FIELD_KEYS, categories
+
+_KEYS = "(?:" + "|".join(FIELD_KEYS) + ")"
+_WORD = r"[\p{L}\p{N}\p{M}\p{Cf}\p{Co}]+"
+_HEAD = rf"^[^\p{{L}}\p{{N}}]*?(?:(?:\[\s*{_KEYS}\s*[:=][^\[\]|;]*\]\s*)+|(?:{_KEYS}\s*[:=][^\[\]|;:=]*;\s*)*{_KEYS}\s*[:=][^\[\]|;:=]*::)"
+_TAIL = rf"\|\|\s*(?:{_KEYS}\s*[:=][^\[\]|;:=]*\|\s*)*{_KEYS}\s*[:=][^\[\]|;:=]*$"
+_FIELD = rf"{_KEYS}\s*[:=]\s*[^\[\]|;:=]*"
+_ALNUM = r"regexp_matches(text, '[\p{L}\p{N}]')"
+
+
+def _parsed(source: str, text: str) -> str:
+    """CTEs ending in ``w``: row_id, ws (words in order), fs (sorted distinct fields)."""
+    return rf"""h AS (SELECT *, lower({text}) AS t, regexp_extract(lower({text}), '{_HEAD}') AS head FROM {source}),
+k AS (SELECT *, CASE WHEN head = '' THEN regexp_extract(t, '{_TAIL}') ELSE '' END AS tail FROM h),
+w AS (SELECT * EXCLUDE (t, head, tail), regexp_extract_all(substring(t, length(head) + 1, length(t) - length(head) - length(tail)), '{_WORD}') AS ws,
+  list_sort(list_distinct(list_transform(regexp_extract_all(head || tail, '{_FIELD}'), lambda f: array_to_string(regexp_extract_all(f, '{_WORD}'), ' ')))) AS fs, regexp_extract_all(t, '{_WORD}') AS every FROM k)"""
+
+
+_ROWS = f"r AS (SELECT row_id, text FROM metadata_eval WHERE row_id IS NOT NULL AND text IS NOT NULL AND {_ALNUM})"
+_COPIES = f"WITH {_ROWS}, {_parsed('r', 'text')}, f AS (SELECT row_id, min(row_id) OVER (PARTITION BY ws, fs) AS first_row_id FROM w)"
+
+
+def _form() -> str:
+    """The consistent form of ``text``, spelled with translate and replace from the look-alike classes."""
+    single, several = {}, []
+    for members in looks.alike_classes():
+        if all(len(m) == 1 for m in members):
+            single |= {m: members[0] for m in members[1:]}
+        else:
+            several += [(m, members[0]) for m in members[1:]]
+    single |= {chr(c): " " for c in range(0x80, 0x10000) if categories()[c] == "Zs"}
+    out = r"regexp_replace(text, '[\p{Cf}]', '', 'g')"
+    targets = "".join(single.values()).replace("'", "''")
+    out = f"translate({out}, '{''.join(single)}', '{targets}')"
+    for a, b in several:
+        if a in "ﻻﻼﬀﬁﬂﬃﬄﷲ" or a.translate(str.maketrans(single)) != a:  # those that any text here may hold
+            out = f"replace({out}, '{a}', '{b.translate(str.maketrans(single))}')"
+    return f"nfc_normalize({out})"
+
+
+_RELATED = r"""n AS (SELECT row_id, regexp_extract(translate(audio_file, '٠١٢٣٤٥٦٧٨٩۰۱۲۳۴۵۶۷۸۹０１２３４５６７８９', '012345678901234567890123456789'), '[0-9]+') AS ep, regexp_extract(translate(speaker_name, '٠١٢٣٤٥٦٧٨٩۰۱۲۳۴۵۶۷۸۹０１２３４５６７８９', '012345678901234567890123456789'), '[0-9]+') AS sp FROM metadata_eval WHERE row_id IS NOT NULL),
+e AS (SELECT row_id, 'e' || nullif(ltrim(ep, '0') || CASE WHEN ep <> '' AND ltrim(ep, '0') = '' THEN '0' ELSE '' END, '') AS ep, 's' || nullif(ltrim(sp, '0'), '') AS sp FROM n),
+g AS (SELECT DISTINCT ep AS a, sp AS b FROM e WHERE ep IS NOT NULL AND sp IS NOT NULL), d AS (SELECT a, b FROM g UNION SELECT b, a FROM g),
+reach(v, x) AS (SELECT a, a FROM d UNION SELECT reach.v, d.b FROM reach JOIN d ON reach.x = d.a),
+root AS (SELECT v, min(x) AS root FROM reach GROUP BY v),
+m AS (SELECT e.row_id, coalesce(root, ep, sp, 'r' || row_id) AS root FROM e LEFT JOIN root ON root.v = coalesce(ep, sp))"""
+
+
+def _overlap() -> str:
+    numbers = r"regexp_extract_all(translate(audio_file, '٠١٢٣٤٥٦٧٨٩۰۱۲۳۴۵۶۷۸۹０１２３４５６７８９', '012345678901234567890123456789'), '[0-9]+')"
+    base = f"b AS MATERIALIZED (SELECT row_id, split = 'train' AS train, split, dataset_source, CASE WHEN text IS NOT NULL AND {_ALNUM} THEN {_form()} ELSE '' END AS form, list_transform({numbers}[1:2], lambda x: x::HUGEINT) AS clip FROM metadata_eval WHERE row_id IS NOT NULL AND split IN ('train', 'eval', 'test'))"
+    sets = "z AS MATERIALIZED (SELECT row_id, train, split, dataset_source, clip, list_sort(list_distinct(CASE WHEN len(ws) > 0 THEN ws ELSE every END)) AS s FROM w)"
+    pairs = """near AS (SELECT x.row_id AS i, y.row_id AS j FROM z x JOIN z y ON x.train AND NOT y.train WHERE len(x.s) > 0 AND len(y.s) > 0 AND 10 * least(len(x.s), len(y.s)) >= 7 * greatest(len(x.s), len(y.s)) AND 17 * len(list_intersect(x.s, y.s)) >= 7 * (len(x.s) + len(y.s))),
+same AS (SELECT x.row_id AS i, y.row_id AS j FROM z x JOIN z y ON x.train AND NOT y.train AND x.clip = y.clip WHERE len(x.clip) = 2),
+found AS (SELECT DISTINCT least(i, j) AS row_id_a, greatest(i, j) AS row_id_b FROM (FROM near UNION ALL FROM same))"""
+    return f"WITH {base}, {_parsed('b', 'form')}, {sets}, {pairs}"
+
+
+def statements() -> dict[str, str]:
+    return {
+        "p1_found": f"{_COPIES} SELECT first_row_id, row_id FROM f WHERE row_id <> first_row_id",
+        "p1_collapsed": f"{_COPIES} SELECT first_row_id AS row_id, count(*) AS copies FROM f GROUP BY first_row_id",
+        "p3_found": f"WITH RECURSIVE {_RELATED}, f AS (SELECT row_id, min(row_id) OVER (PARTITION BY root) AS first_row_id FROM m) SELECT first_row_id, row_id FROM f WHERE row_id <> first_row_id",
+        "p4_found": f"WITH {_ROWS}, n AS MATERIALIZED (SELECT row_id, text, {_form()} AS form FROM r) SELECT a.row_id AS row_id_a, b.row_id AS row_id_b FROM n a JOIN n b ON a.form = b.form AND a.row_id < b.row_id AND a.text <> b.text",
+        "p4_normalized": f"SELECT row_id, {_form()} AS norm FROM metadata_eval",
+        "p5_found": f"{_overlap()} SELECT row_id_a, row_id_b FROM found",
+        "p5_report": f"""{_overlap()}, t AS (SELECT i AS row_id FROM near UNION SELECT j FROM near), c AS (SELECT i AS row_id FROM same UNION SELECT j FROM same)
+SELECT split, dataset_source, count(*) AS records, count(t.row_id) AS by_text, count(c.row_id) AS by_clip, count(coalesce(t.row_id, c.row_id)) AS overlapping, round(count(coalesce(t.row_id, c.row_id))::DOUBLE / count(*), 6) AS share
+FROM z LEFT JOIN t ON z.row_id = t.row_id LEFT JOIN c ON z.row_id = c.row_id GROUP BY split, dataset_source""",
+    }
