@@ -248,7 +248,7 @@ class Voices:
         groups = max(1, -(-n // LEADER_BLOCK), min(8, n // 256))
         packed = self.cells.select("leader", "vec", "radius", F.pmod(F.xxhash64("leader"), F.lit(groups)).alias("g")).groupBy("g").applyInPandas(_pack_leaders, "g long, ids binary, radii binary, mat binary")
         packed = stash(packed)
-        grid = spark.range(groups).select(F.col("id").alias("a")).join(spark.range(groups).select(F.col("id").alias("b")), F.col("a") <= F.col("b"))
+        grid = spark.range(groups).select(F.col("id").alias("a"), F.explode(F.sequence("id", F.lit(groups - 1).cast("long"))).alias("b"))
         for s in "ab":
             grid = grid.join(packed.select(F.col("g").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in ("ids", "radii", "mat")]), s)
         grid = grid.repartition(groups * (groups + 1) // 2, "a", "b")
