@@ -10,7 +10,9 @@ to end, are cut into blocks of the slot size; the k-th slot takes the k-th block
 from __future__ import annotations
 
 import math
+from itertools import accumulate
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -21,6 +23,8 @@ from voxloom.plans.stash import stash
 
 #: Tokens of a slot.
 SLOT_TOKENS = 4096
+#: Slots up to which the schedule is counted exactly beforehand.
+EXACT = 2_000_000
 _GOLDEN = (math.sqrt(5) - 1) / 2
 _CHUNK = 1 << 16
 
@@ -53,20 +57,39 @@ class Mixture:
         # small inputs get smaller slots, so that each source has many
         scarce = min((self.have[s] * self.cap[s] / self.share[s] for s in names), default=0)
         self.slot = int(max(1, min(slot_tokens, scarce // 2000)))
-        # golden-ratio points stay within 3 + 2 log2(n) of the expected number in any interval
         blocks = {s: self.have[s] * self.cap[s] // self.slot for s in names}
         n = int(min((blocks[s] / self.share[s] for s in names), default=0))
-        slack = 3 + 2 * math.ceil(math.log2(n + 2))
-        self.slots = max(0, int(min(((blocks[s] - slack) / self.share[s] for s in names), default=0)))
+        self.slots = self._affordable(n, [blocks[s] for s in names])
+
+    def _ends(self) -> list[float]:
+        """Where the interval of each source, in name order, ends."""
+        return list(accumulate(self.share[s] for s in sorted(self.share)))
+
+    def _affordable(self, n: int, blocks: list[int]) -> int:
+        """The largest number of slots, about ``n``, whose schedule needs no more blocks of any source than there are.
+
+        Up to ``EXACT`` slots are counted; beyond that, a margin of 3 + 2 log2(n)
+        blocks, which golden-ratio points don't exceed in any interval, is negligible.
+        """
+        if not blocks:
+            return 0
+        shares = [self.share[s] for s in sorted(self.share)]
+        if n > EXACT:
+            slack = 3 + 2 * math.ceil(math.log2(n + 2))
+            return max(0, int(min((b - slack) / s for b, s in zip(blocks, shares))))
+        points = (np.arange(n + 64) + 0.5) * _GOLDEN % 1
+        source = np.minimum(np.searchsorted(self._ends(), points, side="right"), len(shares) - 1)
+        most = n + 64
+        for k, b in enumerate(blocks):
+            at = np.flatnonzero(source == k)
+            if len(at) > b:
+                most = min(most, int(at[b]))
+        return most
 
     def _source_at(self, point: Column) -> Column:
         names = sorted(self.share)
-        pick, upto = F.lit(names[-1]), []
-        total = 0.0
-        for s in names:
-            total += self.share[s]
-            upto.append((s, total))
-        for s, end in reversed(upto[:-1]):
+        pick = F.lit(names[-1])
+        for s, end in reversed(list(zip(names, self._ends()))[:-1]):
             pick = F.when(point < end, F.lit(s)).otherwise(pick)
         return pick
 
