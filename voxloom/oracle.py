@@ -154,6 +154,14 @@ SELECT doc_id, unnest(range(len(ss))) AS pos, unnest(ss) AS sentence FROM b""",
         "carried_forward": "SELECT event_id, last_value(CASE WHEN event_type = 'click' THEN value END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS last_click FROM events",
         "moving_average": "SELECT event_id, round(avg(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS 4 PRECEDING), 6) AS average FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) >= 5",
         "wave_metrics": f"WITH {_WAVES} SELECT clip_id, samples, frames, {', '.join(f'round(m.{x}, 4) AS {x}' for x in _METRIC_NAMES)} FROM m",
+        "frame_levels": f"WITH {_WAVES} SELECT clip_id, unnest(range(len(rms))) AS frame, round(unnest(rms), 6) AS rms FROM r",
+        "unit_vectors": f"WITH {_SCORED} SELECT vec_id, unnest(range(64)) AS i, round(unnest(list_transform(e, lambda v: v / norm)), 6) AS x FROM u",
+        "corpus_selection": f"""WITH {_DEFAULTS}, embedded AS (SELECT vec_id, label, embedding FROM embeddings WHERE vec_id IN (SELECT clip_id FROM d WHERE {_RANGE})),
+{_SCORED.replace("FROM embeddings)", "FROM embedded)")}, best AS (SELECT label FROM st ORDER BY size >= 500 DESC, CASE WHEN size >= 500 THEN -mean_similarity END, size DESC, label LIMIT 1),
+y AS (SELECT vec_id AS clip_id, similarity FROM sc WHERE label = (SELECT label FROM best)),
+o AS (SELECT *, row_number() OVER (ORDER BY clip_id) - 1 AS k, row_number() OVER (ORDER BY md5('42:' || clip_id), clip_id) - 1 AS pos, count(*) OVER () AS n FROM y)
+SELECT clip_id, printf('wavs/clip_%06d.wav', k) AS file, round(similarity, 6) AS similarity, CASE WHEN pos < floor(n * 0.9) THEN 'train' ELSE 'eval' END AS part FROM o""",
+        "formatted_dates": "SELECT row_id, strftime(recorded_at, '%Y-%m-%d %H:%M') AS day FROM metadata_eval",
         "stage_metrics": f"WITH {_WAVES} SELECT dataset_source, count(*) AS clips, {', '.join(f'round(avg(m.{x}), 4) AS {x}' for x in ('duration_s', 'rms', 'peak', 'silence_ratio', 'speaking_s'))} FROM m GROUP BY dataset_source",
         "pauses_compressed": f"""WITH a AS (SELECT clip_id, audio['sampling_rate'] AS sr, {_TOKENS_AT} FROM prepare_dataset WHERE len(audio['array']) > 0),
 b AS (SELECT *, abs(x) < 0.05 AS quiet, i - row_number() OVER (PARTITION BY clip_id, abs(x) < 0.05 ORDER BY i) AS island FROM a),

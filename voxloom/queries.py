@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from voxloom import pipelines
 from voxloom.functions import signal as S
 from voxloom.functions import text as T
 from voxloom.operators import arrange as A
@@ -193,6 +194,22 @@ def embedded(s, d):
     return R.with_model(base, encode, "w", "r", "clip_id", "embedding array<double>")
 
 
+def frame_levels(s, d):
+    """RMS of every overlapping 25 ms frame."""
+    levels = S.edit(lambda x, r: S.frame_rms(x, int(r * 0.025), int(r * 0.025) // 2))
+    return clips(s, d).filter("size(audio.array) > 0").select("clip_id", F.posexplode(levels("audio.array", "audio.sampling_rate")).alias("frame", "rms")).withColumn("rms", F.round("rms", 6))
+
+
+def unit_vectors(s, d):
+    return embeddings(s, d).select("vec_id", F.posexplode(V.unit(F.col("embedding"))).alias("i", "x")).withColumn("x", F.round("x", 6))
+
+
+def corpus_selection(s, d):
+    """The corpus build with stored vectors: the members of the chosen cluster."""
+    vectors = embeddings(s, d).select(F.col("vec_id").alias("clip_id"), "embedding", F.col("label").alias("cluster"))
+    return pipelines.build_corpus(clips(s, d), vectors).export.select("clip_id", "file", F.round("similarity", 6).alias("similarity"), "part")
+
+
 def corpus_flagship(s, d):
     """Range filter, text gate and first reason per source: counts."""
     kept = Q.in_range(Q.with_defaults(clips(s, d)))
@@ -257,6 +274,11 @@ def queries() -> dict[str, Query]:
         "carried_forward": lambda s, d: A.carried_forward(events(s, d).withColumn("click", F.when(F.col("event_type") == "click", F.col("value"))), "click", ["ts", "event_id"], ["user_id"], "last_click").select("event_id", "last_click"),
         "moving_average": lambda s, d: A.moving_average(events(s, d), "value", ["ts", "event_id"], ["user_id"], 5, "average").select("event_id", F.round("average", 6).alias("average")),
         "wave_metrics": metrics,
+        "frame_levels": frame_levels,
+        "unit_vectors": unit_vectors,
+        "corpus_selection": corpus_selection,
+        "text_to_chunks": lambda s, d: pipelines.text_to_chunks(documents(s, d)),
+        "formatted_dates": lambda s, d: metadata(s, d).select("row_id", F.date_format("recorded_at", "yyyy-MM-dd HH:mm").alias("day")),
         "stage_metrics": stage_metrics,
         "pauses_compressed": _edited(S.compress_pauses, most_ms=2, threshold=0.05),
         "tail_trimmed": _edited(S.trim_tail, keep_ms=1, threshold=0.05),
