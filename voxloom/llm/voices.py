@@ -148,73 +148,98 @@ def _pack_leaders(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"g": [int(pdf["g"].iloc[0])], "ids": [pdf["leader"].to_numpy(np.int64).tobytes()], "radii": [pdf["radius"].to_numpy(np.float64).tobytes()], "mat": [b"".join(pdf["vec"])]})
 
 
-def _sides(r) -> Iterator[tuple[np.ndarray, ...]]:
-    """Both directions of a pair of cells (one, for a cell with itself), as (ids, extra, matrix) of each side."""
+#: One side of a meeting: ids, a number per member, and the matrix of vectors.
+Side = tuple[np.ndarray, np.ndarray, np.ndarray]
 
-    def side(ids: bytes, extra: bytes, mat: bytes) -> tuple[np.ndarray, ...]:
-        at = np.frombuffer(ids, np.int64)
-        return at, np.frombuffer(extra, np.int64), np.frombuffer(mat, np.float32).reshape(len(at), -1)
 
-    a = side(r.ids_a, r.extra_a, r.mat_a)
-    if r.ids_b is None:
-        yield (*a, *a)
-    else:
-        b = side(r.ids_b, r.extra_b, r.mat_b)
-        yield (*a, *b)
-        yield (*b, *a)
+def _side(ids: list[bytes], extra: list[bytes], mat: list[bytes]) -> Side:
+    at = np.frombuffer(b"".join(ids), np.int64)
+    return at, np.frombuffer(b"".join(extra), np.int64), np.frombuffer(b"".join(mat), np.float32).reshape(len(at), -1)
 
 
-def _alike(ma: np.ndarray, mb: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    for s in range(0, len(ma), 1024):
-        yield s, ma[s : s + 1024] @ mb.T
+def _alike(a: Side, b: Side) -> Iterator[tuple[int, np.ndarray]]:
+    """Cosines of blocks of rows of a and all of b."""
+    step = max(1, min(1024, (1 << 23) // max(1, len(b[0]))))
+    for s in range(0, len(a[0]), step):
+        yield s, a[2][s : s + step] @ b[2].T
 
 
-def _merged(parts: list[tuple[np.ndarray, ...]], names: list[str]) -> pd.DataFrame:
+def _density(a: Side, b: Side) -> list[tuple[np.ndarray, ...]]:
+    """Weight of the alike members of b for each member of a."""
+    w = b[1].astype(np.float64)
+    n = np.concatenate([(d >= THRESHOLD) @ w for _, d in _alike(a, b)]).astype(np.int64)
+    return [(a[0][n > 0], n[n > 0])]
+
+
+def _nearest_denser(a: Side, b: Side) -> list[tuple[np.ndarray, ...]]:
+    """The nearest alike and denser member of b for each member of a."""
+    parts = []
+    for s, d in _alike(a, b):
+        if d.max() < THRESHOLD:
+            continue
+        ids, dens = a[0][s : s + len(d), None], a[1][s : s + len(d), None]
+        d = np.where(((b[1] > dens) | ((b[1] == dens) & (b[0] < ids))) & (d >= THRESHOLD), d, -1)
+        best = d.argmax(axis=1)
+        top = d[np.arange(len(d)), best]
+        ok = top > 0
+        parts.append((ids[ok, 0], top[ok].astype(np.float64), b[0][best[ok]]))
+    return parts
+
+
+def _touching(a: Side, b: Side) -> list[tuple[np.ndarray, ...]]:
+    """Distinct pairs of labels of alike members."""
+    if a[1].min() == a[1].max() == b[1].min() == b[1].max():
+        return []
+    parts = []
+    for s, d in _alike(a, b):
+        x, y = np.nonzero((d >= THRESHOLD) & (a[1][s : s + len(d), None] != b[1]))
+        if len(x):
+            both = np.unique(np.column_stack([a[1][s + x], b[1][y]]), axis=0)
+            parts.append((both[:, 0], both[:, 1]))
+    return parts
+
+
+def _frame(parts: list[tuple[np.ndarray, ...]], names: list[str]) -> pd.DataFrame:
     return pd.DataFrame({n: np.concatenate([p[k] for p in parts]) for k, n in enumerate(names)}) if parts else pd.DataFrame({n: np.zeros(0, np.int64) for n in names})
 
 
-def _density(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        parts = []
-        for r in pdf.itertuples():
-            for ia, _, ma, _, wb, mb in _sides(r):
-                n = np.concatenate([(d >= THRESHOLD) @ wb.astype(np.float64) for _, d in _alike(ma, mb)]).astype(np.int64)
-                if n.any():
-                    parts.append((ia[n > 0], n[n > 0]))
-        yield _merged(parts, ["id", "n"]).groupby("id", as_index=False).sum()
+def _within(kernel: Callable, names: list[str]):
+    """A kernel on every cell by itself."""
 
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            parts = []
+            for r in pdf.itertuples():
+                a = _side([r.ids], [r.extra], [r.mat])
+                parts += kernel(a, a)
+            yield _frame(parts, names)
 
-def _nearest_denser(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        parts = []
-        for r in pdf.itertuples():
-            for ia, da, ma, ib, db, mb in _sides(r):
-                for s, d in _alike(ma, mb):
-                    if d.max() < THRESHOLD:
-                        continue
-                    da_, ia_ = da[s : s + len(d), None], ia[s : s + len(d), None]
-                    denser = (db > da_) | ((db == da_) & (ib < ia_))
-                    d = np.where(denser & (d >= THRESHOLD), d, -1)
-                    best = d.argmax(axis=1)
-                    top = d[np.arange(len(d)), best]
-                    ok = top > 0
-                    parts.append((ia[s : s + len(d)][ok], top[ok].astype(np.float64), ib[best[ok]]))
-        yield _merged(parts, ["id", "cos", "to"])
-
-
-def _touching(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        parts = []
-        for r in pdf.itertuples():
-            ia, la, ma, ib, lb, mb = next(_sides(r))
-            if la.min() == la.max() == lb.min() == lb.max():
-                continue
-            for s, d in _alike(ma, mb):
-                x, y = np.nonzero((d >= THRESHOLD) & (la[s : s + len(d), None] != lb))
-                if len(x):
-                    both = np.unique(np.column_stack([la[s + x], lb[y]]), axis=0)
-                    parts.append((both[:, 0], both[:, 1]))
-        yield _merged(parts, ["a", "b"]).drop_duplicates()
+    return run
+
+
+def _between(kernel: Callable, names: list[str]):
+    """A kernel on one cell and all cells that may be near it, both ways; rows come sorted by cell, the cell itself first."""
+
+    def met(rows: list) -> list[tuple[np.ndarray, ...]]:
+        big, *near = rows
+        a = _side([big.ids], [big.extra], [big.mat])
+        b = _side([r.ids for r in near], [r.extra for r in near], [r.mat for r in near])
+        return kernel(a, b) + kernel(b, a)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list = []
+        for pdf in batches:
+            parts = []
+            for r in pdf.itertuples():
+                if held and (r.big, r.part) != (held[0].big, held[0].part):
+                    parts += met(held)
+                    held = []
+                held.append(r)
+            yield _frame(parts, names)
+        if held:
+            yield _frame(met(held), names)
+
+    return run
 
 
 class Voices:
@@ -240,7 +265,7 @@ class Voices:
         laid = self.vectors.join(F.broadcast(lut), "cell").select("id", "w", "vec", block.alias("block"))
         cells = laid.groupBy("block").applyInPandas(_cells, "leader long, vec binary, radius double, ids binary, ws binary, mat binary")
         self.cells = stash(cells)
-        self.pairs = stash(self._cell_pairs())
+        self.meetings = stash(self._meetings(self._cell_pairs()))
 
     def _cell_pairs(self) -> DataFrame:
         spark = self.cells.sparkSession
@@ -254,15 +279,31 @@ class Voices:
         grid = grid.repartition(groups * (groups + 1) // 2, "a", "b")
         return grid.mapInPandas(_near_leaders, "la long, lb long").distinct()
 
-    def _join(self, extra: DataFrame, fn: Callable, schema: str) -> DataFrame:
-        """Runs ``fn`` on every pair of cells that may hold alike members; ``extra`` has the packed ``extra`` of a leader."""
-        full = self.cells.select("leader", "ids", "mat").join(extra, "leader")
-        names = ("ids", "mat", "extra")
-        alone = full.select(*[F.col(c).alias(f"{c}_a") for c in names], *[F.lit(None).cast("binary").alias(f"{c}_b") for c in names])
-        pairs = self.pairs
+    def _meetings(self, pairs: DataFrame) -> DataFrame:
+        """Pairs of cells by their larger one: ``big``, ``small``, ``part``.
+
+        The large cell travels once for all small ones that may be near it, or
+        once for every ``BLOCK`` of their members if they are more.
+        """
+        size = self.cells.select("leader", (F.length("ids") / 8).cast("long").alias("n"))
         for s in "ab":
-            pairs = pairs.join(full.select(F.col("leader").alias(f"l{s}"), *[F.col(c).alias(f"{c}_{s}") for c in names]), f"l{s}")
-        return alone.unionByName(pairs.drop("la", "lb")).mapInPandas(fn, schema)
+            pairs = pairs.join(size.select(F.col("leader").alias(f"l{s}"), F.col("n").alias(f"n{s}")), f"l{s}")
+        swap = F.struct("na", "la") < F.struct("nb", "lb")
+        pick = lambda x, y: F.when(swap, F.col(x)).otherwise(F.col(y))
+        rows = pairs.select(pick("lb", "la").alias("big"), pick("la", "lb").alias("small"), pick("na", "nb").alias("n"))
+        parts = rows.groupBy("big").agg(F.ceil(F.sum("n") / BLOCK).alias("parts"))
+        return rows.join(parts, "big").select("big", "small", F.pmod(F.xxhash64("small"), F.col("parts")).alias("part"))
+
+    def _join(self, extra: DataFrame, kernel: Callable, schema: str) -> DataFrame:
+        """Runs ``kernel`` wherever cells may hold alike members; ``extra`` has the packed ``extra`` of a leader."""
+        full = self.cells.select("leader", "ids", "mat").join(extra, "leader")
+        names = [x.split()[0] for x in schema.split(", ")]
+        within = full.select("ids", "extra", "mat").mapInPandas(_within(kernel, names), schema)
+        near = self.meetings.join(full.withColumnRenamed("leader", "small"), "small").select("big", "part", "ids", "extra", "mat", F.lit(1).alias("near"))
+        big = self.meetings.select("big", "part").distinct().join(full.withColumnRenamed("leader", "big"), "big").select("big", "part", "ids", "extra", "mat", F.lit(0).alias("near"))
+        both = near.unionByName(big).repartition("big", "part").sortWithinPartitions("big", "part", "near")
+        between = both.mapInPandas(_between(kernel, names), schema)
+        return within.unionByName(between)
 
     def _packed(self, values: DataFrame) -> DataFrame:
         """Per cell, the ``value`` of each member ``id`` in the order of ``ids``."""
