@@ -133,10 +133,10 @@ def _near_leaders(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             a, b = np.frombuffer(r.ids_a, np.int64), np.frombuffer(r.ids_b, np.int64)
             ra, rb = np.frombuffer(r.radii_a, np.float64), np.frombuffer(r.radii_b, np.float64)
             ma, mb = np.frombuffer(r.mat_a, np.float32).reshape(len(a), -1), np.frombuffer(r.mat_b, np.float32).reshape(len(b), -1)
-            by_cos = np.cos(np.minimum(np.pi, reach + ra.max() + rb.max()))
+            by_cos = np.cos(np.minimum(np.pi, reach + ra + rb.max())).astype(np.float32) - np.float32(SLACK)
             for s in range(0, len(a), 512):
                 dots = ma[s : s + 512] @ mb.T
-                x, y = np.nonzero(dots >= by_cos - SLACK)
+                x, y = np.nonzero(dots >= by_cos[s : s + 512, None])
                 ok = np.arccos(np.clip(dots[x, y], -1, 1)) <= reach + ra[s + x] + rb[y]
                 x, y = x[ok] + s, y[ok]
                 if r.a == r.b:
@@ -363,9 +363,10 @@ def _smallest(rows: DataFrame, n: int, salts: int = 64) -> DataFrame:
 
 def _unpacked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
-        for r in pdf.itertuples():
-            ids = np.frombuffer(r.ids, np.int64)
-            yield pd.DataFrame({"leader": r.leader, "at": np.arange(len(ids), dtype=np.int32), "id": ids})
+        ids = [np.frombuffer(x, np.int64) for x in pdf["ids"]]
+        sizes = [len(x) for x in ids]
+        at = np.concatenate([np.arange(n, dtype=np.int32) for n in sizes]) if ids else np.zeros(0, np.int32)
+        yield pd.DataFrame({"leader": np.repeat(pdf["leader"].to_numpy(), sizes), "at": at, "id": np.concatenate(ids) if ids else np.zeros(0, np.int64)})
 
 
 def _repacked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
