@@ -113,3 +113,19 @@ def test_filter_is_pushed_down(spark, sf):
 
     plan = Q.trainer_bounds(table(spark, sf, "prepare_dataset")).select("clip_id")._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [IsNotNull(duration)" in plan and "audio" not in plan.split("ReadSchema")[1]
+
+
+def test_silhouette_search_reaches_thirty(spark, sf):
+    from voxloom import queries as core
+
+    rng = np.random.default_rng(7)
+    rows = [(i, (np.eye(30)[i % 30] + rng.normal(0, 0.01, 30)).tolist()) for i in range(180)]
+    labelled, scores = V.kmeans(spark.createDataFrame([*rows, (998, [0.0] * 30), (999, None)], "id long, v array<double>"), "v")
+    got = {r["k"]: r["silhouette"] for r in scores.collect()}
+    best = max(sorted(got), key=got.get)
+    assert sorted(got) == [10, 15, 20, 25, 30] and best > 20  # thirty voices
+    assert labelled.select("cluster_id").distinct().count() == best and {r["id"] for r in labelled.collect()} == set(range(180))
+    got = {r["k"]: r["silhouette"] for r in core.queries()["kmeans_scores"](spark, sf).collect()}
+    labels = core.queries()["kmeans_labels"](spark, sf)
+    assert sorted(got) == [10, 15, 20, 25, 30] and labels.columns == ["vec_id", "cluster_id"]
+    assert labels.select("cluster_id").distinct().count() == max(sorted(got), key=got.get)

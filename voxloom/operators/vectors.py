@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -11,8 +11,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from voxloom.operators.running import position
+from voxloom.plans.stash import stash
 
 MIN_CLUSTER = 500
+#: Numbers of clusters that the silhouette search tries.
+SEARCHED = (10, 15, 20, 25, 30)
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -90,16 +93,17 @@ def top_n_per_cluster(scored: DataFrame, n: int, cluster: str, key: str, salts:
     return out.drop("__salt", "__r")
 
 
-def kmeans(vectors: DataFrame, vec: str, ks: list[int], seed: int = 42) -> tuple[DataFrame, DataFrame]:
+def kmeans(vectors: DataFrame, vec: str, ks: Sequence[int] = SEARCHED, seed: int = 42) -> tuple[DataFrame, DataFrame]:
     """Scalable stand-in for hierarchical clustering: bisecting k-means on unit vectors for each k, judged by silhouette.
 
-    Returns the rows with ``cluster_id`` under the first best k, and the scores.
+    Returns the rows with ``cluster_id`` under the first best k, and the scores; null and zero vectors are left out.
     """
     from pyspark.ml.clustering import BisectingKMeans
     from pyspark.ml.evaluation import ClusteringEvaluator
     from pyspark.ml.functions import array_to_vector
 
-    rows = vectors.filter(F.col(vec).isNotNull()).withColumn("features", array_to_vector(unit(F.col(vec)))).filter("features IS NOT NULL")
+    rows = vectors.withColumn("features", unit(F.col(vec))).filter("features IS NOT NULL").withColumn("features", array_to_vector("features"))
+    rows = stash(rows)  # every step of every fit reads it
     scores, top = [], None
     for k in ks:
         labelled = BisectingKMeans(k=k, seed=seed, predictionCol="cluster_id").fit(rows).transform(rows)

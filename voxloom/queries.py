@@ -264,7 +264,8 @@ def queries() -> dict[str, Query]:
         "top_n_refine": top_n_refine,
         "top_per_cluster": top_per_cluster,
         "similarity_histogram": lambda s, d: A.histogram(scored(s, d), "similarity", 80),
-        "kmeans_scores": lambda s, d: V.kmeans(embeddings(s, d), "embedding", [10, 15, 20])[1],
+        "kmeans_scores": lambda s, d: V.kmeans(embeddings(s, d), "embedding")[1],
+        "kmeans_labels": lambda s, d: V.kmeans(embeddings(s, d), "embedding")[0].select("vec_id", "cluster_id"),
         "projection": lambda s, d: V.projected(embeddings(s, d), "embedding").select("vec_id", F.round("x", 6).alias("x"), F.round("y", 6).alias("y")),
         "duration_histogram": lambda s, d: A.histogram(clips(s, d), "duration", 50),
         "split_rows": lambda s, d: A.split(documents(s, d).select("doc_id"), "doc_id").select("doc_id", "pos", "part"),
