@@ -129,3 +129,11 @@ def test_silhouette_search_reaches_thirty(spark, sf):
     labels = core.queries()["kmeans_labels"](spark, sf)
     assert sorted(got) == [10, 15, 20, 25, 30] and labels.columns == ["vec_id", "cluster_id"]
     assert labels.select("cluster_id").distinct().count() == max(sorted(got), key=got.get)
+
+
+def test_refinement_keeps_the_whole_cluster(spark):
+    from voxloom import queries as core
+
+    out = core.queries()["top_n_refine_5000"](spark, "/root/testdata/sf0.1").collect()
+    assert len(out) == core.queries()["largest_clusters"](spark, "/root/testdata/sf0.1").first()["size"] == 218
+    assert len({r["label"] for r in out}) == 1 and len({r["vec_id"] for r in out}) == 218

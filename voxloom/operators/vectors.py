@@ -14,6 +14,8 @@ from voxloom.operators.running import position
 from voxloom.plans.stash import stash
 
 MIN_CLUSTER = 500
+#: Members of the largest cluster that a refinement keeps, or all if there are fewer.
+REFINED = 5000
 #: Numbers of clusters that the silhouette search tries.
 SEARCHED = (10, 15, 20, 25, 30)
 

@@ -144,6 +144,7 @@ SELECT doc_id, unnest(range(len(ss))) AS pos, unnest(ss) AS sentence FROM b""",
         "largest_clusters": "SELECT label, count(*) AS size, round(count(*) * 100.0 / sum(count(*)) OVER (), 1) AS percentage FROM embeddings GROUP BY label ORDER BY size DESC, label LIMIT 5",
         **{name: f"WITH {_SCORED} SELECT label, size, mean_similarity, std_similarity, percentage FROM st ORDER BY size >= {least} DESC, CASE WHEN size >= {least} THEN -mean_similarity END, size DESC, label LIMIT 1" for name, least in (("best_cluster", 500), ("best_cluster_of_50", 50))},
         "top_n_refine": f"WITH {_SCORED} SELECT vec_id, label, round(similarity, 6) AS similarity FROM sc WHERE label = (SELECT label FROM embeddings GROUP BY label ORDER BY count(*) DESC, label LIMIT 1) ORDER BY sc.similarity DESC, vec_id LIMIT 100",
+        "top_n_refine_5000": f"WITH {_SCORED} SELECT vec_id, label, round(similarity, 6) AS similarity FROM sc WHERE label = (SELECT label FROM embeddings GROUP BY label ORDER BY count(*) DESC, label LIMIT 1) ORDER BY sc.similarity DESC, vec_id LIMIT 5000",
         "top_per_cluster": f"WITH {_SCORED} SELECT label, row_number() OVER (PARTITION BY label ORDER BY sc.similarity DESC, vec_id) AS rank, vec_id, round(similarity, 6) AS similarity FROM sc QUALIFY rank <= 5",
         "similarity_histogram": f"WITH {_SCORED}, " + _histogram("sc", "similarity", 80),
         "duration_histogram": "WITH " + _histogram("prepare_dataset", "duration", 50),

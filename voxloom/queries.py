@@ -74,10 +74,10 @@ def _stats(s, d):
     return V.cluster_stats(scored(s, d), "label")
 
 
-def top_n_refine(s, d):
+def top_n_refine(s, d, n: int = 100):
     e = scored(s, d)
     top = V.largest(e.groupBy("label").agg(F.count(F.lit(1)).alias("size")), "label").select("label")
-    return V.top_n(e.join(top, "label", "left_semi"), 100, "vec_id").select("vec_id", "label", F.round("similarity", 6).alias("similarity"))
+    return V.top_n(e.join(top, "label", "left_semi"), n, "vec_id").select("vec_id", "label", F.round("similarity", 6).alias("similarity"))
 
 
 def top_per_cluster(s, d):
@@ -262,6 +262,7 @@ def queries() -> dict[str, Query]:
         "best_cluster": lambda s, d: V.best(_stats(s, d), "label"),
         "best_cluster_of_50": lambda s, d: V.best(_stats(s, d), "label", 50),
         "top_n_refine": top_n_refine,
+        "top_n_refine_5000": lambda s, d: top_n_refine(s, d, V.REFINED),
         "top_per_cluster": top_per_cluster,
         "similarity_histogram": lambda s, d: A.histogram(scored(s, d), "similarity", 80),
         "kmeans_scores": lambda s, d: V.kmeans(embeddings(s, d), "embedding")[1],
