@@ -1,5 +1,6 @@
 """Source mixture: shares, caps and order."""
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from voxloom.llm.mixture import Mixture
@@ -33,3 +34,14 @@ def test_edges(spark):
     assert Mixture(spark, df, weights).rows().count() == 0
     assert Mixture(spark, df, weights).report().first()["tokens"] == 0
     assert Mixture(spark, df, weights.limit(0)).report().count() == 0
+
+
+def test_slots_are_counted_at_every_size(spark):
+    weights = spark.createDataFrame([("a", 0.99, 1), ("b", 0.01, 1)], "source string, target_share double, max_repeat int")
+    df = spark.createDataFrame([(1, "x", "a"), (2, "y", "b")], "doc_id long, text string, source string")
+    m = Mixture(spark, df, weights)
+    for n, blocks in ((2_500_000, [2_480_000, 25_000]), (2_500_000, [2_475_000, 26_000]), (2_000, [1_990, 20])):
+        points = (np.arange(2 * n) + 0.5) * ((5**0.5 - 1) / 2) % 1
+        b = points >= m.share["a"]
+        want = min(int(np.flatnonzero(~b)[blocks[0]]), int(np.flatnonzero(b)[blocks[1]]))
+        assert m._affordable(n, blocks) == want

@@ -23,8 +23,6 @@ from voxloom.plans.stash import stash
 
 #: Tokens of a slot.
 SLOT_TOKENS = 4096
-#: Slots up to which the schedule is counted exactly beforehand.
-EXACT = 2_000_000
 _GOLDEN = (math.sqrt(5) - 1) / 2
 _CHUNK = 1 << 16
 
@@ -68,23 +66,29 @@ class Mixture:
     def _affordable(self, n: int, blocks: list[int]) -> int:
         """The largest number of slots, about ``n``, whose schedule needs no more blocks of any source than there are.
 
-        Up to ``EXACT`` slots are counted; beyond that, a margin of 3 + 2 log2(n)
-        blocks, which golden-ratio points don't exceed in any interval, is negligible.
+        Slots are counted per source and chunk by the executors; at most one chunk of a source, the one in which its
+        blocks run out, is looked through here. If none runs out, twice as many slots are counted.
         """
         if not blocks:
             return 0
-        shares = [self.share[s] for s in sorted(self.share)]
-        if n > EXACT:
-            slack = 3 + 2 * math.ceil(math.log2(n + 2))
-            return max(0, int(min((b - slack) / s for b, s in zip(blocks, shares))))
-        points = (np.arange(n + 64) + 0.5) * _GOLDEN % 1
-        source = np.minimum(np.searchsorted(self._ends(), points, side="right"), len(shares) - 1)
-        most = n + 64
-        for k, b in enumerate(blocks):
-            at = np.flatnonzero(source == k)
-            if len(at) > b:
-                most = min(most, int(at[b]))
-        return most
+        names = sorted(self.share)
+        have = self.spark.createDataFrame(list(zip(names, blocks)), "source string, have long")
+        upto = Window.partitionBy("source").orderBy("chunk").rowsBetween(Window.unboundedPreceding, 0)
+        most = n + _CHUNK
+        while True:
+            counts = self._slots(most).groupBy("source", "chunk").agg(F.count(F.lit(1)).alias("n"))
+            running = counts.withColumn("upto", F.sum("n").over(upto)).join(F.broadcast(have), "source")  # one row per listed source
+            over = running.filter("upto > have").groupBy("source").agg(F.min(F.struct("chunk", (F.col("have") - F.col("upto") + F.col("n")).alias("left"))).alias("first"))
+            ends = [self._nth(names.index(r["source"]), r["first"]["chunk"], r["first"]["left"]) for r in over.collect()]
+            if ends:
+                return min(ends)
+            most *= 2
+
+    def _nth(self, k: int, chunk: int, left: int) -> int:
+        """The slot of the k-th source that follows ``left`` others of it in a chunk."""
+        slots = np.arange(chunk * _CHUNK, (chunk + 1) * _CHUNK)
+        source = np.minimum(np.searchsorted(self._ends(), (slots + 0.5) * _GOLDEN % 1, side="right"), len(self.share) - 1)
+        return int(slots[source == k][left])
 
     def _source_at(self, point: Column) -> Column:
         names = sorted(self.share)
@@ -93,13 +97,16 @@ class Mixture:
             pick = F.when(point < end, F.lit(s)).otherwise(pick)
         return pick
 
+    def _slots(self, n: int) -> DataFrame:
+        """The first ``n`` slots: ``slot``, ``source``, ``chunk``."""
+        i = F.col("id")
+        return self.spark.range(n).select(i.alias("slot"), self._source_at((i + 0.5) * _GOLDEN % 1).alias("source"), (i / _CHUNK).cast("long").alias("chunk"))
+
     def schedule(self) -> DataFrame:
         """Every slot: ``slot``, ``source``, ``block`` (rank among the source's slots)."""
         if not self.slots:
             return self.spark.createDataFrame([], "slot long, source string, block long")
-        i = F.col("id")
-        point = (i + 0.5) * _GOLDEN % 1
-        rows = self.spark.range(self.slots).select(i.alias("slot"), self._source_at(point).alias("source"), (i / _CHUNK).cast("long").alias("chunk"))
+        rows = self._slots(self.slots)
         before = Window.partitionBy("source").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
         counts = rows.groupBy("source", "chunk").agg(F.count(F.lit(1)).alias("n"))
         offsets = counts.select("source", "chunk", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
