@@ -59,3 +59,18 @@ def test_spectra_of_any_length():
 def test_empty(spark):
     v = voices.Voices(table(spark, clips()).limit(0))
     assert v.found().count() == 0 and v.described().count() == 0
+
+
+def test_radius_of_nearly_equal_clips():
+    rng = np.random.default_rng(5)
+    for _ in range(20):
+        a = np.abs(rng.normal(0, 1, 123))
+        b = a + rng.normal(0, 3e-4, 123) * a.mean()
+        m = np.stack([x / np.linalg.norm(x) for x in (a, b)]).astype(np.float32)
+        cell = voices._cells(voices.pd.DataFrame({"id": [1, 2], "w": [1, 1], "vec": [x.tobytes() for x in m]})).iloc[0]
+        u = m.astype(np.longdouble)
+        u /= np.sqrt((u * u).sum(axis=1, keepdims=True))
+        c = np.frombuffer(cell["vec"], np.float32).astype(np.longdouble)
+        c /= np.sqrt((c * c).sum())
+        true = 2 * np.arcsin(np.sqrt(((u - c) ** 2).sum(axis=1)) / 2)
+        assert abs(cell["radius"] - float(true.max())) < 1e-9

@@ -110,6 +110,13 @@ def gather(m: np.ndarray, least: float = LEAD) -> np.ndarray:
     return lead
 
 
+def _angles(m: np.ndarray, center: np.ndarray) -> np.ndarray:
+    """Angles of the rows to a direction, in float64 by the chord: a cosine in float32 can't tell angles below some 5e-4 from 0."""
+    u, c = m.astype(np.float64), center.astype(np.float64)
+    chord = np.linalg.norm(u / np.linalg.norm(u, axis=1, keepdims=True) - c / np.linalg.norm(c), axis=1)
+    return 2 * np.arcsin(np.minimum(1.0, chord / 2))
+
+
 def _cells(pdf: pd.DataFrame) -> pd.DataFrame:
     """One block into leader cells: one row per cell, members packed."""
     pdf = pdf.sort_values("id", ignore_index=True)
@@ -120,7 +127,7 @@ def _cells(pdf: pd.DataFrame) -> pd.DataFrame:
         at = part.to_numpy()
         center = m[at].mean(axis=0)
         center = (center / np.linalg.norm(center)).astype(np.float32)
-        angle = np.arccos(np.clip(m[at] @ center, -1, 1)).max()
+        angle = _angles(m[at], center).max()
         rows.append((int(pdf["id"][k]), center.tobytes(), float(angle) if len(at) > 1 else 0.0, pdf["id"].to_numpy()[at].tobytes(), pdf["w"].to_numpy()[at].tobytes(), m[at].tobytes()))
     return pd.DataFrame(rows, columns=["leader", "vec", "radius", "ids", "ws", "mat"])
 
