@@ -57,3 +57,14 @@ def test_quarantine(spark, tmp_path):
     files.quarantine(rows, rows.filter("i = 1"), "audio_file", str(tmp_path))
     assert spark.read.parquet(str(tmp_path / "rejected")).first()["i"] == 1
     assert spark.read.parquet(str(tmp_path / "kept")).first()["i"] == 2
+
+
+def test_wav_duration_behind_long_chunks(spark, tmp_path):
+    df = spark.createDataFrame([("clip.wav", [0.0, 0.5, -0.5, 1.0], 8000)], "file string, samples array<double>, rate int")
+    files.write_wav(df, str(tmp_path))
+    raw = (tmp_path / "clip.wav").read_bytes()
+    at = raw.index(b"data")
+    body = raw[8:at] + b"LIST" + (6000).to_bytes(4, "little") + b"\0" * 6000 + raw[at:]
+    (tmp_path / "clip.wav").write_bytes(b"RIFF" + len(body).to_bytes(4, "little") + body)
+    assert files.wav_durations(spark, str(tmp_path)).first()["duration"] == 4 / 8000
+    assert len(files.read_wav(spark, str(tmp_path)).first()["samples"]) == 4

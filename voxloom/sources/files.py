@@ -132,12 +132,12 @@ def read_wav(spark: SparkSession, path: str) -> DataFrame:
 
 
 def wav_durations(spark: SparkSession, path: str) -> DataFrame:
-    """Seconds of every WAV file from its header: ``path``, ``duration``."""
+    """Seconds of every WAV file from its header, whatever chunks precede the data: ``path``, ``duration``."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             seconds = []
-            for raw in pdf["head"]:
+            for raw in pdf["content"]:
                 try:
                     with wave.open(io.BytesIO(raw)) as w:
                         seconds.append(w.getnframes() / w.getframerate())
@@ -146,7 +146,7 @@ def wav_durations(spark: SparkSession, path: str) -> DataFrame:
             yield pd.DataFrame({"path": pdf["path"], "duration": seconds})
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.wav").option("recursiveFileLookup", "true").load(path)
-    return files.select("path", F.substring("content", 1, 4096).alias("head")).mapInPandas(run, "path string, duration double")
+    return files.select("path", "content").mapInPandas(run, "path string, duration double")
 
 
 def write_wav(rows: DataFrame, folder: str, width: int = 2) -> None:
