@@ -1,29 +1,30 @@
 """Same or near-same records across splits (problem 5).
 
-The eval and test records are cut into shards, each with a compressed full-text
-index (``fmindex``); the training records stream through backward search and the
-maximal matches are merged per pair of texts.
-
-What is indexed is chosen so that no pair can be missed and few others match. A
-text is its set of distinct words, sorted by one global order, rare words first.
-Two sets with a Jaccard index of at least 0.7 share at least ceil(0.7 n) of the n
-words of either, so at least two words lie in the first n - ceil(0.7 n) + 2 of
-both: every two words of this prefix, in order, are a phrase. For sets of many
-words the phrases are the neighbours among the first floor(0.6 n) + 2 words: of
-the gaps between the first e + 2 shared words, where e counts the words that only
-one set has, one must be free of such words in both. A clip name is a phrase of
-its two numbers, and a whole set is a phrase too, so exact overlaps are found in
-the same index. Shards are ranges of phrase hashes; a matching pair is checked
-exactly in the end.
-
-Identical sets are one class, however many records have them; links are sought
-between classes and expanded to records only in the listing of pairs.
+The normalized texts of the eval and test records are cut into shards, each with a
+compressed full-text index (``fmindex``) over their words in text order; clip names
+are texts of two symbols. The training texts stream through backward search: every
+match is extended until it breaks on both sides, the maximal matches are located,
+merged per pair of texts and counted, and the pairs are checked exactly in the end.
+
+A match of frequent words only says nothing, so a maximal match has to hold an
+anchor. Let the distinct words of a text be ordered rare first by one global order.
+Two texts of n and m words whose common words are at least 0.7 of all share at
+least ceil(0.7 n) of the n, so the first common word in that order is among the
+first n - ceil(0.7 n) + 1 of either: these are the anchors. It follows that every
+such pair has a maximal match through an anchor of both, however its words are
+arranged, and that no pair is lost. A text goes to the shards that its anchors are
+hashed to, and stands there whole (longer ones in blocks of ``TEXT_BLOCK`` words,
+with the anchors of each block), so the data sent grow with the texts and not with
+the number of shards. In a shard nothing but the index tells what matches.
+
+Texts of the same distinct words are one class, however many records have them;
+links are sought between classes and expanded to records only in the listing of
+pairs.
 """
 
 from __future__ import annotations
 
 import hashlib
-import math
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -33,22 +34,27 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voxloom.llm import fold, looks
-from voxloom.llm.fmindex import PhraseIndex
+from voxloom.llm.fmindex import TextIndex
 from voxloom.llm.splits import nth_number
+from voxloom.plans.blocks import dealt, hot_keys, meet, repeated
 from voxloom.plans.stash import stash
 
-#: Least Jaccard index of near-same texts, in tenths.
+#: Least share of common words of near-same texts, in tenths.
 TENTHS = 7
-#: Sets of more words than this use neighbour phrases.
-SHORT = 24
-#: Buckets of the word and phrase counts that every task gets: a fixed size, whatever the input.
-SKETCH = 1 << 16
-#: Phrases of one bucket beyond this number are dealt to a grid of shards.
-HOT = 200_000
-#: Eval phrases per shard, about.
-SHARD = 400_000
-
-_PHRASES = "side int, kind int, a long, b long, cid long, n int, i int, j int, salt int"
+#: The order of words knows the counts of the words that make up more than this part of all, and of no others; so there are fewer than KNOWN.
+KNOWN = 1 << 20
+#: An anchor in more texts than this (and in more than 1/MOST of all) is dealt to a grid of shards.
+HOT = 20_000
+MOST = 1 << 16
+#: Words of a text that go to a shard at a time.
+TEXT_BLOCK = 64
+#: Words per shard, about: indexed ones, and streamed ones.
+INDEXED, STREAMED = 1 << 21, 1 << 25
+#: Located matches handled at a time.
+AT_ONCE = 1_000_000
+
+_TEXTS = "shard int, side int, kind int, cid long, n int, at int, sig_a long, sig_b long, words binary, anchors binary"
+_MATCHES = "kind int, t long, e long, at_t int, at_e int, size int"
 
 
 @lru_cache(maxsize=1 << 18)
@@ -65,8 +71,8 @@ def _word_lists(parts: list[str]) -> list[list[str]]:
     return [x.split() for x in codes.tobytes().decode("utf-32-le", "surrogatepass").split("\0")]
 
 
-def distinct_words(texts: list[str]) -> list[list[int]]:
-    """Hashes of the distinct words of normalized texts, without their field blocks (with it, if it is all there is)."""
+def text_words(texts: list[str]) -> list[list[int]]:
+    """Hashes of the words of normalized texts in order, without their field blocks (with it, if it is all there is)."""
     if not texts:
         return []
     texts = [t.replace("\0", " ") for t in texts]
@@ -75,157 +81,231 @@ def distinct_words(texts: list[str]) -> list[list[int]]:
     for k, w in enumerate(found):
         if not w and texts[k]:
             found[k] = _word_lists([texts[k]])[0]
-    return [sorted({_word_hash(x) for x in w}) for w in found]
+    return [[_word_hash(x) for x in w] for w in found]
 
 
-def _sets(reps: dict[str, str]):
+def _words(reps: dict[str, str]):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         one = looks.rewriter(reps)
         for pdf in batches:
             full = [t if t is not None and any(map(str.isalnum, t)) else "" for t in pdf["text"]]
-            words = distinct_words(one.many(full))
-            key = [hashlib.blake2b(np.array(w, np.int64).tobytes(), digest_size=16).digest() if w else None for w in words]
+            words = text_words(one.many(full))
+            key = [hashlib.blake2b(np.unique(np.array(w, np.int64)).tobytes(), digest_size=16).digest() if w else None for w in words]
             yield pdf.drop(columns="text").assign(words=words, key=key)
 
     return run
 
 
-def _bucket(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    z = a.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ b.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
-    return ((z ^ (z >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(48)).astype(np.int64)
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """A bijection of 64-bit numbers that scatters them."""
+    z = x.astype(np.uint64)
+    z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return z ^ (z >> np.uint64(31))
+
+
+def clip_symbols(ep: np.ndarray, clip: np.ndarray) -> np.ndarray:
+    """Clip names as texts of two symbols, flat: one that stands for the whole name, and the clip number. Two names are the same if both are."""
+    clip = clip.astype(np.uint64)
+    name = _mixed(ep.astype(np.uint64) + _mixed(clip))
+    return np.column_stack([name.view(np.int64), clip.view(np.int64)]).reshape(-1)
+
+
+class Numbers:
+    """Numbers of chosen words (sorted ``words``), ``default`` for all others."""
+
+    def __init__(self, words: np.ndarray, values: np.ndarray, default: int):
+        by = np.argsort(words)
+        self.words, self.values, self.default = words[by], values[by], default
+
+    def __call__(self, words: np.ndarray) -> np.ndarray:
+        if not len(self.words):
+            return np.full(len(words), self.default, np.int64)
+        at = np.minimum(np.searchsorted(self.words, words), len(self.words) - 1)
+        return np.where(self.words[at] == words, self.values[at], self.default)
+
+
+def text_anchors(flat: np.ndarray, sizes: np.ndarray, counts: Numbers) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of texts given end to end: their numbers of distinct words, the places and texts of their anchors, and signatures of 128 bits (n, 2)."""
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    by = np.lexsort((flat, row))  # stable: the first place of a word comes first
+    new = np.ones(len(by), bool)
+    new[1:] = (flat[by][1:] != flat[by][:-1]) | (row[by][1:] != row[by][:-1])
+    at = by[new]
+    at = at[np.lexsort((flat[at], counts(flat[at]), row[at]))]
+    row = row[at]
+    n = np.bincount(row, minlength=len(sizes))
+    start = np.cumsum(n) - n
+    signature = np.zeros((len(sizes), 2), np.uint64)
+    if len(at):
+        z = _mixed(flat[at])
+        bit = np.uint64(1) << (z & np.uint64(63))
+        for k in (0, 1):
+            signature[n > 0, k] = np.bitwise_or.reduceat(np.where((z >> np.uint64(6)) & np.uint64(1) == k, bit, np.uint64(0)), start[n > 0])
+    take = np.arange(len(at)) - start[row] < (n + 1 + (-TENTHS * n) // 10)[row]
+    return n, at[take], row[take], signature
+
+
+def enough(n: np.ndarray, m: np.ndarray, common: np.ndarray) -> np.ndarray:
+    """Whether ``common`` of n and of m words are at least the least share of all of them."""
+    return (10 + TENTHS) * common >= TENTHS * (n + m)
+
+
+def possible(n: np.ndarray, sig: np.ndarray, m: np.ndarray, sig_m: np.ndarray) -> np.ndarray:
+    """Whether sizes and signatures allow the least share: a bit that only one text has is a word that only it has."""
+    only, only_m = (np.bitwise_count(x & ~y).sum(axis=1).astype(np.int64) for x, y in ((sig, sig_m), (sig_m, sig)))
+    return enough(n, m, np.minimum(n - only, m - only_m))
+
+
+def _sent(counts: Numbers, hot: Numbers, shards: int):
+    """Texts on their way to the shards: rows of ``_TEXTS``."""
+
+    def sides(pdf: pd.DataFrame, kind: int, flat: np.ndarray, sizes: np.ndarray) -> Iterator[pd.DataFrame]:
+        n, at, row, signature = text_anchors(flat, sizes, counts)
+        starts = np.cumsum(sizes) - sizes
+        cid, raw = pdf["cid"].to_numpy(np.int64), flat.tobytes()
+        for side, has in ((1, "has_eval"), (0, "has_train")):
+            use = pdf[has].to_numpy(bool)[row]
+            a, r = at[use], row[use]
+            k = hot(flat[a])
+            again = np.repeat(np.arange(len(a)), k)  # an anchor of k blocks goes to k cells of its grid
+            other = np.arange(len(again)) - np.repeat(np.cumsum(k) - k, k)
+            a, r, k = a[again], r[again], k[again]
+            cell = grid_cell(cid[r], other, k, side)
+            shard = shard_of(flat[a], cell, shards)
+            block = (a - starts[r]) // TEXT_BLOCK
+            by = np.lexsort((a, shard, block, r))
+            a, r, block, shard = a[by], r[by], block[by], shard[by]
+            new = np.ones(len(a), bool)
+            new[1:] = (r[1:] != r[:-1]) | (block[1:] != block[:-1]) | (shard[1:] != shard[:-1])
+            first = np.flatnonzero(new)
+            r, lo = r[first], starts[r[first]] + block[first] * TEXT_BLOCK
+            hi = np.minimum(lo + TEXT_BLOCK, starts[r] + sizes[r])
+            inside = (a - np.repeat(lo, np.diff(np.append(first, len(a))))).astype(np.uint8).tobytes()
+            ends = np.append(first[1:], len(a))
+            yield pd.DataFrame({
+                "shard": shard[first], "side": side, "kind": kind, "cid": cid[r], "n": n[r], "at": lo - starts[r], "sig_a": signature[r, 0].view(np.int64), "sig_b": signature[r, 1].view(np.int64),
+                "words": [raw[8 * x : 8 * y] for x, y in zip(lo.tolist(), hi.tolist())], "anchors": [inside[x:y] for x, y in zip(first.tolist(), ends.tolist())],
+            })
+
+    def texts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            if len(pdf):
+                yield from sides(pdf, 0, *_flat(pdf["words"]))
 
+    def clips(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            if len(pdf):
+                flat = clip_symbols(pdf["ep"].to_numpy(np.int64), pdf["clip"].to_numpy(np.int64))
+                yield from sides(pdf, 1, flat, np.full(len(pdf), 2))
 
-def _word_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    total = np.zeros(SKETCH, np.int64)
-    for pdf in batches:
-        if len(pdf):
-            total += np.bincount(np.concatenate(pdf["words"].to_numpy()).astype(np.int64) & (SKETCH - 1), minlength=SKETCH)
-    used = np.flatnonzero(total)
-    yield pd.DataFrame({"bucket": used, "n": total[used]})
+    return texts, clips
 
 
-def _sketch(rows: DataFrame, counter) -> np.ndarray:
-    """Bucket totals over all rows: SKETCH numbers at most, summed in Spark."""
-    out = np.zeros(SKETCH, np.int64)
-    for r in rows.mapInPandas(counter, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect():
-        out[r["bucket"]] = r["n"]
-    return out
+def _flat(words: pd.Series) -> tuple[np.ndarray, np.ndarray]:
+    return np.concatenate(words.to_numpy()).astype(np.int64), words.map(len).to_numpy(np.int64)
 
 
-def set_phrases(words: np.ndarray, rank: np.ndarray) -> list[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """Phrases of many sets of the same size n (one a row): (kind, a, b, i, j) arrays, one row a set."""
-    n = words.shape[1]
-    if n < 3:
-        return []
-    order = np.lexsort((words, rank[words & (SKETCH - 1)]), axis=1)
-    w = np.take_along_axis(words, order, axis=1)
-    need = -(-TENTHS * n // 10)
-    out = []
-    if n <= SHORT:
-        i, j = np.triu_indices(min(n, n - need + 2), 1)
-        out.append((1, w[:, i], w[:, j], i, j))
-    if n >= math.ceil(TENTHS / 10 * (SHORT + 1)):
-        i = np.arange(min(n, 6 * n // 10 + 2) - 1)
-        out.append((2, w[:, i], w[:, i + 1], i, i + 1))
-    return out
-
-
-def _emit(rank: np.ndarray, grid: np.ndarray | None):
-    """Phrases of classes; with ``grid`` (shards per bucket), each with its salt."""
-
-    def phrases(pdf: pd.DataFrame) -> Iterator[pd.DataFrame]:
-        size = pdf["words"].map(len)
-        for n, part in pdf.groupby(size):
-            words = np.stack(part["words"].to_numpy()).astype(np.int64) if n else np.zeros((len(part), 0), np.int64)
-            cid = part["cid"].to_numpy()
-            whole = np.frombuffer(b"".join(part["key"]), np.int64).reshape(-1, 2) if "key" in part else None
-            found = set_phrases(words, rank)
-            if whole is not None:
-                found.append((0, whole[:, :1], whole[:, 1:], np.zeros(1, np.int64), np.zeros(1, np.int64)))
-            for kind, a, b, i, j in found:
-                k = a.shape[1]
-                flat = pd.DataFrame({"kind": kind, "a": a.reshape(-1) ^ (kind * 0x2545F4914F6C), "b": b.reshape(-1), "cid": np.repeat(cid, k), "n": n, "i": np.tile(i, len(cid)), "j": np.tile(j, len(cid))})
-                for side, has in ((1, "has_eval"), (0, "has_train")):
-                    mask = np.repeat(part[has].to_numpy(bool), k)
-                    if mask.any():
-                        yield flat[mask].assign(side=side)
-
-    def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros(SKETCH, np.int64)
-        for pdf in batches:
-            for f in phrases(pdf):
-                total += np.bincount(_bucket(f["a"].to_numpy(), f["b"].to_numpy()), minlength=SKETCH)
-        used = np.flatnonzero(total)
-        yield pd.DataFrame({"bucket": used, "n": total[used]})
+def grid_cell(cid: np.ndarray, other: np.ndarray, k: np.ndarray, side: int) -> np.ndarray:
+    """The cell of a text in the k * k grid of a hot anchor: its own block on its side's axis, every one on the other's."""
+    own = (_mixed(cid) % k.astype(np.uint64)).astype(np.int64)
+    return own * k + other if side else other * k + own
+
+
+def shard_of(words: np.ndarray, cell: np.ndarray, shards: int) -> np.ndarray:
+    return (_mixed(_mixed(words) + cell.astype(np.uint64)) % np.uint64(shards)).astype(np.int32)
+
+
+def _heavy_anchors(counts: Numbers, heavy: np.ndarray):
+    """Of every batch, how many texts have each of the ``heavy`` words as an anchor."""
 
-    def salted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [x.split()[0] for x in _PHRASES.split(", ")]
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for f in phrases(pdf):
-                yield from _salted(f, grid)
-        return names
+            if len(pdf):
+                flat, sizes = _flat(pdf["words"])
+                w = flat[text_anchors(flat, sizes, counts)[1]]
+                w, n = np.unique(w[np.isin(w, heavy)], return_counts=True)
+                yield pd.DataFrame({"word": w, "n": n})
 
-    return counted if grid is None else salted
+    return run
 
 
-def _salted(f: pd.DataFrame, grid: np.ndarray) -> Iterator[pd.DataFrame]:
-    names = [x.split()[0] for x in _PHRASES.split(", ")]
-    k = grid[_bucket(f["a"].to_numpy(), f["b"].to_numpy())]
-    plain = k == 1
-    if plain.any():
-        yield f[plain].assign(salt=0)[names]
-    if not plain.all():
-        hot, k = f[~plain], k[~plain]
-        own = (hot["cid"].to_numpy() * 0x9E3779B1 >> 7) % k
-        for other in range(int(k.max())):
-            use = other < k
-            salt = np.where(hot["side"] == 1, own * k + other, other * k + own)
-            yield hot[use].assign(salt=salt[use])[names]
+class Shard:
+    """The indexed texts of a shard."""
+
+    def __init__(self, texts: pd.DataFrame):
+        flat, sizes, anchors = _texts(texts)
+        self.index = TextIndex(flat, sizes, anchors)
+        self.kind, self.cid, self.n, self.at = (texts[c].to_numpy(np.int64) for c in ("kind", "cid", "n", "at"))
+        self.signature = _signatures(texts)
+
+    def matches(self, texts: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        """The maximal matches of texts that may be near, through an anchor of both."""
+        flat, sizes, anchors = _texts(texts)
+        starts = np.cumsum(sizes) - sizes
+        row = np.repeat(np.arange(len(sizes)), sizes)
+        kind, cid, n, at = (texts[c].to_numpy(np.int64) for c in ("kind", "cid", "n", "at"))
+        signature = _signatures(texts)
+        ids = self.index.ids(flat)
+        lo, hi = self.index.anchored(ids[anchors])
+        size = np.cumsum(hi - lo)
+        begin = 0
+        while begin < len(anchors):
+            base = size[begin - 1] if begin else 0
+            end = max(begin + 1, int(np.searchsorted(size, base + AT_ONCE, side="right")))
+            many = (hi - lo)[begin:end]
+            place = np.repeat(anchors[begin:end], many)
+            sample = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many - lo[begin:end], many)
+            begin = end
+            e, offset = self.index.located(sample)
+            t = row[place]
+            ok = kind[t] == self.kind[e]
+            ok &= enough(n[t], self.n[e], np.minimum(n[t], self.n[e]))
+            t, e, place, offset, sample = (x[ok] for x in (t, e, place, offset, sample))
+            ok = possible(n[t], signature[t], self.n[e], self.signature[e])
+            t, e, place, offset, sample = (x[ok] for x in (t, e, place, offset, sample))
+            left, right = self.index.extended(sample, ids, place, starts[t], starts[t] + sizes[t])
+            yield pd.DataFrame({
+                "kind": kind[t], "t": cid[t], "e": self.cid[e], "at_t": at[t] + place - starts[t] - left, "at_e": self.at[e] + offset - left, "size": left + right + 1
+            }).drop_duplicates()
+
+
+def _texts(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Words end to end, sizes, and places of the anchors."""
+    sizes = pdf["words"].map(len).to_numpy(np.int64) // 8
+    many = pdf["anchors"].map(len).to_numpy(np.int64)
+    inside = np.frombuffer(b"".join(pdf["anchors"]), np.uint8).astype(np.int64)
+    return np.frombuffer(b"".join(pdf["words"]), np.int64), sizes, inside + np.repeat(np.cumsum(sizes) - sizes, many)
+
+
+def _signatures(pdf: pd.DataFrame) -> np.ndarray:
+    return pdf[["sig_a", "sig_b"]].to_numpy(np.int64).view(np.uint64)
 
 
 def _matched(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """One shard: its eval phrases come first and are indexed, then training phrases stream through."""
+    """One shard: its eval texts come first and are indexed, then the training texts stream through."""
     held: list[pd.DataFrame] = []
-    index, shard = None, None
+    shard: Shard | None = None
     for pdf in batches:
         held.append(pdf[pdf["side"] == 1])
         train = pdf[pdf["side"] == 0]
         if not len(train):
             continue
-        if index is None:
-            shard = pd.concat(held, ignore_index=True)
+        if shard is None:
+            shard = Shard(pd.concat(held, ignore_index=True))
             held = []
-            index = PhraseIndex(shard[["a", "b", "salt"]].to_numpy(np.int64))
-        if not len(shard):
+        if not len(shard.cid):
             return
-        lo, hi = index.search(train[["a", "b", "salt"]].to_numpy(np.int64))
-        # matches of a block of queries at a time, so that a hot phrase doesn't fill the memory
-        size = np.cumsum(hi - lo)
-        at = 0
-        while at < len(train):
-            base = size[at - 1] if at else 0
-            end = max(at + 1, int(np.searchsorted(size, base + 2_000_000, side="right")))
-            q, p = index.locate(lo[at:end], hi[at:end])
-            t, e = train.iloc[at:end].iloc[q], shard.iloc[p]
-            ok = possible(*(x[c].to_numpy() for x in (t, e) for c in ("kind", "n", "i", "j")))
-            yield pd.DataFrame({"kind": t["kind"].to_numpy()[ok], "t": t["cid"].to_numpy()[ok], "e": e["cid"].to_numpy()[ok]}).groupby(["kind", "t", "e"], as_index=False).size().rename(columns={"size": "spans"})
-            at = end
-
-
-def possible(kind, n, i, j, kind_e, n_e, i_e, j_e) -> np.ndarray:
-    """Whether sizes and places of a shared phrase still allow the least Jaccard index."""
-    need = -(-TENTHS * (n + n_e) // (10 + TENTHS))
-    most = np.minimum(i, i_e) + 2 + np.minimum(j - i, j_e - i_e) - 1 + np.minimum(n - j, n_e - j_e) - 1
-    same = np.isin(kind, (0, 3))
-    return (kind == kind_e) & (same | ((np.minimum(n, n_e) * 10 >= TENTHS * np.maximum(n, n_e)) & (most >= need)))
+        yield from shard.matches(train.reset_index(drop=True))
 
 
 class Overlaps:
-    """Cross-split overlaps of records with ``row_id``, ``text``, ``audio_file`` and ``split`` (and more).
+    """Cross-split overlaps of records with ``row_id``, ``text``, ``audio_file``, ``split`` and ``dataset_source`` (and more).
 
     Records with a null ``row_id``, or a split other than train, eval and test,
     take no part. A null text, or one without any letter or digit, overlaps no
-    text; a clip name without two numbers overlaps no clip. Any table may be empty.
+    text; a clip name without two numbers overlaps no clip. Any table may be
+    empty, texts may be of any length.
     """
 
     def __init__(self, records: DataFrame):
@@ -235,69 +315,109 @@ class Overlaps:
         numbers = [nth_number(F.col("audio_file"), k).alias(n) for k, n in enumerate(("ep", "clip"))]
         base = rows.select("row_id", "split", "dataset_source", "text", *numbers)
         schema = "row_id long, split string, dataset_source string, ep long, clip long, words array<long>, key binary"
-        self.rows = stash(base.mapInPandas(_sets(reps), schema))
+        self.rows = stash(base.mapInPandas(_words(reps), schema))
         sides = [F.max(F.col("split") == "train").alias("has_train"), F.max(F.col("split") != "train").alias("has_eval")]
-        self.classes = stash(self.rows.filter("key IS NOT NULL").groupBy("key").agg(F.min("row_id").alias("cid"), F.first("words").alias("words"), *sides))
+        named = self.rows.filter("key IS NOT NULL").groupBy("key").agg(F.min("row_id").alias("cid"), F.min_by("words", "row_id").alias("words"), *sides)
+        self.classes = stash(named)
         self.clips = stash(self.rows.filter("ep IS NOT NULL AND clip IS NOT NULL").groupBy("ep", "clip").agg(F.min("row_id").alias("cid"), *sides))
-        rank = _sketch(self.classes.select("words"), _word_counts)
-        source = self.classes.select("cid", "words", "key", "has_train", "has_eval")
-        counts = _sketch(source, _emit(rank, None))
-        grid = np.maximum(1, -(-counts // HOT))
-        phrases = source.mapInPandas(_emit(rank, grid), _PHRASES)
-        of_clips = self.clips.withColumn("side", F.explode(F.array_compact(F.array(F.when(F.col("has_train"), 0), F.when(F.col("has_eval"), 1)))))
-        of_clips = of_clips.select("side", F.lit(3).alias("kind"), F.col("ep").alias("a"), F.col("clip").alias("b"), "cid", *[F.lit(0).alias(x) for x in ("n", "i", "j", "salt")])
-        shards = max(spark.sparkContext.defaultParallelism, int(counts.sum() // SHARD) + 1)
-        placed = phrases.unionByName(of_clips).repartition(shards, "a", "b", "salt").sortWithinPartitions(F.desc("side"))
-        found = placed.mapInPandas(_matched, "kind int, t long, e long, spans long")
-        self.links = stash(found.groupBy("kind", "t", "e").agg(F.sum("spans").alias("spans")))
-
-    def text_links(self) -> DataFrame:
-        """Links between classes of texts, same or near: ``t``, ``e`` (class ids), checked exactly."""
-        same = self.links.filter("kind = 0").select("t", "e")
-        near = self.links.filter("kind IN (1, 2) AND t <> e").select("t", "e").distinct()
-        words = self.classes.select("cid", "words")
-        both = near.join(words.select(F.col("cid").alias("t"), F.col("words").alias("wt")), "t").join(words.select(F.col("cid").alias("e"), F.col("words").alias("we")), "e")
+        sent = self._sent(spark)
+        found = sent.mapInPandas(_matched, _MATCHES)
+        merged = found.groupBy("kind", "t", "e").agg(F.array_sort(F.collect_set(F.struct("at_t", "at_e", "size"))).alias("matches"))
+        self.links = stash(self._checked(merged))
+
+    def _sent(self, spark: SparkSession) -> DataFrame:
+        """All texts in their shards, the eval texts first."""
+        words = self.classes.select(F.explode(F.array_distinct("words")).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+        words = stash(words, keep=False)
+        total = words.agg(F.sum("n").alias("total"))
+        known = words.join(F.broadcast(total)).filter((F.col("n") > 1) & (F.col("n") > F.col("total") / KNOWN))  # one row
+        table = known.select("word", "n").toArrow()  # fewer than KNOWN rows
+        known_words, n = (table.column(c).to_numpy().astype(np.int64) for c in ("word", "n"))
+        counts = Numbers(known_words, n, 0)
+        heavy = known_words[n > HOT]  # an anchor in more than HOT texts is such a word
+        hot = Numbers(*self._hot(counts, heavy), 1)
+        sizes = [F.coalesce(F.sum(F.when(F.col(c), F.size("words"))), F.lit(0)).alias(c) for c in ("has_eval", "has_train")]
+        held = self.classes.agg(*sizes).first()
+        shards = max(spark.sparkContext.defaultParallelism, 4 * held["has_eval"] // INDEXED, 4 * held["has_train"] // STREAMED) + 1  # a text goes to some four shards
+        texts, clips = _sent(counts, hot, shards)
+        use = ["cid", "has_train", "has_eval"]
+        sent = self.classes.select("words", *use).mapInPandas(texts, _TEXTS).unionByName(self.clips.select("ep", "clip", *use).mapInPandas(clips, _TEXTS))
+        return sent.repartitionById(shards, F.col("shard")).sortWithinPartitions(F.desc("side"))
+
+    def _hot(self, counts: Numbers, heavy: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Hot anchors by exact counts, and their numbers of blocks: fewer than ``MOST``."""
+        if not len(heavy):
+            return heavy, heavy
+        found = self.classes.select("words").mapInPandas(_heavy_anchors(counts, heavy), "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+        total = found.agg(F.sum("n").alias("total"))
+        hot = found.join(F.broadcast(total)).filter((F.col("n") > HOT) & (F.col("n") > F.col("total") / MOST)).toArrow()  # one row
+        word, n = (hot.column(c).to_numpy().astype(np.int64) for c in ("word", "n"))
+        return word, -(-n // HOT)
+
+    def _checked(self, merged: DataFrame) -> DataFrame:
+        """Pairs of classes, checked exactly: ``kind``, ``t``, ``e``, ``common`` (words), ``spans``, ``covered`` (words of t in merged spans), ``longest``."""
+        words = self.classes.select("cid", F.array_distinct("words").alias("w"))
+        merged = merged.select("kind", "t", "e", F.size("matches").alias("spans"), _covered(F.col("matches")).alias("covered"), F.array_max(F.transform("matches", lambda m: m["size"])).alias("longest"))
+        both = merged.filter("kind = 0").join(words.select(F.col("cid").alias("t"), F.col("w").alias("wt")), "t").join(words.select(F.col("cid").alias("e"), F.col("w").alias("we")), "e")
         both = both.withColumn("common", F.size(F.array_intersect("wt", "we")))
-        ok = F.col("common") * 10 >= TENTHS * (F.size("wt") + F.size("we") - F.col("common"))
-        return same.unionByName(both.filter(ok).select("t", "e"))
+        near = both.filter((10 + TENTHS) * F.col("common") >= TENTHS * (F.size("wt") + F.size("we")))
+        same = merged.filter("kind = 1 AND covered = 2").withColumn("common", F.lit(2))
+        columns = ["kind", "t", "e", "common", "spans", "covered", "longest"]
+        return near.select(*columns).unionByName(same.select(*columns))
 
-    def clip_links(self) -> DataFrame:
-        """Clips that both sides name: ``cid``."""
-        return self.links.filter("kind = 3").select(F.col("t").alias("cid"))
+    def matches(self) -> DataFrame:
+        """Every linked pair of classes of texts: ``t``, ``e`` (smallest row ids), ``common``, ``spans``, ``covered``, ``longest``."""
+        return self.links.filter("kind = 0").drop("kind")
 
     def _members(self) -> DataFrame:
-        return self.rows.select("row_id", "split", "dataset_source", "key", "ep", "clip")
+        """Records in their classes: ``kind``, ``cid``, ``row_id``, ``train``."""
+        parts = []
+        for kind, classes, keys in ((0, self.classes, ["key"]), (1, self.clips, ["ep", "clip"])):
+            rows = self.rows.select("row_id", (F.col("split") == "train").alias("train"), *keys).dropna(subset=keys)
+            hot = hot_keys(rows, keys)
+            both = dealt(rows, keys, ["row_id"], hot, "block").join(repeated(classes.select(*keys, "cid"), keys, hot, "block"), [*keys, "block"])
+            parts.append(both.select(F.lit(kind).alias("kind"), "cid", "row_id", "train"))
+        return parts[0].unionByName(parts[1])
 
     def found(self) -> DataFrame:
         """Every overlapping pair of records: ``row_id_a`` < ``row_id_b``."""
-        in_class = self._members().join(self.classes.select("key", "cid"), "key").select("cid", "row_id", "split")
-        in_clip = self._members().join(self.clips.select("ep", "clip", "cid"), ["ep", "clip"]).select("cid", "row_id", "split")
-
-        def sides(m: DataFrame):
-            return (
-                m.filter("split = 'train'").select(F.col("cid").alias("t"), F.col("row_id").alias("x")),
-                m.filter("split <> 'train'").select(F.col("cid").alias("e"), F.col("row_id").alias("y")),
-            )
-
-        xt, ye = sides(in_class)
-        by_text = self.text_links().join(xt, "t").join(ye, "e").select("x", "y")
-        xt, ye = sides(in_clip)
-        by_clip = self.clip_links().select(F.col("cid").alias("t"), F.col("cid").alias("e")).join(xt, "t").join(ye, "e").select("x", "y")
-        pairs = by_text.unionByName(by_clip).select(F.least("x", "y").alias("row_id_a"), F.greatest("x", "y").alias("row_id_b"))
-        return pairs.distinct()
+        members = stash(self._members())
+        left = members.filter("train").select("kind", F.col("cid").alias("t"), F.col("row_id").alias("x"))
+        right = members.filter("NOT train").select("kind", F.col("cid").alias("e"), F.col("row_id").alias("y"))
+        met = meet(self.links.select("kind", "t", "e"), left, right, ["kind", "t"], ["kind", "e"])
+        return met.select(F.least("x", "y").alias("row_id_a"), F.greatest("x", "y").alias("row_id_b")).distinct()
+
+    def records(self) -> DataFrame:
+        """Every record: ``row_id``, ``split``, ``dataset_source``, ``class_id`` (first record of the same words, null without a text), ``text_links`` and ``clip_links`` (linked classes of the other side)."""
+        sides = [self.links.groupBy("kind", F.col(c).alias("cid"), F.lit(c == "t").alias("train")).agg(F.count(F.lit(1)).alias("links")) for c in "te"]
+        links, on = sides[0].unionByName(sides[1]), ["kind", "cid", "train"]
+        members = stash(self._members())
+        hot = hot_keys(members, on)
+        linked = dealt(members, on, ["row_id"], hot, "block").join(repeated(links, on, hot, "block"), [*on, "block"], "left")
+        text = [F.max(F.when(F.col("kind") == 0, F.col("cid"))).alias("class_id"), *[F.coalesce(F.max(F.when(F.col("kind") == k, F.col("links"))), F.lit(0)).alias(n) for k, n in enumerate(("text_links", "clip_links"))]]
+        by_row = linked.groupBy("row_id").agg(*text)
+        zero = F.lit(0).cast("long")
+        full = self.rows.select("row_id", "split", "dataset_source").join(by_row, "row_id", "left")
+        return full.select("row_id", "split", "dataset_source", "class_id", F.coalesce("text_links", zero).alias("text_links"), F.coalesce("clip_links", zero).alias("clip_links"))
 
     def report(self) -> DataFrame:
         """Overlapping records per split and source: records, by text, by clip, by either, and their share."""
-        links = self.text_links()
-        touched = links.select(F.col("t").alias("cid"), F.lit(True).alias("train")).unionByName(links.select(F.col("e").alias("cid"), F.lit(False).alias("train"))).distinct()
-        text_hit = touched.join(self.classes.select("cid", "key"), "cid").select("key", "train", F.lit(True).alias("by_text"))
-        clip_hit = self.clip_links().distinct().join(self.clips.select("cid", "ep", "clip"), "cid").select("ep", "clip", F.lit(True).alias("by_clip"))
-        m = self._members().withColumn("train", F.col("split") == "train").join(text_hit, ["key", "train"], "left").join(clip_hit, ["ep", "clip"], "left")
-        t, c = F.coalesce("by_text", F.lit(False)), F.coalesce("by_clip", F.lit(False))
-        return m.groupBy("split", "dataset_source").agg(
+        t, c = F.col("text_links") > 0, F.col("clip_links") > 0
+        return self.records().groupBy("split", "dataset_source").agg(
             F.count(F.lit(1)).alias("records"),
             F.count_if(t).alias("by_text"),
             F.count_if(c).alias("by_clip"),
             F.count_if(t | c).alias("overlapping"),
             F.round(F.count_if(t | c) / F.count(F.lit(1)), 6).alias("share"),
         )
+
+
+def _covered(matches):
+    """Words of t in the union of sorted spans."""
+
+    def merge(acc, m):
+        end = m["at_t"] + m["size"]
+        return F.struct(F.greatest(acc["end"], end).alias("end"), (acc["words"] + F.greatest(F.lit(0), end - F.greatest(acc["end"], m["at_t"]))).alias("words"))
+
+    zero = F.struct(F.lit(0).alias("end"), F.lit(0).alias("words"))
+    return F.aggregate(matches, zero, merge, lambda acc: acc["words"])

@@ -38,6 +38,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p4_found": lambda s, d: looks.alike_found(_metadata(s, d)),
         "p4_normalized": lambda s, d: looks.normalized(_metadata(s, d)).select("row_id", "norm"),
         "p5_found": lambda s, d: overlap.Overlaps(_metadata(s, d)).found(),
+        "p5_links": lambda s, d: overlap.Overlaps(_metadata(s, d)).records(),
+        "p5_matches": lambda s, d: overlap.Overlaps(_metadata(s, d)).matches(),
         "p5_report": lambda s, d: overlap.Overlaps(_metadata(s, d)).report(),
         "p6_packed": lambda s, d: packing.packed(s, _documents(s, d), table(s, d, "container_size")),
         "p6_fill": lambda s, d: packing.fill_report(s, _documents(s, d), table(s, d, "container_size")),

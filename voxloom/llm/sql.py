@@ -69,6 +69,9 @@ def statements() -> dict[str, str]:
         "p4_found": f"WITH {_ROWS}, n AS MATERIALIZED (SELECT row_id, text, {_form()} AS form FROM r) SELECT a.row_id AS row_id_a, b.row_id AS row_id_b FROM n a JOIN n b ON a.form = b.form AND a.row_id < b.row_id AND a.text <> b.text",
         "p4_normalized": f"SELECT row_id, {_form()} AS norm FROM metadata_eval",
         "p5_found": f"{_overlap()} SELECT row_id_a, row_id_b FROM found",
+        "p5_links": f"""{_overlap()}, c AS (SELECT row_id, CASE WHEN len(s) > 0 THEN min(row_id) OVER (PARTITION BY s) END AS class_id FROM z),
+l AS (SELECT i AS row_id, c.class_id AS other FROM near JOIN c ON c.row_id = j UNION SELECT j, c.class_id FROM near JOIN c ON c.row_id = i), n AS (SELECT row_id, count(*) AS text_links FROM l GROUP BY row_id), hit AS (SELECT DISTINCT unnest([i, j]) AS row_id FROM same)
+SELECT z.row_id, split, dataset_source, class_id, coalesce(text_links, 0) AS text_links, CASE WHEN hit.row_id IS NULL THEN 0 ELSE 1 END AS clip_links FROM z JOIN c ON c.row_id = z.row_id LEFT JOIN n ON n.row_id = z.row_id LEFT JOIN hit ON hit.row_id = z.row_id""",
         "p5_report": f"""{_overlap()}, t AS (SELECT i AS row_id FROM near UNION SELECT j FROM near), c AS (SELECT i AS row_id FROM same UNION SELECT j FROM same)
 SELECT split, dataset_source, count(*) AS records, count(t.row_id) AS by_text, count(c.row_id) AS by_clip, count(coalesce(t.row_id, c.row_id)) AS overlapping, round(count(coalesce(t.row_id, c.row_id))::DOUBLE / count(*), 6) AS share
 FROM z LEFT JOIN t ON z.row_id = t.row_id LEFT JOIN c ON z.row_id = c.row_id GROUP BY split, dataset_source""",
