@@ -73,7 +73,7 @@ def test_near_texts_share_an_anchor(n, seed):
     b += rng.choices(b, k=3)
     counts = overlap.Numbers(np.arange(260), np.array([rng.randrange(5) for _ in range(260)]), 0)
     flat, sizes = np.array(a + b, np.int64), np.array([len(a), len(b)])
-    size, at, row, signature = overlap.text_anchors(flat, sizes, counts)
+    size, at, row, signature = overlap.text_anchors(flat, sizes, counts(flat))
     assert size.tolist() == [len(set(a)), len(set(b))]
     if 10 * len(set(a) & set(b)) >= 7 * len(set(a) | set(b)):
         assert {*flat[at[row == 0]]} & {*flat[at[row == 1]]}
@@ -99,6 +99,9 @@ def test_clip_names_are_exact():
     ep, clip = np.array([1, 1, 2, 0, (1 << 60) - 1]), np.array([2, 3, 2, 0, 7])
     flat = overlap.clip_symbols(ep, clip)
     assert len({*map(tuple, flat.reshape(-1, 2).tolist())}) == 5 and (flat == overlap.clip_symbols(ep, clip)).all()
+    none = overlap.Numbers(np.zeros(0, np.int64), np.zeros(0, np.int64), 1)
+    sent = pd.concat(overlap._sent(none, none, 5)[1](iter([pd.DataFrame({"ep": ep, "clip": clip, "cid": range(5), "has_eval": True, "has_train": False})])))
+    assert set(sent["anchors"]) == {b"\0"}
 
 
 def records(n=250, seed=5):

@@ -125,14 +125,14 @@ class Numbers:
         return np.where(self.words[at] == words, self.values[at], self.default)
 
 
-def text_anchors(flat: np.ndarray, sizes: np.ndarray, counts: Numbers) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of texts given end to end: their numbers of distinct words, the places and texts of their anchors, and signatures of 128 bits (n, 2)."""
+def text_anchors(flat: np.ndarray, sizes: np.ndarray, often: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of texts given end to end, with how often each word occurs: their numbers of distinct words, the places and texts of their anchors, and signatures of 128 bits (n, 2)."""
     row = np.repeat(np.arange(len(sizes)), sizes)
     by = np.lexsort((flat, row))  # stable: the first place of a word comes first
     new = np.ones(len(by), bool)
     new[1:] = (flat[by][1:] != flat[by][:-1]) | (row[by][1:] != row[by][:-1])
     at = by[new]
-    at = at[np.lexsort((flat[at], counts(flat[at]), row[at]))]
+    at = at[np.lexsort((flat[at], often[at], row[at]))]
     row = row[at]
     n = np.bincount(row, minlength=len(sizes))
     start = np.cumsum(n) - n
@@ -160,8 +160,8 @@ def possible(n: np.ndarray, sig: np.ndarray, m: np.ndarray, sig_m: np.ndarray) -
 def _sent(counts: Numbers, hot: Numbers, shards: int):
     """Texts on their way to the shards: rows of ``_TEXTS``."""
 
-    def sides(pdf: pd.DataFrame, kind: int, flat: np.ndarray, sizes: np.ndarray) -> Iterator[pd.DataFrame]:
-        n, at, row, signature = text_anchors(flat, sizes, counts)
+    def sides(pdf: pd.DataFrame, kind: int, flat: np.ndarray, sizes: np.ndarray, often: np.ndarray) -> Iterator[pd.DataFrame]:
+        n, at, row, signature = text_anchors(flat, sizes, often)
         starts = np.cumsum(sizes) - sizes
         cid, raw = pdf["cid"].to_numpy(np.int64), flat.tobytes()
         for side, has in ((1, "has_eval"), (0, "has_train")):
@@ -191,13 +191,14 @@ def _sent(counts: Numbers, hot: Numbers, shards: int):
     def texts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             if len(pdf):
-                yield from sides(pdf, 0, *_flat(pdf["words"]))
+                flat, sizes = _flat(pdf["words"])
+                yield from sides(pdf, 0, flat, sizes, counts(flat))
 
     def clips(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             if len(pdf):
                 flat = clip_symbols(pdf["ep"].to_numpy(np.int64), pdf["clip"].to_numpy(np.int64))
-                yield from sides(pdf, 1, flat, np.full(len(pdf), 2))
+                yield from sides(pdf, 1, flat, np.full(len(pdf), 2), np.arange(len(flat)) % 2)  # the whole name is the anchor
 
     return texts, clips
 
@@ -223,7 +224,7 @@ def _heavy_anchors(counts: Numbers, heavy: np.ndarray):
         for pdf in batches:
             if len(pdf):
                 flat, sizes = _flat(pdf["words"])
-                w = flat[text_anchors(flat, sizes, counts)[1]]
+                w = flat[text_anchors(flat, sizes, counts(flat))[1]]
                 w, n = np.unique(w[np.isin(w, heavy)], return_counts=True)
                 yield pd.DataFrame({"word": w, "n": n})
 
@@ -323,7 +324,7 @@ class Overlaps:
         sent = self._sent(spark)
         found = sent.mapInPandas(_matched, _MATCHES)
         merged = found.groupBy("kind", "t", "e").agg(F.array_sort(F.collect_set(F.struct("at_t", "at_e", "size"))).alias("matches"))
-        self.links = stash(self._checked(merged))
+        self.links = stash(self._checked(stash(merged)))
 
     def _sent(self, spark: SparkSession) -> DataFrame:
         """All texts in their shards, the eval texts first."""
