@@ -20,9 +20,12 @@ BLOCK = 20_000
 MOST = 1 << 16
 
 
-def hot_keys(rows: DataFrame, keys: Sequence[str], size: int = BLOCK) -> DataFrame:
-    """Keys of more than ``size`` rows, at most ``MOST``: ``keys`` and ``__k``, their number of blocks."""
-    counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
+def hot_keys(rows: DataFrame, keys: Sequence[str], size: int = BLOCK, count: Column | None = None) -> DataFrame:
+    """Keys of more than ``size`` rows, at most ``MOST``: ``keys`` and ``__k``, their number of blocks.
+
+    With ``count``, ``rows`` has one row per key and this number of rows for it.
+    """
+    counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")) if count is None else rows.select(*keys, count.alias("__n"))
     total = counts.agg(F.sum("__n").alias("__t"))
     hot = counts.join(F.broadcast(total)).filter((F.col("__n") > size) & (F.col("__n") > F.col("__t") / MOST))  # one row
     return hot.select(*keys, F.ceil(F.col("__n") / size).cast("int").alias("__k"))
@@ -43,20 +46,21 @@ def repeated(rows: DataFrame, keys: Sequence[str], hot: DataFrame, out: str) ->
     return rows.join(F.broadcast(hot), list(keys), "left").withColumn(out, F.explode(F.sequence(F.lit(0), k - 1))).drop("__k")
 
 
-def meet(links: DataFrame, left: DataFrame, right: DataFrame, on_left: Sequence[str], on_right: Sequence[str], size: int = BLOCK) -> DataFrame:
+def meet(links: DataFrame, left: DataFrame, right: DataFrame, on_left: Sequence[str], on_right: Sequence[str], size: int = BLOCK, hot: Sequence[DataFrame | None] = (None, None)) -> DataFrame:
     """``links`` joined with the members of both its ends, hot ends block by block.
 
     ``left`` has the columns ``on_left`` and others of its own, ``right``
     ``on_right`` and others; keys must not be null. Every task gets at most about
-    ``size`` members of a key from either side.
+    ``size`` members of a key from either side. ``hot`` has the hot keys of both
+    sides where they are known.
     """
     pairs = links
     sides = []
-    for rows, keys, out in ((left, on_left, "__bl"), (right, on_right, "__br")):
+    for rows, keys, out, known in ((left, on_left, "__bl", hot[0]), (right, on_right, "__br", hot[1])):
         own = [c for c in rows.columns if c not in keys]
-        hot = hot_keys(rows, keys, size)
-        pairs = repeated(pairs, keys, hot, out)
-        sides.append((dealt(rows, keys, own, hot, out), [*keys, out]))
+        table = hot_keys(rows, keys, size) if known is None else known
+        pairs = repeated(pairs, keys, table, out)
+        sides.append((dealt(rows, keys, own, table, out), [*keys, out]))
     for rows, on in sides:
         pairs = pairs.join(rows, on)
     return pairs.drop("__bl", "__br")
