@@ -80,15 +80,22 @@ def test_near_texts_share_an_anchor(n, seed):
         assert overlap.possible(size[:1], signature[:1], size[1:], signature[1:])[0]
 
 
+NONE = np.zeros(0, np.int64)
+
+
+def sent(words, train, evaluation, kind=0, shards=1):
+    keys = [bytes([kind]) + k.to_bytes(16, "little") for k in range(len(words))]
+    pdf = pd.DataFrame({"kind": kind, "key": keys, "words": [np.array(w, np.int64).tobytes() for w in words], "n_train": train, "n_eval": evaluation})
+    return pd.concat(overlap._sent(overlap.Numbers(NONE, NONE, 0), overlap.Numbers(NONE, NONE, 1), shards)(iter([pdf])))
+
+
 def test_one_shard_finds_all_and_no_more_than_the_index_says():
     """With every text in one shard, what matches is the index's work alone: texts that share no anchor never meet."""
-    counts = overlap.Numbers(np.zeros(0, np.int64), np.zeros(0, np.int64), 0)
-    texts, _ = overlap._sent(counts, counts.__class__(np.zeros(0, np.int64), np.zeros(0, np.int64), 1), 1)
     words = [[1, 2, 3, 4, 5], [5, 4, 3, 2, 1], [1, 2, 3, 4, 9], [21, 22, 23], [21, 22, 23, 23]]
-    pdf = pd.DataFrame({"words": [np.array(w) for w in words], "cid": range(5), "has_train": [1, 0, 0, 1, 0], "has_eval": [0, 1, 1, 0, 1]})
-    sent = pd.concat(texts(iter([pdf]))).sort_values("side", ascending=False)
-    assert set(sent["shard"]) == {0}
-    found = pd.concat(overlap._matched(iter([sent])))
+    rows = sent(words, [1, 0, 0, 1, 0], [0, 1, 1, 0, 1])
+    assert set(rows["shard"]) == {0}
+    found = pd.concat(overlap._matched(iter([rows.sort_values("side", ascending=False)])))
+    found["t"], found["e"] = found["t"].str[1], found["e"].str[1]
     assert {tuple(x) for x in found[["t", "e"]].to_numpy().tolist()} <= {(0, 1), (0, 2), (3, 4)}
     assert {(3, 4, 0, 0, 3)} == {tuple(x) for x in found[found["t"] == 3][["t", "e", "at_t", "at_e", "size"]].to_numpy().tolist()}
     backwards = found[found["e"] == 1]
@@ -99,9 +106,7 @@ def test_clip_names_are_exact():
     ep, clip = np.array([1, 1, 2, 0, (1 << 60) - 1]), np.array([2, 3, 2, 0, 7])
     flat = overlap.clip_symbols(ep, clip)
     assert len({*map(tuple, flat.reshape(-1, 2).tolist())}) == 5 and (flat == overlap.clip_symbols(ep, clip)).all()
-    none = overlap.Numbers(np.zeros(0, np.int64), np.zeros(0, np.int64), 1)
-    sent = pd.concat(overlap._sent(none, none, 5)[1](iter([pd.DataFrame({"ep": ep, "clip": clip, "cid": range(5), "has_eval": True, "has_train": False})])))
-    assert set(sent["anchors"]) == {b"\0"}
+    assert set(sent(flat.reshape(-1, 2), 0, 1, kind=1, shards=5)["anchors"]) == {b"\0"}  # the symbol of the whole name
 
 
 def records(n=250, seed=5):

@@ -30,14 +30,14 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from voxloom.llm import fold, looks
 from voxloom.llm.fmindex import TextIndex
 from voxloom.llm.splits import nth_number
 from voxloom.plans.blocks import dealt, hot_keys, meet, repeated
-from voxloom.plans.stash import stash
+from voxloom.plans.stash import drop_stash, stash
 
 #: Least share of common words of near-same texts, in tenths.
 TENTHS = 7
@@ -53,8 +53,10 @@ INDEXED, STREAMED = 1 << 21, 1 << 25
 #: Located matches handled at a time.
 AT_ONCE = 1_000_000
 
-_TEXTS = "shard int, side int, kind int, cid long, n int, at int, sig_a long, sig_b long, words binary, anchors binary"
-_MATCHES = "kind int, t long, e long, at_t int, at_e int, size int"
+_MEMBERS = "row_id long, train boolean, kind int, key binary, words binary"
+_TEXTS = "shard int, side int, key binary, n int, at int, sig_a long, sig_b long, words binary, anchors binary"
+_LINKS = "t binary, e binary, kind int, t_id long, e_id long, common int, spans int, covered int, longest int"
+_MATCHES = "t binary, e binary, at_t int, at_e int, size int"
 
 
 @lru_cache(maxsize=1 << 18)
@@ -84,14 +86,24 @@ def text_words(texts: list[str]) -> list[list[int]]:
     return [[_word_hash(x) for x in w] for w in found]
 
 
-def _words(reps: dict[str, str]):
+def _key(kind: int, symbols: np.ndarray) -> bytes:
+    return bytes([kind]) + hashlib.blake2b(symbols.tobytes(), digest_size=16).digest()
+
+
+def _members(reps: dict[str, str]):
+    """Of every record, its text and its clip name as members of classes: rows of ``_MEMBERS``."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         one = looks.rewriter(reps)
         for pdf in batches:
             full = [t if t is not None and any(map(str.isalnum, t)) else "" for t in pdf["text"]]
-            words = text_words(one.many(full))
-            key = [hashlib.blake2b(np.unique(np.array(w, np.int64)).tobytes(), digest_size=16).digest() if w else None for w in words]
-            yield pdf.drop(columns="text").assign(words=words, key=key)
+            words = [np.array(w, np.int64) for w in text_words(one.many(full))]
+            texts = pdf[["row_id", "train"]].assign(kind=0, key=[_key(0, np.unique(w)) for w in words], words=[w.tobytes() for w in words])
+            yield texts[[len(w) > 0 for w in words]]
+            named = pdf[pdf["ep"].notna() & pdf["clip"].notna()]
+            raw = clip_symbols(named["ep"].to_numpy(np.int64), named["clip"].to_numpy(np.int64)).tobytes()
+            symbols = [raw[k : k + 16] for k in range(0, len(raw), 16)]
+            yield named[["row_id", "train"]].assign(kind=1, key=[b"\1" + x for x in symbols], words=symbols)
 
     return run
 
@@ -157,59 +169,70 @@ def possible(n: np.ndarray, sig: np.ndarray, m: np.ndarray, sig_m: np.ndarray) -
     return enough(n, m, np.minimum(n - only, m - only_m))
 
 
+def _often(kind: np.ndarray, flat: np.ndarray, sizes: np.ndarray, counts: Numbers) -> np.ndarray:
+    """How often the words occur; of a clip name, the symbol of the whole name counts as the rarer one."""
+    return np.where(np.repeat(kind == 1, sizes), 1 - (np.arange(len(flat)) == np.repeat(np.cumsum(sizes) - sizes, sizes)), counts(flat))
+
+
 def _sent(counts: Numbers, hot: Numbers, shards: int):
-    """Texts on their way to the shards: rows of ``_TEXTS``."""
+    """Classes (``kind``, ``key``, ``words``, ``n_train``, ``n_eval``) on their way to the shards: rows of ``_TEXTS``."""
 
-    def sides(pdf: pd.DataFrame, kind: int, flat: np.ndarray, sizes: np.ndarray, often: np.ndarray) -> Iterator[pd.DataFrame]:
-        n, at, row, signature = text_anchors(flat, sizes, often)
-        starts = np.cumsum(sizes) - sizes
-        cid, raw = pdf["cid"].to_numpy(np.int64), flat.tobytes()
-        for side, has in ((1, "has_eval"), (0, "has_train")):
-            use = pdf[has].to_numpy(bool)[row]
-            a, r = at[use], row[use]
-            k = hot(flat[a])
-            again = np.repeat(np.arange(len(a)), k)  # an anchor of k blocks goes to k cells of its grid
-            other = np.arange(len(again)) - np.repeat(np.cumsum(k) - k, k)
-            a, r, k = a[again], r[again], k[again]
-            cell = grid_cell(cid[r], other, k, side)
-            shard = shard_of(flat[a], cell, shards)
-            block = (a - starts[r]) // TEXT_BLOCK
-            by = np.lexsort((a, shard, block, r))
-            a, r, block, shard = a[by], r[by], block[by], shard[by]
-            new = np.ones(len(a), bool)
-            new[1:] = (r[1:] != r[:-1]) | (block[1:] != block[:-1]) | (shard[1:] != shard[:-1])
-            first = np.flatnonzero(new)
-            r, lo = r[first], starts[r[first]] + block[first] * TEXT_BLOCK
-            hi = np.minimum(lo + TEXT_BLOCK, starts[r] + sizes[r])
-            inside = (a - np.repeat(lo, np.diff(np.append(first, len(a))))).astype(np.uint8).tobytes()
-            ends = np.append(first[1:], len(a))
-            yield pd.DataFrame({
-                "shard": shard[first], "side": side, "kind": kind, "cid": cid[r], "n": n[r], "at": lo - starts[r], "sig_a": signature[r, 0].view(np.int64), "sig_b": signature[r, 1].view(np.int64),
-                "words": [raw[8 * x : 8 * y] for x, y in zip(lo.tolist(), hi.tolist())], "anchors": [inside[x:y] for x, y in zip(first.tolist(), ends.tolist())],
-            })
-
-    def texts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            if len(pdf):
-                flat, sizes = _flat(pdf["words"])
-                yield from sides(pdf, 0, flat, sizes, counts(flat))
+            if not len(pdf):
+                continue
+            flat, sizes = _flat(pdf["words"])
+            n, at, row, signature = text_anchors(flat, sizes, _often(pdf["kind"].to_numpy(), flat, sizes, counts))
+            starts = np.cumsum(sizes) - sizes
+            key, raw = pdf["key"].to_numpy(), flat.tobytes()
+            own = np.frombuffer(b"".join(x[1:9] for x in key), np.int64)
+            for side, has in ((1, "n_eval"), (0, "n_train")):
+                use = (pdf[has].to_numpy() > 0)[row]
+                a, r = at[use], row[use]
+                k = hot(flat[a])
+                again = np.repeat(np.arange(len(a)), k)  # an anchor of k blocks goes to k cells of its grid
+                other = np.arange(len(again)) - np.repeat(np.cumsum(k) - k, k)
+                a, r, k = a[again], r[again], k[again]
+                shard = shard_of(flat[a], grid_cell(own[r], other, k, side), shards)
+                block = (a - starts[r]) // TEXT_BLOCK
+                by = np.lexsort((a, shard, block, r))
+                a, r, block, shard = a[by], r[by], block[by], shard[by]
+                new = np.ones(len(a), bool)
+                new[1:] = (r[1:] != r[:-1]) | (block[1:] != block[:-1]) | (shard[1:] != shard[:-1])
+                first = np.flatnonzero(new)
+                r, lo = r[first], starts[r[first]] + block[first] * TEXT_BLOCK
+                hi = np.minimum(lo + TEXT_BLOCK, starts[r] + sizes[r])
+                ends = np.append(first[1:], len(a))
+                inside = (a - np.repeat(lo, ends - first)).astype(np.uint8).tobytes()
+                yield pd.DataFrame({
+                    "shard": shard[first], "side": side, "key": key[r], "n": n[r], "at": lo - starts[r], "sig_a": signature[r, 0].view(np.int64), "sig_b": signature[r, 1].view(np.int64),
+                    "words": [raw[8 * x : 8 * y] for x, y in zip(lo.tolist(), hi.tolist())], "anchors": [inside[x:y] for x, y in zip(first.tolist(), ends.tolist())],
+                })
 
-    def clips(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            if len(pdf):
-                flat = clip_symbols(pdf["ep"].to_numpy(np.int64), pdf["clip"].to_numpy(np.int64))
-                yield from sides(pdf, 1, flat, np.full(len(pdf), 2), np.arange(len(flat)) % 2)  # the whole name is the anchor
-
-    return texts, clips
+    return run
 
 
 def _flat(words: pd.Series) -> tuple[np.ndarray, np.ndarray]:
-    return np.concatenate(words.to_numpy()).astype(np.int64), words.map(len).to_numpy(np.int64)
+    return np.frombuffer(b"".join(words), np.int64), np.fromiter(map(len, words), np.int64, len(words)) // 8
 
 
-def grid_cell(cid: np.ndarray, other: np.ndarray, k: np.ndarray, side: int) -> np.ndarray:
+def _word_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """In how many texts of a batch each word is."""
+    for pdf in batches:
+        if len(pdf):
+            flat, sizes = _flat(pdf["words"])
+            row = np.repeat(np.arange(len(sizes)), sizes)
+            by = np.lexsort((row, flat))
+            word, row = flat[by], row[by]
+            new = np.ones(len(word), bool)
+            new[1:] = (word[1:] != word[:-1]) | (row[1:] != row[:-1])
+            word, n = np.unique(word[new], return_counts=True)
+            yield pd.DataFrame({"word": word, "n": n})
+
+
+def grid_cell(own: np.ndarray, other: np.ndarray, k: np.ndarray, side: int) -> np.ndarray:
     """The cell of a text in the k * k grid of a hot anchor: its own block on its side's axis, every one on the other's."""
-    own = (_mixed(cid) % k.astype(np.uint64)).astype(np.int64)
+    own = (_mixed(own) % k.astype(np.uint64)).astype(np.int64)
     return own * k + other if side else other * k + own
 
 
@@ -237,7 +260,8 @@ class Shard:
     def __init__(self, texts: pd.DataFrame):
         flat, sizes, anchors = _texts(texts)
         self.index = TextIndex(flat, sizes, anchors)
-        self.kind, self.cid, self.n, self.at = (texts[c].to_numpy(np.int64) for c in ("kind", "cid", "n", "at"))
+        self.key, self.kind = _keys(texts)
+        self.n, self.at = (texts[c].to_numpy(np.int64) for c in ("n", "at"))
         self.signature = _signatures(texts)
 
     def matches(self, texts: pd.DataFrame) -> Iterator[pd.DataFrame]:
@@ -245,7 +269,8 @@ class Shard:
         flat, sizes, anchors = _texts(texts)
         starts = np.cumsum(sizes) - sizes
         row = np.repeat(np.arange(len(sizes)), sizes)
-        kind, cid, n, at = (texts[c].to_numpy(np.int64) for c in ("kind", "cid", "n", "at"))
+        key, kind = _keys(texts)
+        n, at = (texts[c].to_numpy(np.int64) for c in ("n", "at"))
         signature = _signatures(texts)
         ids = self.index.ids(flat)
         lo, hi = self.index.anchored(ids[anchors])
@@ -266,17 +291,22 @@ class Shard:
             ok = possible(n[t], signature[t], self.n[e], self.signature[e])
             t, e, place, offset, sample = (x[ok] for x in (t, e, place, offset, sample))
             left, right = self.index.extended(sample, ids, place, starts[t], starts[t] + sizes[t])
-            yield pd.DataFrame({
-                "kind": kind[t], "t": cid[t], "e": self.cid[e], "at_t": at[t] + place - starts[t] - left, "at_e": self.at[e] + offset - left, "size": left + right + 1
-            }).drop_duplicates()
+            found = pd.DataFrame({"t": t, "e": e, "at_t": at[t] + place - starts[t] - left, "at_e": self.at[e] + offset - left, "size": left + right + 1}).drop_duplicates()
+            yield found.assign(t=key[found["t"]], e=self.key[found["e"]])
 
 
 def _texts(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Words end to end, sizes, and places of the anchors."""
-    sizes = pdf["words"].map(len).to_numpy(np.int64) // 8
-    many = pdf["anchors"].map(len).to_numpy(np.int64)
+    flat, sizes = _flat(pdf["words"])
+    many = np.fromiter(map(len, pdf["anchors"]), np.int64, len(pdf))
     inside = np.frombuffer(b"".join(pdf["anchors"]), np.uint8).astype(np.int64)
-    return np.frombuffer(b"".join(pdf["words"]), np.int64), sizes, inside + np.repeat(np.cumsum(sizes) - sizes, many)
+    return flat, sizes, inside + np.repeat(np.cumsum(sizes) - sizes, many)
+
+
+def _keys(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Class keys, and the kinds that are their first bytes."""
+    key = pdf["key"].to_numpy()
+    return key, np.fromiter((x[0] for x in key), np.int64, len(key))
 
 
 def _signatures(pdf: pd.DataFrame) -> np.ndarray:
@@ -295,7 +325,7 @@ def _matched(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         if shard is None:
             shard = Shard(pd.concat(held, ignore_index=True))
             held = []
-        if not len(shard.cid):
+        if not len(shard.n):
             return
         yield from shard.matches(train.reset_index(drop=True))
 
@@ -310,94 +340,78 @@ class Overlaps:
     """
 
     def __init__(self, records: DataFrame):
-        spark: SparkSession = records.sparkSession
-        rows = records.filter(F.col("row_id").isNotNull() & F.col("split").isin("train", "eval", "test"))
-        reps = looks.representatives(rows)
+        self.rows = records.filter(F.col("row_id").isNotNull() & F.col("split").isin("train", "eval", "test"))
+        reps = looks.representatives(self.rows)
         numbers = [nth_number(F.col("audio_file"), k).alias(n) for k, n in enumerate(("ep", "clip"))]
-        base = rows.select("row_id", "split", "dataset_source", "text", *numbers)
-        schema = "row_id long, split string, dataset_source string, ep long, clip long, words array<long>, key binary"
-        self.rows = stash(base.mapInPandas(_words(reps), schema))
-        sides = [F.max(F.col("split") == "train").alias("has_train"), F.max(F.col("split") != "train").alias("has_eval")]
-        named = self.rows.filter("key IS NOT NULL").groupBy("key").agg(F.min("row_id").alias("cid"), F.min_by("words", "row_id").alias("words"), *sides)
-        self.classes = stash(named)
-        self.clips = stash(self.rows.filter("ep IS NOT NULL AND clip IS NOT NULL").groupBy("ep", "clip").agg(F.min("row_id").alias("cid"), *sides))
-        sent = self._sent(spark)
-        found = sent.mapInPandas(_matched, _MATCHES)
-        merged = found.groupBy("kind", "t", "e").agg(F.array_sort(F.collect_set(F.struct("at_t", "at_e", "size"))).alias("matches"))
-        self.links = stash(self._checked(stash(merged)))
-
-    def _sent(self, spark: SparkSession) -> DataFrame:
+        base = self.rows.select("row_id", (F.col("split") == "train").alias("train"), "text", *numbers)
+        self.members = stash(base.mapInPandas(_members(reps), _MEMBERS))
+        totals = [F.min("row_id").alias("cid"), F.count_if("train").alias("n_train"), F.count_if(~F.col("train")).alias("n_eval")]
+        self.classes = stash(self.members.groupBy("kind", "key").agg(*totals, F.min_by("words", "row_id").alias("words")))
+        found = self._sent().mapInPandas(_matched, _MATCHES)
+        merged = found.groupBy("t", "e").agg(F.array_sort(F.collect_set(F.struct("at_t", "at_e", "size"))).alias("matches"))
+        self.links = stash(self._checked(merged))
+
+    def _sent(self) -> DataFrame:
         """All texts in their shards, the eval texts first."""
-        words = self.classes.select(F.explode(F.array_distinct("words")).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
-        words = stash(words, keep=False)
+        words = stash(self.classes.filter("kind = 0").select("words").mapInPandas(_word_counts, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")), keep=False)
         total = words.agg(F.sum("n").alias("total"))
         known = words.join(F.broadcast(total)).filter((F.col("n") > 1) & (F.col("n") > F.col("total") / KNOWN))  # one row
         table = known.select("word", "n").toArrow()  # fewer than KNOWN rows
+        drop_stash(words)
         known_words, n = (table.column(c).to_numpy().astype(np.int64) for c in ("word", "n"))
         counts = Numbers(known_words, n, 0)
         heavy = known_words[n > HOT]  # an anchor in more than HOT texts is such a word
         hot = Numbers(*self._hot(counts, heavy), 1)
-        sizes = [F.coalesce(F.sum(F.when(F.col(c), F.size("words"))), F.lit(0)).alias(c) for c in ("has_eval", "has_train")]
-        held = self.classes.agg(*sizes).first()
-        shards = max(spark.sparkContext.defaultParallelism, 4 * held["has_eval"] // INDEXED, 4 * held["has_train"] // STREAMED) + 1  # a text goes to some four shards
-        texts, clips = _sent(counts, hot, shards)
-        use = ["cid", "has_train", "has_eval"]
-        sent = self.classes.select("words", *use).mapInPandas(texts, _TEXTS).unionByName(self.clips.select("ep", "clip", *use).mapInPandas(clips, _TEXTS))
+        held = self.classes.agg(*[F.coalesce(F.sum(F.when(F.col(c) > 0, F.length("words") / 8)), F.lit(0)).alias(c) for c in ("n_eval", "n_train")]).first()
+        least = self.rows.sparkSession.sparkContext.defaultParallelism
+        shards = int(max(least, 4 * held["n_eval"] // INDEXED, 4 * held["n_train"] // STREAMED)) + 1  # a text goes to some four shards
+        sent = self.classes.select("kind", "key", "words", "n_train", "n_eval").mapInPandas(_sent(counts, hot, shards), _TEXTS)
         return sent.repartitionById(shards, F.col("shard")).sortWithinPartitions(F.desc("side"))
 
     def _hot(self, counts: Numbers, heavy: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Hot anchors by exact counts, and their numbers of blocks: fewer than ``MOST``."""
         if not len(heavy):
             return heavy, heavy
-        found = self.classes.select("words").mapInPandas(_heavy_anchors(counts, heavy), "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+        found = self.classes.filter("kind = 0").select("words").mapInPandas(_heavy_anchors(counts, heavy), "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
         total = found.agg(F.sum("n").alias("total"))
         hot = found.join(F.broadcast(total)).filter((F.col("n") > HOT) & (F.col("n") > F.col("total") / MOST)).toArrow()  # one row
         word, n = (hot.column(c).to_numpy().astype(np.int64) for c in ("word", "n"))
         return word, -(-n // HOT)
 
     def _checked(self, merged: DataFrame) -> DataFrame:
-        """Pairs of classes, checked exactly: ``kind``, ``t``, ``e``, ``common`` (words), ``spans``, ``covered`` (words of t in merged spans), ``longest``."""
-        words = self.classes.select("cid", F.array_distinct("words").alias("w"))
-        merged = merged.select("kind", "t", "e", F.size("matches").alias("spans"), _covered(F.col("matches")).alias("covered"), F.array_max(F.transform("matches", lambda m: m["size"])).alias("longest"))
-        both = merged.filter("kind = 0").join(words.select(F.col("cid").alias("t"), F.col("w").alias("wt")), "t").join(words.select(F.col("cid").alias("e"), F.col("w").alias("we")), "e")
-        both = both.withColumn("common", F.size(F.array_intersect("wt", "we")))
-        near = both.filter((10 + TENTHS) * F.col("common") >= TENTHS * (F.size("wt") + F.size("we")))
-        same = merged.filter("kind = 1 AND covered = 2").withColumn("common", F.lit(2))
-        columns = ["kind", "t", "e", "common", "spans", "covered", "longest"]
-        return near.select(*columns).unionByName(same.select(*columns))
+        """Pairs of classes, checked exactly: ``t``, ``e`` (keys), ``kind``, ``t_id``, ``e_id``, ``common`` (words), ``spans``, ``covered`` (words of t in merged spans), ``longest``."""
+        merged = merged.select("t", "e", F.size("matches").alias("spans"), _covered(F.col("matches")).alias("covered"), F.array_max(F.transform("matches", lambda m: m["size"])).alias("longest"))
+        words = self.classes.select("key", "kind", "cid", "words")
+        both = merged.join(words.select(F.col("key").alias("t"), "kind", F.col("cid").alias("t_id"), F.col("words").alias("wt")), "t")
+        both = both.join(words.select(F.col("key").alias("e"), F.col("cid").alias("e_id"), F.col("words").alias("we")), "e")
+        return both.mapInPandas(_exact, _LINKS)
 
     def matches(self) -> DataFrame:
         """Every linked pair of classes of texts: ``t``, ``e`` (smallest row ids), ``common``, ``spans``, ``covered``, ``longest``."""
-        return self.links.filter("kind = 0").drop("kind")
+        return self.links.filter("kind = 0").select(F.col("t_id").alias("t"), F.col("e_id").alias("e"), "common", "spans", "covered", "longest")
 
-    def _members(self) -> DataFrame:
-        """Records in their classes: ``kind``, ``cid``, ``row_id``, ``train``."""
-        parts = []
-        for kind, classes, keys in ((0, self.classes, ["key"]), (1, self.clips, ["ep", "clip"])):
-            rows = self.rows.select("row_id", (F.col("split") == "train").alias("train"), *keys).dropna(subset=keys)
-            hot = hot_keys(rows, keys)
-            both = dealt(rows, keys, ["row_id"], hot, "block").join(repeated(classes.select(*keys, "cid"), keys, hot, "block"), [*keys, "block"])
-            parts.append(both.select(F.lit(kind).alias("kind"), "cid", "row_id", "train"))
-        return parts[0].unionByName(parts[1])
+    def _side(self, train: bool, key: str) -> tuple[DataFrame, DataFrame]:
+        """Members of one side of the split by class, and the hot classes among them."""
+        members = self.members.filter(F.col("train") == train).select(F.col("key").alias(key), "row_id")
+        return members, hot_keys(self.classes.withColumnRenamed("key", key), [key], count=F.col("n_train" if train else "n_eval"))
 
     def found(self) -> DataFrame:
         """Every overlapping pair of records: ``row_id_a`` < ``row_id_b``."""
-        members = stash(self._members())
-        left = members.filter("train").select("kind", F.col("cid").alias("t"), F.col("row_id").alias("x"))
-        right = members.filter("NOT train").select("kind", F.col("cid").alias("e"), F.col("row_id").alias("y"))
-        met = meet(self.links.select("kind", "t", "e"), left, right, ["kind", "t"], ["kind", "e"])
+        (left, hot_t), (right, hot_e) = self._side(True, "t"), self._side(False, "e")
+        met = meet(self.links.select("t", "e"), left.withColumnRenamed("row_id", "x"), right.withColumnRenamed("row_id", "y"), ["t"], ["e"], hot=(hot_t, hot_e))
         return met.select(F.least("x", "y").alias("row_id_a"), F.greatest("x", "y").alias("row_id_b")).distinct()
 
     def records(self) -> DataFrame:
         """Every record: ``row_id``, ``split``, ``dataset_source``, ``class_id`` (first record of the same words, null without a text), ``text_links`` and ``clip_links`` (linked classes of the other side)."""
-        sides = [self.links.groupBy("kind", F.col(c).alias("cid"), F.lit(c == "t").alias("train")).agg(F.count(F.lit(1)).alias("links")) for c in "te"]
-        links, on = sides[0].unionByName(sides[1]), ["kind", "cid", "train"]
-        members = stash(self._members())
-        hot = hot_keys(members, on)
-        linked = dealt(members, on, ["row_id"], hot, "block").join(repeated(links, on, hot, "block"), [*on, "block"], "left")
-        text = [F.max(F.when(F.col("kind") == 0, F.col("cid"))).alias("class_id"), *[F.coalesce(F.max(F.when(F.col("kind") == k, F.col("links"))), F.lit(0)).alias(n) for k, n in enumerate(("text_links", "clip_links"))]]
-        by_row = linked.groupBy("row_id").agg(*text)
+        parts = []
+        for train, key in ((True, "t"), (False, "e")):
+            links = self.links.groupBy(key).agg(F.count(F.lit(1)).alias("links"))
+            info = self.classes.select(F.col("key").alias(key), "kind", "cid").join(links, key, "left")
+            members, hot = self._side(train, key)
+            parts.append(dealt(members, [key], ["row_id"], hot, "block").join(repeated(info, [key], hot, "block"), [key, "block"]).select("row_id", "kind", "cid", "links"))
         zero = F.lit(0).cast("long")
+        links = [F.max(F.when(F.col("kind") == k, F.col("links"))).alias(n) for k, n in enumerate(("text_links", "clip_links"))]
+        by_row = parts[0].unionByName(parts[1]).groupBy("row_id").agg(F.max(F.when(F.col("kind") == 0, F.col("cid"))).alias("class_id"), *links)
         full = self.rows.select("row_id", "split", "dataset_source").join(by_row, "row_id", "left")
         return full.select("row_id", "split", "dataset_source", "class_id", F.coalesce("text_links", zero).alias("text_links"), F.coalesce("clip_links", zero).alias("clip_links"))
 
@@ -413,6 +427,27 @@ class Overlaps:
         )
 
 
+def _exact(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Pairs whose common words are enough: the words of both, counted."""
+    names = [x.split()[0] for x in _LINKS.split(", ")]
+    for pdf in batches:
+        if len(pdf):
+            (a, size_a), (b, size_b) = (_distinct(pdf[c]) for c in ("wt", "we"))
+            both = np.concatenate([a, b])
+            row = np.concatenate([np.repeat(np.arange(len(pdf)), size_a), np.repeat(np.arange(len(pdf)), size_b)])
+            by = np.lexsort((both, row))
+            twice = (both[by][1:] == both[by][:-1]) & (row[by][1:] == row[by][:-1])
+            common = np.bincount(row[by][1:][twice], minlength=len(pdf))
+            ok = np.where(pdf["kind"] == 1, common == 2, enough(size_a, size_b, common))
+            yield pdf.assign(common=common)[ok][names]
+
+
+def _distinct(words: pd.Series) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct words of every text end to end, and their numbers."""
+    parts = [np.unique(np.frombuffer(x, np.int64)) for x in words]
+    return np.concatenate(parts), np.fromiter(map(len, parts), np.int64, len(parts))
+
+
 def _covered(matches):
     """Words of t in the union of sorted spans."""
 
