@@ -80,6 +80,24 @@ def test_near_texts_share_an_anchor(n, seed):
         assert overlap.possible(size[:1], signature[:1], size[1:], signature[1:])[0]
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.text(alphabet="aB ,.[]=:é\0", max_size=14), max_size=6))
+def test_words(texts):
+    """Words, in order, are equal exactly if their folded spellings are; keys, if the sets are."""
+    texts = [*texts, "[mic: far]", "mic=far :: a b", "a  B", "b A!"]
+    flat, sizes = overlap.text_words(texts)
+    spelled = []
+    for t in texts:
+        lo, hi, _ = overlap.fold.field_block(t)
+        cut = lambda x: "".join(c.lower() if c.isalnum() else " " for c in x).split()
+        spelled.append(cut(t[lo:hi]) or cut(t))
+    assert sizes.tolist() == [len(w) for w in spelled]
+    names = [x for w in spelled for x in w]
+    assert len(set(names)) == len(set(flat.tolist())) == len(set(zip(names, flat.tolist())))
+    keys = [k.tobytes() for k in overlap.set_keys(flat, sizes)]
+    assert len({frozenset(w) for w in spelled}) == len(set(keys)) == len({(frozenset(w), k) for w, k in zip(spelled, keys)})
+
+
 NONE = np.zeros(0, np.int64)
 
 

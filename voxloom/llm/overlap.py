@@ -24,9 +24,7 @@ pairs.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -53,41 +51,57 @@ INDEXED, STREAMED = 1 << 21, 1 << 25
 #: Located matches handled at a time.
 AT_ONCE = 1_000_000
 
+_BASE = np.uint64(0x9E3779B97F4A7C15)
 _MEMBERS = "row_id long, train boolean, kind int, key binary, words binary"
 _TEXTS = "shard int, side int, key binary, n int, at int, sig_a long, sig_b long, words binary, anchors binary"
 _LINKS = "t binary, e binary, kind int, t_id long, e_id long, common int, spans int, covered int, longest int"
 _MATCHES = "t binary, e binary, at_t int, at_e int, size int"
 
 
-@lru_cache(maxsize=1 << 18)
-def _word_hash(word: str) -> int:
-    return int.from_bytes(hashlib.blake2b(word.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
-
-
-def _word_lists(parts: list[str]) -> list[list[str]]:
-    """Folded words of every part; the batch is one array, cut again at its null characters."""
-    joined = "\0".join(parts)
-    raw = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
-    codes = fold.fold_table()[raw]
-    codes[(codes == 0) & (raw != 0)] = 32
-    return [x.split() for x in codes.tobytes().decode("utf-32-le", "surrogatepass").split("\0")]
-
-
-def text_words(texts: list[str]) -> list[list[int]]:
-    """Hashes of the words of normalized texts in order, without their field blocks (with it, if it is all there is)."""
-    if not texts:
-        return []
-    texts = [t.replace("\0", " ") for t in texts]
+def text_words(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of normalized texts, end to end, and their numbers; without field blocks (with it, if it is all there is)."""
     spans = [fold.field_block(t) for t in texts]
-    found = _word_lists([t[a:b] for t, (a, b, _) in zip(texts, spans)])
-    for k, w in enumerate(found):
-        if not w and texts[k]:
-            found[k] = _word_lists([texts[k]])[0]
-    return [[_word_hash(x) for x in w] for w in found]
-
-
-def _key(kind: int, symbols: np.ndarray) -> bytes:
-    return bytes([kind]) + hashlib.blake2b(symbols.tobytes(), digest_size=16).digest()
+    flat, sizes = _hashed_words([t[a:b] for t, (a, b, _) in zip(texts, spans)])
+    again = [k for k, t in enumerate(texts) if not sizes[k] and spans[k][2]]
+    if again:  # rare: put the words of the whole text in
+        more, many = _hashed_words([texts[k] for k in again])
+        flat = np.insert(flat, np.repeat((np.cumsum(sizes) - sizes)[again], many), more)
+        sizes[again] = many
+    return flat, sizes
+
+
+def _hashed_words(parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """A word's hash is the sum of its mixed symbols times the powers of an odd base, mixed once more."""
+    raw = np.frombuffer("".join(parts).encode("utf-32-le", "surrogatepass"), np.uint32)
+    lens = np.fromiter(map(len, parts), np.int64, len(parts))
+    symbols = fold.fold_table()[raw]
+    row = np.repeat(np.arange(len(parts)), lens)
+    kept = symbols != 0
+    new = kept.copy()
+    new[1:] &= ~kept[:-1] | (row[1:] != row[:-1])
+    first = np.flatnonzero(new)
+    at = np.flatnonzero(kept)
+    word = np.cumsum(new)[at] - 1
+    place = at - first[word]
+    powers = np.multiply.accumulate(np.full(int(place.max(initial=0)) + 1, _BASE))
+    sums = np.add.reduceat(_mixed(symbols[at].astype(np.uint64) + _BASE) * powers[place], np.searchsorted(at, first)) if len(first) else np.zeros(0, np.uint64)
+    return _mixed(sums).view(np.int64), np.bincount(row[first], minlength=len(parts))
+
+
+def set_keys(flat: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """A hash of 128 bits of each text's set of distinct words: sums of two mixings of them (n, 2)."""
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    by = np.lexsort((flat, row))
+    word, row = flat[by], row[by]
+    new = np.ones(len(word), bool)
+    new[1:] = (word[1:] != word[:-1]) | (row[1:] != row[:-1])
+    word, row = word[new].astype(np.uint64), row[new]
+    out = np.zeros((len(sizes), 2), np.uint64)
+    if len(word):
+        first = np.flatnonzero(np.diff(row, prepend=-1))
+        for k, salt in enumerate((_BASE, np.uint64(0xC2B2AE3D27D4EB4F))):
+            out[row[first], k] = np.add.reduceat(_mixed(word ^ salt), first)
+    return out
 
 
 def _members(reps: dict[str, str]):
@@ -97,9 +111,11 @@ def _members(reps: dict[str, str]):
         one = looks.rewriter(reps)
         for pdf in batches:
             full = [t if t is not None and any(map(str.isalnum, t)) else "" for t in pdf["text"]]
-            words = [np.array(w, np.int64) for w in text_words(one.many(full))]
-            texts = pdf[["row_id", "train"]].assign(kind=0, key=[_key(0, np.unique(w)) for w in words], words=[w.tobytes() for w in words])
-            yield texts[[len(w) > 0 for w in words]]
+            flat, sizes = text_words(one.many(full))
+            keys, raw, ends = set_keys(flat, sizes).tobytes(), flat.tobytes(), np.cumsum(sizes) * 8
+            words = [raw[x:y] for x, y in zip((ends - sizes * 8).tolist(), ends.tolist())]
+            texts = pdf[["row_id", "train"]].assign(kind=0, key=[b"\0" + keys[k : k + 16] for k in range(0, len(keys), 16)], words=words)
+            yield texts[sizes > 0]
             named = pdf[pdf["ep"].notna() & pdf["clip"].notna()]
             raw = clip_symbols(named["ep"].to_numpy(np.int64), named["clip"].to_numpy(np.int64)).tobytes()
             symbols = [raw[k : k + 16] for k in range(0, len(raw), 16)]
@@ -428,26 +444,28 @@ class Overlaps:
 
 
 def _exact(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Pairs whose common words are enough: the words of both, counted."""
+    """Pairs whose common words are enough: the distinct words of both, counted."""
     names = [x.split()[0] for x in _LINKS.split(", ")]
     for pdf in batches:
         if len(pdf):
-            (a, size_a), (b, size_b) = (_distinct(pdf[c]) for c in ("wt", "we"))
-            both = np.concatenate([a, b])
-            row = np.concatenate([np.repeat(np.arange(len(pdf)), size_a), np.repeat(np.arange(len(pdf)), size_b)])
-            by = np.lexsort((both, row))
-            twice = (both[by][1:] == both[by][:-1]) & (row[by][1:] == row[by][:-1])
+            both, rows = [], []
+            for c in ("wt", "we"):
+                flat, sizes = _flat(pdf[c])
+                row = np.repeat(np.arange(len(pdf)), sizes)
+                by = np.lexsort((flat, row))
+                new = np.ones(len(by), bool)
+                new[1:] = (flat[by][1:] != flat[by][:-1]) | (row[by][1:] != row[by][:-1])
+                both.append(flat[by][new])
+                rows.append(row[by][new])
+            n, m = (np.bincount(r, minlength=len(pdf)) for r in rows)
+            word, row = np.concatenate(both), np.concatenate(rows)
+            by = np.lexsort((word, row))
+            twice = (word[by][1:] == word[by][:-1]) & (row[by][1:] == row[by][:-1])
             common = np.bincount(row[by][1:][twice], minlength=len(pdf))
-            ok = np.where(pdf["kind"] == 1, common == 2, enough(size_a, size_b, common))
+            ok = np.where(pdf["kind"] == 1, common == 2, enough(n, m, common))
             yield pdf.assign(common=common)[ok][names]
 
 
-def _distinct(words: pd.Series) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct words of every text end to end, and their numbers."""
-    parts = [np.unique(np.frombuffer(x, np.int64)) for x in words]
-    return np.concatenate(parts), np.fromiter(map(len, parts), np.int64, len(parts))
-
-
 def _covered(matches):
     """Words of t in the union of sorted spans."""
 
