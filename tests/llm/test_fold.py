@@ -51,11 +51,14 @@ def test_collision_is_resolved(spark, monkeypatch):
     """With a hash that always collides, the comparison alone still gives the groups."""
     from voxloom.llm import fold as module
 
-    def collide(batches):
-        import pandas as pd
+    def collide(keys):
+        def run(batches):
+            import pandas as pd
 
-        for pdf in batches:
-            yield pd.DataFrame({"row_id": pdf["row_id"], "h1": 1, "h2": 2})
+            for pdf in batches:
+                yield pd.DataFrame({"row_id": pdf["row_id"], "h1": 1, "h2": 2})
+
+        return run
 
     monkeypatch.setattr(module, "_hashed", collide)
     df = spark.createDataFrame([(1, "a b"), (2, "A, b"), (3, "c"), (4, "C!"), (5, "d")], "row_id long, text string")
@@ -66,7 +69,29 @@ def test_collision_is_resolved(spark, monkeypatch):
 @given(st.text(alphabet="aB ،.​é", max_size=12), st.text(alphabet="Ab ,!​É", max_size=12))
 def test_hash_agrees_with_pointers(a, b):
     h1, h2, _ = fold.signatures([a, b])
-    assert fold.same_words(a, b) == (canonical(a)[0] == canonical(b)[0]) == (h1[0] == h1[1] and h2[0] == h2[1])
+    assert fold.same_words([a], [b])[0] == (canonical(a)[0] == canonical(b)[0]) == (h1[0] == h1[1] and h2[0] == h2[1])
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.tuples(st.text(alphabet="aB ,é", max_size=5), st.text(alphabet="Ab ,É", max_size=5)), max_size=8))
+def test_comparison_of_a_batch(pairs):
+    a, b = [x for x, _ in pairs], [y for _, y in pairs]
+    assert fold.same_words(a, b).tolist() == [canonical(x)[0] == canonical(y)[0] for x, y in pairs]
+
+
+def test_repeated_rows_count_once(spark):
+    rows = [(1, "a b"), (1, "a b"), (2, "A, b!"), (2, "A, b!"), (3, "c"), (4, "a B"), (4, "other")]
+    df = spark.createDataFrame(rows, "row_id long, text string")
+    found = [tuple(r) for r in fold.copies_found(df).collect()]
+    assert sorted(x for x in found if x[1] != 4) == [(1, 2)] and len(found) == len(set(found)) <= 2
+    copies = {r["row_id"]: r["copies"] for r in fold.collapsed(df).collect()}
+    assert sum(copies.values()) == 4 and copies[3] == 1
+
+
+def test_field_keys_are_a_parameter(spark):
+    df = spark.createDataFrame([(1, "[who: x] a"), (2, "who=X :: A"), (3, "who x a"), (4, "[mic: x] a")], "row_id long, text string")
+    assert {tuple(r) for r in fold.copies_found(df, ("who",)).collect()} == {(1, 2)}
+    assert {tuple(r) for r in fold.copies_found(df, ()).collect()} == {(1, 2), (1, 3)}
 
 
 def test_very_long_text():
@@ -75,8 +100,12 @@ def test_very_long_text():
     assert h1[0] == h1[1] != h1[2]
 
 
-def test_hot_group(spark):
+def test_hot_group(spark, monkeypatch):
     from pyspark.sql import functions as F
 
+    from voxloom.plans import blocks
+
+    monkeypatch.setattr(blocks.hot_keys, "__defaults__", (50, None))
+
     df = spark.range(3000).select(F.col("id").alias("row_id"), F.when(F.col("id") % 3 == 0, F.concat(F.lit("hot text"), F.repeat(F.lit("!"), (F.col("id") % 5).cast("int")))).otherwise(F.concat(F.lit("t "), F.col("id").cast("string"))).alias("text"))
     assert fold.copies_found(df).count() == 999

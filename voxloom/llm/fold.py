@@ -22,18 +22,25 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from voxloom.plans.blocks import dealt, hot_keys, repeated
 from voxloom.plans.stash import stash
 
-# The keys of the field block.
+# The keys of the field block in the clip texts; the default of the operators' parameter.
 FIELD_KEYS = ("tone", "pace", "take", "mic", "room", "style")
-_KEYS = "|".join(FIELD_KEYS)
-_HEAD = re.compile(rf"[\W_]*?((?:\[\s*(?:{_KEYS})\s*[:=][^\[\]|;]*\]\s*)+|(?:(?:{_KEYS})\s*[:=][^\[\]|;:=]*;\s*)*(?:{_KEYS})\s*[:=][^\[\]|;:=]*::)", re.I)
-_TAIL = re.compile(rf"\|\|\s*((?:(?:{_KEYS})\s*[:=][^\[\]|;:=]*\|\s*)*(?:{_KEYS})\s*[:=][^\[\]|;:=]*)$", re.I)
-_FIELD = re.compile(rf"({_KEYS})\s*[:=]\s*([^\[\]|;:=]*)", re.I)
 
 _MASK = (1 << 64) - 1
 _BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)  # odd multipliers
-MISMATCH_ROUNDS = 64
+
+
+@lru_cache(maxsize=8)
+def _patterns(keys: tuple[str, ...]) -> tuple[re.Pattern, re.Pattern, re.Pattern]:
+    """Patterns of a field block before the text, of one after it, and of a field."""
+    key = "(?:" + "|".join(map(re.escape, keys)) + r")\s*[:=]"
+    plain = rf"{key}[^\[\]|;:=]*"
+    head = rf"[\W_]*?((?:\[\s*{key}[^\[\]|;]*\]\s*)+|(?:{plain};\s*)*{plain}::)"
+    tail = rf"\|\|\s*((?:{plain}\|\s*)*{plain})$"
+    field = rf"({'|'.join(map(re.escape, keys))})\s*[:=]\s*([^\[\]|;:=]*)"
+    return re.compile(head, re.I), re.compile(tail, re.I), re.compile(field, re.I)
 
 
 @lru_cache(maxsize=1)
@@ -74,22 +81,17 @@ def _mix(x: np.ndarray, salt: int) -> np.ndarray:
     return z ^ (z >> np.uint64(31))
 
 
-def field_block(text: str) -> tuple[int, int, frozenset[str]]:
+def field_block(text: str, keys: tuple[str, ...] = FIELD_KEYS) -> tuple[int, int, frozenset[str]]:
     """The span of the text without its field block, and the block's raw ``key=value`` strings."""
-    if "[" in text or "=" in text or ":" in text:
-        m = _HEAD.match(text)
-        if m:
-            return m.end(), len(text), _raw_fields(m.group(1))
-        m = _TAIL.search(text)
-        if m:
-            return 0, m.start(), _raw_fields(m.group(1))
+    if keys and ("[" in text or "=" in text or ":" in text):
+        head, tail, field = _patterns(keys)
+        if m := head.match(text):
+            return m.end(), len(text), frozenset(f"{k}={v}" for k, v in field.findall(m[1]))
+        if m := tail.search(text):
+            return 0, m.start(), frozenset(f"{k}={v}" for k, v in field.findall(m[1]))
     return 0, len(text), frozenset()
 
 
-def _raw_fields(block: str) -> frozenset[str]:
-    return frozenset(f"{k}={v}" for k, v in _FIELD.findall(block))
-
-
 @lru_cache(maxsize=65536)
 def _field_hash(raw: str) -> tuple[int, int, int]:
     key, _, value = raw.partition("=")
@@ -135,9 +137,9 @@ def _poly(bodies: list[str], _alnum: bool = True) -> tuple[np.ndarray, np.ndarra
     return out[0], out[1]
 
 
-def signatures(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def signatures(texts: list[str], keys: tuple[str, ...] = FIELD_KEYS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Two hashes of every text, and whether it has a letter or digit at all."""
-    spans = [field_block(t) for t in texts]
+    spans = [field_block(t, keys) for t in texts]
     h1, h2 = _poly([t[a:b] if f else t for t, (a, b, f) in zip(texts, spans)])
     for i, (_, _, fields) in enumerate(spans):
         if fields:
@@ -152,84 +154,90 @@ def signatures(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return h1.view(np.int64), h2.view(np.int64), seen[ends] > seen[ends - lens]
 
 
-def same_words(a: str, b: str) -> bool:
-    """Whether two texts have the same words in the same order, by two skipping pointers."""
-    if a == b:
-        return True
-    table = fold_table()
-    i, j, n, m = 0, 0, len(a), len(b)
-    while True:
-        gap_a = gap_b = False
-        while i < n and not table[ord(a[i])]:
-            i, gap_a = i + 1, True
-        while j < m and not table[ord(b[j])]:
-            j, gap_b = j + 1, True
-        if i == n or j == m:
-            return i == n and j == m
-        if (gap_a or i == 0) != (gap_b or j == 0) or table[ord(a[i])] != table[ord(b[j])]:
-            return False
-        i, j = i + 1, j + 1
-
-
-def same_record(a: str, b: str) -> bool:
-    """Whether two texts are copies: same words in order, same set of fields."""
-    if a == b:
-        return True
-    sa, ea, fa = field_block(a)
-    sb, eb, fb = field_block(b)
-    if {_field_hash(x) for x in fa} != {_field_hash(x) for x in fb}:
-        return False
-    return same_words(a[sa:ea], b[sb:eb])
-
-
-def _hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        h1, h2, alnum = signatures(pdf["text"].tolist())
-        out = pd.DataFrame({"row_id": pdf["row_id"], "h1": h1, "h2": h2})
-        yield out[alnum]
-
-
-def _compared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        eq = [same_record(a, b) for a, b in zip(pdf["text"], pdf["first_text"])]
-        yield pdf[["row_id", "h1", "h2", "first_row_id"]].assign(eq=eq)
-
-
-def copy_groups(records: DataFrame) -> DataFrame:
-    """The first record of the group of every text: columns ``row_id``, ``first_row_id``.
-
-    ``records`` needs ``row_id`` LONG (unique; null ids are left out, repeated
-    rows count once) and ``text``. Null texts and texts without any letter or
-    digit are in no group. A text without a copy is its own first record. Texts
-    may be empty or very long; other columns are ignored.
+def _skipped(bodies: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """What two pointers stop at, text after text: folded symbols, those at a word start marked, and their numbers."""
+    raw, lens = _codes(bodies)
+    sym = fold_table()[raw]
+    row = np.repeat(np.arange(len(bodies)), lens)
+    kept = sym != 0
+    first = kept.copy()
+    first[1:] &= ~kept[:-1] | (row[1:] != row[:-1])
+    return (sym | first.astype(np.uint32) << np.uint32(31))[kept], np.bincount(row[kept], minlength=len(bodies))
+
+
+def same_words(a: list[str], b: list[str]) -> np.ndarray:
+    """Whether the texts of a and b have the same words in the same order, by pointers that skip and fold in both at once."""
+    (x, n), (y, m) = _skipped(a), _skipped(b)
+    ok = n == m  # then both run side by side
+    differ = x[np.repeat(ok, n)] != y[np.repeat(ok, m)]
+    bad = np.bincount(np.repeat(np.arange(len(a))[ok], n[ok])[differ], minlength=len(a))
+    return ok & (bad == 0)
+
+
+def same_records(a: list[str], b: list[str], keys: tuple[str, ...] = FIELD_KEYS) -> np.ndarray:
+    """Whether the texts of a and b are copies: same words in order, same set of fields."""
+    spans = [[field_block(t, keys) for t in x] for x in (a, b)]
+    fields = [[{_field_hash(f) for f in s[2]} for s in x] for x in spans]
+    same = same_words(*([t[s[0] : s[1]] for t, s in zip(x, y)] for x, y in zip((a, b), spans)))
+    return same & np.fromiter((x == y for x, y in zip(*fields)), bool, len(a))
+
+
+def _hashed(keys: tuple[str, ...]):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            h1, h2, alnum = signatures(pdf["text"].tolist(), keys)
+            yield pd.DataFrame({"row_id": pdf["row_id"], "h1": h1, "h2": h2})[alnum]
+
+    return run
+
+
+def _compared(keys: tuple[str, ...]):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pdf[["row_id", "h1", "h2", "first_row_id"]].assign(eq=same_records(pdf["text"].tolist(), pdf["first_text"].tolist(), keys))
+
+    return run
+
+
+def copy_groups(records: DataFrame, keys: tuple[str, ...] = FIELD_KEYS) -> DataFrame:
+    """The first record of the group of every text: columns ``row_id``, ``first_row_id``, one row per ``row_id``.
+
+    ``records`` needs ``row_id`` LONG and ``text``; ``keys`` are the names that may
+    stand in a field block (none: there are no blocks). Null ids, null texts and
+    texts without any letter or digit are in no group. Repeated rows count once; a
+    ``row_id`` with several texts counts with one of them, repeatably. A text
+    without a copy is its own first record. Texts may be empty or very long; other
+    columns are ignored. A group of any size is compared in blocks.
     """
     texts = records.select("row_id", "text").filter(F.col("row_id").isNotNull() & F.col("text").isNotNull())
-    sig = stash(texts.mapInPandas(_hashed, "row_id long, h1 long, h2 long").distinct())
+    sig = texts.mapInPandas(_hashed(keys), "row_id long, h1 long, h2 long").groupBy("row_id").agg(F.min(F.struct("h1", "h2")).alias("h"))
+    open_rows = stash(sig.select("row_id", "h.h1", "h.h2"))
     done: DataFrame | None = None
-    open_rows = sig
-    for _ in range(MISMATCH_ROUNDS):
-        heads = open_rows.groupBy("h1", "h2").agg(F.min("row_id").alias("first_row_id"), F.count(F.lit(1)).alias("n"))
-        heads = stash(heads)
-        pairs = open_rows.join(heads.filter("n > 1"), ["h1", "h2"]).filter("row_id <> first_row_id").select("row_id", "h1", "h2", "first_row_id")
-        # each head's text is fetched once, before it meets the members of its group
-        head_text = heads.filter("n > 1").select("first_row_id").join(texts.select(F.col("row_id").alias("first_row_id"), F.col("text").alias("first_text")), "first_row_id")
-        both = pairs.join(texts, "row_id").join(head_text, "first_row_id").select("row_id", "h1", "h2", "first_row_id", "text", "first_text")
-        compared = stash(both.mapInPandas(_compared, "row_id long, h1 long, h2 long, first_row_id long, eq boolean"))
-        part = compared.filter("eq").select("row_id", "first_row_id").unionByName(
-            heads.select(F.col("first_row_id").alias("row_id"), "first_row_id")
-        )
+    on = ["h1", "h2"]
+    while True:  # every round settles the first record of each open group
+        heads = stash(open_rows.groupBy(*on).agg(F.min("row_id").alias("first_row_id"), F.count(F.lit(1)).alias("n")))
+        several = heads.filter("n > 1")
+        hot = hot_keys(several, on, count=F.col("n"))
+        pairs = dealt(open_rows, on, ["row_id"], hot, "block").join(repeated(several.drop("n"), on, hot, "block"), [*on, "block"]).filter("row_id <> first_row_id")
+        # each head's text is fetched once, before it meets the members of its group block by block
+        head_text = several.drop("n").join(texts.select(F.col("row_id").alias("first_row_id"), F.col("text").alias("first_text")), "first_row_id")
+        met = pairs.join(texts, "row_id").join(repeated(head_text, on, hot, "block").select("first_row_id", "block", "first_text"), ["first_row_id", "block"])
+        both = met.select("row_id", *on, "first_row_id", "text", "first_text")
+        equal = both.mapInPandas(_compared(keys), "row_id long, h1 long, h2 long, first_row_id long, eq boolean")
+        # of a row_id's several texts one has the hashes; repeated rows collapse
+        compared = stash(equal.groupBy("row_id", *on, "first_row_id").agg(F.max("eq").alias("eq")))
+        part = compared.filter("eq").select("row_id", "first_row_id").unionByName(heads.select(F.col("first_row_id").alias("row_id"), "first_row_id"))
         done = part if done is None else done.unionByName(part)
-        open_rows = compared.filter("NOT eq").select("row_id", "h1", "h2")
-        if not open_rows.limit(1).count():
+        open_rows = compared.filter("NOT eq").select("row_id", *on)
+        if open_rows.isEmpty():
             return done
-    raise RuntimeError("hash collisions remain")
 
 
-def copies_found(records: DataFrame) -> DataFrame:
+def copies_found(records: DataFrame, keys: tuple[str, ...] = FIELD_KEYS) -> DataFrame:
     """One row for each record but the first of its group: ``first_row_id``, ``row_id``."""
-    return copy_groups(records).filter("row_id <> first_row_id").select("first_row_id", "row_id")
+    return copy_groups(records, keys).filter("row_id <> first_row_id").select("first_row_id", "row_id")
 
 
-def collapsed(records: DataFrame) -> DataFrame:
+def collapsed(records: DataFrame, keys: tuple[str, ...] = FIELD_KEYS) -> DataFrame:
     """One record per group with its number of copies: ``row_id`` (the first), ``copies``."""
-    return copy_groups(records).groupBy(F.col("first_row_id").alias("row_id")).agg(F.count(F.lit(1)).alias("copies"))
+    return copy_groups(records, keys).groupBy(F.col("first_row_id").alias("row_id")).agg(F.count(F.lit(1)).alias("copies"))
