@@ -15,7 +15,8 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 _LOCAL_ROOTS: dict[str, str] = {}
 _WRITTEN: list[tuple[SparkSession, str]] = []
@@ -43,6 +44,8 @@ def stash(df: DataFrame, keep: bool = True) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_root(spark)}/voxloom-{uuid.uuid4().hex}"
+    if not _WRITTEN:
+        atexit.register(_drop_at_exit)
     df.write.parquet(path)
     _WRITTEN.append((spark, path))
     out = spark.read.schema(df.schema).parquet(path)
@@ -51,6 +54,13 @@ def stash(df: DataFrame, keep: bool = True) -> DataFrame:
     return out
 
 
+def stash_counted(df: DataFrame, keep: bool = True) -> tuple[DataFrame, int]:
+    """The same, with the number of rows, which the write itself counts."""
+    seen = Observation()
+    out = stash(df.observe(seen, F.count(F.lit(1)).alias("n")), keep)
+    return out, seen.get["n"]
+
+
 def drop_stash(*tables: DataFrame) -> None:
     """Removes tables stashed with ``keep=False`` that nothing reads any more."""
     for t in tables:
@@ -65,6 +75,14 @@ def drop_all() -> None:
         _remove(*_WRITTEN.pop())
 
 
+def _drop_at_exit() -> None:
+    """Leaves nothing in the shared folder, if the session still runs when the process ends."""
+    try:
+        drop_all()
+    except Exception:  # noqa: BLE001 - the session is gone; its owner clears the folder
+        _WRITTEN.clear()
+
+
 def _remove(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
