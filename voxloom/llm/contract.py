@@ -6,15 +6,17 @@ neighbour; the edges are rewritten to the survivors, and edges that became loops
 or duplicates vanish. A quarter of the vertices that still have edges goes in
 each round on average, so the number of rounds is logarithmic, whatever the
 diameter. The collapses form a forest; following its pointers by doubling unwinds
-the labels. Nothing but the number of remaining edges reaches the driver.
+the labels; every round's collapses are worked out again from its edges, which is
+cheaper than a table of them. Only the number of remaining edges reaches the driver.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from voxloom.plans.stash import drop_stash, stash
+from voxloom.plans.blocks import BLOCK, dealt, hot_keys, repeated
+from voxloom.plans.stash import drop_stash, stash, stash_counted
 
 
 def _heads(v: str, round_no: int):
@@ -29,56 +31,69 @@ def _clean(edges: DataFrame) -> DataFrame:
     )
 
 
-def components(edges: DataFrame, max_rounds: int = 400) -> DataFrame:
+def _hooks(left: DataFrame, round_no: int) -> DataFrame:
+    """Which vertices are collapsed in a round, and into what: ``v``, ``to``."""
+    both = left.select("a", "b").unionByName(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    return both.filter(~_heads("a", round_no) & _heads("b", round_no)).groupBy(F.col("a").alias("v")).agg(F.min("b").alias("to"))
+
+
+def _rewritten(left: DataFrame, hooks: DataFrame, end: str, several: bool) -> DataFrame:
+    """Edges whose ``end`` is the survivor of a collapse; with ``several``, edges of a hot vertex are dealt to blocks."""
+    to = hooks.select(F.col("v").alias(end), F.col("to").alias("__to"))
+    on = [end]
+    if several:
+        hot = hot_keys(left, [end])
+        other = "b" if end == "a" else "a"
+        left, to, on = dealt(left, [end], [other], hot, "__block"), repeated(to, [end], hot, "__block"), [end, "__block"]
+    return left.join(to, on, "left").withColumn(end, F.coalesce("__to", end)).select("a", "b")
+
+
+def components(edges: DataFrame) -> DataFrame:
     """Labels the vertices of ``edges`` (``a`` LONG, ``b`` LONG): columns ``v``, ``root``.
 
     ``root`` is one vertex of the component, the same for all of them; which one
     is repeatable but otherwise arbitrary. Edges with a null end are ignored,
     loops too; a vertex without any other edge, and the chosen root itself, may be
-    missing from the result, so callers use ``coalesce(root, v)``.
+    missing from the result, so callers use ``coalesce(root, v)``. A round is one
+    job; it is repeated until no edge is left.
     """
-    left = stash(_clean(edges.filter(F.col("a").isNotNull() & F.col("b").isNotNull())), keep=False)
+    left, n = stash_counted(_clean(edges.filter(F.col("a").isNotNull() & F.col("b").isNotNull())), keep=False)
     forest: DataFrame | None = None
     rounds = 0
-    while left.count() > 0:
-        if rounds >= max_rounds:
-            raise RuntimeError(f"edges remain after {max_rounds} rounds")
-        both = left.select("a", "b").unionByName(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        hooks = stash(
-            both.filter(~_heads("a", rounds) & _heads("b", rounds)).groupBy(F.col("a").alias("v")).agg(F.min("b").alias("to"))
-        )
-        ha = hooks.select(F.col("v").alias("a"), F.col("to").alias("a_to"))
-        hb = hooks.select(F.col("v").alias("b"), F.col("to").alias("b_to"))
-        moved = (
-            left.join(ha, "a", "left")
-            .join(hb, "b", "left")
-            .select(F.coalesce("a_to", "a").alias("a"), F.coalesce("b_to", "b").alias("b"))
-        )
-        nxt = stash(_clean(moved), keep=False)
-        drop_stash(left)
-        left = nxt
+    used = [left]
+    while n:
+        hooks = _hooks(left, rounds)
+        several = n > BLOCK  # fewer edges can't have a hot vertex
+        moved = _rewritten(_rewritten(left, hooks, "a", several), hooks, "b", several)
         forest = hooks if forest is None else forest.unionByName(hooks)
+        left, n = stash_counted(_clean(moved), keep=False)
+        used.append(left)
         rounds += 1
-    drop_stash(left)
     if forest is None:
         return edges.select(F.col("a").cast("long").alias("v"), F.col("b").cast("long").alias("root")).limit(0)
-    return follow(forest.select("v", F.col("to").alias("root")), depth=rounds)
+    out = follow(forest.select("v", F.col("to").alias("root")), depth=rounds)
+    drop_stash(*used)
+    return out
 
 
 def follow(pointers: DataFrame, depth: int | None = None) -> DataFrame:
     """Follows ``v`` -> ``root`` pointers (a forest, one row per ``v``) to the last vertex by doubling.
 
     ``depth`` bounds the longest chain if it is known; otherwise the doubling ends
-    when no pointer moves any more.
+    when no pointer moves any more. Many pointers to one vertex are dealt to blocks.
     """
-    cur = stash(pointers)
+    cur, n = stash_counted(pointers)
     span = 1
-    while depth is None or span < depth:
-        nxt_p = cur.select(F.col("v").alias("root"), F.col("root").alias("next"))
-        step = cur.join(nxt_p, "root", "left").select("v", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved"))
-        step = stash(step)
-        cur = step.select("v", "root")
+    while n and (depth is None or span < depth):
+        to = cur.select(F.col("v").alias("root"), F.col("root").alias("next"))
+        rows, on = cur, ["root"]
+        if n > BLOCK:
+            hot = hot_keys(cur, ["root"])
+            rows, to, on = dealt(cur, ["root"], ["v"], hot, "__block"), repeated(to, ["root"], hot, "__block"), ["root", "__block"]
+        step = rows.join(to, on, "left").select("v", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved"))
+        seen = Observation()
+        cur = stash(step.observe(seen, F.count_if("moved").alias("moved"))).select("v", "root")
         span *= 2
-        if not step.filter("moved").limit(1).count():
+        if not seen.get["moved"]:
             break
     return cur

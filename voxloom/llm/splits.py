@@ -13,12 +13,13 @@ from pyspark.sql import functions as F
 
 from voxloom.llm.contract import components
 from voxloom.operators.running import hashed_running, position
+from voxloom.plans.blocks import dealt, hot_keys, repeated
 from voxloom.plans.stash import stash
 
 # The decimal digits of the three scripts that occur in names.
 _DIGITS_FROM = "٠١٢٣٤٥٦٧٨٩۰۱۲۳۴۵۶۷۸۹０１２３４５６７８９"
 _DIGITS_TO = "0123456789" * 3
-#: A group with this share of all records or more is placed one by one; at most 1/BIG_SHARE such groups exist.
+#: Default of ``big_share``, from which on a group is placed by itself.
 BIG_SHARE = 0.001
 
 
@@ -46,91 +47,99 @@ def _entities(records: DataFrame) -> DataFrame:
     )
 
 
-def related_groups(records: DataFrame) -> DataFrame:
-    """The group of every record: columns ``row_id``, ``root``, one row per distinct ``row_id``.
+class Related:
+    """Groups of related records of a table with ``row_id``, ``audio_file`` and ``speaker_name``.
 
     Records are related through the same episode number (the first number of
     ``audio_file``) or the same speaker number, in any spelling, directly or
     through other records. Null, blank and number-free names, and speaker 0,
     relate nothing: such a record is a group of its own. Records with a null
-    ``row_id`` relate others but have no row of their own. Other columns are
-    ignored; an empty table gives an empty result.
+    ``row_id`` relate others but have no row of their own; repeated rows count
+    once, and a ``row_id`` with several names has the place of the smallest
+    (all of them relate others). Other columns are ignored; an empty table gives
+    empty results. A ``root`` is (0, entity) or, of a record by itself, (2, row_id).
     """
-    ent = stash(_entities(records.select("row_id", "audio_file", "speaker_name")))
-    edges = ent.filter(F.col("ep").isNotNull() & F.col("spk").isNotNull()).select(F.col("ep").alias("a"), F.col("spk").alias("b"))
-    roots = components(edges)
-    own = F.coalesce("ep", "spk", position(F.col("row_id")) % F.lit(1 << 60) * 4 + 2)
-    named = ent.filter(F.col("row_id").isNotNull()).select("row_id", own.alias("v")).distinct()
-    # a repeated row_id with two entities belongs to one group only if they are tied; the smaller root stands for it
-    return (
-        named.join(roots, "v", "left")
-        .select("row_id", F.coalesce("root", "v").alias("root"))
-        .groupBy("row_id")
-        .agg(F.min("root").alias("root"))
-    )
-
-
-def group_firsts(groups: DataFrame) -> DataFrame:
-    """One row for each record but the first of its group: ``first_row_id``, ``row_id``."""
-    firsts = groups.groupBy("root").agg(F.min("row_id").alias("first_row_id"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    return groups.join(firsts, "root").filter("row_id <> first_row_id").select("first_row_id", "row_id")
-
 
-def assign_splits(spark: SparkSession, groups: DataFrame, targets: DataFrame, seed: int = 42) -> DataFrame:
-    """Gives every group a split: columns ``root``, ``n``, ``split``.
+    def __init__(self, records: DataFrame):
+        ent = stash(_entities(records.select("row_id", "audio_file", "speaker_name")))
+        edges = ent.filter(F.col("ep").isNotNull() & F.col("spk").isNotNull()).select(F.col("ep").alias("a"), F.col("spk").alias("b"))
+        roots = components(edges)
+        self.rows = stash(ent.filter(F.col("row_id").isNotNull()).groupBy("row_id").agg(F.min(F.coalesce("ep", "spk")).alias("v")))
+        entities = self.rows.filter("v IS NOT NULL").groupBy("v").agg(F.min("row_id").alias("first"), F.count(F.lit(1)).alias("n"))
+        root = F.struct(F.lit(0).alias("kind"), F.coalesce("root", "v").alias("id"))
+        self.entities = stash(entities.join(roots, "v", "left").select("v", "first", "n", root.alias("root")))
+        single = self.rows.filter("v IS NULL").select(F.struct(F.lit(2).alias("kind"), F.col("row_id").alias("id")).alias("root"), F.col("row_id").alias("first_row_id"), F.lit(1).cast("long").alias("n"))
+        self.groups = stash(self.entities.groupBy("root").agg(F.min("first").alias("first_row_id"), F.sum("n").alias("n")).unionByName(single))
+
+    def labelled(self, values: DataFrame) -> DataFrame:
+        """Every record (``row_id``) with the other columns of its group's row in ``values`` (by ``root``); hot groups and entities are dealt to blocks."""
+        names = [c for c in values.columns if c != "root"]
+        hot = hot_keys(self.entities, ["root"])
+        of_entity = dealt(self.entities, ["root"], ["v"], hot, "block").join(repeated(values, ["root"], hot, "block"), ["root", "block"])
+        hot = hot_keys(self.entities, ["v"], count=F.col("n"))
+        named = dealt(self.rows.filter("v IS NOT NULL"), ["v"], ["row_id"], hot, "block").join(repeated(of_entity.select("v", *names), ["v"], hot, "block"), ["v", "block"])
+        alone = values.filter("root.kind = 2").select(F.col("root.id").alias("row_id"), *names)
+        return named.select("row_id", *names).unionByName(alone)
+
+    def firsts(self) -> DataFrame:
+        """One row for each record but the first of its group: ``first_row_id``, ``row_id``."""
+        return self.labelled(self.groups.filter("n > 1").drop("n")).filter("row_id <> first_row_id").select("first_row_id", "row_id")
+
+
+def assign_splits(spark: SparkSession, groups: DataFrame, targets: DataFrame, seed: int = 42, big_share: float = BIG_SHARE) -> DataFrame:
+    """Gives every group a split: ``groups`` (``root``, ``n``, and more) with ``split``.
 
     ``targets`` (``split``, ``target_share``) is a table of a few rows; null or
     non-positive shares get nothing, the rest is scaled to 1. Groups of at least
-    ``BIG_SHARE`` of the records - at most 1/BIG_SHARE of them, whatever the
-    size of the input - are placed largest first where most room is left. All
-    smaller groups are laid out in a hash order, and their cumulative weight is
-    cut at what the splits still lack, which misses a target by less than one
-    small group per cut.
+    ``big_share`` of the records, at most 1/big_share of them whatever the size of
+    the input, are placed largest first where most room is left: they would miss a
+    cut by their whole weight. All others are laid out in a hash order, and their
+    cumulative weight is cut at what the splits still lack, which misses a target
+    by less than ``big_share`` per cut. With ``big_share`` above 1 all are laid out.
     """
-    sizes = stash(groups.groupBy("root").agg(F.count(F.lit(1)).alias("n")))
-    total = sizes.agg(F.sum("n")).first()[0] or 0
+    total = groups.agg(F.sum("n")).first()[0] or 0
     shares = [(r[0], float(r[1])) for r in targets.select("split", "target_share").orderBy("split").collect() if r[0] is not None and r[1] and r[1] > 0]
     if not shares:
         raise ValueError("no split has a positive target share")
     scale = sum(s for _, s in shares)
     room = {k: s / scale * total for k, s in shares}
-    limit = max(1, int(total * BIG_SHARE))
-    big = sizes.filter(F.col("n") > limit).orderBy(F.desc("n"), "root").collect()  # at most 1 / BIG_SHARE rows
-    placed = []
+    limit = max(1, int(total * big_share))
+    big = groups.filter(F.col("n") > limit).select("root", "n").orderBy(F.desc("n"), "root").collect()  # at most 1 / big_share rows
+    placed = {}
     for r in big:
         best = max(room, key=lambda k: (room[k], k))
         room[best] -= r["n"]
-        placed.append((r["root"], r["n"], best))
-    small = hashed_running(sizes.filter(F.col("n") <= limit), [], ["root"], F.col("n"), seed)
-    small_total = total - sum(r["n"] for r in big)
+        placed[tuple(r["root"])] = best
+    laid = hashed_running(groups.filter(F.col("n") <= limit), [], ["root"], F.col("n"), seed)
+    laid_total = total - sum(r["n"] for r in big)
     lacking = {k: max(0.0, v) for k, v in room.items()}
     scale = sum(lacking.values()) or 1.0
     cut, pick = 0.0, F.lit(shares[-1][0])
     bounds = []
     for k, _ in shares:
-        cut += lacking[k] / scale * small_total
+        cut += lacking[k] / scale * laid_total
         bounds.append((k, cut))
     mid = F.col("run_before") + F.col("n") / 2
     for k, at in reversed(bounds[:-1]):
         pick = F.when(mid < at, F.lit(k)).otherwise(pick)
-    out = small.select("root", "n", pick.alias("split"))
+    out = laid.select(*groups.columns, pick.alias("split"))
     if placed:
-        out = out.unionByName(spark.createDataFrame(placed, "root long, n long, split string"))
+        kind = dict(groups.dtypes)["root"]
+        table = spark.createDataFrame([(k, v) for k, v in placed.items()], f"root {kind}, split string")
+        out = out.unionByName(groups.join(F.broadcast(table), "root").select(*groups.columns, "split"))  # at most 1 / big_share rows
     return out
 
 
-def split_records(spark: SparkSession, records: DataFrame, targets: DataFrame) -> DataFrame:
+def split_records(spark: SparkSession, records: DataFrame, targets: DataFrame, big_share: float = BIG_SHARE) -> DataFrame:
     """Every record with its new split: ``row_id``, ``first_row_id`` (smallest of its group), ``group_size``, ``assigned_split``."""
-    groups = stash(related_groups(records))
-    firsts = groups.groupBy("root").agg(F.min("row_id").alias("first_row_id"))
-    splits = assign_splits(spark, groups, targets).join(firsts, "root")
-    return groups.join(splits, "root").select("row_id", "first_row_id", F.col("n").alias("group_size"), F.col("split").alias("assigned_split"))
+    related = Related(records)
+    splits = assign_splits(spark, related.groups, targets, big_share=big_share)
+    return related.labelled(splits.withColumnsRenamed({"n": "group_size", "split": "assigned_split"})).select("row_id", "first_row_id", "group_size", "assigned_split")
 
 
-def split_shares(spark: SparkSession, records: DataFrame, targets: DataFrame) -> DataFrame:
+def split_shares(spark: SparkSession, records: DataFrame, targets: DataFrame, big_share: float = BIG_SHARE) -> DataFrame:
     """Target and actual share per split: ``split``, ``target_share``, ``records``, ``groups``, ``actual_share``."""
-    groups = related_groups(records)
-    got = assign_splits(spark, groups, targets).groupBy("split").agg(F.sum("n").alias("records"), F.count(F.lit(1)).alias("groups"))
+    got = assign_splits(spark, Related(records).groups, targets, big_share=big_share).groupBy("split").agg(F.sum("n").alias("records"), F.count(F.lit(1)).alias("groups"))
     total = got.agg(F.sum("records").alias("total"))
     return (
         targets.select("split", "target_share")
