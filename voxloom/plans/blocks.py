@@ -20,45 +20,51 @@ BLOCK = 20_000
 MOST = 1 << 16
 
 
-def hot_keys(rows: DataFrame, keys: Sequence[str], size: int = BLOCK, count: Column | None = None) -> DataFrame:
+def hot_keys(rows: DataFrame, keys: Sequence[str], size: int | None = None, count: Column | None = None, most: int | None = None) -> DataFrame | None:
     """Keys of more than ``size`` rows, at most ``MOST``: ``keys`` and ``__k``, their number of blocks.
 
-    With ``count``, ``rows`` has one row per key and this number of rows for it.
+    With ``count``, ``rows`` has one row per key and this number of rows for it;
+    ``most`` is the greatest of these numbers, if known: where it is not above
+    ``size``, no key is hot, and None says so.
     """
+    size = size or BLOCK
+    if most is not None and most <= size:
+        return None
     counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")) if count is None else rows.select(*keys, count.alias("__n"))
     total = counts.agg(F.sum("__n").alias("__t"))
     hot = counts.join(F.broadcast(total)).filter((F.col("__n") > size) & (F.col("__n") > F.col("__t") / MOST))  # one row
     return hot.select(*keys, F.ceil(F.col("__n") / size).cast("int").alias("__k"))
 
 
-def _block(ids: Sequence[str]) -> Column:
-    return F.pmod(F.xxhash64(*ids), F.coalesce("__k", F.lit(1))).cast("int")
-
-
-def dealt(rows: DataFrame, keys: Sequence[str], ids: Sequence[str], hot: DataFrame, out: str) -> DataFrame:
+def dealt(rows: DataFrame, keys: Sequence[str], ids: Sequence[str], hot: DataFrame | None, out: str) -> DataFrame:
     """Adds ``out``, the block of every row by a hash of ``ids`` (0 unless its key is hot)."""
-    return rows.join(F.broadcast(hot), list(keys), "left").withColumn(out, _block(ids)).drop("__k")
+    if hot is None:
+        return rows.withColumn(out, F.lit(0))
+    block = F.pmod(F.xxhash64(*ids), F.coalesce("__k", F.lit(1))).cast("int")
+    return rows.join(F.broadcast(hot), list(keys), "left").withColumn(out, block).drop("__k")
 
 
-def repeated(rows: DataFrame, keys: Sequence[str], hot: DataFrame, out: str) -> DataFrame:
+def repeated(rows: DataFrame, keys: Sequence[str], hot: DataFrame | None, out: str) -> DataFrame:
     """Every row once for each block ``out`` of its key."""
+    if hot is None:
+        return rows.withColumn(out, F.lit(0))
     k = F.coalesce("__k", F.lit(1))
     return rows.join(F.broadcast(hot), list(keys), "left").withColumn(out, F.explode(F.sequence(F.lit(0), k - 1))).drop("__k")
 
 
-def meet(links: DataFrame, left: DataFrame, right: DataFrame, on_left: Sequence[str], on_right: Sequence[str], size: int = BLOCK, hot: Sequence[DataFrame | None] = (None, None)) -> DataFrame:
+def meet(links: DataFrame, left: DataFrame, right: DataFrame, on_left: Sequence[str], on_right: Sequence[str], size: int | None = None, hot: Sequence[DataFrame | None] | None = None) -> DataFrame:
     """``links`` joined with the members of both its ends, hot ends block by block.
 
     ``left`` has the columns ``on_left`` and others of its own, ``right``
     ``on_right`` and others; keys must not be null. Every task gets at most about
     ``size`` members of a key from either side. ``hot`` has the hot keys of both
-    sides where they are known.
+    sides if they are known (None for a side without any).
     """
     pairs = links
     sides = []
-    for rows, keys, out, known in ((left, on_left, "__bl", hot[0]), (right, on_right, "__br", hot[1])):
+    for rows, keys, out, known in ((left, on_left, "__bl", 0), (right, on_right, "__br", 1)):
         own = [c for c in rows.columns if c not in keys]
-        table = hot_keys(rows, keys, size) if known is None else known
+        table = hot[known] if hot else hot_keys(rows, keys, size)
         pairs = repeated(pairs, keys, table, out)
         sides.append((dealt(rows, keys, own, table, out), [*keys, out]))
     for rows, on in sides:

@@ -15,8 +15,7 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, Observation, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 _LOCAL_ROOTS: dict[str, str] = {}
 _WRITTEN: list[tuple[SparkSession, str]] = []
@@ -54,11 +53,11 @@ def stash(df: DataFrame, keep: bool = True) -> DataFrame:
     return out
 
 
-def stash_counted(df: DataFrame, keep: bool = True) -> tuple[DataFrame, int]:
-    """The same, with the number of rows, which the write itself counts."""
+def stash_measured(df: DataFrame, keep: bool = True, **measures: Column) -> tuple[DataFrame, dict]:
+    """The same, with aggregates over the rows that the write itself takes."""
     seen = Observation()
-    out = stash(df.observe(seen, F.count(F.lit(1)).alias("n")), keep)
-    return out, seen.get["n"]
+    out = stash(df.observe(seen, *[m.alias(k) for k, m in measures.items()]), keep)
+    return out, seen.get
 
 
 def drop_stash(*tables: DataFrame) -> None:
