@@ -105,7 +105,7 @@ def test_hot_group(spark, monkeypatch):
 
     from voxloom.plans import blocks
 
-    monkeypatch.setattr(blocks.hot_keys, "__defaults__", (50, None))
+    monkeypatch.setattr(blocks, "BLOCK", 50)
 
     df = spark.range(3000).select(F.col("id").alias("row_id"), F.when(F.col("id") % 3 == 0, F.concat(F.lit("hot text"), F.repeat(F.lit("!"), (F.col("id") % 5).cast("int")))).otherwise(F.concat(F.lit("t "), F.col("id").cast("string"))).alias("text"))
     assert fold.copies_found(df).count() == 999

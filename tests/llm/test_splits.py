@@ -64,8 +64,7 @@ def test_records_by_themselves_stay_apart(spark):
 def test_hot_entities_are_dealt(spark, monkeypatch):
     from voxloom.plans import blocks
 
-    monkeypatch.setattr(blocks.hot_keys, "__defaults__", (40, None))
-    monkeypatch.setattr(contract, "BLOCK", 40)
+    monkeypatch.setattr(blocks, "BLOCK", 40)
     rows = [(i, f"ep{i % 7 if i % 3 else 1}_{i}", f"spk{i % 11 + 1}" if i % 2 else "spk1") for i in range(900)] + [(1000 + i, f"ep{100 + i}", f"spk{100 + i % 60}") for i in range(200)]
     df = spark.createDataFrame(rows, "row_id long, audio_file string, speaker_name string")
     first = {r["row_id"]: r["first_row_id"] for r in splits.Related(df).firsts().collect()}

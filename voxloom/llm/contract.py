@@ -12,11 +12,11 @@ cheaper than a table of them. Only the number of remaining edges reaches the dri
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxloom.plans.blocks import BLOCK, dealt, hot_keys, repeated
-from voxloom.plans.stash import drop_stash, stash, stash_counted
+from voxloom.plans.blocks import dealt, hot_keys, repeated
+from voxloom.plans.stash import drop_stash, stash_measured
 
 
 def _heads(v: str, round_no: int):
@@ -31,21 +31,23 @@ def _clean(edges: DataFrame) -> DataFrame:
     )
 
 
+def _counted(rows: DataFrame) -> tuple[DataFrame, int]:
+    out, seen = stash_measured(rows, keep=False, n=F.count(F.lit(1)))
+    return out, seen["n"]
+
+
 def _hooks(left: DataFrame, round_no: int) -> DataFrame:
     """Which vertices are collapsed in a round, and into what: ``v``, ``to``."""
     both = left.select("a", "b").unionByName(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
     return both.filter(~_heads("a", round_no) & _heads("b", round_no)).groupBy(F.col("a").alias("v")).agg(F.min("b").alias("to"))
 
 
-def _rewritten(left: DataFrame, hooks: DataFrame, end: str, several: bool) -> DataFrame:
-    """Edges whose ``end`` is the survivor of a collapse; with ``several``, edges of a hot vertex are dealt to blocks."""
+def _rewritten(left: DataFrame, hooks: DataFrame, end: str, n: int) -> DataFrame:
+    """The ``n`` edges, whose ``end`` is the survivor of a collapse; edges of a hot vertex are dealt to blocks."""
     to = hooks.select(F.col("v").alias(end), F.col("to").alias("__to"))
-    on = [end]
-    if several:
-        hot = hot_keys(left, [end])
-        other = "b" if end == "a" else "a"
-        left, to, on = dealt(left, [end], [other], hot, "__block"), repeated(to, [end], hot, "__block"), [end, "__block"]
-    return left.join(to, on, "left").withColumn(end, F.coalesce("__to", end)).select("a", "b")
+    hot = hot_keys(left, [end], most=n)
+    both = dealt(left, [end], ["b" if end == "a" else "a"], hot, "__block").join(repeated(to, [end], hot, "__block"), [end, "__block"], "left")
+    return both.withColumn(end, F.coalesce("__to", end)).select("a", "b")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -57,16 +59,15 @@ def components(edges: DataFrame) -> DataFrame:
     missing from the result, so callers use ``coalesce(root, v)``. A round is one
     job; it is repeated until no edge is left.
     """
-    left, n = stash_counted(_clean(edges.filter(F.col("a").isNotNull() & F.col("b").isNotNull())), keep=False)
+    left, n = _counted(_clean(edges.filter(F.col("a").isNotNull() & F.col("b").isNotNull())))
     forest: DataFrame | None = None
     rounds = 0
     used = [left]
     while n:
         hooks = _hooks(left, rounds)
-        several = n > BLOCK  # fewer edges can't have a hot vertex
-        moved = _rewritten(_rewritten(left, hooks, "a", several), hooks, "b", several)
+        moved = _rewritten(_rewritten(left, hooks, "a", n), hooks, "b", n)
         forest = hooks if forest is None else forest.unionByName(hooks)
-        left, n = stash_counted(_clean(moved), keep=False)
+        left, n = _counted(_clean(moved))
         used.append(left)
         rounds += 1
     if forest is None:
@@ -82,18 +83,16 @@ def follow(pointers: DataFrame, depth: int | None = None) -> DataFrame:
     ``depth`` bounds the longest chain if it is known; otherwise the doubling ends
     when no pointer moves any more. Many pointers to one vertex are dealt to blocks.
     """
-    cur, n = stash_counted(pointers)
-    span = 1
+    cur, seen = stash_measured(pointers, n=F.count(F.lit(1)))
+    n, span = seen["n"], 1
     while n and (depth is None or span < depth):
         to = cur.select(F.col("v").alias("root"), F.col("root").alias("next"))
-        rows, on = cur, ["root"]
-        if n > BLOCK:
-            hot = hot_keys(cur, ["root"])
-            rows, to, on = dealt(cur, ["root"], ["v"], hot, "__block"), repeated(to, ["root"], hot, "__block"), ["root", "__block"]
-        step = rows.join(to, on, "left").select("v", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved"))
-        seen = Observation()
-        cur = stash(step.observe(seen, F.count_if("moved").alias("moved"))).select("v", "root")
+        hot = hot_keys(cur, ["root"], most=n)
+        both = dealt(cur, ["root"], ["v"], hot, "__block").join(repeated(to, ["root"], hot, "__block"), ["root", "__block"], "left")
+        step = both.select("v", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved"))
+        step, seen = stash_measured(step, moved=F.count_if("moved"))
+        cur = step.select("v", "root")
         span *= 2
-        if not seen.get["moved"]:
+        if not seen["moved"]:
             break
     return cur

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from voxloom.plans.blocks import dealt, hot_keys, repeated
-from voxloom.plans.stash import stash
+from voxloom.plans.stash import stash, stash_measured
 
 # The keys of the field block in the clip texts; the default of the operators' parameter.
 FIELD_KEYS = ("tone", "pace", "take", "mic", "room", "style")
@@ -215,9 +215,9 @@ def copy_groups(records: DataFrame, keys: tuple[str, ...] = FIELD_KEYS) -> DataF
     done: DataFrame | None = None
     on = ["h1", "h2"]
     while True:  # every round settles the first record of each open group
-        heads = stash(open_rows.groupBy(*on).agg(F.min("row_id").alias("first_row_id"), F.count(F.lit(1)).alias("n")))
+        heads, seen = stash_measured(open_rows.groupBy(*on).agg(F.min("row_id").alias("first_row_id"), F.count(F.lit(1)).alias("n")), most=F.max("n"))
         several = heads.filter("n > 1")
-        hot = hot_keys(several, on, count=F.col("n"))
+        hot = hot_keys(several, on, count=F.col("n"), most=seen["most"] or 0)
         pairs = dealt(open_rows, on, ["row_id"], hot, "block").join(repeated(several.drop("n"), on, hot, "block"), [*on, "block"]).filter("row_id <> first_row_id")
         # each head's text is fetched once, before it meets the members of its group block by block
         head_text = several.drop("n").join(texts.select(F.col("row_id").alias("first_row_id"), F.col("text").alias("first_text")), "first_row_id")
@@ -225,12 +225,12 @@ def copy_groups(records: DataFrame, keys: tuple[str, ...] = FIELD_KEYS) -> DataF
         both = met.select("row_id", *on, "first_row_id", "text", "first_text")
         equal = both.mapInPandas(_compared(keys), "row_id long, h1 long, h2 long, first_row_id long, eq boolean")
         # of a row_id's several texts one has the hashes; repeated rows collapse
-        compared = stash(equal.groupBy("row_id", *on, "first_row_id").agg(F.max("eq").alias("eq")))
+        compared, seen = stash_measured(equal.groupBy("row_id", *on, "first_row_id").agg(F.max("eq").alias("eq")), differ=F.count_if(~F.col("eq")))
         part = compared.filter("eq").select("row_id", "first_row_id").unionByName(heads.select(F.col("first_row_id").alias("row_id"), "first_row_id"))
         done = part if done is None else done.unionByName(part)
-        open_rows = compared.filter("NOT eq").select("row_id", *on)
-        if open_rows.isEmpty():
+        if not seen["differ"]:
             return done
+        open_rows = compared.filter("NOT eq").select("row_id", *on)
 
 
 def copies_found(records: DataFrame, keys: tuple[str, ...] = FIELD_KEYS) -> DataFrame:

@@ -35,7 +35,7 @@ from voxloom.llm import fold, looks
 from voxloom.llm.fmindex import TextIndex
 from voxloom.llm.splits import nth_number
 from voxloom.plans.blocks import dealt, hot_keys, meet, repeated
-from voxloom.plans.stash import drop_stash, stash
+from voxloom.plans.stash import drop_stash, stash, stash_measured
 
 #: Least share of common words of near-same texts, in tenths.
 TENTHS = 7
@@ -362,7 +362,11 @@ class Overlaps:
         base = self.rows.select("row_id", (F.col("split") == "train").alias("train"), "text", *numbers)
         self.members = stash(base.mapInPandas(_members(reps), _MEMBERS))
         totals = [F.min("row_id").alias("cid"), F.count_if("train").alias("n_train"), F.count_if(~F.col("train")).alias("n_eval")]
-        self.classes = stash(self.members.groupBy("kind", "key").agg(*totals, F.min_by("words", "row_id").alias("words")))
+        classes = self.members.groupBy("kind", "key").agg(*totals, F.min_by("words", "row_id").alias("words"))
+        words = F.length("words") / 8
+        sums = {f"words_{c}": F.sum(F.when(F.col(c) > 0, words)) for c in ("n_train", "n_eval")}
+        self.classes, seen = stash_measured(classes, n_train=F.max("n_train"), n_eval=F.max("n_eval"), **sums)
+        self.seen = {k: v or 0 for k, v in seen.items()}
         found = self._sent().mapInPandas(_matched, _MATCHES)
         merged = found.groupBy("t", "e").agg(F.array_sort(F.collect_set(F.struct("at_t", "at_e", "size"))).alias("matches"))
         self.links = stash(self._checked(merged))
@@ -378,9 +382,8 @@ class Overlaps:
         counts = Numbers(known_words, n, 0)
         heavy = known_words[n > HOT]  # an anchor in more than HOT texts is such a word
         hot = Numbers(*self._hot(counts, heavy), 1)
-        held = self.classes.agg(*[F.coalesce(F.sum(F.when(F.col(c) > 0, F.length("words") / 8)), F.lit(0)).alias(c) for c in ("n_eval", "n_train")]).first()
         least = self.rows.sparkSession.sparkContext.defaultParallelism
-        shards = int(max(least, 4 * held["n_eval"] // INDEXED, 4 * held["n_train"] // STREAMED)) + 1  # a text goes to some four shards
+        shards = int(max(least, 4 * self.seen["words_n_eval"] // INDEXED, 4 * self.seen["words_n_train"] // STREAMED)) + 1  # a text goes to some four shards
         sent = self.classes.select("kind", "key", "words", "n_train", "n_eval").mapInPandas(_sent(counts, hot, shards), _TEXTS)
         return sent.repartitionById(shards, F.col("shard")).sortWithinPartitions(F.desc("side"))
 
@@ -406,10 +409,11 @@ class Overlaps:
         """Every linked pair of classes of texts: ``t``, ``e`` (smallest row ids), ``common``, ``spans``, ``covered``, ``longest``."""
         return self.links.filter("kind = 0").select(F.col("t_id").alias("t"), F.col("e_id").alias("e"), "common", "spans", "covered", "longest")
 
-    def _side(self, train: bool, key: str) -> tuple[DataFrame, DataFrame]:
+    def _side(self, train: bool, key: str) -> tuple[DataFrame, DataFrame | None]:
         """Members of one side of the split by class, and the hot classes among them."""
         members = self.members.filter(F.col("train") == train).select(F.col("key").alias(key), "row_id")
-        return members, hot_keys(self.classes.withColumnRenamed("key", key), [key], count=F.col("n_train" if train else "n_eval"))
+        count = "n_train" if train else "n_eval"
+        return members, hot_keys(self.classes.withColumnRenamed("key", key), [key], count=F.col(count), most=self.seen[count])
 
     def found(self) -> DataFrame:
         """Every overlapping pair of records: ``row_id_a`` < ``row_id_b``."""

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from voxloom.llm.contract import components
 from voxloom.operators.running import hashed_running, position
 from voxloom.plans.blocks import dealt, hot_keys, repeated
-from voxloom.plans.stash import stash
+from voxloom.plans.stash import stash, stash_measured
 
 # The decimal digits of the three scripts that occur in names.
 _DIGITS_FROM = "٠١٢٣٤٥٦٧٨٩۰۱۲۳۴۵۶۷۸۹０１２３４５６７８９"
@@ -67,23 +67,25 @@ class Related:
         self.rows = stash(ent.filter(F.col("row_id").isNotNull()).groupBy("row_id").agg(F.min(F.coalesce("ep", "spk")).alias("v")))
         entities = self.rows.filter("v IS NOT NULL").groupBy("v").agg(F.min("row_id").alias("first"), F.count(F.lit(1)).alias("n"))
         root = F.struct(F.lit(0).alias("kind"), F.coalesce("root", "v").alias("id"))
-        self.entities = stash(entities.join(roots, "v", "left").select("v", "first", "n", root.alias("root")))
-        single = self.rows.filter("v IS NULL").select(F.struct(F.lit(2).alias("kind"), F.col("row_id").alias("id")).alias("root"), F.col("row_id").alias("first_row_id"), F.lit(1).cast("long").alias("n"))
-        self.groups = stash(self.entities.groupBy("root").agg(F.min("first").alias("first_row_id"), F.sum("n").alias("n")).unionByName(single))
+        self.entities, seen = stash_measured(entities.join(roots, "v", "left").select("v", "first", "n", root.alias("root")), most=F.max("n"))
+        single = self.rows.filter("v IS NULL").select(F.struct(F.lit(2).alias("kind"), F.col("row_id").alias("id")).alias("root"), F.col("row_id").alias("first_row_id"), F.lit(1).cast("long").alias("n"), F.lit(0).cast("long").alias("entities"))
+        groups = self.entities.groupBy("root").agg(F.min("first").alias("first_row_id"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("entities")).unionByName(single)
+        self.groups, widest = stash_measured(groups, most=F.max("entities"))
+        self._hot_roots = hot_keys(self.groups, ["root"], count=F.col("entities"), most=widest["most"] or 0)
+        self._hot_entities = hot_keys(self.entities, ["v"], count=F.col("n"), most=seen["most"] or 0)
 
     def labelled(self, values: DataFrame) -> DataFrame:
         """Every record (``row_id``) with the other columns of its group's row in ``values`` (by ``root``); hot groups and entities are dealt to blocks."""
         names = [c for c in values.columns if c != "root"]
-        hot = hot_keys(self.entities, ["root"])
-        of_entity = dealt(self.entities, ["root"], ["v"], hot, "block").join(repeated(values, ["root"], hot, "block"), ["root", "block"])
-        hot = hot_keys(self.entities, ["v"], count=F.col("n"))
-        named = dealt(self.rows.filter("v IS NOT NULL"), ["v"], ["row_id"], hot, "block").join(repeated(of_entity.select("v", *names), ["v"], hot, "block"), ["v", "block"])
+        roots, entities = self._hot_roots, self._hot_entities
+        of_entity = dealt(self.entities, ["root"], ["v"], roots, "block").join(repeated(values, ["root"], roots, "block"), ["root", "block"])
+        named = dealt(self.rows.filter("v IS NOT NULL"), ["v"], ["row_id"], entities, "block").join(repeated(of_entity.select("v", *names), ["v"], entities, "block"), ["v", "block"])
         alone = values.filter("root.kind = 2").select(F.col("root.id").alias("row_id"), *names)
         return named.select("row_id", *names).unionByName(alone)
 
     def firsts(self) -> DataFrame:
         """One row for each record but the first of its group: ``first_row_id``, ``row_id``."""
-        return self.labelled(self.groups.filter("n > 1").drop("n")).filter("row_id <> first_row_id").select("first_row_id", "row_id")
+        return self.labelled(self.groups.filter("n > 1").select("root", "first_row_id")).filter("row_id <> first_row_id").select("first_row_id", "row_id")
 
 
 def assign_splits(spark: SparkSession, groups: DataFrame, targets: DataFrame, seed: int = 42, big_share: float = BIG_SHARE) -> DataFrame:
@@ -133,7 +135,7 @@ def assign_splits(spark: SparkSession, groups: DataFrame, targets: DataFrame, se
 def split_records(spark: SparkSession, records: DataFrame, targets: DataFrame, big_share: float = BIG_SHARE) -> DataFrame:
     """Every record with its new split: ``row_id``, ``first_row_id`` (smallest of its group), ``group_size``, ``assigned_split``."""
     related = Related(records)
-    splits = assign_splits(spark, related.groups, targets, big_share=big_share)
+    splits = assign_splits(spark, related.groups.drop("entities"), targets, big_share=big_share)
     return related.labelled(splits.withColumnsRenamed({"n": "group_size", "split": "assigned_split"})).select("row_id", "first_row_id", "group_size", "assigned_split")
 
 
