@@ -6,12 +6,13 @@ neighbour; the edges are rewritten to the survivors, and edges that became loops
 or duplicates vanish. A quarter of the vertices that still have edges goes in
 each round on average, so the number of rounds is logarithmic, whatever the
 diameter. The collapses form a forest; following its pointers by doubling unwinds
-the labels; every round's collapses are worked out again from its edges, which is
-cheaper than a table of them. Only the number of remaining edges reaches the driver.
+the labels. Only the number of remaining edges reaches the driver.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,9 +32,13 @@ def _clean(edges: DataFrame) -> DataFrame:
     )
 
 
-def _counted(rows: DataFrame) -> tuple[DataFrame, int]:
-    out, seen = stash_measured(rows, keep=False, n=F.count(F.lit(1)))
-    return out, seen["n"]
+def _written(edges: DataFrame, hooks: DataFrame | None = None) -> tuple[DataFrame, DataFrame, int]:
+    """The edges of a round and the collapses that led to them, as one table: both read back, and the number of edges."""
+    rows = edges.select(F.lit(True).alias("edge"), "a", "b")
+    if hooks is not None:
+        rows = rows.unionByName(hooks.select(F.lit(False).alias("edge"), F.col("v").alias("a"), F.col("to").alias("b")))
+    table, seen = stash_measured(rows, keep=False, n=F.count_if("edge"))
+    return table, table.filter("edge").select("a", "b"), seen["n"]
 
 
 def _hooks(left: DataFrame, round_no: int) -> DataFrame:
@@ -59,21 +64,16 @@ def components(edges: DataFrame) -> DataFrame:
     missing from the result, so callers use ``coalesce(root, v)``. A round is one
     job; it is repeated until no edge is left.
     """
-    left, n = _counted(_clean(edges.filter(F.col("a").isNotNull() & F.col("b").isNotNull())))
-    forest: DataFrame | None = None
-    rounds = 0
-    used = [left]
+    table, left, n = _written(_clean(edges.filter(F.col("a").isNotNull() & F.col("b").isNotNull())))
+    tables = [table]
     while n:
-        hooks = _hooks(left, rounds)
+        hooks = _hooks(left, len(tables))
         moved = _rewritten(_rewritten(left, hooks, "a", n), hooks, "b", n)
-        forest = hooks if forest is None else forest.unionByName(hooks)
-        left, n = _counted(_clean(moved))
-        used.append(left)
-        rounds += 1
-    if forest is None:
-        return edges.select(F.col("a").cast("long").alias("v"), F.col("b").cast("long").alias("root")).limit(0)
-    out = follow(forest.select("v", F.col("to").alias("root")), depth=rounds)
-    drop_stash(*used)
+        table, left, n = _written(_clean(moved), hooks)
+        tables.append(table)
+    forest = reduce(DataFrame.unionByName, [t.filter(~F.col("edge")).select(F.col("a").alias("v"), F.col("b").alias("root")) for t in tables])
+    out = follow(forest, depth=len(tables) - 1)
+    drop_stash(*tables)
     return out
 
 
