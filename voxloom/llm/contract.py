@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from voxloom.plans.blocks import dealt, hot_keys, repeated
-from voxloom.plans.stash import drop_stash, stash_measured
+from voxloom.plans.stash import drop_stash, stash, stash_measured
 
 
 def _heads(v: str, round_no: int):
@@ -32,13 +32,9 @@ def _clean(edges: DataFrame) -> DataFrame:
     )
 
 
-def _written(edges: DataFrame, hooks: DataFrame | None = None) -> tuple[DataFrame, DataFrame, int]:
-    """The edges of a round and the collapses that led to them, as one table: both read back, and the number of edges."""
-    rows = edges.select(F.lit(True).alias("edge"), "a", "b")
-    if hooks is not None:
-        rows = rows.unionByName(hooks.select(F.lit(False).alias("edge"), F.col("v").alias("a"), F.col("to").alias("b")))
-    table, seen = stash_measured(rows, keep=False, n=F.count_if("edge"))
-    return table, table.filter("edge").select("a", "b"), seen["n"]
+def _counted(edges: DataFrame) -> tuple[DataFrame, int]:
+    out, seen = stash_measured(edges, keep=False, n=F.count(F.lit(1)))
+    return out, seen["n"]
 
 
 def _hooks(left: DataFrame, round_no: int) -> DataFrame:
@@ -61,19 +57,22 @@ def components(edges: DataFrame) -> DataFrame:
     ``root`` is one vertex of the component, the same for all of them; which one
     is repeatable but otherwise arbitrary. Edges with a null end are ignored,
     loops too; a vertex without any other edge, and the chosen root itself, may be
-    missing from the result, so callers use ``coalesce(root, v)``. A round is one
-    job; it is repeated until no edge is left.
+    missing from the result, so callers use ``coalesce(root, v)``. A round is two
+    jobs, the second of which counts; it is repeated until no edge is left.
     """
-    table, left, n = _written(_clean(edges.filter(F.col("a").isNotNull() & F.col("b").isNotNull())))
-    tables = [table]
+    left, n = _counted(_clean(edges.filter(F.col("a").isNotNull() & F.col("b").isNotNull())))
+    forest: list[DataFrame] = []
     while n:
-        hooks = _hooks(left, len(tables))
+        hooks = stash(_hooks(left, len(forest)), keep=False)
         moved = _rewritten(_rewritten(left, hooks, "a", n), hooks, "b", n)
-        table, left, n = _written(_clean(moved), hooks)
-        tables.append(table)
-    forest = reduce(DataFrame.unionByName, [t.filter(~F.col("edge")).select(F.col("a").alias("v"), F.col("b").alias("root")) for t in tables])
-    out = follow(forest, depth=len(tables) - 1)
-    drop_stash(*tables)
+        forest.append(hooks)
+        old = left
+        left, n = _counted(_clean(moved))
+        drop_stash(old)
+    if not forest:
+        return edges.select(F.col("a").cast("long").alias("v"), F.col("b").cast("long").alias("root")).limit(0)
+    out = follow(reduce(DataFrame.unionByName, forest).select("v", F.col("to").alias("root")), depth=len(forest))
+    drop_stash(left, *forest)
     return out
 
 
