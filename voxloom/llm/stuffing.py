@@ -1,133 +1,116 @@
 """Keyword-stuffed and link-list pages (problem 8).
 
-Every page is cut into segments at line ends and sentence ends, and a segment is
-reduced to a shape: a class of word count, whether it is closed like a sentence,
-its separators and decoration, its share of links and of tags, capitals, and whether its
-words repeat one another or its opening repeats over the page. Shapes are sorted
-into sentence shapes and others once and for all; a page is flagged when more than
-half of its words stand in shapes that are no sentences. The report groups all
-flagged pages by their few leading shapes.
+Every page is cut into lines, and these at sentence ends and at separators that
+stand by themselves; each piece is reduced to a shape: classes of its word count,
+of its share of capitalized words, of its separators and links per word, and of
+the share of its words that repeat earlier ones. Nothing in a shape says whether
+it is a sentence's: the shapes are grouped over the whole crawl, and the counts
+tell. A shape is a sentence's if at least half of its pieces, wherever they stand,
+close like one, and less than a third of their words are repetitions. A page is
+flagged when more than half of its words stand in the few leading shapes that are
+no sentences.
+
+All of it is built-in expressions; there are at most ``SHAPES`` shapes, so their
+table is small whatever the crawl.
 """
 
 from __future__ import annotations
 
-import re
-from collections import Counter
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-_SEGMENT = re.compile(r"\n+|(?<=[.!?؟。！？…])[\"'”»)]*(?=\s|$)")
-_LINK = re.compile(r"https?://|www\.|\b[\w-]+\.(?:example|test|com|net|org|info|io|biz)\b(?:/|$|[\s)\"'>])", re.I)
-_TAG = re.compile(r"^[#+@]\w+")
-_ENTRY = re.compile(r"[,،;؛|»«›•·★✔✓☆►▶>]+|\s[-–—]\s")
-_DECORATION = re.compile(r"[★✔✓☆►▶>»«|•·]+|!{2,}")
-_COUNT = re.compile(r"\(\d+\)")
-_CLOSED = re.compile(r"[.!?؟。！？…]+[\"'”»)]*$")
-_NUMBERED = re.compile(r"^\s*(?:\d+[.)]|[-*•–—])\s*$")
-_WORD = re.compile(r"[\w'’]+")
-#: A sentence has at least this many words, unless it is closed.
-MIN_OPEN = 5
-#: Segments of more words than this hold repeated words only if they aren't sentences.
-LONG = 14
-
-
-def segments(text: str) -> list[str]:
-    """The non-blank segments of a text."""
-    return [s.strip() for s in _SEGMENT.split(text) if s and not s.isspace()]
-
-
-def shape(segment: str, openings: Counter, units: Counter, priced: int = 0) -> tuple[str, int, bool]:
-    """A segment's shape, its number of words, and whether the shape is a sentence's."""
-    tokens = segment.split()
-    n = len(tokens)
-    links = sum(1 for t in tokens if _LINK.search(t))
-    tags = sum(1 for t in tokens if _TAG.match(t))
-    words = [w.lower() for t in tokens if not _LINK.search(t) for w in _WORD.findall(t) if not w.isdigit()]
-    distinct = len(set(words))
-    closed = bool(_CLOSED.search(segment))
-    entries = [e for e in _ENTRY.split(segment) if e.strip(" .*-\t")]
-    counts = len(_COUNT.findall(segment))
-    capital = any(t[:1].isupper() for t in tokens)
-    size = "1" if n == 1 else "2-4" if n < MIN_OPEN else "5-14" if n <= LONG else "15-40" if n <= 40 else "41+"
-    repeated = len(words) - distinct
-    kinds = []
-    if links and links * 8 >= n:
-        kinds.append("links")
-    if tags * 2 >= n and n:
-        kinds.append("tags")
-    if counts and counts * 6 >= n:
-        kinds.append("counts")
-    if len(entries) > 3 and n <= 4 * len(entries):
-        kinds.append("entries")
-    if n > 1 and len(_DECORATION.findall(segment)) * 6 >= n:
-        kinds.append("decorated")
-    if priced >= 3 and _is_priced(tokens, closed):
-        kinds.append("priced")
-    if len(words) > LONG and repeated * 10 >= 3 * len(words):
-        kinds.append("repeats")
-    if n <= 6 and openings[_opening(words)] >= 4:
-        kinds.append("openings")
-    if not closed and n < MIN_OPEN and units[" ".join(words)] >= 2:
-        kinds.append("units")
-    if not closed and n < MIN_OPEN and not kinds:
-        kinds.append("short")
-    name = "|".join((size, "closed" if closed else "open", "capital" if capital else "lower", "+".join(kinds) or "plain"))
-    return name, n, not kinds
-
-
-def _is_priced(tokens: list[str], closed: bool) -> bool:
-    return not closed and 2 < len(tokens) < 10 and tokens[-1].isdigit()
-
-
-def _opening(words: list[str]) -> str:
-    return " ".join(words[:2])
-
-
-def page_shapes(text: str) -> list[tuple[str, int, bool]]:
-    """The shapes of a page's segments."""
-    parts = [s for s in segments(text) if not _NUMBERED.match(s)]
-    words = [[w.lower() for w in _WORD.findall(s) if not w.isdigit()] for s in parts]
-    openings = Counter(_opening(w) for w in words if 0 < len(w) <= 6)
-    units = Counter(" ".join(w) for w in words if len(w) < MIN_OPEN)
-    priced = sum(_is_priced(s.split(), bool(_CLOSED.search(s))) for s in parts)
-    return [shape(s, openings, units, priced) for s in parts]
-
-
-def _profiles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        rows = []
-        for t in pdf["text"]:
-            total, other, by = 0, 0, Counter()
-            for name, n, sentence in page_shapes(t):
-                total += n
-                if not sentence:
-                    other += n
-                    by[name] += n
-            top = by.most_common(3)
-            rows.append((total, other, sum(n for _, n in top), sorted(name for name, _ in top)))
-        out = pd.DataFrame(rows, columns=["words", "other_words", "top_words", "top_shapes"])
-        yield pd.concat([pdf[["doc_id"]].reset_index(drop=True), out], axis=1)
+from voxloom.plans.stash import stash
+
+#: Where the classes of a shape begin: words; capitalized, separators, links and repeated words per word.
+CLASSES = {"words": (2, 5, 8, 16, 32, 64), "capitals": (0.01, 0.5), "separators": (0.2, 0.4), "links": (0.01, 0.25), "repeats": (0.15, 0.3)}
+SHAPES = 7 * 3**4
+#: Leading shapes of a page that count.
+LEADING = 5
+#: Least share of closed pieces, and the share of repeated words below which a sentence's shape stays.
+CLOSED, REPEATED = 0.5, 0.33
+
+_ENDS = ".!?؟。！？…"
+_QUOTES = "\"'”»)"
+#: A sentence end (not one of several exclamation marks) and the blanks after it; a separator between blanks. Both become line ends.
+_SENTENCE_END = rf"((?:[.?؟。？…]|(?<!!)!)[{_QUOTES}]{{0,2}})\s+"
+_APART = r"\s[;؛|/>»•·]\s+"
+#: One closing mark, or three full stops; several exclamation marks are decoration.
+_IS_CLOSED = rf"(?:(?<![{_ENDS}])[{_ENDS}]|(?<!\.)\.\.\.)[{_QUOTES}]{{0,2}}$"
+#: A word with a scheme, a leading www, or a dot between a name and a lower-case ending; and what every such word holds.
+_LINK = r"(?<!\S)(?=\S*?(?:://|www\.|[\p{L}\p{N}]\.\p{Ll}{2,}(?![\p{L}\p{N}])))\S+"
+_MAY_LINK = r"[./][\p{Ll}/]"
+#: Marks that part entries or decorate, rather than belong to sentences.
+_SEPARATOR = r"[\p{P}\p{S}&&[^.!?؟。！？…:\"'’”“«»\-]]|!{2,}|\s[-–—]\s"
+_WORD = r"([\p{L}\p{M}\p{N}'’]+)"
+
+
+def _class(value: Column, name: str) -> Column:
+    """How many of the class bounds the value reaches."""
+    return sum((value >= bound).cast("int") for bound in CLASSES[name])
+
+
+def shape_name(shape: Column) -> Column:
+    """A shape spelled out, e.g. ``words2 capitals0 separators1 links2 repeats0`` (numbers of the classes)."""
+    parts, rest = [], shape
+    for name, bounds in reversed(CLASSES.items()):
+        parts.insert(0, F.concat(F.lit(name), (rest % (len(bounds) + 1)).cast("string")))
+        rest = F.floor(rest / (len(bounds) + 1))
+    return F.concat_ws(" ", *parts)
+
+
+def page_shapes(documents: DataFrame) -> DataFrame:
+    """The shapes of every page: ``doc_id``, ``shape``, ``words``, ``pieces``, ``closed``, ``counted`` and ``repeated`` words.
+
+    Null ids, null texts and texts without any letter have no row; pieces without
+    any are left out. Repeated rows of a page count as one page.
+    """
+    rows = documents.select("doc_id", "text").filter(F.col("doc_id").isNotNull() & F.regexp_like("text", F.lit(r"\p{L}")))
+    lines = F.regexp_replace(F.regexp_replace("text", _SENTENCE_END, "$1\n"), _APART, "\n")
+    pieces = rows.select("doc_id", F.explode(F.split(lines, r"\n+")).alias("piece")).select("doc_id", F.regexp_replace("piece", r"^\s+|\s+$", "").alias("piece")).filter(F.regexp_like("piece", F.lit(r"\p{L}")))
+    plain = pieces.select("doc_id", "piece", (F.regexp_count("piece", F.lit(r"\s+")) + 1).alias("n"), F.when(F.regexp_like("piece", F.lit(_MAY_LINK)), F.regexp_replace("piece", _LINK, "\0")).otherwise(F.col("piece")).alias("plain"))
+    words = plain.withColumn("w", F.regexp_extract_all(F.lower("plain"), F.lit(_WORD), 1))
+    counted = words.select("doc_id", "piece", "plain", "n", F.size("w").alias("counted"), (F.size("w") - F.size(F.array_distinct("w"))).alias("repeated"))
+    n = F.col("n")
+    ratios = {
+        "words": n,
+        "capitals": F.regexp_count("piece", F.lit(r"(?<!\S)\p{Lu}")) / n,
+        "separators": F.regexp_count("plain", F.lit(_SEPARATOR)) / n,
+        "links": F.length(F.regexp_replace("plain", "[^\0]", "")) / n,
+        "repeats": F.when(F.col("counted") > 0, F.col("repeated") / F.col("counted")).otherwise(0.0),
+    }
+    measured = counted.select("doc_id", "n", "counted", "repeated", F.regexp_like(F.right("piece", F.lit(6)), F.lit(_IS_CLOSED)).alias("closed"), *[v.alias(k) for k, v in ratios.items()])
+    shape = F.lit(0)
+    for name, bounds in CLASSES.items():
+        shape = shape * (len(bounds) + 1) + _class(F.col(name), name)
+    return measured.groupBy("doc_id", shape.cast("int").alias("shape")).agg(
+        F.sum("n").alias("words"), F.count(F.lit(1)).alias("pieces"), F.count_if("closed").alias("closed"), F.sum("counted").alias("counted"), F.sum("repeated").alias("repeated")
+    )
+
+
+def shape_counts(shapes: DataFrame) -> DataFrame:
+    """The shapes of the crawl: ``shape``, ``pages``, ``pieces``, ``words``, ``closed`` and ``repeated`` (shares), ``sentence``; at most ``SHAPES`` rows."""
+    counts = shapes.groupBy("shape").agg(F.count(F.lit(1)).alias("pages"), *[F.sum(c).alias(c) for c in ("pieces", "words", "closed", "counted", "repeated")])
+    closed, repeated = F.col("closed") / F.col("pieces"), F.coalesce(F.try_divide("repeated", "counted"), F.lit(0.0))
+    sentence = (closed >= CLOSED) & (repeated < REPEATED)
+    return counts.select("shape", "pages", "pieces", "words", F.round(closed, 6).alias("closed"), F.round(repeated, 6).alias("repeated"), sentence.alias("sentence"))
 
 
 def profiles(documents: DataFrame) -> DataFrame:
-    """Shape profile of every page with a text: ``doc_id``, ``words``, ``other_words``, ``top_words``, ``top_shapes``.
-
-    ``other_words`` stand in shapes that are no sentences, ``top_words`` in the
-    three largest of them. Null and empty texts, and null ids, have no row.
-    """
-    rows = documents.select("doc_id", "text").filter(F.col("doc_id").isNotNull() & (F.length("text") > 0))
-    return rows.mapInPandas(_profiles, "doc_id long, words long, other_words long, top_words long, top_shapes array<string>")
+    """Shape profile of every page: ``doc_id``, ``words``, ``top_words`` (in its leading shapes that are no sentences), ``top_shapes``."""
+    shapes = stash(page_shapes(documents))
+    kinds = shape_counts(shapes).select("shape", "sentence")
+    other = F.when(~F.col("sentence"), F.struct((-F.col("words")).alias("w"), F.col("shape").alias("shape")))
+    pages = shapes.join(F.broadcast(kinds), "shape").groupBy("doc_id").agg(F.sum("words").alias("words"), F.slice(F.array_sort(F.collect_list(other)), 1, LEADING).alias("top"))  # at most SHAPES rows, here and in a page
+    top = F.aggregate("top", F.lit(0).cast("long"), lambda a, s: a - s["w"])
+    return pages.select("doc_id", "words", top.alias("top_words"), F.transform("top", lambda s: shape_name(s["shape"])).alias("top_shapes"))
 
 
 def flagged(documents: DataFrame) -> DataFrame:
-    """The pages dominated by shapes that are no sentences: ``doc_id``; repeated pages count each."""
-    return profiles(documents).filter("other_words * 2 > words").select("doc_id")
+    """The pages dominated by few shapes that are no sentences: ``doc_id``; repeated pages count each."""
+    return profiles(documents).filter("top_words * 2 > words").select("doc_id")
 
 
 def shape_report(documents: DataFrame) -> DataFrame:
     """Flagged pages by their leading shapes: ``top_shapes``, ``pages``, ``words``."""
-    hit = profiles(documents).filter("other_words * 2 > words")
+    hit = profiles(documents).filter("top_words * 2 > words")
     return hit.groupBy("top_shapes").agg(F.count(F.lit(1)).alias("pages"), F.sum("words").alias("words"))
