@@ -31,9 +31,8 @@ CLOSED, REPEATED = 0.5, 0.33
 
 _ENDS = ".!?؟。！？…"
 _QUOTES = "\"'”»)"
-#: A sentence end (not one of several exclamation marks) and the blanks after it; a separator between blanks. Both become line ends.
-_SENTENCE_END = rf"((?:[.?؟。？…]|(?<!!)!)[{_QUOTES}]{{0,2}})\s+"
-_APART = r"\s[;؛|/>»•·]\s+"
+#: A sentence end (not one of several exclamation marks) and the blanks after it, or a separator between blanks; both become line ends.
+_CUT = rf"((?:[.?؟。？…]|(?<!!)!)[{_QUOTES}]{{0,2}})\s+|\s[;؛|/>»•·]\s+"
 #: One closing mark, or three full stops; several exclamation marks are decoration.
 _IS_CLOSED = rf"(?:(?<![{_ENDS}])[{_ENDS}]|(?<!\.)\.\.\.)[{_QUOTES}]{{0,2}}$"
 #: A word with a scheme, a leading www, or a dot between a name and a lower-case ending; and what every such word holds.
@@ -41,7 +40,7 @@ _LINK = r"(?<!\S)(?=\S*?(?:://|www\.|[\p{L}\p{N}]\.\p{Ll}{2,}(?![\p{L}\p{N}])))\
 _MAY_LINK = r"[./][\p{Ll}/]"
 #: Marks that part entries or decorate, rather than belong to sentences.
 _SEPARATOR = r"[\p{P}\p{S}&&[^.!?؟。！？…:\"'’”“«»\-]]|!{2,}|\s[-–—]\s"
-_WORD = r"([\p{L}\p{M}\p{N}'’]+)"
+_WORD = r"([\p{L}\p{M}\p{N}'’]+|\x00)"
 
 
 def _class(value: Column, name: str) -> Column:
@@ -65,17 +64,19 @@ def page_shapes(documents: DataFrame) -> DataFrame:
     any are left out. Repeated rows of a page count as one page.
     """
     rows = documents.select("doc_id", "text").filter(F.col("doc_id").isNotNull() & F.regexp_like("text", F.lit(r"\p{L}")))
-    lines = F.regexp_replace(F.regexp_replace("text", _SENTENCE_END, "$1\n"), _APART, "\n")
-    pieces = rows.select("doc_id", F.explode(F.split(lines, r"\n+")).alias("piece")).select("doc_id", F.regexp_replace("piece", r"^\s+|\s+$", "").alias("piece")).filter(F.regexp_like("piece", F.lit(r"\p{L}")))
-    plain = pieces.select("doc_id", "piece", (F.regexp_count("piece", F.lit(r"\s+")) + 1).alias("n"), F.when(F.regexp_like("piece", F.lit(_MAY_LINK)), F.regexp_replace("piece", _LINK, "\0")).otherwise(F.col("piece")).alias("plain"))
-    words = plain.withColumn("w", F.regexp_extract_all(F.lower("plain"), F.lit(_WORD), 1))
-    counted = words.select("doc_id", "piece", "plain", "n", F.size("w").alias("counted"), (F.size("w") - F.size(F.array_distinct("w"))).alias("repeated"))
+    lines = F.split(F.regexp_replace("text", _CUT, "$1\n"), r"\n+")
+    pieces = rows.select("doc_id", F.explode(lines).alias("piece")).select("doc_id", F.trim("piece").alias("piece")).filter(F.regexp_like("piece", F.lit(r"\p{L}")))
+    # a link becomes one null character
+    plain = pieces.withColumn("plain", F.when(F.regexp_like("piece", F.lit(_MAY_LINK)), F.regexp_replace("piece", _LINK, "\0")).otherwise(F.col("piece")))
+    words = plain.withColumn("every", F.regexp_extract_all(F.lower("plain"), F.lit(_WORD), 1)).withColumn("w", F.array_remove("every", "\0"))
+    size, counted = F.size("every"), F.size("w")
+    counted = words.select("doc_id", "piece", "plain", size.alias("n"), counted.alias("counted"), (size - counted).alias("links"), (counted - F.size(F.array_distinct("w"))).alias("repeated"))
     n = F.col("n")
     ratios = {
         "words": n,
         "capitals": F.regexp_count("piece", F.lit(r"(?<!\S)\p{Lu}")) / n,
         "separators": F.regexp_count("plain", F.lit(_SEPARATOR)) / n,
-        "links": F.length(F.regexp_replace("plain", "[^\0]", "")) / n,
+        "links": F.col("links") / n,
         "repeats": F.when(F.col("counted") > 0, F.col("repeated") / F.col("counted")).otherwise(0.0),
     }
     measured = counted.select("doc_id", "n", "counted", "repeated", F.regexp_like(F.right("piece", F.lit(6)), F.lit(_IS_CLOSED)).alias("closed"), *[v.alias(k) for k, v in ratios.items()])
