@@ -52,6 +52,36 @@ def test_found(spark):
     assert looks.normalized(df).filter("text IS NULL AND norm IS NULL").count() == 1
 
 
+@pytest.mark.parametrize("a,b", [("vv", "νѵ"), ("Bold 1", "\U0001d401\U0001d428\U0001d425\U0001d41d \U0001d7cf"), ("script", "\U0001d4c8\U0001d4b8\U0001d4c7\U0001d4be\U0001d4c5\U0001d4c9"), ("ABC", "\u13aa\u13f4\u13df"), ("So", "Տօ"), ("xl", "ⅹⅼ"), ("VIII", "Ⅷ"), ("go", "ɡо"), ("ij", "ĳ"), ("FTW", "ꓝꓔꓪ")])
+def test_all_planes_and_kinds(a, b):
+    one = looks.rewriter({})
+    assert one(a) == one(b)
+
+
+@pytest.mark.parametrize("a,b", [("a", "ⓐ"), ("2", "²"), ("s", "ſ"), ("1", "①"), ("θ", "ϑ")])
+def test_visibly_different_forms(a, b):
+    one = looks.rewriter({})
+    assert one(a) != one(b)
+
+
+def test_frequent_member_that_is_not_the_first(spark):
+    """The class of o: the Cyrillic letter is the most frequent, so all others become it, and pairs are found all the same."""
+    df = spark.createDataFrame([(1, "хоро"), (2, "xopo"), (3, "оооо"), (4, "ｏ"), (5, "о")], "row_id long, text string")
+    assert looks.representatives(df)["O".lower()] == "о"
+    forms = {r["row_id"]: r["norm"] for r in looks.normalized(df).collect()}
+    assert forms[1] == forms[2] and forms[4] == forms[5] == "о"
+    assert {tuple(r) for r in looks.alike_found(df).collect()} == {(1, 2), (4, 5)}
+
+
+def test_frequent_texts_are_dealt(spark, monkeypatch):
+    from voxloom.plans import blocks
+
+    monkeypatch.setattr(blocks, "BLOCK", 20)
+    rows = [(i, "co" if i % 3 else "cо") for i in range(120)]
+    got = {tuple(r) for r in looks.alike_found(spark.createDataFrame(rows, "row_id long, text string")).collect()}
+    assert got == {(i, j) for (i, a), (j, b) in itertools.combinations(rows, 2) if a != b}
+
+
 def test_identical_texts_never_meet(spark):
     from pyspark.sql import functions as F
 

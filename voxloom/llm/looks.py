@@ -1,8 +1,8 @@
 """Visually identical text with different characters (problem 4).
 
-Look-alikes are given as pairs of strings: rule-made ones (full-width,
-presentation and ligature forms, taken from the Unicode decompositions) and a
-short list of letters that different scripts draw alike. Union-find over these
+Look-alikes are given as pairs of strings: rule-made ones (full-width, mathematical,
+presentation and ligature forms of all planes, taken from the Unicode
+decompositions) and a list of letters that different scripts draw alike. Union-find over these
 strings and code points makes the pairs transitive; in each class the member that
 the corpus uses most stands for all. A multi-pattern automaton then rewrites every
 text greedily, longest member first, between a decomposition before and a
@@ -24,41 +24,54 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from voxloom.llm.fold import categories
+from voxloom.plans.blocks import meet
 from voxloom.plans.stash import stash
 
 # Letters that are drawn alike, one group per line of the string.
 ALIKE = """
-A Α А
-B Β В
-C Ϲ С
-E Ε Е
-H Η Н
-I Ι І
-J Ϳ Ј
-K Κ К
-M Μ М
-N Ν
-O Ο О
-P Ρ Р
-S Ѕ
-T Τ Т
-X Χ Х
-Y Υ Ү
-Z Ζ
+A Α А Ꭺ ꓮ
+B Β В Ᏼ ꓐ
+C Ϲ С Ꮯ ꓚ
+D Ꭰ ꓓ
+E Ε Е Ꭼ ꓰ
+F Ϝ ꓝ
+G Ꮐ ꓖ
+H Η Н Ꮋ ꓧ
+I Ι І ꓲ
+J Ϳ Ј Ꭻ ꓙ
+K Κ К Ꮶ ꓗ
+L Ꮮ ꓡ
+M Μ М Ꮇ ꓟ
+N Ν ꓠ
+O Ο О Օ ꓳ
+P Ρ Р Ꮲ ꓑ
+R Ꭱ ꓣ
+S Ѕ Տ Ꮪ ꓢ
+T Τ Т Ꭲ ꓔ
+U Ս ꓴ
+V Ѵ Ꮩ ꓦ
+W Ԝ Ꮃ ꓪ
+X Χ Х ꓫ
+Y Υ Ү Ꮍ ꓬ
+Z Ζ Ꮓ ꓜ
 a а
 c с ϲ
 d ԁ
 e е
-h һ
+g ɡ ց
+h һ հ
 i і
-j ј
-o ο о
+j ј ϳ
+n ո
+o ο о օ
 p р
 q ԛ
 s ѕ
+u ս
+v ν ѵ
 w ԝ
 x х
-y у
+y у ү
 ك ک
 ي ی
 ه ہ
@@ -70,8 +83,12 @@ y у
 ٨ ۸
 ٩ ۹
 """
-#: Kinds of Unicode decomposition that change the drawing form only.
-_FORMS = ("<wide>", "<narrow>", "<isolated>", "<initial>", "<medial>", "<final>", "<noBreak>")
+#: Kinds of Unicode decomposition that change the drawing form only. Circled, raised, lowered, squared and fraction forms look different.
+_FORMS = ("<font>", "<wide>", "<narrow>", "<small>", "<isolated>", "<initial>", "<medial>", "<final>", "<noBreak>")
+#: Where such forms may be: beyond are ideographs, Hangul syllables and private use, which have none.
+_WITH_FORMS = (range(0x80, 0x3400), range(0xA000, 0xAC00), range(0xF900, 0x20000))
+#: Letters whose compatibility form is drawn otherwise: long s, Greek symbols.
+_OTHERWISE = {0x17F, 0x1E9B, *range(0x3D0, 0x3FA)}
 
 
 def _nfd(s: str) -> str:
@@ -85,14 +102,16 @@ def alike_pairs() -> list[tuple[str, str]]:
     for line in ALIKE.split("\n"):
         first, *rest = line.split() or [""]
         pairs += [(first, x) for x in rest]
-    for c in range(0x80, 0x10000):  # no drawing form has its code point beyond
+    for c in (x for r in _WITH_FORMS for x in r):
         ch = chr(c)
         kind, _, points = unicodedata.decomposition(ch).partition(" ")
-        latin_ligature = kind == "<compat>" and 0xFB00 <= c <= 0xFB06
-        if (kind in _FORMS or latin_ligature) and unicodedata.category(ch) != "Zs":
-            target = "".join(chr(int(p, 16)) for p in points.split())
-            if not target[0].isspace():
-                pairs.append((_nfd(unicodedata.normalize("NFKD", target)), ch))
+        if not kind.startswith("<") or unicodedata.category(ch) == "Zs":
+            continue
+        target = unicodedata.normalize("NFKD", "".join(chr(int(p, 16)) for p in points.split()))
+        # ligatures, digraphs, Roman numerals: letters that are drawn as the letters they consist of
+        spelled = kind == "<compat>" and target.isalpha() and unicodedata.category(ch) in ("Ll", "Lu", "Lt", "Lo", "Nl") and c not in _OTHERWISE
+        if (kind in _FORMS or spelled) and not target[0].isspace():
+            pairs.append((_nfd(target), ch))
     return pairs
 
 
@@ -289,7 +308,8 @@ def alike_found(records: DataFrame) -> DataFrame:
     Rows are compared by 128-bit digests of their form and of their stored text.
     Forms that occur with two or more stored texts give pairs of stored texts, and
     only such a pair brings its rows together, so every row pair that the join
-    makes is a result: identical texts, however many, never meet each other.
+    makes is a result: identical texts, however many, never meet each other. The
+    rows of a frequent text are dealt to blocks.
     """
     rows = records.select("row_id", "text").filter(F.col("row_id").isNotNull() & F.col("text").isNotNull())
     reps = representatives(rows)
@@ -299,5 +319,5 @@ def alike_found(records: DataFrame) -> DataFrame:
     a, b = (several.select("form", F.col("stored").alias(f"stored_{x}")) for x in "ab")
     pairs = a.join(b, "form").filter("stored_a < stored_b")
     side_a, side_b = (keys.select("form", F.col("stored").alias(f"stored_{x}"), F.col("row_id").alias(x)) for x in "ab")
-    met = pairs.join(side_a, ["form", "stored_a"]).join(side_b, ["form", "stored_b"])
+    met = meet(pairs, side_a, side_b, ["form", "stored_a"], ["form", "stored_b"])
     return met.filter("a <> b").select(F.least("a", "b").alias("row_id_a"), F.greatest("a", "b").alias("row_id_b"))
