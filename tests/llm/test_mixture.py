@@ -41,7 +41,17 @@ def test_slots_are_counted_at_every_size(spark):
     df = spark.createDataFrame([(1, "x", "a"), (2, "y", "b")], "doc_id long, text string, source string")
     m = Mixture(spark, df, weights)
     for n, blocks in ((2_500_000, [2_480_000, 25_000]), (2_500_000, [2_475_000, 26_000]), (2_000, [1_990, 20])):
-        points = (np.arange(2 * n) + 0.5) * ((5**0.5 - 1) / 2) % 1
-        b = points >= m.share["a"]
+        golden = int((5**0.5 - 1) / 2 * 2**40) | 1  # whole multiples of it, modulo 2^40
+        points = (np.arange(2 * n, dtype=np.uint64) * np.uint64(golden) + np.uint64(golden // 2)) % np.uint64(2**40)
+        b = points / 2**40 >= m.share["a"]
         want = min(int(np.flatnonzero(~b)[blocks[0]]), int(np.flatnonzero(b)[blocks[1]]))
         assert m._affordable(n, blocks) == want
+
+
+def test_points_are_exact(spark):
+    """Columns and arrays give the points of whole-number arithmetic, for large slot numbers too."""
+    ids = [0, 1, 2, 65535, 1 << 20, (1 << 33) + 12345, (1 << 40) - 1, (1 << 40) + 7]
+    want = [(i * mixture._GOLDEN + mixture._GOLDEN // 2) % (1 << 40) for i in ids]
+    df = spark.createDataFrame([(i,) for i in ids], "i long").select("i", mixture._point(mixture.F.col("i")).alias("p"))
+    assert {r["i"]: r["p"] for r in df.collect()} == dict(zip(ids, want))
+    assert mixture._point(mixture.np.array(ids)).tolist() == want

@@ -87,3 +87,10 @@ def test_documents(spark):
     assert fill["big"]["boxes"] <= fill["big"]["least_boxes"] + 2
     assert packing.packed(spark, df.limit(0), containers).count() == 0
     assert packing.packed(spark, df, containers.limit(0)).count() == 0
+
+
+def test_three_items_are_fixed():
+    """{6, 3, 1} dominates in a container of 10: no two items larger than 1 fit beside the 6, and no three do."""
+    counts = np.bincount([6, 3, 1, 3], minlength=11)
+    fixed = packing.reduce_by_dominance(counts, 10)
+    assert [dict(p.sizes) for p in fixed][0] == {6: 1, 3: 1, 1: 1} and fixed[0].count == 1

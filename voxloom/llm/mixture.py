@@ -21,12 +21,22 @@ from voxloom.llm.tokens import token_sizes
 from voxloom.operators.running import hashed_running
 from voxloom.plans.stash import stash
 
-#: Tokens of a slot.
-SLOT_TOKENS = 4096
-_GOLDEN = (math.sqrt(5) - 1) / 2
+#: Default of ``slot_tokens``, and of ``least_slots``: the slots that the scarcest source gets at least, for which slots may be smaller.
+SLOT_TOKENS, LEAST_SLOTS = 4096, 2000
+#: Points are whole numbers modulo 2^40, multiples of the golden ratio's: exact for every slot number.
+_MODULUS = 1 << 40
+_GOLDEN = round((math.sqrt(5) - 1) / 2 * _MODULUS) | 1
+_HALF = 1 << 20
 _CHUNK = 1 << 16
 
 
+def _point(i):
+    """The i-th point, of a column or an array of slot numbers; every product fits 64 bits."""
+    i = i % _MODULUS
+    low, high = i % _HALF, i // _HALF if isinstance(i, np.ndarray) else F.shiftright(i, 20)
+    return (low * _GOLDEN + high * (_GOLDEN % _HALF) % _HALF * _HALF + _GOLDEN // 2) % _MODULUS
+
+
 class Mixture:
     """A mixture of ``documents`` (``doc_id``, ``source``, ``text``) by ``weights`` (``source``, ``target_share``, ``max_repeat``).
 
@@ -35,10 +45,12 @@ class Mixture:
     ``max_repeat`` counts as 1. Listed sources without documents get nothing, and
     the others keep their proportions; documents of other sources, and null ones,
     aren't used. The mixture is as large as it can be without repeating any
-    document of a source more than ``max_repeat`` times.
+    document of a source more than ``max_repeat`` times. Slots have ``slot_tokens``
+    tokens, or fewer where the scarcest source would have fewer than
+    ``least_slots`` of them (1: never); the report says how many.
     """
 
-    def __init__(self, spark: SparkSession, documents: DataFrame, weights: DataFrame, tokenizer: str | None = None, slot_tokens: int = SLOT_TOKENS, seed: int = 42):
+    def __init__(self, spark: SparkSession, documents: DataFrame, weights: DataFrame, tokenizer: str | None = None, slot_tokens: int = SLOT_TOKENS, seed: int = 42, least_slots: int = LEAST_SLOTS):
         self.spark, self.weights, self.seed = spark, weights, seed
         self.sized = stash(token_sizes(documents, tokenizer).filter("source IS NOT NULL"))
         listed: dict[str, tuple[float, int]] = {}
@@ -52,16 +64,15 @@ class Mixture:
         scale = sum(listed[s][0] for s in names) or 1.0
         self.share = {s: listed[s][0] / scale for s in names}
         self.cap = {s: listed[s][1] for s in names}
-        # small inputs get smaller slots, so that each source has many
         scarce = min((self.have[s] * self.cap[s] / self.share[s] for s in names), default=0)
-        self.slot = int(max(1, min(slot_tokens, scarce // 2000)))
+        self.slot = int(max(1, min(slot_tokens, scarce // least_slots)))
         blocks = {s: self.have[s] * self.cap[s] // self.slot for s in names}
         n = int(min((blocks[s] / self.share[s] for s in names), default=0))
         self.slots = self._affordable(n, [blocks[s] for s in names])
 
-    def _ends(self) -> list[float]:
-        """Where the interval of each source, in name order, ends."""
-        return list(accumulate(self.share[s] for s in sorted(self.share)))
+    def _ends(self) -> list[int]:
+        """Where the interval of each source, in name order, ends among the points."""
+        return [round(x * _MODULUS) for x in accumulate(self.share[s] for s in sorted(self.share))]
 
     def _affordable(self, n: int, blocks: list[int]) -> int:
         """The largest number of slots, about ``n``, whose schedule needs no more blocks of any source than there are.
@@ -87,7 +98,7 @@ class Mixture:
     def _nth(self, k: int, chunk: int, left: int) -> int:
         """The slot of the k-th source that follows ``left`` others of it in a chunk."""
         slots = np.arange(chunk * _CHUNK, (chunk + 1) * _CHUNK)
-        source = np.minimum(np.searchsorted(self._ends(), (slots + 0.5) * _GOLDEN % 1, side="right"), len(self.share) - 1)
+        source = np.minimum(np.searchsorted(self._ends(), _point(slots), side="right"), len(self.share) - 1)
         return int(slots[source == k][left])
 
     def _source_at(self, point: Column) -> Column:
@@ -100,7 +111,7 @@ class Mixture:
     def _slots(self, n: int) -> DataFrame:
         """The first ``n`` slots: ``slot``, ``source``, ``chunk``."""
         i = F.col("id")
-        return self.spark.range(n).select(i.alias("slot"), self._source_at((i + 0.5) * _GOLDEN % 1).alias("source"), (i / _CHUNK).cast("long").alias("chunk"))
+        return self.spark.range(n).select(i.alias("slot"), self._source_at(_point(i)).alias("source"), (i / _CHUNK).cast("long").alias("chunk"))
 
     def schedule(self) -> DataFrame:
         """Every slot: ``slot``, ``source``, ``block`` (rank among the source's slots)."""
@@ -132,7 +143,7 @@ class Mixture:
         return plan.join(blocks, ["source", "block"]).select("slot", "source", "repetition", "doc_id", "tokens", "place")
 
     def report(self) -> DataFrame:
-        """Per listed source: ``target_share``, ``available_tokens``, ``max_repeat``, ``tokens``, ``actual_share``, ``documents``, ``most_repeats``."""
+        """Per listed source: ``target_share``, ``available_tokens``, ``max_repeat``, ``tokens``, ``actual_share``, ``documents``, ``most_repeats``, ``slot_tokens``."""
         used = self.rows().groupBy("source", "doc_id").agg(F.sum("tokens").alias("t"), F.count(F.lit(1)).alias("k"))
         got = used.groupBy("source").agg(F.sum("t").alias("tokens"), F.count(F.lit(1)).alias("documents"), F.max("k").alias("most_repeats"))
         total = got.agg(F.sum("tokens").alias("total"))
@@ -151,5 +162,6 @@ class Mixture:
                 F.round(F.coalesce(F.try_divide("tokens", "total"), F.lit(0.0)), 6).alias("actual_share"),
                 F.coalesce("documents", zero).alias("documents"),
                 F.coalesce("most_repeats", zero).alias("most_repeats"),
+                F.lit(self.slot).alias("slot_tokens"),
             )
         )

@@ -12,6 +12,7 @@ the patterns say which container the rank-th item of a size goes to.
 from __future__ import annotations
 
 import bisect
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -24,8 +25,8 @@ from voxloom.llm.tokens import token_sizes
 from voxloom.operators.running import hashed_running
 from voxloom.plans.stash import stash
 
-#: Buckets in which the items of one size are ranked.
-RANK_BUCKETS = 64
+#: Buckets in which the items of one size are ranked: at least, and items of the most frequent size in one, about.
+RANK_BUCKETS, RANKED = 64, 50_000
 
 
 @dataclass
@@ -41,46 +42,61 @@ def reduce_by_dominance(counts: np.ndarray, capacity: int) -> list[Pattern]:
     """Fixes provably dominating containers and takes their items out of ``counts``.
 
     For the largest item j left over, with r = capacity - j and k the largest item
-    that fits r, the container {j, k} (or {j}) dominates all others of j if
-    nothing fits r; if k fills r; if no two items fit r together; or if no three
-    do, and k is at least as large as any two that fit. Items for which none of
-    this can be shown stay in ``counts``.
+    that fits r, a container of j dominates all others of j in these cases:
+
+    * {j}, if nothing fits r;
+    * {j, k}, if k fills r, if no two items fit r together, or if no three do and
+      k is at least as large as any two that fit;
+    * {j, k, b} with b the largest item that fits beside j and k, if no three
+      items fit r and no two that are both larger than b: any two that fit are
+      then no larger than k and b.
+
+    Items for which none of this can be shown stay in ``counts``.
     """
     out: list[Pattern] = []
     sizes = [int(s) for s in np.flatnonzero(counts)]  # ascending, those with items
     for j in reversed(list(sizes)):
         while counts[j]:
-            counts[j] -= 1  # the item itself
-            r = capacity - j
-            alive = sizes if counts[j] else [s for s in sizes if s != j]
-            at = bisect.bisect_right(alive, r) - 1
-            if at < 0:
-                counts[j] += 1
-                out.append(Pattern(((j, 1),), int(counts[j]), True))
-                counts[j] = 0
-                break
-            k = alive[at]
-            small = _smallest(alive, counts, 3)
-            dominates = k == r or (len(small) < 2 or small[0] + small[1] > r) or ((len(small) < 3 or sum(small) > r) and k >= _best_pair(alive, r))
-            counts[j] += 1
-            if not dominates:
+            chosen = _dominating(sizes, counts, j, capacity - j)
+            if chosen is None:
                 break
-            if k == j:
-                m = int(counts[j]) // 2
-                out.append(Pattern(((j, 2),), m, True))
-                counts[j] -= 2 * m
-            else:
-                m = int(min(counts[j], counts[k]))
-                out.append(Pattern(((j, 1), (k, 1)), m, True))
-                counts[j] -= m
-                counts[k] -= m
-                if not counts[k]:
-                    sizes.remove(k)
-        if not counts[j] and j in sizes:
-            sizes.remove(j)
+            need = Counter(chosen)
+            m = min(int(counts[s]) // n for s, n in need.items())
+            out.append(Pattern(tuple(need.items()), m, True))
+            for s, n in need.items():
+                counts[s] -= m * n
+                if not counts[s]:
+                    sizes.remove(s)
     return out
 
 
+def _dominating(sizes: list[int], counts: np.ndarray, j: int, r: int) -> list[int] | None:
+    """The items of a container of j that dominates all others of j, if there is a proof."""
+    counts[j] -= 1  # the item itself
+    try:
+        alive = sizes if counts[j] else [s for s in sizes if s != j]
+        at = bisect.bisect_right(alive, r) - 1
+        if at < 0:
+            return [j]
+        k = alive[at]
+        small = _smallest(alive, counts, 3)
+        if k == r or len(small) < 2 or small[0] + small[1] > r:
+            return [j, k]
+        if len(small) == 3 and sum(small) <= r:
+            return None
+        if k >= _best_pair(alive, r):
+            return [j, k]
+        at = bisect.bisect_right(alive, r - k) - 1
+        if at >= 0 and alive[at] == k and counts[k] < 2:
+            at -= 1
+        if at < 0:
+            return None
+        larger = _smallest(alive[at + 1 :], counts, 2)
+        return [j, k, alive[at]] if len(larger) < 2 or sum(larger) > r else None
+    finally:
+        counts[j] += 1
+
+
 def _smallest(sizes: list[int], counts: np.ndarray, n: int) -> list[int]:
     out: list[int] = []
     for s in sizes[:n]:
@@ -198,7 +214,8 @@ def packed(spark: SparkSession, documents: DataFrame, containers: DataFrame, tok
         for r in items.groupBy("tokens").agg(F.count(F.lit(1)).alias("n")).collect():
             counts[r["tokens"]] = r["n"]
         segments = _segments(pack_histogram(counts, capacity))
-        ranked = hashed_running(items, ["tokens"], ["doc_id", "piece"], buckets=RANK_BUCKETS)
+        buckets = max(RANK_BUCKETS, -(-int(counts.max()) // RANKED))
+        ranked = hashed_running(items, ["tokens"], ["doc_id", "piece"], buckets=buckets)
         part = ranked.mapInPandas(_placer(name, segments), schema)
         out = part if out is None else out.unionByName(part)
     return out if out is not None else spark.createDataFrame([], schema)
