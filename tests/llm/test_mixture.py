@@ -3,6 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
+from voxloom.llm import mixture
 from voxloom.llm.mixture import Mixture
 
 
