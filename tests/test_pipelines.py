@@ -29,9 +29,9 @@ def test_gate(spark):
     waves = spark.createDataFrame([(x, wave, 8000) for x in "abde"], "audio_file string, samples array<double>, rate int")
     reviews = spark.createDataFrame([("d", "x", "y", 0.1), ("a", "x", "x", 0.9), ("e", "x", None, None)], "audio_file string, original_text string, whisper_text string, similarity double")
     g = P.quality_gate(train, evaluation, waves, reviews)
-    assert {r["audio_file"]: (r["layer"], r["code"]) for r in g.rejected.collect()} == {"b": (1, "low_arabic"), "c": (2, "file_missing"), "d": (3, "low_similarity"), "e": (3, "error")}
+    assert {r["audio_file"]: (r["layer"], r["code"]) for r in g.rejected.collect()} == {"b": (1, "low_arabic"), "c": (2, "file_missing"), "d": (3, "low_similarity"), "e": (3, "low_similarity")}  # the original counts both under one code
     assert [r["audio_file"] for r in g.kept.collect()] == ["a"]
-    assert g.totals.first()["total"] == 6 and {r["code"]: r["n"] for r in g.issues.collect()}["error"] == 1
+    assert g.totals.first()["total"] == 6 and {r["code"]: r["n"] for r in g.issues.collect()}["low_similarity"] == 2
 
 
 def test_chunks_and_evaluation(spark):
@@ -42,3 +42,20 @@ def test_chunks_and_evaluation(spark):
     waves = spark.createDataFrame([("base", [0.5] * 900, 8000), ("tuned", [0.25] * 900, 8000), ("none", None, 8000)], "stage string, samples array<double>, rate int")
     got = P.evaluation(waves).first()["metrics"]
     assert set(got) == {"base", "tuned"} and got["tuned"]["rms"] == 0.25
+
+
+def test_gate_layers_are_worded_and_cheap_first(spark, monkeypatch):
+    """Reasons of all layers, both units of the totals, repeated waves, and no wave of a clip that its text rejects is measured."""
+    good = "كلام عربي سليم وطويل"
+    meta = "audio_file string, text string"
+    train = spark.createDataFrame([("a", good), ("b", "latin"), ("b", good), ("c", good), (None, "latin")], meta)
+    reviews = spark.createDataFrame([("c", good, "شيء", None), ("a", good, good, None), ("b", "x", "y", 0.0)], "audio_file string, original_text string, whisper_text string, similarity double")
+    g = P.quality_gate(train, train.limit(0), None, reviews, computed=True)
+    got = {r["audio_file"]: r["reason"] for r in g.rejected.collect()}
+    assert got.keys() == {"b", "c"} and got["b"].startswith("Layer 1: Low Arabic ratio (0.00)") and got["c"].startswith("Layer 3: Low alignment (0.") and got["c"].endswith("| Whisper: شيء")
+    assert g.totals.first().asDict() == {"total": 5, "rejected": 3, "kept": 2, "rejected_share": 0.6}
+    assert g.clip_totals.first().asDict() == {"total": 3, "rejected": 2, "kept": 1, "rejected_share": 0.666667}
+    waves = spark.createDataFrame([("a", [0.5, -0.5] * 8000, 8000), ("a", [0.5, -0.5] * 8000, 8000), ("b", [0.5], -1)], "audio_file string, samples array<double>, rate int")
+    g = P.quality_gate(train, train.limit(0), waves, reviews.limit(0))
+    assert {r["audio_file"]: r["code"] for r in g.rejected.collect()}["c"] == "file_missing" and g.kept.count() == 2 - (1 if g.rejected.filter("audio_file = 'a'").count() else 0)
+    assert [r["audio_file"] for r in P.Q.listed(g.rejected).collect()] == sorted(r["audio_file"] for r in g.rejected.collect())

@@ -23,7 +23,6 @@ CHECKS = [
     (2, "excess_silence"),
     (2, "clipping"),
     (3, "low_similarity"),
-    (3, "error"),
 ]
 
 
@@ -72,18 +71,20 @@ def signal_code() -> Column:
 def gate(clips: DataFrame) -> DataFrame:
     """Every clip with its first rejection, cheap checks first: ``clip_id``, ``layer``, ``code``, ``reason`` (null if kept).
 
-    Layer 1 runs on columns alone; only its survivors reach the waveform metrics.
+    One scan: layer 1 runs on columns, and rows that fail it hand a null array to
+    the waveform metrics, so only its survivors are measured.
     """
-    base = clips.withColumn("text", F.coalesce("text", F.lit(""))).withColumns({"arabic_ratio": T.arabic_ratio(F.coalesce("text", F.lit("")))})
-    base = base.withColumns({k: v for k, v in text_metrics(F.col("text")).items()})
-    one = base.withColumn("code", text_code(F.col("duration")))
-    silent = F.lit(None).cast("string")
-    failed = one.filter("code IS NOT NULL").select("clip_id", "text", "duration", "arabic_ratio", "latin_count", "code", *[silent.cast("double").alias(x) for x in ("snr", "sil", "clip")])
-    passed = one.filter("code IS NULL").withColumn("m", wave_metrics("audio.array", "audio.sampling_rate")).withColumn("code", signal_code())
-    passed = passed.select("clip_id", "text", "duration", "arabic_ratio", "latin_count", "code", F.col("m.snr_gate").alias("snr"), F.col("m.silence_ratio").alias("sil"), F.col("m.clipping_ratio").alias("clip"))
-    both = failed.unionByName(passed)
-    layer = F.when(F.col("code").isin("low_arabic", "latin_chars", "repeated_words", "bad_char_rate"), 1).when(F.col("code").isNotNull(), 2)
-    return both.select("clip_id", layer.alias("layer"), "code", reason().alias("reason"))
+    base = clips.withColumn("text", F.coalesce("text", F.lit("")))
+    one = base.withColumns(text_metrics(F.col("text"))).withColumn("code1", text_code(F.col("duration")))
+    two = one.withColumn("m", wave_metrics(F.when(F.col("code1").isNull(), F.col("audio.array")), F.col("audio.sampling_rate")))
+    code = F.coalesce("code1", signal_code())
+    judged = two.select("clip_id", "text", "duration", "arabic_ratio", "latin_count", code.alias("code"), F.when(F.col("code1").isNotNull(), 1).when(code.isNotNull(), 2).alias("layer"), *measured())
+    return judged.select("clip_id", "layer", "code", reason().alias("reason"))
+
+
+def measured() -> list[Column]:
+    """The columns of ``m`` that reasons quote."""
+    return [F.col(f"m.{a}").alias(b) for a, b in (("snr_gate", "snr"), ("silence_ratio", "sil"), ("clipping_ratio", "clip"))]
 
 
 def reason() -> Column:
@@ -109,23 +110,38 @@ def issue_counts(rejections: DataFrame) -> DataFrame:
     return codes.join(got, ["layer", "code"], "left").select("layer", "code", F.coalesce("n", F.lit(0)).alias("n"))
 
 
-def totals(rejections: DataFrame) -> DataFrame:
-    """Rows, rejected and kept, as counts and shares: one row."""
+def totals(rejections: DataFrame, unit: str | None = None) -> DataFrame:
+    """Rows, rejected and kept, as counts and shares: one row. With ``unit``, its distinct values count, rejected if any of their rows is."""
+    rejections = rejections if unit is None else rejections.groupBy(unit).agg(F.max("code").alias("code"))
     n, bad = F.count(F.lit(1)), F.count("code")
     return rejections.agg(n.alias("total"), bad.alias("rejected"), (n - bad).alias("kept"), F.round(F.try_divide(bad, n), 6).alias("rejected_share"))
 
 
-def alignment(reviews: DataFrame) -> DataFrame:
-    """Layer 3 over reviewed clips: a missing transcript is an error, a low similarity a rejection."""
-    code = F.when(F.col("whisper_text").isNull() | F.col("similarity").isNull(), "error").when(F.col("similarity") < MIN_SIMILARITY, "low_similarity")
-    return reviews.withColumn("code", code).withColumn("layer", F.when(code.isNotNull(), 3))
+def alignment(reviews: DataFrame, computed: bool = False) -> DataFrame:
+    """Layer 3 over reviewed clips: adds ``code``, ``layer`` and the worded ``reason3``.
+
+    A low similarity and a missing transcript are rejections of one code, told
+    apart by their reasons. With ``computed``, ``similarity`` is worked out from
+    the two texts instead of taken as stored.
+    """
+    rows = reviews.withColumn("similarity", F.round(T.similarity(F.col("original_text"), F.col("whisper_text")), 4)) if computed else reviews
+    error = F.col("whisper_text").isNull() | F.col("similarity").isNull()
+    code = F.when(error | (F.col("similarity") < MIN_SIMILARITY), "low_similarity")
+    cut = [F.substring(F.coalesce(c, F.lit("")), 1, 50) for c in ("original_text", "whisper_text")]
+    worded = F.when(error, F.lit("Layer 3: Whisper error (no transcript)")).otherwise(F.format_string("Layer 3: Low alignment (%.2f) | Original: %s | Whisper: %s", "similarity", *cut))
+    return rows.withColumns({"code": code, "layer": F.when(code.isNotNull(), 3), "reason3": F.when(code.isNotNull(), worded)})
 
 
-def review_rows(reviews: DataFrame) -> DataFrame:
-    """The listing of low alignments: texts cut to 50 characters; errors are left out."""
-    low = alignment(reviews).filter("code = 'low_similarity'")
+def review_rows(reviews: DataFrame, computed: bool = False) -> DataFrame:
+    """The listing of low alignments: texts cut to 50 characters, the similarity to two places; errors are left out."""
+    low = alignment(reviews, computed).filter("code = 'low_similarity' AND whisper_text IS NOT NULL AND similarity IS NOT NULL")
     cut = [F.substring(c, 1, 50).alias(c) for c in ("original_text", "whisper_text")]
-    return low.select("audio_file", *cut, F.round("similarity", 4).alias("similarity"), F.lit("rejected").alias("status"))
+    return low.select("audio_file", *cut, F.format_string("%.2f", "similarity").alias("similarity"), F.lit("REJECTED").alias("status"))
+
+
+def listed(rejected: DataFrame) -> DataFrame:
+    """The rejections sorted by clip."""
+    return rejected.orderBy("audio_file")
 
 
 def surviving(rows: DataFrame, rejected: DataFrame, key: str) -> DataFrame:

@@ -11,11 +11,16 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from voxloom.operators.running import position
-from voxloom.plans.stash import stash
+from voxloom.plans.blocks import dealt, hot_keys, repeated
+from voxloom.plans.stash import stash, stash_measured
 
 MIN_CLUSTER = 500
 #: Members of the largest cluster that a refinement keeps, or all if there are fewer.
 REFINED = 5000
+#: Centroids that are broadcast at most.
+BROADCAST = 10_000
+#: Rows that a silhouette is taken of, as in the original.
+SILHOUETTE_ROWS = 5000
 #: Numbers of clusters that the silhouette search tries.
 SEARCHED = (10, 15, 20, 25, 30)
 
@@ -57,10 +62,21 @@ def centroids(vectors: DataFrame, cluster: str, vec: str) -> DataFrame:
 
 
 def similarities(vectors: DataFrame, cluster: str, vec: str) -> DataFrame:
-    """Every row with ``similarity``, the cosine to its cluster's centroid."""
-    c = centroids(vectors, cluster, vec)
+    """Every row with ``similarity``, the cosine to its cluster's centroid.
+
+    The centroids are counted as they are written: up to ``BROADCAST`` of them go
+    to every executor, so that no cluster is brought together; more are joined
+    with hot clusters in blocks.
+    """
+    c, seen = stash_measured(centroids(vectors, cluster, vec).withColumnRenamed("cluster", cluster), n=F.count(F.lit(1)))
     norm = F.sqrt(dot(F.col(vec), F.col(vec)))
-    return vectors.join(c.withColumnRenamed("cluster", cluster), cluster).withColumn("similarity", F.try_divide(dot(F.col(vec), F.col("centroid")), norm)).drop("centroid")
+    if seen["n"] <= BROADCAST:
+        both = vectors.join(F.broadcast(c), cluster)  # counted
+    else:
+        hot = hot_keys(vectors, [cluster])
+        rest = [x for x in vectors.columns if x != cluster]
+        both = dealt(vectors, [cluster], rest, hot, "__block").join(repeated(c, [cluster], hot, "__block"), [cluster, "__block"]).drop("__block")
+    return both.withColumn("similarity", F.try_divide(dot(F.col(vec), F.col("centroid")), norm)).drop("centroid")
 
 
 def cluster_stats(scored: DataFrame, cluster: str) -> DataFrame:
@@ -95,21 +111,26 @@ def top_n_per_cluster(scored: DataFrame, n: int, cluster: str, key: str, salts:
     return out.drop("__salt", "__r")
 
 
-def kmeans(vectors: DataFrame, vec: str, ks: Sequence[int] = SEARCHED, seed: int = 42) -> tuple[DataFrame, DataFrame]:
+def kmeans(vectors: DataFrame, vec: str, ks: Sequence[int] = SEARCHED, seed: int = 42, silhouette_rows: int = SILHOUETTE_ROWS) -> tuple[DataFrame, DataFrame]:
     """Scalable stand-in for hierarchical clustering: bisecting k-means on unit vectors for each k, judged by silhouette.
 
-    Returns the rows with ``cluster_id`` under the first best k, and the scores; null and zero vectors are left out.
+    Every row is clustered; the silhouette is taken of about ``silhouette_rows``
+    rows, chosen by a hash, or of all if there are fewer. Returns the rows with
+    ``cluster_id`` under the first best k, and the scores; null and zero vectors
+    are left out.
     """
     from pyspark.ml.clustering import BisectingKMeans
     from pyspark.ml.evaluation import ClusteringEvaluator
     from pyspark.ml.functions import array_to_vector
 
     rows = vectors.withColumn("features", unit(F.col(vec))).filter("features IS NOT NULL").withColumn("features", array_to_vector("features"))
-    rows = stash(rows)  # every step of every fit reads it
+    rows, seen = stash_measured(rows, n=F.count(F.lit(1)))  # every step of every fit reads it
+    share = 1.0 if seen["n"] <= silhouette_rows else silhouette_rows / seen["n"]
+    place = F.xxhash64("features", F.lit(seed)).bitwiseAND(F.lit((1 << 53) - 1)) / F.lit(float(1 << 53))
     scores, top = [], None
     for k in ks:
         labelled = BisectingKMeans(k=k, seed=seed, predictionCol="cluster_id").fit(rows).transform(rows)
-        score = ClusteringEvaluator(predictionCol="cluster_id").evaluate(labelled)
+        score = ClusteringEvaluator(predictionCol="cluster_id").evaluate(labelled.filter(place < share))
         scores.append((k, float(score)))
         if top is None or score > top[0]:
             top = (score, labelled)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -62,32 +63,53 @@ def build_corpus(clips: DataFrame, vectors: DataFrame, top_n: int | None = None,
 
 @dataclass
 class Gated:
-    """Rejections (first reason per clip), kept rows, counts per check and totals."""
+    """Rejections (``audio_file``, ``layer``, ``code``, ``reason``), kept rows, counts per check, totals of rows and of clips."""
 
     rejected: DataFrame
     kept: DataFrame
     issues: DataFrame
     totals: DataFrame
+    clip_totals: DataFrame
 
 
-def quality_gate(train: DataFrame, evaluation: DataFrame, waves: DataFrame, reviews: DataFrame) -> Gated:
-    """Three layers over both splits of metadata.
+def quality_gate(train: DataFrame, evaluation: DataFrame, waves: DataFrame | None, reviews: DataFrame, computed: bool = False) -> Gated:
+    """Three layers over both splits of metadata, each only on what the layers before it leave.
 
     ``waves`` (``audio_file``, ``samples``, ``rate``) and ``reviews`` are looked up
-    by ``audio_file``. A clip is rejected by its first failing layer; all rows
-    that name it go. Inputs are left as they are.
+    by ``audio_file``; a clip with several waves or reviews fails if one does, a
+    clip without a review passes. Without ``waves`` the second layer is left out.
+    ``computed`` similarities are worked out from the texts. A clip is rejected by
+    its first failing layer; all rows that name it go. Rows without an
+    ``audio_file`` are no clip and are kept. Inputs are left as they are.
     """
     rows = train.withColumn("origin", F.lit("train")).unionByName(evaluation.withColumn("origin", F.lit("eval")))
-    text = rows.withColumn("text", F.coalesce("text", F.lit(""))).withColumns(Q.text_metrics(F.col("text")))
-    found = waves.select("audio_file", wave_metrics("samples", "rate").alias("m"))
-    staged = text.join(found, "audio_file", "left").withColumn("duration", F.col("m.duration_s"))
-    review = Q.alignment(reviews).filter("code IS NOT NULL").groupBy("audio_file").agg(F.min("code").alias("code3"))
-    staged = staged.join(review, "audio_file", "left")
-    code = F.coalesce(Q.text_code(F.col("duration")), Q.signal_code(), F.col("code3"))
-    layer = F.when(Q.text_code(F.col("duration")).isNotNull(), 1).when(Q.signal_code().isNotNull(), 2).when(F.col("code3").isNotNull(), 3)
-    judged = stash(staged.select("audio_file", code.alias("code"), layer.alias("layer")))
-    rejected = judged.filter("code IS NOT NULL").groupBy("audio_file").agg(F.min(F.struct("layer", "code")).alias("first")).select("audio_file", "first.layer", "first.code")
-    return Gated(rejected, Q.surviving(rows, rejected, "audio_file"), Q.issue_counts(judged), Q.totals(judged))
+    named = rows.filter(F.col("audio_file").isNotNull())
+    text = named.select("audio_file", F.coalesce("text", F.lit("")).alias("text")).withColumns(Q.text_metrics(F.col("text")))
+    nothing = [F.lit(None).cast("double").alias(x) for x in ("duration", "snr", "sil", "clip")]
+    one = text.select("*", *nothing).withColumn("code", Q.text_code(None)).withColumn("reason", Q.reason())
+    failed = [_first(one, 1)]
+    clips = stash(Q.surviving(named.select("audio_file").distinct(), failed[0], "audio_file"))
+    if waves is not None:
+        # the rate check of layer 1 needs a duration, so it comes with the waves, before the signal checks
+        texts = text.join(clips, "audio_file", "left_semi")
+        heard = waves.join(clips, "audio_file", "left_semi").select("audio_file", wave_metrics("samples", "rate").alias("m"))
+        both = texts.join(heard, "audio_file", "left").withColumn("duration", F.col("m.duration_s")).select("*", *Q.measured())
+        early = Q.text_code(F.col("duration"))
+        judged = both.withColumns({"layer": F.when(early.isNotNull(), 1).otherwise(2), "code": F.coalesce(early, Q.signal_code())}).withColumn("reason", Q.reason())
+        failed.append(_first(judged, None))
+        clips = stash(Q.surviving(clips, failed[1], "audio_file"))
+    heard = Q.alignment(reviews.join(clips, "audio_file", "left_semi"), computed)
+    failed.append(_first(heard.withColumn("reason", F.col("reason3")), 3))
+    rejected = reduce(DataFrame.unionByName, failed)
+    judged = rows.select("audio_file").join(rejected, "audio_file", "left")
+    return Gated(rejected, Q.surviving(rows, rejected, "audio_file"), Q.issue_counts(rejected), Q.totals(judged), Q.totals(judged.filter("audio_file IS NOT NULL"), "audio_file"))
+
+
+def _first(judged: DataFrame, layer: int | None) -> DataFrame:
+    """The rejections of a layer, one per clip: the least code, and its least reason."""
+    at = F.col("layer") if layer is None else F.lit(layer)
+    order = F.struct(at.alias("layer"), F.col("code"), F.col("reason"))
+    return stash(judged.filter("code IS NOT NULL").groupBy("audio_file").agg(F.min(order).alias("x")).select("audio_file", "x.layer", "x.code", "x.reason"))
 
 
 def text_to_chunks(documents: DataFrame, seed: int = 12345, lite: bool = False) -> DataFrame:

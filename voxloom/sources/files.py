@@ -13,6 +13,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+def file_system(path: str):
+    """The Arrow file system of a path or URI (local, HDFS, object stores), and the path in it; for the driver and Python workers alike."""
+    from pyarrow import fs
+
+    if path.startswith("file:") and "://" not in path:
+        path = "file://" + path[5:]
+    return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+
+
 METADATA_SCHEMA = "audio_file string, text string, speaker_name string"
 
 
@@ -132,49 +141,58 @@ def read_wav(spark: SparkSession, path: str) -> DataFrame:
 
 
 def wav_durations(spark: SparkSession, path: str) -> DataFrame:
-    """Seconds of every WAV file from its header, whatever chunks precede the data: ``path``, ``duration``."""
+    """Seconds of every WAV file: ``path``, ``duration``. Only the chunk headers before the data are read; unreadable files have null."""
+
+    def seconds(name: str) -> float | None:
+        try:
+            system, place = file_system(name)
+            with system.open_input_file(place) as f, wave.open(f) as w:
+                return w.getnframes() / w.getframerate()
+        except (wave.Error, EOFError, OSError, ZeroDivisionError):
+            return None
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            seconds = []
-            for raw in pdf["content"]:
-                try:
-                    with wave.open(io.BytesIO(raw)) as w:
-                        seconds.append(w.getnframes() / w.getframerate())
-                except (wave.Error, EOFError, ZeroDivisionError):
-                    seconds.append(None)
-            yield pd.DataFrame({"path": pdf["path"], "duration": seconds})
+            yield pdf.assign(duration=pd.array([seconds(x) for x in pdf["path"]], "Float64"))
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.wav").option("recursiveFileLookup", "true").load(path)
-    return files.select("path", "content").mapInPandas(run, "path string, duration double")
+    return listing(spark, path, "*.wav", recursive=True).select("path").mapInPandas(run, "path string, duration double")
 
 
 def write_wav(rows: DataFrame, folder: str, width: int = 2) -> None:
-    """Writes ``file``, ``samples``, ``rate`` as mono PCM below a shared ``folder``, on the executors."""
+    """Writes ``file``, ``samples``, ``rate`` as mono PCM below a shared ``folder`` (path or URI), on the executors; null samples or rates are skipped."""
     scale = float((1 << (8 * width - 1)) - 1)
 
     def run(part) -> None:
-        import os
-
         for r in part:
             x = np.clip(np.asarray(r["samples"], np.float64), -1, 1)
             ints = np.rint(x * scale).astype("<i4")
-            target = os.path.join(folder, r["file"])
-            os.makedirs(os.path.dirname(target), exist_ok=True)
-            with wave.open(target, "wb") as w:
+            body = io.BytesIO()
+            with wave.open(body, "wb") as w:
                 w.setnchannels(1)
                 w.setsampwidth(width)
                 w.setframerate(int(r["rate"]))
                 w.writeframes(ints.view(np.uint8).reshape(-1, 4)[:, :width].tobytes())
+            _write(f"{folder}/{r['file']}", body.getvalue())
+
+    rows.select("file", "samples", "rate").dropna().foreachPartition(run)
 
-    rows.select("file", "samples", "rate").foreachPartition(run)
+
+def _write(path: str, body: bytes) -> None:
+    system, place = file_system(path)
+    system.create_dir(place.rsplit("/", 1)[0], recursive=True)
+    with system.open_output_stream(place) as f:
+        f.write(body)
 
 
 def write_report(row: DataFrame, path: str) -> None:
-    """The one row of a report as indented JSON, non-ASCII kept."""
+    """The one row of a report as indented JSON below a path or URI, non-ASCII kept."""
     first = row.first()
-    with open(path, "w", encoding="utf-8") as f:
-        json.dump(first.asDict(recursive=True) if first else {}, f, indent=2, ensure_ascii=False, default=str)
+    _write(path, json.dumps(first.asDict(recursive=True) if first else {}, indent=2, ensure_ascii=False, default=str).encode())
+
+
+def write_review(rows: DataFrame, path: str) -> None:
+    """The review listing, pipe-separated and sorted by clip."""
+    write_metadata(rows.orderBy("audio_file", *[c for c in rows.columns if c != "audio_file"]), path)
 
 
 def quarantine(rows: DataFrame, rejected: DataFrame, key: str, folder: str) -> None:
