@@ -164,3 +164,14 @@ def edit(fn, **kw):
 def post_process(x: np.ndarray, rate: int) -> np.ndarray:
     """Pauses compressed, then the tail trimmed."""
     return trim_tail(compress_pauses(x, rate), rate)
+
+
+def mono(channels: np.ndarray) -> np.ndarray:
+    """The mean of the channels of samples by channels; one channel stays as it is."""
+    x = np.asarray(channels, np.float64)
+    return x if x.ndim == 1 else x.mean(axis=1)
+
+
+def clamp(x: np.ndarray, rate: int = 0, bound: float = 1.0) -> np.ndarray:
+    """Samples cut to [-bound, bound]."""
+    return np.clip(x, -bound, bound)

@@ -6,26 +6,33 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from voxloom.functions.text import strip
+from voxloom.plans.stash import stash
+
 
 def shuffle_key(key: str, seed: int = 42) -> Column:
     """A repeatable shuffle position that any SQL engine computes alike."""
     return F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")))
 
 
-def _ordered_rank(df: DataFrame, order: list[Column], cells: Column, out: str) -> DataFrame:
-    """0-based rank in ``order`` without one task sorting everything; ``cells`` (a short string or number) must be monotone in the order."""
-    at = df.withColumn("__cell", cells)
-    sizes = at.groupBy("__cell").agg(F.count(F.lit(1)).alias("__n"))
-    before = Window.partitionBy(F.lit(0)).orderBy("__cell").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select("__cell", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
-    inner = at.withColumn("__r", F.row_number().over(Window.partitionBy("__cell").orderBy(*order)) - 1)
-    return inner.join(offsets, "__cell").withColumn(out, F.col("__before") + F.col("__r")).drop("__cell", "__n", "__r", "__before")
+def _ordered_rank(df: DataFrame, order: list[Column], out: str) -> DataFrame:
+    """0-based rank in ``order`` without one task sorting everything.
+
+    Rows are cut into ranges of the order at sampled bounds and sorted within
+    them; only the sizes of the ranges, one row per partition, are summed in order.
+    """
+    at = stash(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__at", F.monotonically_increasing_id()))
+    part, inner = F.shiftright("__at", 33), F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))
+    sizes = at.groupBy(part.alias("__part")).agg(F.count(F.lit(1)).alias("__n"))
+    before = Window.partitionBy(F.lit(0)).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
+    ranked = at.withColumn("__part", part).join(F.broadcast(offsets), "__part")  # one row per partition
+    return ranked.withColumn(out, F.col("__before") + inner).drop("__part", "__at", "__before")
 
 
 def shuffled(df: DataFrame, key: str, seed: int = 42) -> DataFrame:
-    """Adds ``pos``, the 0-based place in the seeded shuffle; the first three hex digits are the cells."""
-    k = shuffle_key(key, seed)
-    return _ordered_rank(df, [k, F.col(key)], F.substring(k, 1, 3), "pos")
+    """Adds ``pos``, the 0-based place in the seeded shuffle."""
+    return _ordered_rank(df, [shuffle_key(key, seed), F.col(key)], "pos")
 
 
 def split(df: DataFrame, key: str, eval_share: float = 0.1, seed: int = 42) -> DataFrame:
@@ -41,8 +48,8 @@ def sample(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
 
 
 def numbered(df: DataFrame, key: str, pattern: str = "wavs/clip_%06d.wav") -> DataFrame:
-    """Adds ``file``: dense names in key order, numbered by ranges of keys."""
-    ranked = _ordered_rank(df, [F.col(key)], F.floor(F.col(key) / 4096), "__k")
+    """Adds ``file``: dense names in key order."""
+    ranked = _ordered_rank(df, [F.col(key)], "__k")
     return ranked.withColumn("file", F.format_string(pattern, F.col("__k"))).drop("__k")
 
 
@@ -84,3 +91,26 @@ def overlay(base: DataFrame, new: DataFrame, keys: list[str], value: str) -> Dat
 def flagged_union(selected: DataFrame, others: DataFrame, out: str = "selected") -> DataFrame:
     """Both sets with a 1/0 flag."""
     return selected.withColumn(out, F.lit(1)).unionByName(others.withColumn(out, F.lit(0)))
+
+
+def capped(df: DataFrame, text: str, most: int = 500, out: str = "code") -> DataFrame:
+    """Adds ``blank``, ``too_long`` or ``ok`` by the text's length without white space at its ends and with it; null counts as blank."""
+    t = F.coalesce(text, F.lit(""))
+    return df.withColumn(out, F.when(strip(t) == "", "blank").when(F.length(t) > most, "too_long").otherwise("ok"))
+
+
+def looked_up(rows: DataFrame, key: str, table: DataFrame, values: list[str], out: str = "error") -> DataFrame:
+    """Every row with the ``values`` of its ``key`` in ``table``; a key that is missing there has null values and says so in ``out``. A key listed twice takes the least."""
+    one = table.filter(F.col(key).isNotNull()).groupBy(key).agg(F.min(F.struct(*values)).alias("__v"))
+    both = rows.join(one, key, "left")
+    known = F.col("__v").isNotNull()
+    error = F.when(~known, F.concat(F.lit(f"unknown {key}: "), F.coalesce(F.col(key).cast("string"), F.lit("null"))))
+    return both.withColumns({**{v: F.col("__v")[v] for v in values}, out: error}).drop("__v")
+
+
+def scale_label(value: Column, steps: list[tuple[float, str]], last: str) -> Column:
+    """The label of the first step whose bound the value does not exceed, or the last label; null for null."""
+    out = F.when(value.isNull(), None)
+    for bound, label in steps:
+        out = out.when(value <= bound, label)
+    return out.otherwise(last)

@@ -87,19 +87,28 @@ def measured() -> list[Column]:
     return [F.col(f"m.{a}").alias(b) for a, b in (("snr_gate", "snr"), ("silence_ratio", "sil"), ("clipping_ratio", "clip"))]
 
 
+def _fixed(value: Column, places: int) -> Column:
+    """A number with fixed places, rounded by its exact value (``format_string`` rounds its shortest decimal form)."""
+    return F.call_function("format_number", value, F.lit("0." + "0" * places if places else "0"))
+
+
 def reason() -> Column:
     """The worded reason of a code, from the metric columns beside it."""
     c = F.col("code")
     rate = F.length("text") / F.greatest("duration", F.lit(0.1))
+
+    def worded(before: str, value: Column, after: str) -> Column:
+        return F.concat(F.lit(before), value, F.lit(after))
+
     return (
-        F.when(c == "low_arabic", F.format_string("Layer 1: Low Arabic ratio (%.2f)", "arabic_ratio"))
-        .when(c == "latin_chars", F.format_string("Layer 1: Latin characters (%d)", "latin_count"))
+        F.when(c == "low_arabic", worded("Layer 1: Low Arabic ratio (", _fixed(F.col("arabic_ratio"), 2), ")"))
+        .when(c == "latin_chars", worded("Layer 1: Latin characters (", F.col("latin_count").cast("string"), ")"))
         .when(c == "repeated_words", F.lit("Layer 1: Repeated words"))
-        .when(c == "bad_char_rate", F.format_string("Layer 1: Abnormal char rate (%.1f c/s)", rate))
+        .when(c == "bad_char_rate", worded("Layer 1: Abnormal char rate (", _fixed(rate, 1), " c/s)"))
         .when(c == "file_missing", F.lit("Layer 2: File missing"))
-        .when(c == "low_snr", F.format_string("Layer 2: Low SNR (%.1f dB)", "snr"))
-        .when(c == "excess_silence", F.format_string("Layer 2: Excessive silence (%.0f%%)", F.col("sil") * 100))
-        .when(c == "clipping", F.format_string("Layer 2: Clipping (%.1f%%)", F.col("clip") * 100))
+        .when(c == "low_snr", worded("Layer 2: Low SNR (", _fixed(F.col("snr"), 1), " dB)"))
+        .when(c == "excess_silence", worded("Layer 2: Excessive silence (", _fixed(F.col("sil") * 100, 0), "%)"))
+        .when(c == "clipping", worded("Layer 2: Clipping (", _fixed(F.col("clip") * 100, 1), "%)"))
     )
 
 
@@ -128,7 +137,7 @@ def alignment(reviews: DataFrame, computed: bool = False) -> DataFrame:
     error = F.col("whisper_text").isNull() | F.col("similarity").isNull()
     code = F.when(error | (F.col("similarity") < MIN_SIMILARITY), "low_similarity")
     cut = [F.substring(F.coalesce(c, F.lit("")), 1, 50) for c in ("original_text", "whisper_text")]
-    worded = F.when(error, F.lit("Layer 3: Whisper error (no transcript)")).otherwise(F.format_string("Layer 3: Low alignment (%.2f) | Original: %s | Whisper: %s", "similarity", *cut))
+    worded = F.when(error, F.lit("Layer 3: Whisper error (no transcript)")).otherwise(F.concat(F.lit("Layer 3: Low alignment ("), _fixed(F.col("similarity"), 2), F.lit(") | Original: "), cut[0], F.lit(" | Whisper: "), cut[1]))
     return rows.withColumns({"code": code, "layer": F.when(code.isNotNull(), 3), "reason3": F.when(code.isNotNull(), worded)})
 
 
@@ -136,7 +145,7 @@ def review_rows(reviews: DataFrame, computed: bool = False) -> DataFrame:
     """The listing of low alignments: texts cut to 50 characters, the similarity to two places; errors are left out."""
     low = alignment(reviews, computed).filter("code = 'low_similarity' AND whisper_text IS NOT NULL AND similarity IS NOT NULL")
     cut = [F.substring(c, 1, 50).alias(c) for c in ("original_text", "whisper_text")]
-    return low.select("audio_file", *cut, F.format_string("%.2f", "similarity").alias("similarity"), F.lit("REJECTED").alias("status"))
+    return low.select("audio_file", *cut, _fixed(F.col("similarity"), 2).alias("similarity"), F.lit("REJECTED").alias("status"))
 
 
 def listed(rejected: DataFrame) -> DataFrame:

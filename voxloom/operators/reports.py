@@ -41,9 +41,15 @@ def chunk_rows(runs: DataFrame) -> DataFrame:
     return c.select("run_id", F.col("c.index").alias("index"), F.col("c.chars").alias("chars"), F.col("c.duration_s").alias("duration_s"), (F.col("seed") + F.col("pos")).alias("chunk_seed"))
 
 
+#: The fields of the reports on upsampled files and on training runs.
+UPSAMPLING_SCHEMA = "date string, results array<struct<input string, output string, input_sr int, output_sr int, bit_depth int, duration_s double, processing_time_s double>>"
+TRAINING_SCHEMA = "date string, dataset string, train_clips int, eval_clips int, epochs int, batch_size int, grad_accum int, learning_rate double, training_hours double, output_path string, base_model string"
+
+
 def stage_map(rows: DataFrame, stage: str, metrics: list[str]) -> DataFrame:
-    """Rows of metrics per stage as one map: ``metrics``."""
-    return rows.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col(stage), F.struct(*metrics))))).alias("metrics"))
+    """Rows of metrics per stage as one map: ``metrics``; a stage with several rows has their means, so the map grows with the stages only."""
+    one = rows.filter(F.col(stage).isNotNull()).groupBy(stage).agg(*[F.avg(m).alias(m) for m in metrics])
+    return one.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col(stage), F.struct(*metrics))))).alias("metrics"))
 
 
 def concatenated(parts: DataFrame, group: str, order: str, wave: str, rate: Column, pause: float = PAUSE_S, end_pause: float = END_PAUSE_S) -> DataFrame:

@@ -97,14 +97,71 @@ def _text(expr: str) -> str:
 _SPLIT = """s AS (SELECT doc_id, row_number() OVER (ORDER BY md5('42:' || doc_id), doc_id) - 1 AS pos, count(*) OVER () AS n FROM documents),
 k AS (SELECT doc_id, pos, CASE WHEN pos < floor(n * 0.9) THEN 'train' ELSE 'eval' END AS part FROM s)"""
 _METRIC_NAMES = ("duration_s", "rms", "peak", "snr_gate", "snr_eval", "snr_base", "silence_ratio", "clipping_ratio", "speaking_s")
-_ALIGN = "al AS (SELECT *, CASE WHEN whisper_text IS NULL OR similarity IS NULL THEN 'error' WHEN similarity < 0.4 THEN 'low_similarity' END AS code FROM sanity_review)"
+_ALIGN = """al AS (SELECT *, CASE WHEN whisper_text IS NULL OR similarity IS NULL OR similarity < 0.4 THEN 'low_similarity' END AS code,
+  CASE WHEN whisper_text IS NULL OR similarity IS NULL THEN 'Layer 3: Whisper error (no transcript)' WHEN similarity < 0.4 THEN printf('Layer 3: Low alignment (%.2f) | Original: %s | Whisper: %s', similarity, substring(coalesce(original_text, ''), 1, 50), substring(whisper_text, 1, 50)) END AS reason FROM sanity_review)"""
 _TOKENS_AT = "unnest(audio['array'])::DOUBLE AS x, generate_subscripts(audio['array'], 1) AS i"
 
 
+_JUDGED = f"""{_ALIGN}, m AS (SELECT audio_file, split, coalesce(text, '') AS text FROM metadata_eval WHERE split IN ('train', 'eval')),
+one AS (SELECT audio_file, CASE WHEN {_ratio('text')} < 0.6 THEN struct_pack(layer := 1, code := 'low_arabic', reason := printf('Layer 1: Low Arabic ratio (%.2f)', {_ratio('text')}))
+  WHEN {_latin('text')} > 3 THEN struct_pack(layer := 1, code := 'latin_chars', reason := printf('Layer 1: Latin characters (%d)', {_latin('text')})) WHEN {_repeats('text')} THEN struct_pack(layer := 1, code := 'repeated_words', reason := 'Layer 1: Repeated words') END AS x FROM m WHERE audio_file IS NOT NULL),
+three AS (SELECT audio_file, struct_pack(layer := 3, code := code, reason := reason) AS x FROM al WHERE code IS NOT NULL AND audio_file IN (SELECT audio_file FROM one)),
+rej AS (SELECT audio_file, min(x) AS x FROM (SELECT * FROM one WHERE x IS NOT NULL UNION ALL FROM three) GROUP BY audio_file)"""
+_CLEANED = {c: f"regexp_replace(coalesce({c}, ''), '[|\"\\r\\n\\x00]', ' ', 'g')" for c in ("audio_file", "text", "speaker_name", "original_text", "whisper_text", "similarity", "status")}
+_SAMPLES = "SELECT clip_id, audio['sampling_rate'] AS sr, len(audio['array']) AS n, unnest(audio['array'])::DOUBLE AS x, generate_subscripts(audio['array'], 1) - 1 AS i FROM prepare_dataset WHERE len(audio['array']) > 0 AND audio['sampling_rate'] > 0"
+
+
+def _files() -> dict[str, str]:
+    """The tables that files were written from."""
+    review = f"WITH {_ALIGN}, v AS (SELECT audio_file, substring(original_text, 1, 50) AS original_text, substring(whisper_text, 1, 50) AS whisper_text, printf('%.2f', similarity) AS similarity, 'REJECTED' AS status FROM al WHERE code IS NOT NULL AND whisper_text IS NOT NULL AND al.similarity IS NOT NULL)"
+    return {
+        "metadata_files": f"SELECT row_id, {', '.join(f'{_CLEANED[c]} AS {c}' for c in ('audio_file', 'text', 'speaker_name'))} FROM metadata_eval",
+        "text_files": "SELECT source, max_repeat::VARCHAR AS text FROM source_weight WHERE source IS NOT NULL",
+        "listed_files": "SELECT source, length(max_repeat::VARCHAR) + 5 AS length, true AS any FROM source_weight WHERE source IS NOT NULL",
+        "trainer_log": "SELECT run_id AS step, rtf AS loss FROM generation_stats WHERE rtf IS NOT NULL AND run_id > 0",
+        "loss_average": "WITH c AS (SELECT run_id AS step, rtf, count(*) OVER () AS n, row_number() OVER (ORDER BY run_id) AS r FROM generation_stats WHERE rtf IS NOT NULL AND run_id > 0), w AS (SELECT *, least(50, n // 5) AS width FROM c WHERE n > 20) SELECT a.step, round(avg(b.rtf), 6) AS loss_average FROM w a JOIN w b ON b.r BETWEEN a.r - a.width + 1 AND a.r WHERE a.r >= a.width GROUP BY a.step",
+        "wave_files": f"WITH a AS ({_SAMPLES}) SELECT clip_id, max(n) AS samples, max(sr) AS rate, round(sum(abs(round_even(greatest(least(coalesce(x, 0), 1), -1) * 32767, 0) / 32768)), 4) AS level FROM a GROUP BY clip_id",
+        "wave_file_durations": "SELECT clip_id, round(len(audio['array'])::DOUBLE / audio['sampling_rate'], 6) AS duration FROM prepare_dataset WHERE len(audio['array']) > 0 AND audio['sampling_rate'] > 0",
+        "report_file": f"WITH {_GATE} SELECT count(*) AS total, count(code) AS rejected, count(*) - count(code) AS kept, round(count(code)::DOUBLE / count(*), 6) AS rejected_share FROM gate",
+        "quarantined": f"WITH {_ALIGN} SELECT row_id, CASE WHEN EXISTS (SELECT 1 FROM al WHERE al.code IS NOT NULL AND al.audio_file = v.audio_file) THEN 'rejected' ELSE 'kept' END AS place FROM metadata_eval v",
+        "review_file": f"{review} SELECT {', '.join(f'{_CLEANED[c]} AS {c}' for c in ('audio_file', 'original_text', 'whisper_text', 'similarity', 'status'))} FROM v",
+        "spectra": f"""WITH a AS ({_SAMPLES.replace(" AND audio['sampling_rate'] > 0", "")}), f AS (SELECT clip_id, max(n) AS n FROM a GROUP BY clip_id), g AS (SELECT clip_id, unnest(range(0, greatest(n, 256) - 255, 128)) AS s FROM f),
+w AS (SELECT j, 0.5 - 0.5 * cos(2 * pi() * j / 255) AS h FROM range(256) t(j)), c AS (SELECT k, cos(2 * pi() * k / 256) AS re, sin(2 * pi() * k / 256) AS im FROM range(256) t(k)),
+e AS (SELECT g.clip_id, g.s, j, coalesce(x, 0) * h AS x FROM g JOIN a ON a.clip_id = g.clip_id AND a.i BETWEEN g.s AND g.s + 255 JOIN w ON w.j = a.i - g.s),
+p AS (SELECT clip_id, s, b.bin, sum(x * re) AS re, sum(x * im) AS im FROM e CROSS JOIN (SELECT unnest(range(129)) AS bin) b JOIN c ON c.k = (b.bin * j) % 256 GROUP BY ALL)
+SELECT clip_id, bin, round(avg(re * re + im * im), 5) AS power FROM p GROUP BY clip_id, bin""",
+        "resampled": "SELECT clip_id, CASE WHEN audio['sampling_rate'] = 16000 OR len(audio['array']) = 0 THEN len(audio['array']) ELSE round(len(audio['array']) * 16000.0 / audio['sampling_rate'])::BIGINT END AS samples FROM prepare_dataset WHERE audio['array'] IS NOT NULL AND audio['sampling_rate'] IS NOT NULL",
+        "embedded": f"WITH a AS ({_SAMPLES}) SELECT clip_id, round(avg(coalesce(x, 0)), 5) AS mean, round(stddev_pop(coalesce(x, 0)), 5) AS deviation, round(max(abs(coalesce(x, 0))), 5) AS peak, max(sr)::DOUBLE AS rate FROM a GROUP BY clip_id",
+        "tapered": f"WITH a AS ({_SAMPLES}), b AS (SELECT *, least(floor(sr * 10 / 1000)::INT, n // 4) AS m FROM a) SELECT clip_id, max(n) AS kept, round(sum(abs(coalesce(x, 0)) * CASE WHEN i < n - m OR m = 1 THEN 1 ELSE power(1 - (i - n + m)::DOUBLE / (m - 1), 2) END), 4) AS level FROM b GROUP BY clip_id",
+        "post_processed": f"""WITH a AS ({_SAMPLES}), b AS (SELECT *, abs(coalesce(x, 0)) < 0.01 AS quiet, i - row_number() OVER (PARTITION BY clip_id, abs(coalesce(x, 0)) < 0.01 ORDER BY i) AS island FROM a),
+c AS (SELECT *, row_number() OVER (PARTITION BY clip_id, quiet, island ORDER BY i) AS r FROM b), e AS (SELECT *, row_number() OVER (PARTITION BY clip_id ORDER BY i) AS j FROM c WHERE NOT quiet OR r <= floor(sr * 350 / 1000)),
+g AS (SELECT *, coalesce(max(CASE WHEN NOT quiet THEN j END) OVER (PARTITION BY clip_id), 0) + floor(sr * 150 / 1000) AS upto FROM e)
+SELECT clip_id, count(*) FILTER (j <= upto) AS kept, round(coalesce(sum(abs(coalesce(x, 0))) FILTER (j <= upto), 0), 4) AS level FROM g GROUP BY clip_id""",
+        "overrun_trimmed": f"""WITH a AS ({_SAMPLES}), k AS (SELECT DISTINCT clip_id, sr, n, floor(0.01 * 1.2 * sr)::INT AS goal, floor(sr * 0.025)::INT AS fr, floor(sr * 0.05)::INT AS fade FROM a),
+b AS (SELECT *, greatest(0, goal - sr // 2) AS lo, least(n, goal + sr // 2) AS hi FROM k), st AS (SELECT clip_id, fr, unnest(range(lo, hi - fr, greatest(1, fr // 2))) AS s FROM b),
+lv AS (SELECT st.clip_id, st.s, avg(abs(coalesce(x, 0))) AS v FROM st JOIN a ON a.clip_id = st.clip_id AND a.i >= st.s AND a.i < st.s + fr GROUP BY ALL), best AS (SELECT clip_id, arg_min(s, struct_pack(v := v, s := s)) AS s FROM lv GROUP BY clip_id),
+c AS (SELECT b.clip_id, n, n::DOUBLE / sr > 1.5 * 0.01 AS long, least(n, coalesce(best.s, goal) + fade) AS kept, fade FROM b LEFT JOIN best USING (clip_id)),
+e AS (SELECT clip_id, CASE WHEN long THEN kept ELSE n END AS kept, CASE WHEN long THEN least(fade, kept) ELSE 0 END AS m FROM c)
+SELECT clip_id, max(kept) AS kept, round(coalesce(sum(abs(coalesce(x, 0)) * CASE WHEN i < kept - m OR m <= 1 THEN 1 ELSE 1 - (i - kept + m)::DOUBLE / (m - 1) END) FILTER (i < kept), 0), 4) AS level FROM a JOIN e USING (clip_id) GROUP BY clip_id""",
+        "corpus_report": f"""WITH {_DEFAULTS}, usable AS (SELECT * FROM d WHERE {_RANGE}), embedded AS (SELECT vec_id, label, embedding FROM embeddings WHERE vec_id IN (SELECT clip_id FROM usable)),
+{_SCORED.replace("FROM embeddings)", "FROM embedded)")}, best AS (SELECT label FROM st ORDER BY size >= 500 DESC, CASE WHEN size >= 500 THEN -mean_similarity END, size DESC, label LIMIT 1),
+y AS (SELECT duration, similarity FROM sc JOIN usable ON clip_id = vec_id WHERE label = (SELECT label FROM best))
+SELECT (SELECT count(*) FROM usable) AS valid_after_filtering, count(*) AS clips, round(sum(duration) / 3600, 2) AS total_hours, round(avg(duration), 2) AS mean_duration_s, round(min(similarity), 4) AS similarity_min, round(max(similarity), 4) AS similarity_max, round(avg(similarity), 4) AS similarity_mean FROM y""",
+        "distinct_counts": "SELECT dataset_source, count(*) AS n, count(DISTINCT audio_file) AS clips, count(DISTINCT text) AS texts, count(DISTINCT speaker_name) AS speakers FROM metadata_eval GROUP BY dataset_source",
+        "stage_report": f"WITH {_WAVES} SELECT dataset_source, {', '.join(f'round(avg(m.{x}), 4) AS {x}' for x in ('duration_s', 'rms', 'peak', 'silence_ratio', 'speaking_s'))} FROM m WHERE dataset_source IS NOT NULL GROUP BY dataset_source",
+        "rejection_listing": f"WITH {_JUDGED} SELECT audio_file, x.layer AS layer, x.code AS code, x.reason AS reason FROM rej",
+        "layer_counts": f"WITH {_JUDGED} SELECT k.layer, k.code, count(rej.audio_file) AS n FROM (VALUES {', '.join(f'({layer}, {chr(39)}{code}{chr(39)})' for layer, code in CHECKS)}) k(layer, code) LEFT JOIN rej ON x.layer = k.layer AND x.code = k.code GROUP BY ALL",
+        "clip_totals": f"WITH {_JUDGED}, u AS (SELECT DISTINCT m.audio_file, x FROM m LEFT JOIN rej USING (audio_file) WHERE m.audio_file IS NOT NULL) SELECT count(*) AS total, count(x) AS rejected, count(*) - count(x) AS kept, round(count(x)::DOUBLE / count(*), 6) AS rejected_share FROM u",
+        "kept_metadata": f"WITH {_JUDGED} SELECT split AS origin, count(*) AS n FROM m WHERE audio_file IS NULL OR audio_file NOT IN (SELECT audio_file FROM rej) GROUP BY split",
+        "speaker_runs": "WITH k AS (SELECT user_id AS seed, min(value) AS weight FROM events WHERE user_id IS NOT NULL GROUP BY 1), r AS (SELECT run_id, params['seed']::BIGINT AS seed FROM generation_stats) SELECT run_id, r.seed, weight, CASE WHEN k.seed IS NULL THEN 'unknown seed: ' || coalesce(r.seed::VARCHAR, 'null') END AS error FROM r LEFT JOIN k ON k.seed = r.seed",
+        "pace_labels": "SELECT run_id, CASE WHEN rtf IS NULL THEN NULL WHEN rtf <= 0.25 THEN 'fast' WHEN rtf <= 1.0 THEN 'real time' ELSE 'slow' END AS label FROM generation_stats",
+    }
+
+
 def oracle_sql() -> dict[str, str]:
     checks = ", ".join(f"({layer}, '{code}')" for layer, code in CHECKS)
     code1 = "CASE WHEN ratio < 0.6 THEN 'low_arabic' WHEN latin > 3 THEN 'latin_chars' WHEN rep THEN 'repeated_words' WHEN duration IS NOT NULL AND (length(text) / greatest(duration, 0.1) NOT BETWEEN 3 AND 25) THEN 'bad_char_rate' END"
-    return {
+    return _files() | {
         "corpus_flagship": f"WITH {_DEFAULTS}, c AS (SELECT dataset_source, coalesce({code1}, 'kept') AS code FROM (SELECT *, {_ratio('text')} AS ratio, {_latin('text')} AS latin, {_repeats('text')} AS rep FROM d WHERE {_RANGE})) SELECT dataset_source, code, count(*) AS n FROM c GROUP BY ALL",
         "range_filter": f"WITH {_DEFAULTS} SELECT clip_id, round(duration, 6) AS duration, length(text) AS n_chars FROM d WHERE {_RANGE}",
         "trainer_bounds": f"WITH {_DEFAULTS} SELECT clip_id FROM d WHERE duration >= 0.5 AND duration * 22050 <= 255995 AND length(text) <= 200",
@@ -117,7 +174,7 @@ def oracle_sql() -> dict[str, str]:
         "issue_counts": f"WITH {_GATE} SELECT k.layer, k.code, count(gate.code) AS n FROM (VALUES {checks}) k(layer, code) LEFT JOIN gate ON gate.layer = k.layer AND gate.code = k.code GROUP BY k.layer, k.code",
         "gate_totals": f"WITH {_GATE} SELECT count(*) AS total, count(code) AS rejected, count(*) - count(code) AS kept, round(count(code)::DOUBLE / count(*), 6) AS rejected_share FROM gate",
         "alignment": f"WITH {_ALIGN} SELECT audio_file, similarity, reviewed_at, CASE WHEN code IS NOT NULL THEN 3 END AS layer, code FROM al",
-        "review_rows": f"WITH {_ALIGN} SELECT audio_file, substring(original_text, 1, 50) AS original_text, substring(whisper_text, 1, 50) AS whisper_text, round(similarity, 4) AS similarity, 'rejected' AS status FROM al WHERE code = 'low_similarity'",
+        "review_rows": f"WITH {_ALIGN} SELECT audio_file, substring(original_text, 1, 50) AS original_text, substring(whisper_text, 1, 50) AS whisper_text, printf('%.2f', similarity) AS similarity, 'REJECTED' AS status FROM al WHERE code IS NOT NULL AND whisper_text IS NOT NULL AND similarity IS NOT NULL",
         "anti_rejected": f"WITH {_ALIGN} SELECT row_id FROM metadata_eval v WHERE NOT EXISTS (SELECT 1 FROM al WHERE al.code IS NOT NULL AND al.audio_file = v.audio_file)",
         "semi_exists": "SELECT row_id FROM metadata_eval WHERE audio_file IN (SELECT audio_file FROM sanity_review WHERE audio_file IS NOT NULL)",
         "anti_missing": "SELECT row_id FROM metadata_eval WHERE audio_file IS NOT NULL AND audio_file NOT IN (SELECT audio_file FROM sanity_review WHERE audio_file IS NOT NULL)",

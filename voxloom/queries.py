@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxloom import pipelines
+from voxloom import pipelines, queries_files
 from voxloom.functions import signal as S
 from voxloom.functions import text as T
 from voxloom.operators import arrange as A
@@ -125,9 +125,7 @@ def flagged_sample(s, d):
 
 
 def length_capped(s, d):
-    t = F.coalesce("text", F.lit(""))
-    code = F.when(T.strip(t) == "", "blank").when(F.length(t) > 500, "too_long").otherwise("ok")
-    return documents(s, d).select("doc_id", code.alias("code"))
+    return A.capped(documents(s, d), "text").select("doc_id", "code")
 
 
 def clamped(s, d):
@@ -164,16 +162,6 @@ def chunk_rows_lite(s, d):
     return documents(s, d).filter("text IS NOT NULL").select("doc_id", F.posexplode(T.chunks(F.col("text"), lite=True)).alias("pos", "chunk"))
 
 
-def spectra(s, d):
-    @F.pandas_udf("array<double>")
-    def mean_power(a, r):
-        import pandas as pd
-
-        return pd.Series([None if x is None or len(x) == 0 else S.spectrogram(S.samples(x), 256, 128).mean(axis=0) for x in a])
-
-    return clips(s, d).select("clip_id", mean_power("audio.array", "audio.sampling_rate").alias("power")).filter("power IS NOT NULL")
-
-
 def resampled(s, d):
     @F.pandas_udf("array<double>")
     def to_16k(a, r):
@@ -191,7 +179,45 @@ def embedded(s, d):
         return [[float(w.mean()), float(w.std()), float(abs(w).max()), float(r)] if len(w) else None for w, r in zip(waves, rates)]
 
     base = clips(s, d).select("clip_id", F.col("audio.array").alias("w"), F.col("audio.sampling_rate").alias("r"))
-    return R.with_model(base, encode, "w", "r", "clip_id", "embedding array<double>")
+    found = R.with_model(base, encode, "w", "r", "clip_id", "embedding array<double>")
+    return found.filter("embedding IS NOT NULL").select("clip_id", *[F.round(F.col("embedding")[k], 5).alias(n) for k, n in enumerate(("mean", "deviation", "peak", "rate"))])
+
+
+def corpus_report(s, d):
+    """The one-row report of the corpus build."""
+    vectors = embeddings(s, d).select(F.col("vec_id").alias("clip_id"), "embedding", F.col("label").alias("cluster"))
+    return pipelines.build_corpus(clips(s, d), vectors).report
+
+
+def distinct_counts(s, d):
+    """Distinct clips, texts and speakers per source."""
+    names = {"clips": "audio_file", "texts": "text", "speakers": "speaker_name"}
+    return metadata(s, d).groupBy("dataset_source").agg(F.count(F.lit(1)).alias("n"), *[F.count_distinct(c).alias(k) for k, c in names.items()])
+
+
+def stage_report(s, d):
+    """The metrics of every source as one map, listed."""
+    m = clips(s, d).select("dataset_source", S.wave_metrics("audio.array", "audio.sampling_rate").alias("m")).filter("m.samples IS NOT NULL")
+    names = ["duration_s", "rms", "peak", "silence_ratio", "speaking_s"]
+    one = R.stage_map(m.select("dataset_source", *[F.col(f"m.{n}").alias(n) for n in names]), "dataset_source", names)
+    return one.select(F.explode("metrics").alias("dataset_source", "v")).select("dataset_source", *[F.round(f"v.{n}", 4).alias(n) for n in names])
+
+
+def _judged(s, d) -> pipelines.Gated:
+    """The gate over metadata and reviews, which have no waves."""
+    m = metadata(s, d).select("audio_file", "text", "split")
+    return pipelines.quality_gate(m.filter("split = 'train'").drop("split"), m.filter("split = 'eval'").drop("split"), None, reviews(s, d))
+
+
+def speaker_runs(s, d):
+    """Synthesis settings looked up by seed; runs whose seed no other table knows say so."""
+    known = events(s, d).select(F.col("user_id").alias("seed"), F.col("value").alias("weight"))
+    return A.looked_up(runs(s, d).select("run_id", F.col("params.seed").cast("long").alias("seed")), "seed", known, ["weight"]).select("run_id", "seed", "weight", "error")
+
+
+def pace_labels(s, d):
+    label = A.scale_label(F.col("rtf"), [(0.25, "fast"), (1.0, "real time")], "slow")
+    return runs(s, d).select("run_id", label.alias("label"))
 
 
 def frame_levels(s, d):
@@ -289,7 +315,16 @@ def queries() -> dict[str, Query]:
         "overrun_trimmed": _edited(S.trim_overrun, expected_s=0.01),
         "clamped": clamped,
         "concatenated_waves": concatenated,
-        "spectra": spectra,
+        **queries_files.queries(),
+        "corpus_report": corpus_report,
+        "distinct_counts": distinct_counts,
+        "stage_report": stage_report,
+        "rejection_listing": lambda s, d: Q.listed(_judged(s, d).rejected),
+        "layer_counts": lambda s, d: _judged(s, d).issues,
+        "clip_totals": lambda s, d: _judged(s, d).clip_totals,
+        "kept_metadata": lambda s, d: _judged(s, d).kept.groupBy("origin").agg(F.count(F.lit(1)).alias("n")),
+        "speaker_runs": speaker_runs,
+        "pace_labels": pace_labels,
         "resampled": resampled,
         "embedded": embedded,
         "run_totals": lambda s, d: R.run_totals(runs(s, d)),
