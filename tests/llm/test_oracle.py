@@ -1,0 +1,39 @@
+"""Every query of the subpackage with a statement gives the rows that DuckDB gives."""
+
+import math
+from pathlib import Path
+
+import duckdb
+import pytest
+
+from voxloom.llm import queries, sql
+
+SF = "/root/testdata/sf0.001"
+
+
+def plain(v):
+    if v is None or isinstance(v, float) and math.isnan(v):
+        return ""
+    if isinstance(v, (int, float)) and not isinstance(v, bool):
+        return repr(round(float(v), 6) + 0.0)
+    return str(v)
+
+
+@pytest.fixture(scope="module")
+def con():
+    c = duckdb.connect()
+    for f in Path(SF).glob("*.parquet"):
+        c.execute(f"CREATE VIEW {f.stem} AS SELECT * FROM '{f}'")
+    return c
+
+
+@pytest.mark.parametrize("name", sorted(sql.statements()))
+def test_query(spark, con, name):
+    df = queries.queries()[name](spark, SF)
+    cols = sorted(df.columns)
+    got = sorted(tuple(plain(r[c]) for c in cols) for r in df.collect())
+    cur = con.execute(sql.statements()[name])
+    names = [d[0] for d in cur.description]
+    assert sorted(names) == cols
+    at = [names.index(c) for c in cols]
+    assert got == sorted(tuple(plain(r[i]) for i in at) for r in cur.fetchall())
