@@ -111,6 +111,69 @@ _CLEANED = {c: f"regexp_replace(coalesce({c}, ''), '[|\"\\r\\n\\x00]', ' ', 'g')
 _SAMPLES = "SELECT clip_id, audio['sampling_rate'] AS sr, len(audio['array']) AS n, unnest(audio['array'])::DOUBLE AS x, generate_subscripts(audio['array'], 1) - 1 AS i FROM prepare_dataset WHERE len(audio['array']) > 0 AND audio['sampling_rate'] > 0"
 
 
+# The words of numbers, written out once more for the statements.
+_ONES = "'', 'واحد', 'اثنان', 'ثلاثة', 'أربعة', 'خمسة', 'ستة', 'سبعة', 'ثمانية', 'تسعة', 'عشرة', 'أحد عشر', 'اثنا عشر', 'ثلاثة عشر', 'أربعة عشر', 'خمسة عشر', 'ستة عشر', 'سبعة عشر', 'ثمانية عشر', 'تسعة عشر'"
+_TENS = "'', '', 'عشرون', 'ثلاثون', 'أربعون', 'خمسون', 'ستون', 'سبعون', 'ثمانون', 'تسعون'"
+_HUNDREDS = "'', 'مائة', 'مئتان', 'ثلاثمائة', 'أربعمائة', 'خمسمائة', 'ستمائة', 'سبعمائة', 'ثمانمائة', 'تسعمائة'"
+_SCALES = "(1, 'ألف', 'ألفان', 'آلاف'), (2, 'مليون', 'مليونان', 'ملايين'), (3, 'مليار', 'ملياران', 'مليارات'), (4, 'تريليون', 'تريليونان', 'تريليونات'), (5, 'كوادريليون', 'كوادريليونان', 'كوادريليونات')"
+_DIGITS = "'٠١٢٣٤٥٦٧٨٩۰۱۲۳۴۵۶۷۸۹０１２３４５６７８９', '012345678901234567890123456789'"
+
+
+def _numbers(source: str, key: str, out: str) -> str:
+    """CTEs ending in ``out`` (``key``, ``text``): the numbers of ``source`` in words, number by number and group of three by group."""
+    return rf"""small AS (SELECT n, array_to_string(list_filter([[{_HUNDREDS}][n // 100 + 1], CASE WHEN n % 100 < 20 THEN [{_ONES}][n % 100 + 1] ELSE [{_ONES}][n % 10 + 1] END, CASE WHEN n % 100 < 20 THEN '' ELSE [{_TENS}][n % 100 // 10 + 1] END], lambda x: x <> ''), ' و ') AS w FROM range(1000) t(n)),
+scale(k, one, two, many) AS (VALUES {_SCALES}),
+tok AS (SELECT {key}, unnest(ts) AS tok, unnest(range(len(ts))) AS pos FROM (SELECT {key}, regexp_extract_all(text, '\p{{Nd}}+(?:\.\p{{Nd}}+)?(?:{_WS}*[%٪])?|[^\p{{Nd}}]+') AS ts FROM {source})),
+num AS (SELECT *, ltrim(translate(regexp_extract(tok, '^\p{{Nd}}+'), {_DIGITS}), '0') AS d, translate(regexp_extract(tok, '^\p{{Nd}}+\.(\p{{Nd}}+)', 1), {_DIGITS}) AS dec FROM tok WHERE regexp_matches(tok, '^\p{{Nd}}')),
+grp AS (SELECT {key}, pos, k, substring(lpad(d, 18, '0'), 16 - 3 * k, 3)::INT AS g FROM num, range(6) t(k) WHERE length(d) BETWEEN 1 AND 18),
+wrd AS (SELECT {key}, pos, string_agg(CASE WHEN grp.k = 0 THEN w WHEN g = 1 THEN one WHEN g = 2 THEN two ELSE w || ' ' || CASE WHEN g % 100 BETWEEN 3 AND 10 THEN many ELSE one END END, ' و ' ORDER BY grp.k DESC) AS w FROM grp JOIN small ON n = g LEFT JOIN scale ON scale.k = grp.k WHERE g > 0 GROUP BY ALL),
+said AS (SELECT num.{key}, num.pos, CASE WHEN d = '' THEN 'صفر' WHEN length(d) > 18 THEN d ELSE w END || CASE WHEN dec = '' THEN '' ELSE ' فاصلة ' || array_to_string(list_transform(string_split(dec, ''), lambda c: ['صفر', 'واحد', 'اثنان', 'ثلاثة', 'أربعة', 'خمسة', 'ستة', 'سبعة', 'ثمانية', 'تسعة'][c::INT + 1]), ' ') END || CASE WHEN regexp_matches(tok, '[%٪]$') THEN ' بالمئة' ELSE '' END AS w FROM num LEFT JOIN wrd ON wrd.{key} = num.{key} AND wrd.pos = num.pos),
+put AS (SELECT tok.{key}, string_agg(coalesce(said.w, tok.tok), '' ORDER BY tok.pos) AS text FROM tok LEFT JOIN said ON said.{key} = tok.{key} AND said.pos = tok.pos GROUP BY tok.{key}),
+{out} AS (SELECT o.{key}, CASE WHEN o.text IS NULL THEN NULL ELSE coalesce(put.text, '') END AS text FROM {source} o LEFT JOIN put ON put.{key} = o.{key})"""
+
+
+def _normalized(table: str, key: str) -> str:
+    """CTEs ending in ``normal``: cleaned, words corrected, numbers and symbols in words, cleaned again."""
+    return f"c1 AS (SELECT {key}, {_CLEAN} AS text FROM {table}), c2 AS (SELECT {key}, {_CORRECT} AS text FROM c1), {_numbers('c2', key, 'c3')}, c4 AS (SELECT {key}, {_fold('text')} AS text FROM c3), normal AS (SELECT {key}, {_CLEAN} AS text FROM c4)"
+
+
+def _packed(items: str, joint: str) -> str:
+    """A list of strings joined one after the other as long as they fit 160 characters."""
+    fits = f"length(acc[-1]) + length(x[1]) + {len(joint)} <= 160"
+    return f"CASE WHEN len({items}) = 0 THEN [] ELSE list_reduce(list_transform({items}, lambda i: [i]), lambda acc, x: CASE WHEN {fits} THEN acc[:-2] || [acc[-1] || '{joint}' || x[1]] ELSE acc || x END) END"
+
+
+def _chunks(source: str, lite: bool) -> str:
+    """CTEs ending in ``ch`` (``doc_id``, ``cs``): sentences, long ones in packed clauses and words, short ones merged."""
+    bare = _strip(f"regexp_replace(p, '[{_ENDS}]+$', '')")
+    clauses = f"list_filter(list_transform(regexp_split_to_array(s, '[،؛,;]+'), lambda c: {_strip('c')}), lambda c: c <> '')"
+    several = "regexp_matches(s, '[،؛,;]')"
+    by_word = _packed(_words("y"), " ")
+    cut = f"CASE WHEN {several} THEN {_packed(clauses, '، ')} ELSE [s] END"
+    if not lite:
+        cut = f"flatten(list_transform({cut}, lambda y: CASE WHEN length(y) <= 160 THEN [y] ELSE {by_word} END))"
+    short = "length(acc[-1]) < 30 OR length(x[1]) < 30"
+    return f"""ps AS (SELECT doc_id, regexp_extract_all(text, '[^{_ENDS}]+[{_ENDS}]*') AS ps FROM {source} WHERE text IS NOT NULL),
+ss AS (SELECT doc_id, list_filter(list_transform(ps, lambda p: CASE WHEN {bare} <> '' THEN {bare} || regexp_extract(p, '[{_ENDS}]*$') END), lambda s: s IS NOT NULL) AS ss FROM ps),
+cut AS (SELECT doc_id, flatten(list_transform(ss, lambda s: CASE WHEN length(s) <= 160 THEN [s] ELSE {cut} END)) AS cs FROM ss),
+ch AS (SELECT doc_id, CASE WHEN len(cs) <= 1 THEN cs ELSE list_reduce(list_transform(cs, lambda c: [c]), lambda acc, x: CASE WHEN {short} THEN acc[:-2] || [acc[-1] || ' ' || x[1]] ELSE acc || x END) END AS cs FROM cut)"""
+
+
+_CHUNKED = "SELECT doc_id, unnest(range(len(cs))) AS pos, unnest(cs) AS chunk FROM ch"
+
+
+def _texts() -> dict[str, str]:
+    """Numbers in words, the whole normalization, and the chunks."""
+    every = f"WITH {_normalized('documents', 'doc_id')}, {_chunks('normal', False)}, k AS ({_CHUNKED})"
+    return {
+        "number_words": f"WITH {_numbers('metadata_eval', 'row_id', 'spoken')} SELECT row_id, text AS out FROM spoken",
+        "normalized_text": f"WITH {_normalized('metadata_eval', 'row_id')} SELECT row_id, text AS out FROM normal",
+        "chunks": f"WITH {_chunks('documents', False)} {_CHUNKED}",
+        "chunks_lite": f"WITH {_chunks('documents', True)} {_CHUNKED}",
+        "text_to_chunks": f"{every} SELECT doc_id, pos, chunk, length(chunk) AS chars, pos + 12345 AS chunk_seed FROM k",
+    }
+
+
 def _files() -> dict[str, str]:
     """The tables that files were written from."""
     review = f"WITH {_ALIGN}, v AS (SELECT audio_file, substring(original_text, 1, 50) AS original_text, substring(whisper_text, 1, 50) AS whisper_text, printf('%.2f', similarity) AS similarity, 'REJECTED' AS status FROM al WHERE code IS NOT NULL AND whisper_text IS NOT NULL AND al.similarity IS NOT NULL)"
@@ -161,7 +224,7 @@ SELECT (SELECT count(*) FROM usable) AS valid_after_filtering, count(*) AS clips
 def oracle_sql() -> dict[str, str]:
     checks = ", ".join(f"({layer}, '{code}')" for layer, code in CHECKS)
     code1 = "CASE WHEN ratio < 0.6 THEN 'low_arabic' WHEN latin > 3 THEN 'latin_chars' WHEN rep THEN 'repeated_words' WHEN duration IS NOT NULL AND (length(text) / greatest(duration, 0.1) NOT BETWEEN 3 AND 25) THEN 'bad_char_rate' END"
-    return _files() | {
+    return _files() | _texts() | {
         "corpus_flagship": f"WITH {_DEFAULTS}, c AS (SELECT dataset_source, coalesce({code1}, 'kept') AS code FROM (SELECT *, {_ratio('text')} AS ratio, {_latin('text')} AS latin, {_repeats('text')} AS rep FROM d WHERE {_RANGE})) SELECT dataset_source, code, count(*) AS n FROM c GROUP BY ALL",
         "range_filter": f"WITH {_DEFAULTS} SELECT clip_id, round(duration, 6) AS duration, length(text) AS n_chars FROM d WHERE {_RANGE}",
         "trainer_bounds": f"WITH {_DEFAULTS} SELECT clip_id FROM d WHERE duration >= 0.5 AND duration * 22050 <= 255995 AND length(text) <= 200",
