@@ -73,7 +73,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p1_found": lambda s, d: fold.copies_found(_metadata(s, d)),
         "p1_collapsed": lambda s, d: fold.collapsed(_metadata(s, d)),
         "p2_found": lambda s, d: _voices(s, d).found(),
-        "p2_described": lambda s, d: _voices(s, d).described(),
+        "p2_described": lambda s, d: _voices(s, d).described().withColumn("typical_clip_ids", F.array_join(F.col("typical_clip_ids").cast("array<string>"), ",")),
         "p3_found": lambda s, d: splits.Related(_metadata(s, d)).firsts(),
         "p3_split": lambda s, d: splits.split_records(s, _metadata(s, d), table(s, d, "split_target")),
         "p3_shares": lambda s, d: splits.split_shares(s, _metadata(s, d), table(s, d, "split_target")),

@@ -75,6 +75,9 @@ firsts AS (SELECT x AS clip_id, min(y) AS first_clip_id FROM reach GROUP BY x)""
 def statements() -> dict[str, str]:
     return {
         "p2_found": f"WITH RECURSIVE {_VOICES} SELECT first_clip_id, clip_id FROM firsts WHERE first_clip_id < clip_id",
+        "p2_described": f"""WITH RECURSIVE {_VOICES}, n AS (SELECT v.clip_id, count(near.j) AS density FROM v LEFT JOIN near ON near.i = v.clip_id GROUP BY v.clip_id),
+g AS (SELECT n.clip_id, density, least(n.clip_id, coalesce(first_clip_id, n.clip_id)) AS first_clip_id, NOT EXISTS (SELECT 1 FROM near JOIN n o ON o.clip_id = near.j WHERE near.i = n.clip_id AND (o.density > n.density OR (o.density = n.density AND o.clip_id < n.clip_id))) AS peak FROM n LEFT JOIN firsts ON firsts.clip_id = n.clip_id)
+SELECT first_clip_id, count(*) AS clips, count(*) FILTER (peak) AS peaks, array_to_string(list(clip_id ORDER BY density DESC, clip_id)[1:3], ',') AS typical_clip_ids FROM g GROUP BY first_clip_id""",
         "p3_checked": "SELECT count(DISTINCT row_id) AS records, 0 AS torn_groups, true AS shares_met FROM metadata_eval WHERE row_id IS NOT NULL",
         "p6_checked": "SELECT container, count(DISTINCT doc_id) AS documents, 0 AS overfull, 0 AS gaps, 0 AS needless_cuts, true AS tight FROM documents CROSS JOIN container_size WHERE length(text) > 0 GROUP BY container",
         "p7_checked": "SELECT source, 0 AS repeated_too_often, 0 AS foreign_documents, true AS share_met FROM source_weight WHERE target_share > 0 AND source IN (SELECT source FROM documents WHERE length(text) > 0)",
