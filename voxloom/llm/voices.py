@@ -16,8 +16,10 @@ All neighbour joins are blocked, and none makes a row per pair of clips:
 * cell centres meet block by block in matrix products, and only cells whose
   centres are no farther apart than threshold angle plus both radii go on - by the
   triangle inequality no other pair of cells can hold two alike vectors;
-* the members of such cells meet in matrix products, which return one row per
-  member (its count, or its nearest denser neighbour), or distinct label pairs.
+* the members of such cells meet in matrix products, once for the densities and
+  once for the nearest denser neighbours, both ways at a time, which return one row
+  per member. Every member of a cell is alike its leader, so which groups touch is
+  known from the cells of which any two members are alike.
 """
 
 from __future__ import annotations
@@ -193,17 +195,42 @@ def _nearest_denser(a: Side, b: Side) -> list[tuple[np.ndarray, ...]]:
     return parts
 
 
-def _touching(a: Side, b: Side) -> list[tuple[np.ndarray, ...]]:
-    """Distinct pairs of labels of alike members."""
-    if a[1].min() == a[1].max() == b[1].min() == b[1].max():
-        return []
+def _pair_density(a: Side, b: Side, cells: np.ndarray) -> tuple[list[tuple[np.ndarray, ...]], np.ndarray]:
+    """Both ways at once: weights of the alike members on the other side; and which ``cells`` (starts in b) hold any."""
+    wa, wb = a[1].astype(np.float64), b[1].astype(np.float64)
+    na, nb, any_b = np.zeros(len(wa)), np.zeros(len(wb)), np.zeros(len(wb), bool)
+    for s, d in _alike(a, b):
+        near = d >= THRESHOLD
+        rows = near.any(axis=1)
+        if rows.any():
+            na[s : s + len(d)] = near @ wb
+            nb += wa[s : s + len(d)] @ near
+            any_b |= near.any(axis=0)
+    found = [(x[0][n > 0], n[n > 0].astype(np.int64)) for x, n in ((a, na), (b, nb))]
+    return found, np.logical_or.reduceat(any_b, cells)
+
+
+def _pair_denser(a: Side, b: Side, cells: np.ndarray) -> tuple[list[tuple[np.ndarray, ...]], np.ndarray]:
+    """Both ways at once: the nearest alike and denser member of the other side."""
     parts = []
+    top_b, to_b = np.full(len(b[0]), -1.0, np.float32), np.zeros(len(b[0]), np.int64)
     for s, d in _alike(a, b):
-        x, y = np.nonzero((d >= THRESHOLD) & (a[1][s : s + len(d), None] != b[1]))
-        if len(x):
-            both = np.unique(np.column_stack([a[1][s + x], b[1][y]]), axis=0)
-            parts.append((both[:, 0], both[:, 1]))
-    return parts
+        if d.max() < THRESHOLD:
+            continue
+        ids, dens = a[0][s : s + len(d), None], a[1][s : s + len(d), None]
+        near = d >= THRESHOLD
+        up = (b[1] > dens) | ((b[1] == dens) & (b[0] < ids))
+        for_a, for_b = np.where(near & up, d, -1), np.where(near & ~up, d, -1)
+        best = for_a.argmax(axis=1)
+        top = for_a[np.arange(len(d)), best]
+        ok = top > 0
+        parts.append((ids[ok, 0], top[ok].astype(np.float64), b[0][best[ok]]))
+        best = for_b.argmax(axis=0)
+        top = for_b[best, np.arange(len(top_b))]
+        ok = (top > top_b) | ((top == top_b) & (ids[best, 0] < to_b))
+        top_b[ok], to_b[ok] = top[ok], ids[best[ok], 0]
+    ok = top_b > 0
+    return [*parts, (b[0][ok], top_b[ok].astype(np.float64), to_b[ok])], np.zeros(len(cells), bool)
 
 
 def _frame(parts: list[tuple[np.ndarray, ...]], names: list[str]) -> pd.DataFrame:
@@ -225,26 +252,31 @@ def _within(kernel: Callable, names: list[str]):
 
 
 def _between(kernel: Callable, names: list[str]):
-    """A kernel on one cell and all cells that may be near it, both ways; rows come sorted by cell, the cell itself first."""
+    """A kernel on one cell and all cells that may be near it; rows come sorted by cell, the cell itself first.
+
+    Besides the kernel's rows, one row (leader, leader) for every two cells that touch, told apart by ``touch``.
+    """
 
-    def met(rows: list) -> list[tuple[np.ndarray, ...]]:
+    def met(rows: list) -> list[pd.DataFrame]:
         big, *near = rows
         a = _side([big.ids], [big.extra], [big.mat])
         b = _side([r.ids for r in near], [r.extra for r in near], [r.mat for r in near])
-        return kernel(a, b) + kernel(b, a)
+        cells = np.cumsum([0] + [len(r.ids) // 8 for r in near[:-1]])
+        parts, touch = kernel(a, b, cells)
+        others = np.array([r.leader for r in near], np.int64)[touch]
+        pairs = pd.DataFrame({names[0]: np.full(len(others), big.leader), **{n: 0 for n in names[1:]}, names[-1]: others})
+        return [_frame(parts, names).assign(touch=False), pairs.assign(touch=True)]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list = []
         for pdf in batches:
-            parts = []
             for r in pdf.itertuples():
                 if held and (r.big, r.part) != (held[0].big, held[0].part):
-                    parts += met(held)
+                    yield from met(held)
                     held = []
                 held.append(r)
-            yield _frame(parts, names)
         if held:
-            yield _frame(met(held), names)
+            yield from met(held)
 
     return run
 
@@ -301,16 +333,15 @@ class Voices:
         parts = rows.groupBy("big").agg(F.ceil(F.sum("n") / BLOCK).alias("parts"))
         return rows.join(parts, "big").select("big", "small", F.pmod(F.xxhash64("small"), F.col("parts")).alias("part"))
 
-    def _join(self, extra: DataFrame, kernel: Callable, schema: str) -> DataFrame:
-        """Runs ``kernel`` wherever cells may hold alike members; ``extra`` has the packed ``extra`` of a leader."""
+    def _join(self, extra: DataFrame, within: Callable, between: Callable, schema: str) -> DataFrame:
+        """Runs the kernels wherever cells may hold alike members; ``extra`` has the packed ``extra`` of a leader. Rows of ``schema`` and ``touch``."""
         full = self.cells.select("leader", "ids", "mat").join(extra, "leader")
         names = [x.split()[0] for x in schema.split(", ")]
-        within = full.select("ids", "extra", "mat").mapInPandas(_within(kernel, names), schema)
-        near = self.meetings.join(full.withColumnRenamed("leader", "small"), "small").select("big", "part", "ids", "extra", "mat", F.lit(1).alias("near"))
-        big = self.meetings.select("big", "part").distinct().join(full.withColumnRenamed("leader", "big"), "big").select("big", "part", "ids", "extra", "mat", F.lit(0).alias("near"))
+        alone = full.select("ids", "extra", "mat").mapInPandas(_within(within, names), schema).withColumn("touch", F.lit(False))
+        near = self.meetings.join(full.withColumnRenamed("leader", "small"), "small").select("big", "part", F.col("small").alias("leader"), "ids", "extra", "mat", F.lit(1).alias("near"))
+        big = self.meetings.select("big", "part").distinct().join(full.withColumnRenamed("leader", "big"), "big").select("big", "part", F.col("big").alias("leader"), "ids", "extra", "mat", F.lit(0).alias("near"))
         both = near.unionByName(big).repartition("big", "part").sortWithinPartitions("big", "part", "near")
-        between = both.mapInPandas(_between(kernel, names), schema)
-        return within.unionByName(between)
+        return alone.unionByName(both.mapInPandas(_between(between, names), f"{schema}, touch boolean"))
 
     def _packed(self, values: DataFrame) -> DataFrame:
         """Per cell, the ``value`` of each member ``id`` in the order of ``ids``."""
@@ -318,25 +349,31 @@ class Voices:
         both = members.join(values, "id").select("leader", "at", "value")
         return both.groupBy("leader").agg(F.array_sort(F.collect_list(F.struct("at", "value"))).alias("v")).mapInPandas(_repacked, "leader long, extra binary")
 
-    def densities(self) -> DataFrame:
-        """Local density of every distinct vector: ``id``, ``density`` (alike clips besides one of itself)."""
+    def densities(self) -> tuple[DataFrame, DataFrame]:
+        """Local density of every distinct vector, ``id`` and ``density`` (alike clips besides one of itself); and the touching cells, ``a`` and ``b``."""
         weights = self.cells.select("leader", F.col("ws").alias("extra"))
-        found = self._join(weights, _density, "id long, n long")
-        return found.groupBy("id").agg((F.sum("n") - 1).alias("density"))
+        found = self._join(weights, _density, _pair_density, "id long, n long").groupBy("touch", "id", F.when(F.col("touch"), F.col("n")).alias("other")).agg(F.sum("n").alias("n"))
+        found = stash(found)
+        dens = found.filter("NOT touch").select("id", (F.col("n") - 1).alias("density"))
+        return dens, found.filter("touch").select(F.col("id").alias("a"), F.col("other").alias("b"))
 
     def groups(self) -> DataFrame:
         """Every distinct vector: ``id``, ``w`` (clips), ``density``, ``peak``, ``root`` (one peak of the whole group)."""
-        dens = stash(self.densities())
+        dens, touching = self.densities()
         as_value = dens.select("id", F.col("density").alias("value"))
-        denser = self._join(self._packed(as_value), _nearest_denser, "id long, cos double, to long")
-        best = denser.groupBy("id").agg(F.max_by(F.col("to"), F.struct(F.col("cos"), -F.col("to"))).alias("to"))
+        denser = self._join(self._packed(as_value), _nearest_denser, _pair_denser, "id long, cos double, to long")
+        best = denser.filter("NOT touch").groupBy("id").agg(F.max_by(F.col("to"), F.struct(F.col("cos"), -F.col("to"))).alias("to"))
         up = dens.join(best, "id", "left").select(F.col("id").alias("v"), F.coalesce("to", "id").alias("root"))
-        peaks = follow_to_peak(up)
-        labels = stash(peaks)
-        ties = self._join(self._packed(labels.select(F.col("v").alias("id"), F.col("root").alias("value"))), _touching, "a long, b long").distinct()
-        roots = components(ties)
-        full = labels.select(F.col("v").alias("id"), F.col("root").alias("peak"))
-        full = full.join(roots.select(F.col("v").alias("peak"), "root"), "peak", "left")
+        labels = stash(follow_to_peak(up)).select(F.col("v").alias("id"), F.col("root").alias("peak"))
+        # all members of a cell are alike its leader, so their peaks are tied; so are those of touching cells
+        member = self.cells.select("leader", "ids").mapInPandas(_unpacked, "leader long, at int, id long").join(labels, "id")
+        inside = stash(member.select("leader", "peak").distinct())
+        of_leader = labels.select(F.col("id").alias("leader"), F.col("peak").alias("a"))
+        ties = inside.join(of_leader, "leader").select("a", F.col("peak").alias("b"))
+        for end, name in (("a", "x"), ("b", "y")):
+            touching = touching.join(labels.select(F.col("id").alias(end), F.col("peak").alias(name)), end)
+        roots = components(ties.unionByName(touching.select(F.col("x").alias("a"), F.col("y").alias("b"))))
+        full = labels.join(roots.select(F.col("v").alias("peak"), "root"), "peak", "left")
         return full.join(dens, "id").join(self.vectors.select("id", "w"), "id").select("id", "w", "density", "peak", F.coalesce("root", "peak").alias("root"))
 
     def members(self) -> DataFrame:
