@@ -195,42 +195,41 @@ def _nearest_denser(a: Side, b: Side) -> list[tuple[np.ndarray, ...]]:
     return parts
 
 
-def _pair_density(a: Side, b: Side, cells: np.ndarray) -> tuple[list[tuple[np.ndarray, ...]], np.ndarray]:
-    """Both ways at once: weights of the alike members on the other side; and which ``cells`` (starts in b) hold any."""
-    wa, wb = a[1].astype(np.float64), b[1].astype(np.float64)
-    na, nb, any_b = np.zeros(len(wa)), np.zeros(len(wb)), np.zeros(len(wb), bool)
+def _alike_part(a: Side, b: Side) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Blocks of the cosines of a and b, cut to the rows and columns in which any two members are alike."""
     for s, d in _alike(a, b):
         near = d >= THRESHOLD
-        rows = near.any(axis=1)
-        if rows.any():
-            na[s : s + len(d)] = near @ wb
-            nb += wa[s : s + len(d)] @ near
-            any_b |= near.any(axis=0)
+        rows = np.flatnonzero(near.any(axis=1))
+        if len(rows):
+            d = d[rows]
+            columns = np.flatnonzero(near[rows].any(axis=0))
+            yield rows + s, columns, d[:, columns]
+
+
+def _pair_density(a: Side, b: Side, cells: np.ndarray) -> tuple[list[tuple[np.ndarray, ...]], np.ndarray]:
+    """Both ways at once: weights of the alike members on the other side; and which ``cells`` (starts in b) hold any."""
+    na, nb = np.zeros(len(a[0])), np.zeros(len(b[0]))
+    for rows, columns, d in _alike_part(a, b):
+        near = (d >= THRESHOLD).astype(np.float64)
+        na[rows] = near @ b[1][columns].astype(np.float64)
+        nb[columns] += a[1][rows].astype(np.float64) @ near
     found = [(x[0][n > 0], n[n > 0].astype(np.int64)) for x, n in ((a, na), (b, nb))]
-    return found, np.logical_or.reduceat(any_b, cells)
+    return found, np.logical_or.reduceat(nb > 0, cells)
 
 
 def _pair_denser(a: Side, b: Side, cells: np.ndarray) -> tuple[list[tuple[np.ndarray, ...]], np.ndarray]:
     """Both ways at once: the nearest alike and denser member of the other side."""
     parts = []
-    top_b, to_b = np.full(len(b[0]), -1.0, np.float32), np.zeros(len(b[0]), np.int64)
-    for s, d in _alike(a, b):
-        if d.max() < THRESHOLD:
-            continue
-        ids, dens = a[0][s : s + len(d), None], a[1][s : s + len(d), None]
+    for rows, columns, d in _alike_part(a, b):
+        ids, dens, ids_b = a[0][rows], a[1][rows], b[0][columns]
+        up = (b[1][columns] > dens[:, None]) | ((b[1][columns] == dens[:, None]) & (ids_b < ids[:, None]))
         near = d >= THRESHOLD
-        up = (b[1] > dens) | ((b[1] == dens) & (b[0] < ids))
-        for_a, for_b = np.where(near & up, d, -1), np.where(near & ~up, d, -1)
-        best = for_a.argmax(axis=1)
-        top = for_a[np.arange(len(d)), best]
-        ok = top > 0
-        parts.append((ids[ok, 0], top[ok].astype(np.float64), b[0][best[ok]]))
-        best = for_b.argmax(axis=0)
-        top = for_b[best, np.arange(len(top_b))]
-        ok = (top > top_b) | ((top == top_b) & (ids[best, 0] < to_b))
-        top_b[ok], to_b[ok] = top[ok], ids[best[ok], 0]
-    ok = top_b > 0
-    return [*parts, (b[0][ok], top_b[ok].astype(np.float64), to_b[ok])], np.zeros(len(cells), bool)
+        for mine, other, x in ((ids, ids_b, np.where(near & up, d, -1)), (ids_b, ids, np.where(near & ~up, d, -1).T)):
+            best = x.argmax(axis=1)
+            top = x[np.arange(len(x)), best]
+            ok = top > 0
+            parts.append((mine[ok], top[ok].astype(np.float64), other[best[ok]]))
+    return parts, np.zeros(len(cells), bool)
 
 
 def _frame(parts: list[tuple[np.ndarray, ...]], names: list[str]) -> pd.DataFrame:
@@ -364,7 +363,7 @@ class Voices:
         denser = self._join(self._packed(as_value), _nearest_denser, _pair_denser, "id long, cos double, to long")
         best = denser.filter("NOT touch").groupBy("id").agg(F.max_by(F.col("to"), F.struct(F.col("cos"), -F.col("to"))).alias("to"))
         up = dens.join(best, "id", "left").select(F.col("id").alias("v"), F.coalesce("to", "id").alias("root"))
-        labels = stash(follow_to_peak(up)).select(F.col("v").alias("id"), F.col("root").alias("peak"))
+        labels = stash(follow_to_peak(stash(up))).select(F.col("v").alias("id"), F.col("root").alias("peak"))
         # all members of a cell are alike its leader, so their peaks are tied; so are those of touching cells
         member = self.cells.select("leader", "ids").mapInPandas(_unpacked, "leader long, at int, id long").join(labels, "id")
         inside = stash(member.select("leader", "peak").distinct())
