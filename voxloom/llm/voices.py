@@ -256,26 +256,33 @@ def _between(kernel: Callable, names: list[str]):
     Besides the kernel's rows, one row (leader, leader) for every two cells that touch, told apart by ``touch``.
     """
 
-    def met(rows: list) -> list[pd.DataFrame]:
+    def met(rows: list, parts: list, pairs: list) -> None:
         big, *near = rows
         a = _side([big.ids], [big.extra], [big.mat])
         b = _side([r.ids for r in near], [r.extra for r in near], [r.mat for r in near])
-        cells = np.cumsum([0] + [len(r.ids) // 8 for r in near[:-1]])
-        parts, touch = kernel(a, b, cells)
-        others = np.array([r.leader for r in near], np.int64)[touch]
-        pairs = pd.DataFrame({names[0]: np.full(len(others), big.leader), **{n: 0 for n in names[1:]}, names[-1]: others})
-        return [_frame(parts, names).assign(touch=False), pairs.assign(touch=True)]
+        found, touch = kernel(a, b, np.cumsum([0] + [len(r.ids) // 8 for r in near[:-1]]))
+        parts += found
+        pairs += [(big.leader, near[k].leader) for k in np.flatnonzero(touch)]
+
+    def framed(parts: list, pairs: list) -> pd.DataFrame:
+        touch = pd.DataFrame(pairs, columns=[names[0], names[-1]], dtype=np.int64)
+        return pd.concat([_frame(parts, names).assign(touch=False), touch.assign(**{n: 0 for n in names[1:-1]}, touch=True)[[*names, "touch"]]])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list = []
         for pdf in batches:
+            parts: list = []
+            pairs: list = []
             for r in pdf.itertuples():
                 if held and (r.big, r.part) != (held[0].big, held[0].part):
-                    yield from met(held)
+                    met(held, parts, pairs)
                     held = []
                 held.append(r)
+            yield framed(parts, pairs)
         if held:
-            yield from met(held)
+            parts, pairs = [], []
+            met(held, parts, pairs)
+            yield framed(parts, pairs)
 
     return run
 
