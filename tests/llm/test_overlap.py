@@ -104,7 +104,7 @@ NONE = np.zeros(0, np.int64)
 def sent(words, train, evaluation, kind=0, shards=1):
     keys = [bytes([kind]) + k.to_bytes(16, "little") for k in range(len(words))]
     pdf = pd.DataFrame({"kind": kind, "key": keys, "words": [np.array(w, np.int64).tobytes() for w in words], "n_train": train, "n_eval": evaluation})
-    return pd.concat(overlap._sent(overlap.Numbers(NONE, NONE, 0), overlap.Numbers(NONE, NONE, 1), shards)(iter([pdf])))
+    return pd.concat(overlap._sent(overlap.Numbers(NONE, NONE, 0), overlap.Numbers(NONE, NONE, 1), np.ones(1 << overlap.SEEN_BITS, bool), shards)(iter([pdf])))
 
 
 def test_one_shard_finds_all_and_no_more_than_the_index_says():
@@ -120,6 +120,14 @@ def test_one_shard_finds_all_and_no_more_than_the_index_says():
     assert len(backwards) and (backwards["size"] == 1).all()  # same words, other order: single words match
 
 
+def test_training_texts_without_eval_anchors_stay():
+    seen = np.zeros(1 << overlap.SEEN_BITS, bool)
+    seen[overlap._bucket(np.array([3]))] = True
+    pdf = pd.DataFrame({"kind": 0, "key": [b"\0" + bytes([k] * 16) for k in range(2)], "words": [np.array(w, np.int64).tobytes() for w in ([1, 2, 3], [4, 5, 6])], "n_train": 1, "n_eval": 0})
+    rows = pd.concat(overlap._sent(overlap.Numbers(np.array([1, 2]), np.array([9, 9]), 0), overlap.Numbers(NONE, NONE, 1), seen, 3)(iter([pdf])))
+    assert [k[1] for k in rows["key"]] == [0] and (rows["side"] == 0).all()
+
+
 def test_clip_names_are_exact():
     ep, clip = np.array([1, 1, 2, 0, (1 << 60) - 1]), np.array([2, 3, 2, 0, 7])
     flat = overlap.clip_symbols(ep, clip)

@@ -44,6 +44,8 @@ KNOWN = 1 << 20
 #: An anchor in more texts than this (and in more than 1/MOST of all) is dealt to a grid of shards.
 HOT = 20_000
 MOST = 1 << 16
+#: Training texts aren't sent for anchors that no eval text has; a table of 2^SEEN_BITS buckets of the eval anchors tells (a shared bucket only sends more).
+SEEN_BITS = 22
 #: Words of a text that go to a shard at a time.
 TEXT_BLOCK = 64
 #: Words per shard, about: indexed ones, and streamed ones.
@@ -190,7 +192,24 @@ def _often(kind: np.ndarray, flat: np.ndarray, sizes: np.ndarray, counts: Number
     return np.where(np.repeat(kind == 1, sizes), 1 - (np.arange(len(flat)) == np.repeat(np.cumsum(sizes) - sizes, sizes)), counts(flat))
 
 
-def _sent(counts: Numbers, hot: Numbers, shards: int):
+def _bucket(words: np.ndarray) -> np.ndarray:
+    return (_mixed(words) >> np.uint64(64 - SEEN_BITS)).astype(np.int32)
+
+
+def _eval_anchors(counts: Numbers):
+    """The buckets of the anchors of a batch of classes."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            if len(pdf):
+                flat, sizes = _flat(pdf["words"])
+                at = text_anchors(flat, sizes, _often(pdf["kind"].to_numpy(), flat, sizes, counts))[1]
+                yield pd.DataFrame({"bucket": np.unique(_bucket(flat[at]))})
+
+    return run
+
+
+def _sent(counts: Numbers, hot: Numbers, seen: np.ndarray, shards: int):
     """Classes (``kind``, ``key``, ``words``, ``n_train``, ``n_eval``) on their way to the shards: rows of ``_TEXTS``."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -204,6 +223,8 @@ def _sent(counts: Numbers, hot: Numbers, shards: int):
             own = np.frombuffer(b"".join(x[1:9] for x in key), np.int64)
             for side, has in ((1, "n_eval"), (0, "n_train")):
                 use = (pdf[has].to_numpy() > 0)[row]
+                if not side:
+                    use &= seen[_bucket(flat[at])]
                 a, r = at[use], row[use]
                 k = hot(flat[a])
                 again = np.repeat(np.arange(len(a)), k)  # an anchor of k blocks goes to k cells of its grid
@@ -384,7 +405,10 @@ class Overlaps:
         hot = Numbers(*self._hot(counts, heavy), 1)
         least = self.rows.sparkSession.sparkContext.defaultParallelism
         shards = int(max(least, 4 * self.seen["words_n_eval"] // INDEXED, 4 * self.seen["words_n_train"] // STREAMED)) + 1  # a text goes to some four shards
-        sent = self.classes.select("kind", "key", "words", "n_train", "n_eval").mapInPandas(_sent(counts, hot, shards), _TEXTS)
+        met = self.classes.filter("n_eval > 0").select("kind", "words").mapInPandas(_eval_anchors(counts), "bucket int").distinct().toArrow()  # 2^SEEN_BITS rows at most
+        seen = np.zeros(1 << SEEN_BITS, bool)
+        seen[met.column("bucket").to_numpy()] = True
+        sent = self.classes.select("kind", "key", "words", "n_train", "n_eval").mapInPandas(_sent(counts, hot, seen, shards), _TEXTS)
         return sent.repartitionById(shards, F.col("shard")).sortWithinPartitions(F.desc("side"))
 
     def _hot(self, counts: Numbers, heavy: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
