@@ -91,7 +91,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p7_shares": lambda s, d: _mixture(s, d).report(),
         "p7_checked": p7_checked,
         "p8_found": lambda s, d: stuffing.flagged(_documents(s, d)),
-        "p8_shapes": lambda s, d: stuffing.shape_report(_documents(s, d)),
+        "p8_shapes": lambda s, d: stuffing.shape_report(_documents(s, d)).withColumn("top_shapes", F.array_join("top_shapes", "; ")),
     }
 
 

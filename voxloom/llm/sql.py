@@ -72,8 +72,27 @@ reach(x, y) AS (SELECT i, j FROM near UNION SELECT reach.x, near.j FROM reach JO
 firsts AS (SELECT x AS clip_id, min(y) AS first_clip_id FROM reach GROUP BY x)"""
 
 
+_SHAPES = r"""t AS (SELECT doc_id, unnest(regexp_split_to_array(regexp_replace(text, '((?:[.?؟。？…]|(?:^|[^!])!)["\'\'”»)]{0,2})\s+|\s[;؛|/>»•·]\s+', E'\\1\n', 'g'), '\n+')) AS p FROM documents WHERE doc_id IS NOT NULL AND regexp_matches(text, '\p{L}')),
+u AS (SELECT doc_id, trim(p, ' ') AS p, regexp_split_to_array(trim(p, ' '), '\s') AS ts FROM t WHERE regexp_matches(p, '\p{L}')),
+v AS (SELECT *, CASE WHEN regexp_matches(p, '[./][\p{Ll}/]') THEN array_to_string(list_transform(ts, lambda x: CASE WHEN regexp_matches(x, '://|www\.|[\p{L}\p{N}]\.\p{Ll}{2,}(?:[^\p{L}\p{N}]|$)') THEN chr(57344) ELSE x END), ' ') ELSE p END AS plain FROM u),
+e AS (SELECT *, regexp_extract_all(lower(plain), '[\p{L}\p{M}\p{N}\'\'’]+|\x{E000}') AS every FROM v),
+w AS (SELECT *, len(every) AS n, list_filter(every, lambda x: x <> chr(57344)) AS ws FROM e),
+r AS (SELECT doc_id, n, len(ws) AS counted, len(ws) - len(list_distinct(ws)) AS repeated, len(list_filter(ts, lambda x: regexp_matches(x, '^\p{Lu}')))::DOUBLE / n AS capitals, (n - len(ws))::DOUBLE / n AS links,
+  (len(regexp_extract_all(plain, '[\p{P}\p{S}]')) - len(regexp_extract_all(plain, '[.!?؟。！？…:"\'\'’”“«»\-]')) + len(regexp_extract_all(plain, '!{2,}')) + len(regexp_extract_all(plain, '\s-\s')))::DOUBLE / n AS separators,
+  regexp_matches(right(p, 6), '(?:(?:^|[^.!?؟。！？…])[.!?؟。！？…]|(?:^|[^.])\.\.\.)["\'\'”»)]{0,2}$') AS closed FROM w),
+b AS (SELECT *, CASE WHEN counted > 0 THEN repeated::DOUBLE / counted ELSE 0 END AS repeats FROM r),
+c AS (SELECT doc_id, (n >= 2)::INT + (n >= 5)::INT + (n >= 8)::INT + (n >= 16)::INT + (n >= 32)::INT + (n >= 64)::INT AS k1, (capitals >= 0.01)::INT + (capitals >= 0.5)::INT AS k2, (separators >= 0.2)::INT + (separators >= 0.4)::INT AS k3,
+  (links >= 0.01)::INT + (links >= 0.25)::INT AS k4, (repeats >= 0.15)::INT + (repeats >= 0.3)::INT AS k5, n, counted, repeated, closed FROM b),
+g AS (SELECT doc_id, k1, k2, k3, k4, k5, sum(n) AS words, count(*) AS pieces, count(*) FILTER (closed) AS closed, sum(counted) AS counted, sum(repeated) AS repeated FROM c GROUP BY ALL),
+s AS (SELECT k1, k2, k3, k4, k5, sum(closed) / sum(pieces) >= 0.5 AND coalesce(sum(repeated) / nullif(sum(counted), 0), 0) < 0.33 AS sentence FROM g GROUP BY ALL),
+o AS (SELECT g.*, sentence, row_number() OVER (PARTITION BY doc_id, sentence ORDER BY words DESC, k1, k2, k3, k4, k5) AS place FROM g JOIN s USING (k1, k2, k3, k4, k5)),
+f AS (SELECT doc_id, sum(words) AS words, sum(words) FILTER (NOT sentence AND place <= 5) AS top, coalesce(string_agg(format('words{} capitals{} separators{} links{} repeats{}', k1, k2, k3, k4, k5), '; ' ORDER BY place) FILTER (NOT sentence AND place <= 5), '') AS shapes FROM o GROUP BY doc_id)""".replace("\\'", "'")
+
+
 def statements() -> dict[str, str]:
     return {
+        "p8_found": f"WITH {_SHAPES} SELECT doc_id FROM f WHERE top * 2 > words",
+        "p8_shapes": f"WITH {_SHAPES} SELECT shapes AS top_shapes, count(*) AS pages, sum(words)::BIGINT AS words FROM f WHERE top * 2 > words GROUP BY shapes",
         "p2_found": f"WITH RECURSIVE {_VOICES} SELECT first_clip_id, clip_id FROM firsts WHERE first_clip_id < clip_id",
         "p2_described": f"""WITH RECURSIVE {_VOICES}, n AS (SELECT v.clip_id, count(near.j) AS density FROM v LEFT JOIN near ON near.i = v.clip_id GROUP BY v.clip_id),
 g AS (SELECT n.clip_id, density, least(n.clip_id, coalesce(first_clip_id, n.clip_id)) AS first_clip_id, NOT EXISTS (SELECT 1 FROM near JOIN n o ON o.clip_id = near.j WHERE near.i = n.clip_id AND (o.density > n.density OR (o.density = n.density AND o.clip_id < n.clip_id))) AS peak FROM n LEFT JOIN firsts ON firsts.clip_id = n.clip_id)
