@@ -1,6 +1,7 @@
 """Voice groups, against all pairs."""
 
 import itertools
+import tracemalloc
 
 import numpy as np
 
@@ -74,3 +75,47 @@ def test_radius_of_nearly_equal_clips():
         c /= np.sqrt((c * c).sum())
         true = 2 * np.arcsin(np.sqrt(((u - c) ** 2).sum(axis=1)) / 2)
         assert abs(cell["radius"] - float(true.max())) < 1e-9
+
+
+def test_meetings_are_cut_into_tasks_of_bounded_size(spark, monkeypatch):
+    """However few the shuffle partitions, a task gets about TASK members: what meets grows faster than the clips."""
+    monkeypatch.setattr(voices, "TASK", 16, raising=False)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    try:
+        v = voices.Voices(table(spark, clips()))
+        weights = v.cells.select("leader", v.cells["ws"].alias("extra"))
+        found = v._join(weights, voices._density, voices._pair_density, "id long, n long")
+        sent = v.vectors.count() + v.meetings.count()  # at least a member a meeting
+        assert sent > 4 * 16
+        assert found.rdd.getNumPartitions() >= sent / 16
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_cells_that_only_their_angles_let_meet_are_told_apart():
+    """Members spread in directions that the other cell hasn't: the angles allow a meeting, the magnitudes don't."""
+    e = np.eye(123)
+    far = np.cos(np.deg2rad(55)) * e[0] + np.sin(np.deg2rad(55)) * e[4]
+    c, s = np.cos(np.deg2rad(15)), np.sin(np.deg2rad(15))
+    m = np.stack([c * e[0] + s * e[1], c * e[0] + s * e[2], c * far + s * e[3], c * far + s * e[5]]).astype(np.float32)
+    frame = voices.pd.DataFrame({"id": np.arange(4), "w": 1, "vec": [x.tobytes() for x in m]})
+    cells = voices.pd.concat([voices._cells(frame[:2]), voices._cells(frame[2:])]).assign(g=0)
+    assert cells["leader"].tolist() == [0, 2]
+    one, two = (np.frombuffer(x, np.float32) for x in cells["vec"])
+    assert np.arccos(one @ two) < np.arccos(voices.THRESHOLD) + cells["radius"].sum()
+    assert (m[:2] @ m[2:].T).max() < voices.THRESHOLD
+    assert not sum(len(f) for f in voices._near_leaders([voices._pack_leaders(cells).assign(a=0, b=0)]))
+
+
+def test_kernels_hold_few_cosines():
+    rng = np.random.default_rng(4)
+    m = np.abs(rng.normal(0, 1, (4096, 123))).astype(np.float32)
+    m /= np.linalg.norm(m, axis=1, keepdims=True)
+    side = (np.arange(4096), np.ones(4096, np.int64), m)
+    for kernel in (voices._pair_density, voices._pair_denser):
+        tracemalloc.start()
+        kernel(side, side, np.array([0]))
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < 40e6

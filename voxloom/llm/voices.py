@@ -15,7 +15,9 @@ All neighbour joins are blocked, and none makes a row per pair of clips:
   its mean direction and true radius;
 * cell centres meet block by block in matrix products, and only cells whose
   centres are no farther apart than threshold angle plus both radii go on - by the
-  triangle inequality no other pair of cells can hold two alike vectors;
+  triangle inequality no other pair of cells can hold two alike vectors; of these,
+  only cells whose ceilings (the largest magnitude of any member at each frequency)
+  have a product of at least the threshold, since no magnitude is negative;
 * the members of such cells meet in matrix products, once for the densities and
   once for the nearest denser neighbours, both ways at a time, which return one row
   per member. Every member of a cell is alike its leader, so which groups touch is
@@ -34,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from voxloom.llm.contract import components, follow
-from voxloom.plans.stash import stash
+from voxloom.plans.stash import stash, stash_measured
 
 #: The frequencies compared, in Hz.
 FREQUENCIES = np.arange(62.5, 3875 + 1, 31.25)
@@ -45,6 +47,10 @@ LEAD = 0.93
 #: Vectors per block, cell centres per block.
 BLOCK = 4096
 LEADER_BLOCK = 8192
+#: Members of cells that a task of meetings gets, about (8 MB); samples transformed at a time; cosines held at a time.
+TASK = 1 << 14
+SAMPLES = 1 << 20
+COSINES = 1 << 20
 #: Margin for rounding in the angle bound.
 SLACK = 1e-4
 
@@ -74,7 +80,8 @@ def spectra(arrays: list, rates: list) -> list[np.ndarray | None]:
         if np.allclose(at, bins, atol=1e-9) and bins.max() <= n // 2:
             mag = np.abs(np.fft.rfft(x, axis=1)[:, bins])
         else:
-            mag = np.abs(x @ np.exp(-2j * np.pi * np.outer(np.arange(n), FREQUENCIES) / rate))
+            steps = (np.arange(s, min(s + 4096, n)) for s in range(0, n, 4096))
+            mag = np.abs(sum(x[:, t] @ np.exp(-2j * np.pi * np.outer(t, FREQUENCIES) / rate) for t in steps))
         norm = np.linalg.norm(mag, axis=1)
         floor = 1e-9 * np.abs(x).sum(axis=1)
         for k, m, z, f in zip(rows, mag, norm, floor):
@@ -83,8 +90,15 @@ def spectra(arrays: list, rates: list) -> list[np.ndarray | None]:
     return out
 
 
+def _slices(pdf: pd.DataFrame) -> Iterator[pd.DataFrame]:
+    """The rows in slices of about ``SAMPLES`` samples."""
+    at = np.cumsum([0 if a is None else len(a) for a in pdf["array"]]) // SAMPLES
+    for _, part in pdf.groupby(at, sort=False):
+        yield part
+
+
 def _spectra(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
+    for pdf in (part for whole in batches for part in _slices(whole)):
         vec = spectra(pdf["array"].tolist(), [None if pd.isna(r) else r for r in pdf["rate"]])
         keep = [k for k, v in enumerate(vec) if v is not None]
         raw = [vec[k].tobytes() for k in keep]
@@ -130,31 +144,55 @@ def _cells(pdf: pd.DataFrame) -> pd.DataFrame:
         center = m[at].mean(axis=0)
         center = (center / np.linalg.norm(center)).astype(np.float32)
         angle = _angles(m[at], center).max()
-        rows.append((int(pdf["id"][k]), center.tobytes(), float(angle) if len(at) > 1 else 0.0, pdf["id"].to_numpy()[at].tobytes(), pdf["w"].to_numpy()[at].tobytes(), m[at].tobytes()))
-    return pd.DataFrame(rows, columns=["leader", "vec", "radius", "ids", "ws", "mat"])
+        rows.append((int(pdf["id"][k]), center.tobytes(), float(angle) if len(at) > 1 else 0.0, _ceiling(m[at]).tobytes(), pdf["id"].to_numpy()[at].tobytes(), pdf["w"].to_numpy()[at].tobytes(), m[at].tobytes()))
+    return pd.DataFrame(rows, columns=["leader", "vec", "radius", "top", "ids", "ws", "mat"])
+
+
+def _ceiling(m: np.ndarray) -> np.ndarray:
+    """The largest magnitude at each frequency in 255ths, rounded up."""
+    return np.minimum(255, np.ceil(m.max(axis=0).astype(np.float64) * 255)).astype(np.uint8)
 
 
 def _near_leaders(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Packed leader blocks in pairs: the leader pairs that the triangle inequality doesn't rule out."""
-    reach = math.acos(THRESHOLD) + SLACK
+    """Packed leader blocks, those of a pair (a, b) one after the other: the leader pairs whose cells may hold alike members."""
+    held = None
     for pdf in batches:
         for r in pdf.itertuples():
-            a, b = np.frombuffer(r.ids_a, np.int64), np.frombuffer(r.ids_b, np.int64)
-            ra, rb = np.frombuffer(r.radii_a, np.float64), np.frombuffer(r.radii_b, np.float64)
-            ma, mb = np.frombuffer(r.mat_a, np.float32).reshape(len(a), -1), np.frombuffer(r.mat_b, np.float32).reshape(len(b), -1)
-            by_cos = np.cos(np.minimum(np.pi, reach + ra + rb.max())).astype(np.float32) - np.float32(SLACK)
-            for s in range(0, len(a), 512):
-                dots = ma[s : s + 512] @ mb.T
-                x, y = np.nonzero(dots >= by_cos[s : s + 512, None])
-                ok = np.arccos(np.clip(dots[x, y], -1, 1)) <= reach + ra[s + x] + rb[y]
-                x, y = x[ok] + s, y[ok]
-                if r.a == r.b:
-                    x, y = x[a[x] < b[y]], y[a[x] < b[y]]
-                yield pd.DataFrame({"la": np.minimum(a[x], b[y]), "lb": np.maximum(a[x], b[y])})
+            if r.a == r.b:
+                yield from _near_blocks(r, r)
+            elif r.g == r.a:
+                held = r
+            else:
+                yield from _near_blocks(held, r)
+
+
+def _near_blocks(p, q) -> Iterator[pd.DataFrame]:
+    """The leader pairs of two packed blocks that neither the triangle inequality nor the ceilings rule out."""
+    reach = math.acos(THRESHOLD) + SLACK
+    a, b = np.frombuffer(p.ids, np.int64), np.frombuffer(q.ids, np.int64)
+    ra, rb = np.frombuffer(p.radii, np.float64), np.frombuffer(q.radii, np.float64)
+    ma, mb = np.frombuffer(p.mat, np.float32).reshape(len(a), -1), np.frombuffer(q.mat, np.float32).reshape(len(b), -1)
+    ta, tb = np.frombuffer(p.tops, np.uint8).reshape(len(a), -1), np.frombuffer(q.tops, np.uint8).reshape(len(b), -1)
+    by_cos = np.cos(np.minimum(np.pi, reach + ra + rb.max())).astype(np.float32) - np.float32(SLACK)
+    for s in range(0, len(a), 256):
+        dots = ma[s : s + 256] @ mb.T
+        x, y = np.nonzero(dots >= by_cos[s : s + 256, None])
+        ok = np.arccos(np.clip(dots[x, y], -1, 1)) <= reach + ra[s + x] + rb[y]
+        x, y = x[ok] + s, y[ok]
+        if p.g == q.g:
+            x, y = x[a[x] < b[y]], y[a[x] < b[y]]
+        if not len(x):
+            continue
+        (rows, i), (columns, j) = np.unique(x, return_inverse=True), np.unique(y, return_inverse=True)
+        # whole numbers below 2^24: exact in float32
+        ok = (ta[rows].astype(np.float32) @ tb[columns].T.astype(np.float32))[i, j] >= (THRESHOLD - SLACK) * 255**2
+        x, y = x[ok], y[ok]
+        yield pd.DataFrame({"la": np.minimum(a[x], b[y]), "lb": np.maximum(a[x], b[y])})
 
 
 def _pack_leaders(pdf: pd.DataFrame) -> pd.DataFrame:
-    return pd.DataFrame({"g": [int(pdf["g"].iloc[0])], "ids": [pdf["leader"].to_numpy(np.int64).tobytes()], "radii": [pdf["radius"].to_numpy(np.float64).tobytes()], "mat": [b"".join(pdf["vec"])]})
+    columns = {"ids": pdf["leader"].to_numpy(np.int64).tobytes(), "radii": pdf["radius"].to_numpy(np.float64).tobytes(), "mat": b"".join(pdf["vec"]), "tops": b"".join(pdf["top"])}
+    return pd.DataFrame({"g": [int(pdf["g"].iloc[0])], **{k: [v] for k, v in columns.items()}})
 
 
 #: One side of a meeting: ids, a number per member, and the matrix of vectors.
@@ -168,7 +206,7 @@ def _side(ids: list[bytes], extra: list[bytes], mat: list[bytes]) -> Side:
 
 def _alike(a: Side, b: Side) -> Iterator[tuple[int, np.ndarray]]:
     """Cosines of blocks of rows of a and all of b."""
-    step = max(1, min(1024, (1 << 23) // max(1, len(b[0]))))
+    step = max(1, min(1024, COSINES // max(1, len(b[0]))))
     for s in range(0, len(a[0]), step):
         yield s, a[2][s : s + step] @ b[2].T
 
@@ -236,22 +274,8 @@ def _frame(parts: list[tuple[np.ndarray, ...]], names: list[str]) -> pd.DataFram
     return pd.DataFrame({n: np.concatenate([p[k] for p in parts]) for k, n in enumerate(names)}) if parts else pd.DataFrame({n: np.zeros(0, np.int64) for n in names})
 
 
-def _within(kernel: Callable, names: list[str]):
-    """A kernel on every cell by itself."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            parts = []
-            for r in pdf.itertuples():
-                a = _side([r.ids], [r.extra], [r.mat])
-                parts += kernel(a, a)
-            yield _frame(parts, names)
-
-    return run
-
-
-def _between(kernel: Callable, names: list[str]):
-    """A kernel on one cell and all cells that may be near it; rows come sorted by cell, the cell itself first.
+def _met(within: Callable, between: Callable, names: list[str]):
+    """Kernels on one cell by itself (in part 0) and with all cells that may be near it; rows come sorted by cell, the cell itself first.
 
     Besides the kernel's rows, one row (leader, leader) for every two cells that touch, told apart by ``touch``.
     """
@@ -259,8 +283,12 @@ def _between(kernel: Callable, names: list[str]):
     def met(rows: list, parts: list, pairs: list) -> None:
         big, *near = rows
         a = _side([big.ids], [big.extra], [big.mat])
+        if big.part == 0:
+            parts += within(a, a)
+        if not near:
+            return
         b = _side([r.ids for r in near], [r.extra for r in near], [r.mat for r in near])
-        found, touch = kernel(a, b, np.cumsum([0] + [len(r.ids) // 8 for r in near[:-1]]))
+        found, touch = between(a, b, np.cumsum([0] + [len(r.ids) // 8 for r in near[:-1]]))
         parts += found
         pairs += [(big.leader, near[k].leader) for k in np.flatnonzero(touch)]
 
@@ -308,24 +336,27 @@ class Voices:
         spread = F.pmod(F.xxhash64("id"), F.lit(1 << 20)) / F.lit(float(1 << 20))
         block = ((F.col("at") + spread * F.col("n")) / F.lit(BLOCK)).cast("int")
         laid = self.vectors.join(F.broadcast(lut), "cell").select("id", "w", "vec", block.alias("block"))
-        cells = laid.groupBy("block").applyInPandas(_cells, "leader long, vec binary, radius double, ids binary, ws binary, mat binary")
+        cells = laid.groupBy("block").applyInPandas(_cells, "leader long, vec binary, radius double, top binary, ids binary, ws binary, mat binary")
         self.cells = stash(cells)
-        self.meetings = stash(self._meetings(self._cell_pairs()))
+        # what meets grows faster than the clips; the tasks grow with it
+        self.meetings, sent = stash_measured(self._meetings(self._cell_pairs()), members=F.sum("members"))
+        members = start + (sent["members"] or 0)
+        fewest = int(clips.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        self.tasks = max(1, math.ceil(members / TASK), min(fewest, math.ceil(members / (TASK // 8))))
 
     def _cell_pairs(self) -> DataFrame:
         spark = self.cells.sparkSession
         n = self.cells.count()
         groups = max(1, -(-n // LEADER_BLOCK), min(8, n // 256))
-        packed = self.cells.select("leader", "vec", "radius", F.pmod(F.xxhash64("leader"), F.lit(groups)).alias("g")).groupBy("g").applyInPandas(_pack_leaders, "g long, ids binary, radii binary, mat binary")
-        packed = stash(packed)
-        grid = spark.range(groups).select(F.col("id").alias("a"), F.explode(F.sequence("id", F.lit(groups - 1).cast("long"))).alias("b"))
-        for s in "ab":
-            grid = grid.join(packed.select(F.col("g").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in ("ids", "radii", "mat")]), s)
-        grid = grid.repartition(groups * (groups + 1) // 2, "a", "b")
+        packed = self.cells.select("leader", "vec", "radius", "top", F.pmod(F.xxhash64("leader"), F.lit(groups)).alias("g")).groupBy("g").applyInPandas(_pack_leaders, "g long, ids binary, radii binary, mat binary, tops binary")
+        # every block to each of its pairs
+        other = packed.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))))
+        grid = other.select(F.least("g", "other").alias("a"), F.greatest("g", "other").alias("b"), *packed.columns)
+        grid = grid.repartition(groups * (groups + 1) // 2, "a", "b").sortWithinPartitions("a", "b", "g")
         return grid.mapInPandas(_near_leaders, "la long, lb long").distinct()
 
     def _meetings(self, pairs: DataFrame) -> DataFrame:
-        """Pairs of cells by their larger one: ``big``, ``small``, ``part``.
+        """Pairs of cells by their larger one: ``big``, ``small``, ``part``; and the ``members`` sent for the pair.
 
         The large cell travels once for all small ones that may be near it, or
         once for every ``BLOCK`` of their members if they are more.
@@ -335,25 +366,27 @@ class Voices:
             pairs = pairs.join(size.select(F.col("leader").alias(f"l{s}"), F.col("n").alias(f"n{s}")), f"l{s}")
         swap = F.struct("na", "la") < F.struct("nb", "lb")
         pick = lambda x, y: F.when(swap, F.col(x)).otherwise(F.col(y))
-        rows = pairs.select(pick("lb", "la").alias("big"), pick("la", "lb").alias("small"), pick("na", "nb").alias("n"))
-        parts = rows.groupBy("big").agg(F.ceil(F.sum("n") / BLOCK).alias("parts"))
-        return rows.join(parts, "big").select("big", "small", F.pmod(F.xxhash64("small"), F.col("parts")).alias("part"))
+        rows = pairs.select(pick("lb", "la").alias("big"), pick("la", "lb").alias("small"), pick("na", "nb").alias("n"), pick("nb", "na").alias("m"))
+        parts = rows.groupBy("big").agg(F.ceil(F.sum("n") / BLOCK).alias("parts"), F.count(F.lit(1)).alias("k"))
+        members = F.col("n") + F.col("m") * F.least("parts", "k") / F.col("k")
+        return rows.join(parts, "big").select("big", "small", F.pmod(F.xxhash64("small"), F.col("parts")).alias("part"), members.alias("members"))
 
     def _join(self, extra: DataFrame, within: Callable, between: Callable, schema: str) -> DataFrame:
         """Runs the kernels wherever cells may hold alike members; ``extra`` has the packed ``extra`` of a leader. Rows of ``schema`` and ``touch``."""
         full = self.cells.select("leader", "ids", "mat").join(extra, "leader")
         names = [x.split()[0] for x in schema.split(", ")]
-        alone = full.select("ids", "extra", "mat").mapInPandas(_within(within, names), schema).withColumn("touch", F.lit(False))
         near = self.meetings.join(full.withColumnRenamed("leader", "small"), "small").select("big", "part", F.col("small").alias("leader"), "ids", "extra", "mat", F.lit(1).alias("near"))
-        big = self.meetings.select("big", "part").distinct().join(full.withColumnRenamed("leader", "big"), "big").select("big", "part", F.col("big").alias("leader"), "ids", "extra", "mat", F.lit(0).alias("near"))
-        both = near.unionByName(big).repartition("big", "part").sortWithinPartitions("big", "part", "near")
-        return alone.unionByName(both.mapInPandas(_between(between, names), f"{schema}, touch boolean"))
+        alone = self.cells.select(F.col("leader").alias("big"), F.lit(0).cast("long").alias("part"))
+        big = self.meetings.select("big", "part").unionByName(alone).distinct().join(full.withColumnRenamed("leader", "big"), "big").select("big", "part", F.col("big").alias("leader"), "ids", "extra", "mat", F.lit(0).alias("near"))
+        both = near.unionByName(big).repartition(self.tasks, "big", "part").sortWithinPartitions("big", "part", "near")
+        return both.mapInPandas(_met(within, between, names), f"{schema}, touch boolean")
 
     def _packed(self, values: DataFrame) -> DataFrame:
         """Per cell, the ``value`` of each member ``id`` in the order of ``ids``."""
         members = self.cells.select("leader", "ids").mapInPandas(_unpacked, "leader long, at int, id long")
         both = members.join(values, "id").select("leader", "at", "value")
-        return both.groupBy("leader").agg(F.array_sort(F.collect_list(F.struct("at", "value"))).alias("v")).mapInPandas(_repacked, "leader long, extra binary")
+        lists = both.groupBy("leader").agg(F.array_sort(F.collect_list(F.struct("at", "value"))).alias("v"))
+        return lists.select("leader", F.col("v.value").alias("v")).mapInPandas(_repacked, "leader long, extra binary")
 
     def densities(self) -> tuple[DataFrame, DataFrame]:
         """Local density of every distinct vector, ``id`` and ``density`` (alike clips besides one of itself); and the touching cells, ``a`` and ``b``."""
@@ -421,7 +454,7 @@ def _unpacked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def _repacked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
-        yield pd.DataFrame({"leader": pdf["leader"], "extra": [np.array([x["value"] for x in v], np.int64).tobytes() for v in pdf["v"]]})
+        yield pd.DataFrame({"leader": pdf["leader"], "extra": [np.asarray(v, np.int64).tobytes() for v in pdf["v"]]})
 
 
 def follow_to_peak(up: DataFrame) -> DataFrame:
