@@ -21,6 +21,21 @@ def test_corpus_build(spark, sf, tmp_path):
     assert top.export.count() == 2
 
 
+def _mostly_without_vectors(spark, sf):
+    """The clips, three times as many in three partitions of which two have no vector, and the vectors."""
+    clips = table(spark, sf, "prepare_dataset")
+    more = [clips.withColumn("clip_id", F.col("clip_id") + k * 10**6) for k in (1, 2)]
+    vectors = table(spark, sf, "embeddings").select(F.col("vec_id").alias("clip_id"), "embedding", F.col("label").alias("cluster"))
+    return clips, clips.unionByName(more[0]).unionByName(more[1]).repartitionByRange(3, "clip_id"), F.broadcast(vectors)
+
+
+def test_report_of_partitions_without_vectors(spark, sf):
+    """Larger tables have partitions of clips of which none has a vector; they add to the valid clips only."""
+    clips, own, vectors = _mostly_without_vectors(spark, sf)
+    want, got = (P.build_corpus(c, vectors).report.first().asDict() for c in (clips, own))
+    assert got == want | {"valid_after_filtering": 3 * want["valid_after_filtering"]} and got["clips"] > 0
+
+
 def test_gate(spark):
     wave = [0.5, -0.5] * 4000 + [0.001] * 2000 + [0.3] * 6000
     meta = "audio_file string, text string, speaker_name string"

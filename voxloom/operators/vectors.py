@@ -45,7 +45,9 @@ def _partial_sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             m = m[norm[:, 0] > 0] / norm[norm[:, 0] > 0]
             n, s = sums.get(label, (0, 0.0))
             sums[label] = n + len(m), s + m.sum(axis=0)
-    yield pd.DataFrame({"cluster": [k for k, (n, _) in sums.items() if n], "n": [n for n, _ in sums.values() if n], "s": [s for n, s in sums.values() if n]})
+    kept = [(k, n, s) for k, (n, s) in sums.items() if n]
+    if kept:  # lists of no rows have no type that Arrow could read as arrays
+        yield pd.DataFrame(kept, columns=["cluster", "n", "s"])
 
 
 def centroids(vectors: DataFrame, cluster: str, vec: str) -> DataFrame:
