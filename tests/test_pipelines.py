@@ -36,6 +36,14 @@ def test_report_of_partitions_without_vectors(spark, sf):
     assert got == want | {"valid_after_filtering": 3 * want["valid_after_filtering"]} and got["clips"] > 0
 
 
+def test_selection_of_partitions_without_vectors(spark, sf):
+    """The same members, similarities, files and parts, also where a partition has zero vectors only, in a cluster of their own."""
+    clips, own, vectors = _mostly_without_vectors(spark, sf)
+    zero = vectors.select(F.col("clip_id") + 10**6, F.transform("embedding", lambda x: x * F.lit(0).cast("float")), F.lit(-1)).toDF(*vectors.columns)
+    want, got = (sorted(map(tuple, P.build_corpus(*x).export.collect())) for x in ((clips, vectors), (own, F.broadcast(vectors.unionByName(zero)))))
+    assert got == want and want
+
+
 def test_gate(spark):
     wave = [0.5, -0.5] * 4000 + [0.001] * 2000 + [0.3] * 6000
     meta = "audio_file string, text string, speaker_name string"
