@@ -119,3 +119,42 @@ def test_kernels_hold_few_cosines():
         peak = tracemalloc.get_traced_memory()[1]
         tracemalloc.stop()
         assert peak < 40e6
+
+
+def test_batches_to_python_are_small_while_voices_are_found(spark, monkeypatch):
+    """A task holds a few MB of Arrow outside the heap, not the session's 64; the session's setting comes back."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before, seen = spark.conf.get(name), []
+    kept = voices.stash
+    monkeypatch.setattr(voices, "stash", lambda df, *a: (seen.append(int(spark.conf.get(name))), kept(df, *a))[1])
+    v = voices.Voices(table(spark, clips()))
+    assert seen and spark.conf.get(name) == before
+    v.groups()
+    assert max(seen) <= 4 << 20 and spark.conf.get(name) == before
+    spark.conf.set(name, "1k")
+    try:
+        seen.clear()
+        assert {(r["id"], r["root"]) for r in voices.Voices(table(spark, clips())).groups().collect()} == {(r["id"], r["root"]) for r in v.groups().collect()}
+        assert set(seen) == {1024}
+    finally:
+        spark.conf.set(name, before)
+
+
+def test_blocks_of_cells_travel_in_stripes(spark, monkeypatch):
+    """Every pair of blocks meets once, and a block is sent once for each stripe of blocks, not once for each block."""
+    monkeypatch.setattr(voices, "LEADER_BLOCK", 2)
+    v = voices.Voices(table(spark, clips()))
+    blocks = -(-v.cells.count() // 2)
+    sent = []
+    kept = voices._near_blocks
+    pairs = {tuple(r) for r in v._cell_pairs().collect()}
+    cells = v.cells.toPandas().sort_values("leader")
+    cells["g"] = np.arange(len(cells)) // 2
+    packed = voices.pd.concat([voices._pack_leaders(x) for _, x in cells.groupby("g")]).assign(stripe=lambda d: d["g"] // 3)
+    rows = []
+    for a, b in itertools.combinations_with_replacement(sorted(set(packed["stripe"])), 2):
+        rows.append(packed[packed["stripe"].isin([a, b])].assign(a=a, b=b))
+    monkeypatch.setattr(voices, "_near_blocks", lambda p, q: (sent.append((p.g, q.g)), kept(p, q))[1])
+    got = [tuple(x) for f in voices._near_leaders(rows) for x in f.to_numpy().tolist()]
+    assert blocks > 8 and len(set(sent)) == len(sent) == len(packed) * (len(packed) + 1) // 2
+    assert set(got) == pairs and len(set(got)) == len(got)

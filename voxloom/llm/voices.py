@@ -13,11 +13,11 @@ All neighbour joins are blocked, and none makes a row per pair of clips:
 * vectors are laid out by their strongest frequencies into blocks of bounded size;
   in each block a greedy pass gathers vectors around leaders into cells, each with
   its mean direction and true radius;
-* cell centres meet block by block in matrix products, and only cells whose
-  centres are no farther apart than threshold angle plus both radii go on - by the
-  triangle inequality no other pair of cells can hold two alike vectors; of these,
-  only cells whose ceilings (the largest magnitude of any member at each frequency)
-  have a product of at least the threshold, since no magnitude is negative;
+* cells meet block by block: only cells whose ceilings (the largest magnitude of
+  any member at each frequency) have a product of at least the threshold go on, since
+  no magnitude is negative, which is a matrix product; of these, only those whose
+  centres are no farther apart than threshold angle plus both radii - by the triangle
+  inequality no other pair of cells can hold two alike vectors;
 * the members of such cells meet in matrix products, once for the densities and
   once for the nearest denser neighbours, both ways at a time, which return one row
   per member. Every member of a cell is alike its leader, so which groups touch is
@@ -29,10 +29,11 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voxloom.llm.contract import components, follow
@@ -44,15 +45,19 @@ FREQUENCIES = np.arange(62.5, 3875 + 1, 31.25)
 THRESHOLD = 0.8
 #: Least cosine of a vector and the leader whose cell it joins.
 LEAD = 0.93
-#: Vectors per block, cell centres per block.
+#: Vectors per block, cells per block of the comparison of cells (4 MB), blocks that a task of it holds at most.
 BLOCK = 4096
 LEADER_BLOCK = 8192
+HELD = 4
+#: Bytes that Spark hands to Python at once: it holds some four times as much outside its heap, in every task.
+BATCH = 1 << 22
 #: Members of cells that a task of meetings gets, about (8 MB); samples transformed at a time; cosines held at a time.
 TASK = 1 << 14
 SAMPLES = 1 << 20
 COSINES = 1 << 20
-#: Margin for rounding in the angle bound.
+#: Margin for rounding in the bounds; of cosines of centres in half precision.
 SLACK = 1e-4
+HALF = 2e-3
 
 
 def spectra(arrays: list, rates: list) -> list[np.ndarray | None]:
@@ -149,50 +154,51 @@ def _cells(pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 def _ceiling(m: np.ndarray) -> np.ndarray:
-    """The largest magnitude at each frequency in 255ths, rounded up."""
-    return np.minimum(255, np.ceil(m.max(axis=0).astype(np.float64) * 255)).astype(np.uint8)
+    """The largest magnitude at each frequency in 65535ths, rounded up."""
+    return np.minimum(65535, np.ceil(m.max(axis=0).astype(np.float64) * 65535)).astype(np.uint16)
 
 
 def _near_leaders(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Packed leader blocks, those of a pair (a, b) one after the other: the leader pairs whose cells may hold alike members."""
-    held = None
+    """Packed blocks of the stripes a and b, those of a first: the leader pairs whose cells may hold alike members.
+
+    The blocks of a are held, those of b pass; where a is b, a block meets itself and those before it.
+    """
+    held: list = []
+    at = None
     for pdf in batches:
         for r in pdf.itertuples():
+            if at != (r.a, r.b):
+                held, at = [], (r.a, r.b)
             if r.a == r.b:
                 yield from _near_blocks(r, r)
-            elif r.g == r.a:
-                held = r
-            else:
-                yield from _near_blocks(held, r)
+            if r.a == r.b or r.stripe == r.b:
+                for p in held:
+                    yield from _near_blocks(p, r)
+            if r.a == r.b or r.stripe == r.a:
+                held.append(r)
 
 
 def _near_blocks(p, q) -> Iterator[pd.DataFrame]:
-    """The leader pairs of two packed blocks that neither the triangle inequality nor the ceilings rule out."""
+    """The leader pairs of two packed blocks that neither the ceilings nor the triangle inequality rule out."""
     reach = math.acos(THRESHOLD) + SLACK
-    a, b = np.frombuffer(p.ids, np.int64), np.frombuffer(q.ids, np.int64)
-    ra, rb = np.frombuffer(p.radii, np.float64), np.frombuffer(q.radii, np.float64)
-    ma, mb = np.frombuffer(p.mat, np.float32).reshape(len(a), -1), np.frombuffer(q.mat, np.float32).reshape(len(b), -1)
-    ta, tb = np.frombuffer(p.tops, np.uint8).reshape(len(a), -1), np.frombuffer(q.tops, np.uint8).reshape(len(b), -1)
-    by_cos = np.cos(np.minimum(np.pi, reach + ra + rb.max())).astype(np.float32) - np.float32(SLACK)
+    (a, ra, ca, ta), (b, rb, cb, tb) = ([np.frombuffer(x, t).reshape(len(r.ids) // 8, -1) for x, t in ((r.ids, np.int64), (r.radii, np.float64), (r.mat, np.float16), (r.tops, np.uint16))] for r in (p, q))
+    a, ra, b, rb = a[:, 0], ra[:, 0], b[:, 0], rb[:, 0]
+    tb = tb.T.astype(np.float32)
     for s in range(0, len(a), 256):
-        dots = ma[s : s + 256] @ mb.T
-        x, y = np.nonzero(dots >= by_cos[s : s + 256, None])
-        ok = np.arccos(np.clip(dots[x, y], -1, 1)) <= reach + ra[s + x] + rb[y]
-        x, y = x[ok] + s, y[ok]
+        x, y = np.nonzero(ta[s : s + 256].astype(np.float32) @ tb >= np.float32((THRESHOLD - SLACK) * 65535**2))
+        x += s
         if p.g == q.g:
             x, y = x[a[x] < b[y]], y[a[x] < b[y]]
-        if not len(x):
-            continue
-        (rows, i), (columns, j) = np.unique(x, return_inverse=True), np.unique(y, return_inverse=True)
-        # whole numbers below 2^24: exact in float32
-        ok = (ta[rows].astype(np.float32) @ tb[columns].T.astype(np.float32))[i, j] >= (THRESHOLD - SLACK) * 255**2
-        x, y = x[ok], y[ok]
-        yield pd.DataFrame({"la": np.minimum(a[x], b[y]), "lb": np.maximum(a[x], b[y])})
+        for t in range(0, len(x), BLOCK):
+            i, j = x[t : t + BLOCK], y[t : t + BLOCK]
+            dots = np.einsum("ij,ij->i", ca[i].astype(np.float32), cb[j].astype(np.float32))
+            ok = dots >= np.cos(np.minimum(np.pi, reach + ra[i] + rb[j])) - HALF
+            yield pd.DataFrame({"la": np.minimum(a[i], b[j])[ok], "lb": np.maximum(a[i], b[j])[ok]})
 
 
 def _pack_leaders(pdf: pd.DataFrame) -> pd.DataFrame:
-    columns = {"ids": pdf["leader"].to_numpy(np.int64).tobytes(), "radii": pdf["radius"].to_numpy(np.float64).tobytes(), "mat": b"".join(pdf["vec"]), "tops": b"".join(pdf["top"])}
-    return pd.DataFrame({"g": [int(pdf["g"].iloc[0])], **{k: [v] for k, v in columns.items()}})
+    columns = {"ids": pdf["leader"].to_numpy(np.int64), "radii": pdf["radius"].to_numpy(np.float64), "mat": _matrix(pdf["vec"].tolist()).astype(np.float16)}
+    return pd.DataFrame({"g": [int(pdf["g"].iloc[0])], **{k: [v.tobytes()] for k, v in columns.items()}, "tops": [b"".join(pdf["top"])]})
 
 
 #: One side of a meeting: ids, a number per member, and the matrix of vectors.
@@ -315,6 +321,24 @@ def _met(within: Callable, between: Callable, names: list[str]):
     return run
 
 
+@contextmanager
+def _small_batches(spark: SparkSession) -> Iterator[None]:
+    """What runs inside hands ``BATCH`` bytes to Python at once, or less if the session says so."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name, None)
+    least = min(BATCH, _bytes(spark, before) or BATCH)
+    spark.conf.set(name, str(least))
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
+def _bytes(spark: SparkSession, size: str | None) -> int:
+    """A size as Spark writes it, 0 for none."""
+    return max(0, spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(size)) if size and not size.startswith("-") else 0
+
+
 class Voices:
     """Groups of alike clips of a table with ``clip_id`` and ``audio`` (``array``, ``sampling_rate``).
 
@@ -323,6 +347,11 @@ class Voices:
     """
 
     def __init__(self, clips: DataFrame):
+        self.spark = clips.sparkSession
+        with _small_batches(self.spark):
+            self._gathered(clips)
+
+    def _gathered(self, clips: DataFrame) -> None:
         base = clips.filter(F.col("clip_id").isNotNull() & F.col("audio").isNotNull())
         base = base.select("clip_id", F.col("audio.array").alias("array"), F.col("audio.sampling_rate").alias("rate"))
         self.clips = stash(base.mapInPandas(_spectra, "clip_id long, vec binary, cell int, key binary"))
@@ -345,14 +374,16 @@ class Voices:
         self.tasks = max(1, math.ceil(members / TASK), min(fewest, math.ceil(members / (TASK // 8))))
 
     def _cell_pairs(self) -> DataFrame:
-        spark = self.cells.sparkSession
         n = self.cells.count()
         groups = max(1, -(-n // LEADER_BLOCK), min(8, n // 256))
         packed = self.cells.select("leader", "vec", "radius", "top", F.pmod(F.xxhash64("leader"), F.lit(groups)).alias("g")).groupBy("g").applyInPandas(_pack_leaders, "g long, ids binary, radii binary, mat binary, tops binary")
-        # every block to each of its pairs
-        other = packed.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))))
-        grid = other.select(F.least("g", "other").alias("a"), F.greatest("g", "other").alias("b"), *packed.columns)
-        grid = grid.repartition(groups * (groups + 1) // 2, "a", "b").sortWithinPartitions("a", "b", "g")
+        # every stripe of blocks to each of its pairs: a block is sent once for each stripe, not once for each block
+        per = max(1, min(HELD, groups // 8))
+        stripes = -(-groups // per)
+        striped = packed.withColumn("stripe", F.floor(F.col("g") / F.lit(per)))
+        other = striped.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(stripes - 1).cast("long"))))
+        grid = other.select(F.least("stripe", "other").alias("a"), F.greatest("stripe", "other").alias("b"), *striped.columns)
+        grid = grid.repartition(stripes * (stripes + 1) // 2, "a", "b").sortWithinPartitions("a", "b", "stripe", "g")
         return grid.mapInPandas(_near_leaders, "la long, lb long").distinct()
 
     def _meetings(self, pairs: DataFrame) -> DataFrame:
@@ -398,6 +429,10 @@ class Voices:
 
     def groups(self) -> DataFrame:
         """Every distinct vector: ``id``, ``w`` (clips), ``density``, ``peak``, ``root`` (one peak of the whole group)."""
+        with _small_batches(self.spark):
+            return self._grouped()
+
+    def _grouped(self) -> DataFrame:
         dens, touching = self.densities()
         as_value = dens.select("id", F.col("density").alias("value"))
         denser = self._join(self._packed(as_value), _nearest_denser, _pair_denser, "id long, cos double, to long")
